@@ -59,7 +59,8 @@ INSIGHT_COLUMNS = ["insight_type", "subtype", "priority", "equipment_id", "as_of
 
 def fmt(x: Column, digits: int) -> Column:
     """Fixed-point text of a rounded number (round first: no tie ambiguity)."""
-    return F.format_string(f"%.{digits}f", F.round(x, digits))
+    scale = float(10 ** digits)
+    return F.format_string(f"%.{digits}f", F.round(x * F.lit(scale)) / F.lit(scale))
 
 
 def _actions(kind: str, level_col: Column, levels) -> Column:

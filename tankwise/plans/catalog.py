@@ -1,3 +1,4 @@
 """Imports every registered-job module so the registry is complete."""
 
 from tankwise.plans import q_views  # noqa: F401
+from tankwise.plans import q_features  # noqa: F401

@@ -45,12 +45,19 @@ def finalize(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             continue
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), DIGITS).alias(f.name))
+            cols.append(round_digits(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
 
 
+def round_digits(c):
+    """``round(c * 10^d) / 10^d``: the same IEEE steps in Spark and DuckDB, so
+    near-ties round identically in both engines."""
+    scale = float(10 ** DIGITS)
+    return F.round(c * F.lit(scale)) / F.lit(scale)
+
+
 # ------------------------------------------------------------------ SQL helpers
 TELEMETRY_CTE = "t AS (" + TELEMETRY_SQL.replace("{events}", "events") + ")"
 
@@ -71,5 +78,6 @@ def rnd(sql: str, cols) -> str:
     cols = [c for c in cols]
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in cols)
+    scale = f"1e{DIGITS}"
+    rep = ", ".join(f"round({c} * {scale}) / {scale} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _r"
