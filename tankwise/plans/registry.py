@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tankwise.sources.tables import TELEMETRY_SQL
+from tankwise.sources.tables import ECONOMY_SQL, FUEL_RATINGS_SQL, TELEMETRY_SQL
 
 DIGITS = 4
 QUERIES: dict[str, Callable] = {}
@@ -61,6 +61,9 @@ def round_digits(c):
 # ------------------------------------------------------------------ SQL helpers
 TELEMETRY_CTE = "t AS (" + TELEMETRY_SQL.replace("{events}", "events") + ")"
 
+ECONOMY_CTE = "econ AS (" + ECONOMY_SQL.replace("{part}", "part") + ")"
+RATINGS_CTE = "ratings AS (" + FUEL_RATINGS_SQL.replace("{orders}", "orders") + ")"
+
 TELEMETRY_DOUBLES = ["fuel_level", "fuel_consumed", "tank_capacity", "idle_time", "load_pct", "rpm",
                      "speed", "distance", "fuel_price", "ambient_temp", "engine_temp",
                      "oil_pressure", "throttle", "battery_voltage", "emission_rate",
@@ -73,6 +76,10 @@ def with_t(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+def with_ctes(body: str, *ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
 def rnd(sql: str, cols) -> str:
     """Round the named double columns of ``sql``'s result to DIGITS."""
     cols = [c for c in cols]

@@ -71,3 +71,40 @@ def telemetry_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_from_events(spark, table(spark, sf_dir, "events"))
+
+
+# Vehicle-economy-shaped rows over ``part`` (fixture mapping: class from
+# p_type, combined figure from p_size).  Valid in Spark and DuckDB.
+ECONOMY_SQL = """
+SELECT CAST(2000 + p_partkey % 20 AS INT) AS year, p_brand AS make, p_name AS model,
+  CASE p_type WHEN 'SMALL' THEN 'Small Cars' WHEN 'MEDIUM' THEN 'Midsize Cars' WHEN 'LARGE' THEN 'Large Cars'
+    WHEN 'ECONOMY' THEN 'Small Pickup Trucks 2WD' WHEN 'PROMO' THEN 'Vans, Cargo Type'
+    ELSE 'Special Purpose Vehicle 4WD' END AS VClass,
+  CAST(p_size AS DOUBLE) / 1e1 AS displ, CAST(4 + 2 * (p_partkey % 3) AS INT) AS cylinders,
+  'Automatic' AS trany,
+  CAST(p_size AS DOUBLE) * 9e-1 AS city08, CAST(p_size AS DOUBLE) * 1.2e0 AS highway08,
+  CAST(p_size AS DOUBLE) AS comb08,
+  CASE p_partkey % 5 WHEN 0 THEN 'Regular Gasoline' WHEN 1 THEN 'Premium Gasoline' WHEN 2 THEN 'Diesel'
+    WHEN 3 THEN 'CNG' ELSE 'Electricity' END AS fuelType,
+  p_partkey
+FROM {part}
+"""
+
+# Fuel-ratings-shaped rows over ``orders`` (fixture mapping: fuel label from
+# o_orderpriority and o_orderstatus, CO2 from o_totalprice).
+FUEL_RATINGS_SQL = """
+SELECT o_orderkey,
+  concat(CASE o_orderpriority WHEN '1-URGENT' THEN 'Diesel' WHEN '2-HIGH' THEN 'Regular Gasoline'
+      WHEN '3-MEDIUM' THEN 'Natural Gas' WHEN '4-NOT SPECIFIED' THEN 'X' ELSE 'Electric' END,
+    CASE WHEN o_orderstatus = 'O' THEN '' ELSE concat(' ', o_orderstatus) END) AS fuel_type,
+  o_totalprice / 1e3 AS co2_emissions
+FROM {orders}
+"""
+
+
+def economy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ECONOMY_SQL, part=table(spark, sf_dir, "part"))
+
+
+def fuel_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FUEL_RATINGS_SQL, orders=table(spark, sf_dir, "orders"))
