@@ -3,3 +3,4 @@
 from tankwise.plans import q_views  # noqa: F401
 from tankwise.plans import q_features  # noqa: F401
 from tankwise.plans import q_patterns  # noqa: F401
+from tankwise.plans import q_anomaly  # noqa: F401
