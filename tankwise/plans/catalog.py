@@ -5,3 +5,4 @@ from tankwise.plans import q_features  # noqa: F401
 from tankwise.plans import q_patterns  # noqa: F401
 from tankwise.plans import q_anomaly  # noqa: F401
 from tankwise.plans import q_insights  # noqa: F401
+from tankwise.plans import q_sources  # noqa: F401
