@@ -7,3 +7,4 @@ from tankwise.plans import q_anomaly  # noqa: F401
 from tankwise.plans import q_insights  # noqa: F401
 from tankwise.plans import q_sources  # noqa: F401
 from tankwise.plans import q_ml  # noqa: F401
+from tankwise.plans import q_streaming  # noqa: F401
