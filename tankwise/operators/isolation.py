@@ -173,6 +173,8 @@ def _score_matrix(x: np.ndarray, m) -> np.ndarray:
 def score(matrix: DataFrame, nodes: DataFrame, cols=None) -> DataFrame:
     """ML5: anomaly score in (0, 1] per row (higher = more isolated)."""
     cols = cols or [c for c in feature_columns(matrix) if c in matrix.columns]
+    if not cols:
+        raise ValueError("no feature columns to score")
     nodes = materialize_small(nodes)
     n = nodes.count()
     if n > MAX_MODEL_NODES:
@@ -201,9 +203,9 @@ def cutoffs(train_scores: DataFrame, contamination: float = 0.05) -> DataFrame:
 
 
 def detect(matrix: DataFrame, nodes: DataFrame, train_rows: DataFrame | None = None,
-           contamination: float = 0.05) -> DataFrame:
+           contamination: float = 0.05, cols=None) -> DataFrame:
     """ML5: scores + flag ``iso_score > cut`` (cut from the training rows)."""
-    s = score(matrix, nodes).join(matrix.select("event_id", "equipment_id", "equipment_type", "ts"), "event_id")
+    s = score(matrix, nodes, cols).join(matrix.select("event_id", "equipment_id", "equipment_type", "ts"), "event_id")
     base = s if train_rows is None else s.join(train_rows.select("event_id"), "event_id", "left_semi")
     cuts = cutoffs(base, contamination)
     s = join_checked(s, cuts, "equipment_type", "inner")

@@ -258,7 +258,16 @@ def read_config(spark: SparkSession, path: str | None) -> DataFrame:
             return df
         except AnalysisException:
             pass
-    return spark.createDataFrame([json.loads(config_json_text())], CONFIG_SCHEMA)
+    return spark.createDataFrame([_floats(json.loads(config_json_text()))], CONFIG_SCHEMA)
+
+
+def _floats(x):
+    """JSON numbers as floats (the config schema holds DOUBLE values)."""
+    if isinstance(x, dict):
+        return {k: _floats(v) for k, v in x.items()}
+    if isinstance(x, (int, float)) and not isinstance(x, bool):
+        return float(x)
+    return x
 
 
 def efficiency_thresholds(config: DataFrame) -> DataFrame:
