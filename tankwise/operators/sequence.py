@@ -27,16 +27,31 @@ def _order_struct(order: Sequence[str]) -> Column:
 
 
 def latest_by(df: DataFrame, key: str = "equipment_id",
-              order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
+              order: Sequence[str] = DEFAULT_ORDER, max_keys: int | None = None) -> DataFrame:
     """WN1: one row per key, the one with the greatest ``order`` tuple.
 
-    ``max_by`` is a declarative aggregate, so Spark runs it partial-then-final:
-    each map task keeps one row per key before the shuffle (skew-safe).
+    ``max_by`` with a struct payload can only run as a sort-based aggregate
+    (a full local sort of the input).  So first a hash aggregate finds each
+    key's latest timestamp (fixed-width buffer, partial before the shuffle),
+    the per-key table is materialised and counted, and -- when it is small
+    enough to broadcast -- a broadcast semi join keeps only rows at that
+    timestamp; ``max_by`` then breaks ties on the remaining order columns
+    over those few rows.  With more keys than ``max_keys`` the sort-based
+    aggregate is used directly (still partial, still skew-safe).
     """
+    from tankwise.operators.joins import BROADCAST_MAX_ROWS, materialize_small
+    limit = BROADCAST_MAX_ROWS if max_keys is None else max_keys
+    ts = order[0]
+    cand = df
+    mx = materialize_small(df.groupBy(key).agg(F.max(ts).alias("_latest_ts")))
+    if mx.count() <= limit:
+        m = F.broadcast(mx.withColumnRenamed(key, "_latest_key"))
+        cand = df.join(m, (F.col(key) == F.col("_latest_key")) & (F.col(ts) == F.col("_latest_ts")),
+                       "left_semi")
     rest = [c for c in df.columns if c != key]
-    return (df.groupBy(key)
-              .agg(F.max_by(F.struct(*rest), _order_struct(order)).alias("_latest"))
-              .select(key, "_latest.*"))
+    return (cand.groupBy(key)
+                .agg(F.max_by(F.struct(*rest), _order_struct(order)).alias("_latest"))
+                .select(key, "_latest.*"))
 
 
 def max_scalar(df: DataFrame, col: str) -> Column:
@@ -90,11 +105,15 @@ def halo_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] =
     wk = Window.partitionBy(key).orderBy("_b")
     cnt = (cnt.withColumn("_cum", F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("_n_key", F.sum("_cnt").over(Window.partitionBy(key))))
+    # One row per (key, bucket): materialised once (it feeds three joins) and
+    # broadcast only when its counted size allows.
+    cnt, small = _bounded(cnt)
+    bc = F.broadcast if small else (lambda x: x)
 
     if H > 0:
         wdesc = Window.partitionBy(key, "_b").orderBy(*[F.col(c).desc() for c in order])
         tails = (d.withColumn("_r", F.row_number().over(wdesc)).filter(F.col("_r") <= H)
-                  .join(cnt.select(key, "_b", "_cum"), [key, "_b"])
+                  .join(bc(cnt.select(key, "_b", "_cum")), [key, "_b"])
                   .withColumn("_p", F.col("_cum") - F.col("_r") + 1)
                   .withColumn("_blk", F.floor((F.col("_p") - 1) / H)))
         targets = (cnt.select(key, F.col("_b").alias("_tb"),
@@ -103,7 +122,7 @@ def halo_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] =
                       .withColumn("_s", F.greatest(F.col("_e") - H + 1, F.lit(1)))
                       .withColumn("_blk", F.explode(F.array_distinct(F.array(
                           F.floor((F.col("_s") - 1) / H), F.floor((F.col("_e") - 1) / H))))))
-        halo = (tails.join(targets, [key, "_blk"])
+        halo = (tails.join(bc(targets), [key, "_blk"])
                      .filter((F.col("_p") >= F.col("_s")) & (F.col("_p") <= F.col("_e")))
                      .select(*df.columns, F.col("_tb").alias("_chunk"), F.lit(True).alias("_halo")))
         rows = d.select(*df.columns, F.col("_b").alias("_chunk"), F.lit(False).alias("_halo"))
@@ -112,7 +131,14 @@ def halo_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] =
         rows = d.select(*df.columns, F.col("_b").alias("_chunk"), F.lit(False).alias("_halo"))
 
     sizes = cnt.select(key, F.col("_b").alias("_chunk"), "_n_key")
-    return rows.join(sizes, [key, "_chunk"])
+    return rows.join(bc(sizes), [key, "_chunk"])
+
+
+def _bounded(df: DataFrame):
+    """Materialise a small derived table; return it and whether it may be broadcast."""
+    from tankwise.operators.joins import BROADCAST_MAX_ROWS, materialize_small
+    m = materialize_small(df)
+    return m, m.count() <= BROADCAST_MAX_ROWS
 
 
 def range_halo_chunks(df: DataFrame, key: str = "equipment_id", ts: str = "ts",
@@ -146,7 +172,7 @@ def ordered_split(df: DataFrame, frac: float = 0.8, key: str = "equipment_id",
     """
     ts = order[0]
     d = df.withColumn("_b", bucket_of(ts, bucket_days))
-    cnt = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    cnt, _ = _bounded(d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt")))
     per_key = cnt.groupBy(key).agg(F.sum("_cnt").alias("_kn"))
     # Running offset over keys: one row per entity (fleet size), not per reading.
     per_key = per_key.withColumn(
@@ -158,7 +184,9 @@ def ordered_split(df: DataFrame, frac: float = 0.8, key: str = "equipment_id",
                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .crossJoin(F.broadcast(total))
               .withColumn("_cut", F.floor(F.col("_N") * F.lit(frac)).cast("long")))
-    d = d.join(cnt.select(key, "_b", "_boff", "_cnt", "_cut"), [key, "_b"])
+    cnt, small = _bounded(cnt)
+    side = cnt.select(key, "_b", "_boff", "_cnt", "_cut")
+    d = d.join(F.broadcast(side) if small else side, [key, "_b"])
     inside = F.col("_boff") + F.col("_cnt") <= F.col("_cut")
     outside = F.col("_boff") >= F.col("_cut")
     whole = d.filter(inside | outside).withColumn("is_train", inside)
