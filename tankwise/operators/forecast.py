@@ -131,3 +131,16 @@ def save_models(models: dict[str, PipelineModel], base: str) -> dict[str, str]:
 
 def load_models(paths: dict[str, str]) -> dict[str, PipelineModel]:
     return {t: PipelineModel.load(p) for t, p in paths.items()}
+
+
+def schema_drift(train: DataFrame, predict: DataFrame) -> dict[str, list[str]]:
+    """SE4: column-name set difference between training and prediction
+    frames (metadata only, no job)."""
+    a, b = set(train.columns), set(predict.columns)
+    return {"missing": sorted(a - b), "extra": sorted(b - a)}
+
+
+def align_to_training(predict: DataFrame, train_columns) -> DataFrame:
+    """SC12 at prediction time: absent training columns -> 0, unseen columns dropped."""
+    have = set(predict.columns)
+    return predict.select(*[F.col(c) if c in have else F.lit(0.0).alias(c) for c in train_columns])

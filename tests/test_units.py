@@ -166,3 +166,12 @@ def test_rule_theft_skips_refuel(spark):
     df = spark.createDataFrame(rows)
     theft = A.rule_flags()["Fuel Theft"]
     assert [r[0] for r in df.select(theft).collect()] == [True, False, False]
+
+
+def test_schema_drift_and_alignment(spark):
+    from tankwise.operators.forecast import align_to_training, schema_drift
+    train = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
+    pred = spark.createDataFrame([(1.0, 5.0)], "a double, d double")
+    assert schema_drift(train, pred) == {"missing": ["b", "c"], "extra": ["d"]}
+    out = align_to_training(pred, train.columns)
+    assert out.columns == ["a", "b", "c"] and tuple(out.first()) == (1.0, 0.0, 0.0)
