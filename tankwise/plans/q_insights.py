@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tankwise.operators import anomaly as A
 from tankwise.operators import insights as I
 from tankwise.operators import patterns as P
+from tankwise.operators.joins import materialize_small
 from tankwise.plans.q_anomaly import ROLLUP_CTE, RULE_CTES
 from tankwise.plans.q_views import LATEST_SQL
 from tankwise.plans.registry import register, rnd, with_t
@@ -130,7 +131,8 @@ def _anomaly_insights(spark, sf_dir, state):
 
 
 def all_insights(spark, sf_dir):
-    st = _state(spark, sf_dir)
+    # One row per unit, read by five insight families: materialise once.
+    st = materialize_small(_state(spark, sf_dir))
     return I.insights_all(I.insights_efficiency(st), I.insights_maintenance(st), I.insights_refuel(st),
                           I.insights_idle(st), _anomaly_insights(spark, sf_dir, st))
 
