@@ -151,7 +151,8 @@ def range_halo_chunks(df: DataFrame, key: str = "equipment_id", ts: str = "ts",
     if reach_hours > 24 * bucket_days:
         raise ValueError("range reach longer than one bucket")
     b = bucket_of(ts, bucket_days)
-    start_next = F.timestamp_seconds((b + 1) * F.lit(86400 * bucket_days)).cast("timestamp_ntz")
+    # date -> TIMESTAMP_NTZ is zone-independent (midnight of the next bucket).
+    start_next = F.date_from_unix_date((b + 1) * F.lit(bucket_days)).cast("timestamp_ntz")
     d = df.withColumn("_chunk", b).withColumn("_halo", F.lit(False))
     near = (df.filter(F.col(ts) >= start_next - F.make_dt_interval(F.lit(0), F.lit(reach_hours)))
               .withColumn("_chunk", b + 1).withColumn("_halo", F.lit(True)))

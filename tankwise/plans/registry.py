@@ -28,6 +28,7 @@ def register(key: str, sql: str | None = None):
             raise ValueError(f"duplicate key {key}")
 
         def run(spark, sf_dir):
+            prepare(spark)
             return finalize(fn(spark, sf_dir))
         run.__name__ = f"q_{key}"
         run.__doc__ = fn.__doc__
@@ -38,6 +39,15 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
+def prepare(spark) -> None:
+    """Jobs may run in a caller's session: make sure the shared checkpoint
+    folder is known and event-time casts use UTC (telemetry is zone-less)."""
+    from tankwise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def finalize(df: DataFrame) -> DataFrame:
     """Round doubles, drop nested columns (comparison shape)."""
     cols = []
