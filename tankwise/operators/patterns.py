@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
-from tankwise.operators.joins import join_literal_dim
+from tankwise.operators.joins import join_checked, join_literal_dim
 
 # --------------------------------------------------------------- PRJ1-PRJ3
 ECONOMY_COLUMNS = ["year", "make", "model", "VClass", "displ", "cylinders", "trany",
@@ -182,13 +182,14 @@ def range_lookup(types: DataFrame, bins: DataFrame, scale: float = 1.0) -> DataF
 def daily_pct_of_max(df: DataFrame, ts: str = "ts", value: str = "value") -> DataFrame:
     """JN1/AG3: each reading as percent of its calendar day's maximum.
 
-    Expressed as a join of the rows with the per-day max aggregate (the
-    aggregate is partial, so a hot day does not land in one task before the
-    join; AQE splits skewed join partitions).
+    Expressed as a join of the rows with the per-day max aggregate (partial,
+    so a hot day does not land in one task); the per-day table is counted
+    before it is broadcast, so the readings are never shuffled by day.
     """
     d = df.withColumn("date", F.to_date(F.col(ts)))
     daily = d.groupBy("date").agg(F.max(value).alias("daily_max"))
-    j = d.join(daily, "date", "inner")
+    # One row per calendar day: counted, then broadcast (no shuffle of the readings).
+    j = join_checked(d, daily, "date", "inner")
     return j.withColumns({
         "hour": F.hour(ts).cast("int"),
         "weekday": S.weekday_mon0(F.col(ts)),
