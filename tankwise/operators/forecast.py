@@ -62,23 +62,31 @@ def _estimator(kind: str, trees: int, seed: int):
 
 
 def train_per_type(matrix: DataFrame, kind: str = "rf", trees: int = 100, seed: int = 42,
-                   min_rows: int = MIN_TRAIN_ROWS) -> dict[str, PipelineModel]:
+                   min_rows: int = MIN_TRAIN_ROWS, parallelism: int = 4,
+                   checkpoint: bool = True) -> dict[str, PipelineModel]:
     """ML1: one pipeline (assembler + regressor) per type with >= min_rows.
 
     The matrix is checkpointed once (shared folder) so each per-type fit
-    reads materialised rows instead of recomputing the feature windows.
+    reads materialised rows instead of recomputing the feature windows.  The
+    fits are independent distributed jobs; up to ``parallelism`` of them are
+    submitted concurrently from driver threads (as Spark ML's tuning does).
     """
-    m = matrix.checkpoint(eager=True)
+    from concurrent.futures import ThreadPoolExecutor
+    m = matrix.checkpoint(eager=True) if checkpoint else matrix
     counts = materialize_small(m.groupBy("equipment_type").count())
-    types = [r["equipment_type"] for r in counts.filter(F.col("count") >= min_rows).collect()
-             if r["equipment_type"] is not None]
-    models = {}
-    for t in sorted(types):
+    types = sorted(r["equipment_type"] for r in counts.filter(F.col("count") >= min_rows).collect()
+                   if r["equipment_type"] is not None)
+
+    def fit(t):
         pipe = Pipeline(stages=[VectorAssembler(inputCols=MODEL_FEATURES, outputCol="features",
                                                 handleInvalid="keep"),
                                 _estimator(kind, trees, seed)])
-        models[t] = pipe.fit(m.filter(F.col("equipment_type") == t))
-    return models
+        return t, pipe.fit(m.filter(F.col("equipment_type") == t))
+
+    if not types:
+        return {}
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(types)))) as pool:
+        return dict(pool.map(fit, types))
 
 
 def score_per_type(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:

@@ -121,9 +121,10 @@ def forecast_grid(spark, sf_dir):
 def _train(spark, sf_dir, kind="rf"):
     mx = _matrix(spark, sf_dir)
     split = ordered_split(mx.select("event_id", "equipment_id", "ts"), 0.8).select("event_id", "is_train")
-    mx = mx.join(split, "event_id")
+    # Materialised once: read by every per-type fit and by the scoring.
+    mx = mx.join(split, "event_id").checkpoint(eager=True)
     train_rows = mx.filter("is_train").drop("is_train")
-    models = FC.train_per_type(train_rows, kind=kind, trees=DRIVER_TREES)
+    models = FC.train_per_type(train_rows, kind=kind, trees=DRIVER_TREES, checkpoint=False)
     return mx, models
 
 
