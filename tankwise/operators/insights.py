@@ -134,14 +134,12 @@ def insights_efficiency(state: DataFrame, thresholds: DataFrame | None = None) -
     spark = state.sparkSession
     dim = thresholds if thresholds is not None else _thresholds_dim(spark)
     typed = dim.filter(F.col("equipment_type") != "default")
-    dflt = dim.filter(F.col("equipment_type") == "default").select(
-        F.col("good").alias("d_good"), F.col("average").alias("d_average"))
+    dflt = dim.filter(F.col("equipment_type") == "default")
     s = state.filter(F.col("n_efficiency") >= MIN_HISTORY)
     s = join_literal_dim(s, typed.select("equipment_type", "good", "average"), "equipment_type", "left")
-    s = s.crossJoin(F.broadcast(dflt))
     baseline = S.map_literal("equipment_type", BASELINE_EFFICIENCY, DEFAULT_BASELINE)
-    good = F.coalesce(F.col("good"), F.col("d_good"))
-    avg_cut = F.coalesce(F.col("average"), F.col("d_average"))
+    good = F.coalesce(F.col("good"), dflt.select(F.max("good")).scalar())
+    avg_cut = F.coalesce(F.col("average"), dflt.select(F.max("average")).scalar())
     ratio = F.col("avg_efficiency") / baseline
     s = s.withColumn("ratio", ratio)
     pr = F.when(F.col("ratio") >= good, "low").when(F.col("ratio") >= avg_cut, "medium").otherwise("high")

@@ -82,10 +82,8 @@ def equipment_efficiency(economy: DataFrame) -> DataFrame:
     hwy = resolve_substring(df.columns, "highway", "hwy")
     comb = resolve_substring(df.columns, "comb")
     df = df.withColumn("equipment_type", S.class_to_equipment(F.col(vclass)))
-    flag = unit_detection(df, comb).select("is_mpg")
-    # One-row scalar table: proven size 1.
-    df = df.crossJoin(F.broadcast(flag))
-    df = unit_conversion(df, city, hwy, comb, F.col("is_mpg"))
+    is_mpg = unit_detection(df, comb).select("is_mpg").scalar()   # scalar subquery
+    df = unit_conversion(df, city, hwy, comb, is_mpg)
     return df.groupBy("equipment_type").agg(*[F.avg(m).alias(m) for m in EFFICIENCY_MEASURES])
 
 
@@ -136,10 +134,11 @@ def bin_average(df: DataFrame, x: str, y: str, edges) -> DataFrame:
             lo = F.when(cond, F.lit(float(edges[i]))) if lo is None else lo.when(cond, F.lit(float(edges[i])))
     binned = (df.filter(inside).withColumn("lo", lo)
                 .groupBy("lo").agg(F.avg(y).alias("avg_y"), F.count(F.lit(1)).alias("n")))
-    line = regression_line(df, x, y).select("slope", "intercept")
-    out = (bins.join(binned, "lo", "left").crossJoin(F.broadcast(line))
+    line = regression_line(df, x, y)
+    slope, intercept = line.select("slope").scalar(), line.select("intercept").scalar()
+    out = (bins.join(binned, "lo", "left")
                .withColumn("value", F.coalesce(F.col("avg_y"),
-                                               F.col("intercept") + F.col("slope") * (F.col("lo") + F.col("hi")) / 2)))
+                                               intercept + slope * (F.col("lo") + F.col("hi")) / 2)))
     return out.select("lo", "hi", "bin", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"),
                       "avg_y", "value")
 
@@ -269,7 +268,6 @@ PROFILE_METRICS = [
 def equipment_patterns(df: DataFrame, group: str = "equipment_type") -> DataFrame:
     """AG8: per type x metric mean, max(0.1, std), min, max; defaults when the
     column is absent or all null.  One unpivot + one grouped aggregate."""
-    spark = df.sparkSession
     present = [(c, s) for c, s, _ in PROFILE_METRICS if c in df.columns]
     base = df.filter(F.col(group).isNotNull())
     stats = None
@@ -279,10 +277,11 @@ def equipment_patterns(df: DataFrame, group: str = "equipment_type") -> DataFram
         stats = long.groupBy(group, "metric").agg(
             F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_std"),
             F.min("value").alias("_min"), F.max("value").alias("_max"))
-    defaults = spark.createDataFrame([(s, d) for _, s, d in PROFILE_METRICS],
-                                     "metric string, default double")
+    # Every type gets one row per fixed metric (literal array, no join).
+    metric_defaults = F.array(*[F.struct(F.lit(s).alias("metric"), F.lit(d).alias("default"))
+                                for _, s, d in PROFILE_METRICS])
     types = base.select(group).distinct()
-    grid = types.crossJoin(F.broadcast(defaults))
+    grid = types.select(group, F.explode(metric_defaults).alias("_m")).select(group, "_m.metric", "_m.default")
     out = grid.join(stats, [group, "metric"], "left") if stats is not None else grid
     has = F.col("_mean").isNotNull() if stats is not None else F.lit(False)
     d = F.col("default")

@@ -178,13 +178,12 @@ def ordered_split(df: DataFrame, frac: float = 0.8, key: str = "equipment_id",
     # Running offset over keys: one row per entity (fleet size), not per reading.
     per_key = per_key.withColumn(
         "_koff", F.sum("_kn").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)))
-    total = per_key.agg(F.sum("_kn").alias("_N"))
+    total = per_key.agg(F.sum("_kn")).scalar()
     cnt = (cnt.join(per_key.select(key, "_koff"), key)
               .withColumn("_boff", F.coalesce(F.col("_koff"), F.lit(0)) + F.coalesce(
                   F.sum("_cnt").over(Window.partitionBy(key).orderBy("_b")
                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .crossJoin(F.broadcast(total))
-              .withColumn("_cut", F.floor(F.col("_N") * F.lit(frac)).cast("long")))
+              .withColumn("_cut", F.floor(total * F.lit(frac)).cast("long")))
     cnt, small = _bounded(cnt)
     side = cnt.select(key, "_b", "_boff", "_cnt", "_cut")
     d = d.join(F.broadcast(side) if small else side, [key, "_b"])

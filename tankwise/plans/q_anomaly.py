@@ -91,9 +91,10 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM stat WHERE length(stat_fired) > 0)
 def anomaly_count(spark, sf_dir):
     """AG23: number of detected anomalies per detector."""
     s = stat_detections(spark, sf_dir).agg(F.count_if("stat_anomaly").cast("long").alias("n_statistical"))
-    r = rules_df(spark, sf_dir).agg(F.count(F.lit(1)).cast("long").alias("n_rule_rows"),
-                                    F.count_distinct("event_id").cast("long").alias("n_rule_events"))
-    return s.crossJoin(r)
+    r = rules_df(spark, sf_dir)
+    return s.select("n_statistical",
+                    r.agg(F.count(F.lit(1)).cast("long")).scalar().alias("n_rule_rows"),
+                    r.agg(F.count_distinct("event_id").cast("long")).scalar().alias("n_rule_events"))
 
 
 ROLLUP_CTE = """rollup AS (

@@ -66,9 +66,8 @@ def unit_detection(spark, sf_dir):
 def unit_conversion(spark, sf_dir):
     """SC1/SC2: km/L and L/100 km for city, highway, combined."""
     e = economy(spark, sf_dir)
-    flag = P.unit_detection(e, "comb08").select("is_mpg")
-    e = e.crossJoin(F.broadcast(flag))
-    return P.unit_conversion(e, "city08", "highway08", "comb08", F.col("is_mpg")).select("p_partkey", *MEASURES)
+    is_mpg = P.unit_detection(e, "comb08").select("is_mpg").scalar()
+    return P.unit_conversion(e, "city08", "highway08", "comb08", is_mpg).select("p_partkey", *MEASURES)
 
 
 @register("class_mapping", with_ctes(f"""

@@ -138,14 +138,13 @@ def dim_thresholds(spark, sf_dir):
     spark.createDataFrame([(SF.config_json_text(),)], "value string").coalesce(1).write.text(path)
     cfg = SF.read_config(spark, path)
     thr = SF.efficiency_thresholds(cfg)
-    dflt = thr.filter(F.col("equipment_type") == "default").select(
-        F.col("good").alias("d_good"), F.col("average").alias("d_average"), F.col("poor").alias("d_poor"))
+    dflt = thr.filter(F.col("equipment_type") == "default")
     types = telemetry(spark, sf_dir).select("equipment_type").filter(F.col("equipment_type").isNotNull()).distinct()
+    # The config is one document: its threshold map has a handful of entries.
     j = types.join(F.broadcast(thr.filter(F.col("equipment_type") != "default")), "equipment_type", "left")
-    j = j.crossJoin(F.broadcast(dflt))
-    return j.select("equipment_type", F.coalesce("good", "d_good").alias("good"),
-                    F.coalesce("average", "d_average").alias("average"),
-                    F.coalesce("poor", "d_poor").alias("poor"))
+    return j.select("equipment_type",
+                    *[F.coalesce(F.col(c), dflt.select(F.max(c)).scalar()).alias(c)
+                      for c in ("good", "average", "poor")])
 
 
 ANOMALY_BASE = ["fuel_consumed", "load_pct", "rpm", "speed", "idle_time", "ambient_temp", "engine_temp",

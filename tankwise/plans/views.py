@@ -100,12 +100,12 @@ def dashboard_summary(telemetry: DataFrame, stat_detections: DataFrame | None =
         F.count_if(F.col("maintenance_status") == "Needs Service").cast("long").alias("maintenance_needed"),
         F.count_if(F.col("fuel_level") / F.col("tank_capacity") < 0.2).cast("long").alias("low_fuel_count"))
     recent = trailing(telemetry.select("ts", "fuel_consumed"), "ts", hours=24)
-    b = recent.agg(F.round(F.coalesce(F.sum("fuel_consumed"), F.lit(0.0)), 2).alias("total_fuel_consumed"))
-    out = a.crossJoin(b)
+    fuel = recent.agg(F.round(F.coalesce(F.sum("fuel_consumed"), F.lit(0.0)), 2)).scalar()
+    out = a.withColumn("total_fuel_consumed", fuel)
     if stat_detections is not None:
         rec = trailing(stat_detections.filter("stat_anomaly").select("ts"), "ts", hours=24,
                        anchor=telemetry)
-        out = out.crossJoin(rec.agg(F.count(F.lit(1)).cast("long").alias("anomaly_count_24h")))
+        out = out.withColumn("anomaly_count_24h", rec.agg(F.count(F.lit(1)).cast("long")).scalar())
     return out.withColumn("last_updated", F.lit(max_scalar(telemetry.select("ts"), "ts")))
 
 
