@@ -8,7 +8,7 @@ stamped with the data's ``as_of`` time (max ts), never the wall clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
@@ -28,6 +28,7 @@ DAILY_IDLE_RATIO = 0.3
 LOW_FUEL_PCT = 20.0
 OPTIMAL_REFUEL_PCT = 25.0
 MIN_HISTORY = 5
+HISTORY_POINTS = 24
 PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
 
 ACTIONS = {
@@ -101,6 +102,8 @@ def equipment_state(telemetry: DataFrame, forecasts: DataFrame | None = None) ->
         F.max(F.when(F.col("refuel_event") == "Yes", F.col("ts"))).alias("last_refuel"),
     )
     st = latest.join(counters, "equipment_id")
+    for name, col in (("consumption_history", "fuel_consumed"), ("efficiency_history", "fuel_efficiency")):
+        st = st.join(recent_history(telemetry, col, name, HISTORY_POINTS), "equipment_id", "left")
     st = st.withColumns({
         "fuel_level_percentage": F.col("fuel_level") / F.col("tank_capacity") * 100.0,
         "last_update": F.col("ts"),
@@ -111,6 +114,22 @@ def equipment_state(telemetry: DataFrame, forecasts: DataFrame | None = None) ->
     return rt.withColumn("as_of", max_scalar(telemetry.select("ts"), "ts"))
 
 
+def recent_history(telemetry: DataFrame, col: str, name: str, k: int = HISTORY_POINTS) -> DataFrame:
+    """AG25: each unit's last ``k`` positive readings of ``col`` as an ordered
+    array of (ts, value).  ``row_number() <= k`` is planned as a map-side
+    group limit, so at most k rows per unit and partition are shuffled."""
+    w = Window.partitionBy("equipment_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    top = (telemetry.filter(F.col(col) > 0).select("equipment_id", "ts", "event_id", col)
+                    .withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k))
+    return top.groupBy("equipment_id").agg(
+        F.sort_array(F.collect_list(F.struct("ts", F.col(col).alias("value")))).alias(name))
+
+
+def persist_insights(insights: DataFrame, path: str) -> None:
+    """SNK4: insights as Parquet partitioned by priority (readers prune)."""
+    insights.write.mode("overwrite").partitionBy("priority").parquet(path)
+
+
 def estimated_runtime(state: DataFrame, forecasts: DataFrame) -> DataFrame:
     """JN6/AG22: mean forecast per unit; runtime = level / mean if mean > 0.
     Forecasts of units absent from ``state`` are ignored (left join)."""

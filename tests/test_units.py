@@ -175,3 +175,23 @@ def test_schema_drift_and_alignment(spark):
     assert schema_drift(train, pred) == {"missing": ["b", "c"], "extra": ["d"]}
     out = align_to_training(pred, train.columns)
     assert out.columns == ["a", "b", "c"] and tuple(out.first()) == (1.0, 0.0, 0.0)
+
+
+def test_state_histories_bounded_and_ordered(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(hours=i), "U1", float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, equipment_id string, fuel_consumed double")
+    h = I.recent_history(df, "fuel_consumed", "hist", 24).collect()[0]["hist"]
+    assert len(h) == 24
+    assert [x["ts"] for x in h] == sorted(x["ts"] for x in h)
+    assert h[-1]["ts"] == t0 + dt.timedelta(hours=59) and all(x["value"] > 0 for x in h)
+
+
+def test_persist_insights_partition_pruning(spark, tmp_dir):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([("idle", "high", "E1", t), ("idle", "low", "E2", t)],
+                               "insight_type string, priority string, equipment_id string, as_of timestamp_ntz")
+    I.persist_insights(df, tmp_dir + "/ins")
+    back = spark.read.parquet(tmp_dir + "/ins").filter(F.col("priority") == "high")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(priority" in plan and back.count() == 1
