@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,29 +152,39 @@ FUEL_DROP_SCHEMA = ("event_id long, equipment_id string, ts timestamp_ntz, prev_
 FUEL_STATE_SCHEMA = "last_ts timestamp_ntz, last_event_id long, last_level double"
 
 
+_DROP_COLS = ["event_id", "equipment_id", "ts", "prev_level", "fuel_level", "fuel_consumed", "missing"]
+
+
 def _fuel_drop(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     """Per unit: previous level from state, theft rule on each new reading;
-    readings older than the last one seen are ignored (late data)."""
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["ts", "event_id"])
-    prev_ts, prev_id, prev_level = (state.get if state.exists else (None, None, None))
-    if prev_ts is not None:
-        newer = (pdf["ts"] > pd.Timestamp(prev_ts)) | (
-            (pdf["ts"] == pd.Timestamp(prev_ts)) & (pdf["event_id"] > prev_id))
-        pdf = pdf[newer]
-    if len(pdf) == 0:
-        yield pd.DataFrame(columns=["event_id", "equipment_id", "ts", "prev_level", "fuel_level",
-                                    "fuel_consumed", "missing"])
+    readings not newer than the last one seen are ignored (late data)."""
+    parts = list(pdfs)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    ts = pdf["ts"].to_numpy()
+    eid = pdf["event_id"].to_numpy()
+    order = np.lexsort((eid, ts))
+    ts, eid = ts[order], eid[order]
+    level = pdf["fuel_level"].to_numpy(dtype=float)[order]
+    used = pdf["fuel_consumed"].to_numpy(dtype=float)[order]
+    refuel = pdf["refuel_event"].to_numpy()[order]
+    prev_level = np.nan
+    if state.exists:
+        last_ts, last_id, last_level = state.get
+        last_ts = np.datetime64(pd.Timestamp(last_ts))
+        keep = (ts > last_ts) | ((ts == last_ts) & (eid > last_id))
+        ts, eid, level, used, refuel = ts[keep], eid[keep], level[keep], used[keep], refuel[keep]
+        prev_level = np.nan if last_level is None else float(last_level)
+    if len(ts) == 0:
         return
-    prev = pdf["fuel_level"].shift(1)
-    if prev_level is not None:
-        prev.iloc[0] = prev_level
-    x = prev - pdf["fuel_consumed"]
-    fired = (pdf["refuel_event"] != "Yes") & prev.notna() & (x > 0) & ((x - pdf["fuel_level"]) >= 0.1 * x)
-    last = pdf.iloc[-1]
-    state.update((last["ts"].to_pydatetime(), int(last["event_id"]), float(last["fuel_level"])))
-    out = pdf[fired].assign(prev_level=prev[fired], missing=(x - pdf["fuel_level"])[fired])
-    yield out[["event_id", "equipment_id", "ts", "prev_level", "fuel_level", "fuel_consumed", "missing"]]
+    prev = np.concatenate(([prev_level], level[:-1]))
+    x = prev - used
+    with np.errstate(invalid="ignore"):
+        fired = (refuel != "Yes") & ~np.isnan(prev) & (x > 0) & ((x - level) >= 0.1 * x)
+    state.update((pd.Timestamp(ts[-1]).to_pydatetime(), int(eid[-1]), float(level[-1])))
+    if fired.any():
+        yield pd.DataFrame({"event_id": eid[fired], "equipment_id": key[0], "ts": ts[fired],
+                            "prev_level": prev[fired], "fuel_level": level[fired],
+                            "fuel_consumed": used[fired], "missing": (x - level)[fired]})[_DROP_COLS]
 
 
 def run_fuel_drop(stream: DataFrame, out: str, ckpt: str) -> None:
