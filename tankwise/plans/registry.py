@@ -65,7 +65,9 @@ def round_digits(c):
     """``round(c * 10^d) / 10^d``: the same IEEE steps in Spark and DuckDB, so
     near-ties round identically in both engines."""
     scale = float(10 ** DIGITS)
-    return F.round(c * F.lit(scale)) / F.lit(scale)
+    r = F.round(c * F.lit(scale)) / F.lit(scale)
+    # -0.0 and 0.0 compare equal but hash differently: emit +0.0.
+    return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 # ------------------------------------------------------------------ SQL helpers
@@ -96,5 +98,6 @@ def rnd(sql: str, cols) -> str:
     if not cols:
         return sql
     scale = f"1e{DIGITS}"
-    rep = ", ".join(f"round({c} * {scale}) / {scale} AS {c}" for c in cols)
+    rep = ", ".join(f"CASE WHEN round({c} * {scale}) = 0 THEN 0e0 ELSE round({c} * {scale}) / {scale} END AS {c}"
+                    for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _r"
