@@ -13,6 +13,7 @@ from tankwise.operators import anomaly as A
 from tankwise.operators import features as FE
 from tankwise.operators import forecast as FC
 from tankwise.operators import isolation as ISO
+from tankwise.operators.joins import join_checked
 from tankwise.operators.sequence import ordered_split
 from tankwise.plans.q_features import CAL_SQL, FLAG_SQL, ROLL_SQL
 from tankwise.plans.registry import register, rnd, with_t
@@ -134,7 +135,7 @@ def train_consumption(spark, sf_dir):
     mx, models = _train(spark, sf_dir)
     scored = FC.score_per_type(mx, models)
     means = mx.filter("is_train").groupBy("equipment_type").agg(F.avg("label").alias("_mean"))
-    s = scored.join(means, "equipment_type")
+    s = join_checked(scored, means, "equipment_type", "inner")   # per-type table, counted
     return s.groupBy("equipment_type", "is_train").agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("rmse"),
