@@ -112,7 +112,7 @@ def importances(models: dict[str, PipelineModel], spark) -> DataFrame:
 def forecast_grid(features: DataFrame, horizon: int = 24) -> DataFrame:
     """JN10: latest row per unit x hours 1..H; calendar recomputed for each
     future hour, other covariates held (persistence assumption)."""
-    latest = latest_by(features)
+    latest = latest_by(features, method="sort")   # features come from window pipelines: one pass
     g = latest.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     fts = F.col("ts") + F.make_dt_interval(F.lit(0), F.col("h"))
     g = g.withColumn("forecast_ts", fts)

@@ -27,7 +27,8 @@ def _order_struct(order: Sequence[str]) -> Column:
 
 
 def latest_by(df: DataFrame, key: str = "equipment_id",
-              order: Sequence[str] = DEFAULT_ORDER, max_keys: int | None = None) -> DataFrame:
+              order: Sequence[str] = DEFAULT_ORDER, max_keys: int | None = None,
+              method: str = "semi") -> DataFrame:
     """WN1: one row per key, the one with the greatest ``order`` tuple.
 
     ``max_by`` with a struct payload can only run as a sort-based aggregate
@@ -38,13 +39,20 @@ def latest_by(df: DataFrame, key: str = "equipment_id",
     timestamp; ``max_by`` then breaks ties on the remaining order columns
     over those few rows.  With more keys than ``max_keys`` the sort-based
     aggregate is used directly (still partial, still skew-safe).
+
+    The two-pass form reads ``df`` twice, which suits scans.  When ``df`` is
+    itself expensive (e.g. the output of window pipelines) pass
+    ``method="sort"``: one pass, map-side partial sort aggregate.
     """
     from tankwise.operators.joins import BROADCAST_MAX_ROWS, materialize_small
     limit = BROADCAST_MAX_ROWS if max_keys is None else max_keys
     ts = order[0]
     cand = df
-    mx = materialize_small(df.groupBy(key).agg(F.max(ts).alias("_latest_ts")))
-    if mx.count() <= limit:
+    if method == "sort":
+        mx = None
+    else:
+        mx = materialize_small(df.groupBy(key).agg(F.max(ts).alias("_latest_ts")))
+    if mx is not None and mx.count() <= limit:
         m = F.broadcast(mx.withColumnRenamed(key, "_latest_key"))
         cand = df.join(m, (F.col(key) == F.col("_latest_key")) & (F.col(ts) == F.col("_latest_ts")),
                        "left_semi")

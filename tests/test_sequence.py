@@ -105,3 +105,14 @@ def test_chunk_window_partitioning_is_by_key_and_chunk(spark):
     c = halo_chunks(df, halo_rows=1)
     plan = c.withColumn("x", F.lag("fuel_level").over(chunk_window()))._jdf.queryExecution().executedPlan().toString()
     assert "_chunk" in plan
+
+
+def test_latest_by_methods_agree(spark):
+    df = _skewed(spark)
+    # duplicate timestamps for a tie on ts (broken by event_id)
+    dup = df.limit(5).withColumn("event_id", F.col("event_id") + 100000)
+    d = df.unionByName(dup)
+    a = sorted(tuple(r) for r in latest_by(d).collect())
+    b = sorted(tuple(r) for r in latest_by(d, method="sort").collect())
+    c = sorted(tuple(r) for r in latest_by(d, max_keys=0).collect())
+    assert a == b == c and len(a) == 4
