@@ -37,8 +37,7 @@ def _stage_telemetry(spark, sf_dir, dirty: bool = False):
 
 @register("src_telemetry", rnd(with_t(f"SELECT {', '.join(TELEMETRY_COLUMNS)}, event_id FROM t"), TELEMETRY_DOUBLES))
 def src_telemetry(spark, sf_dir):
-    """SRC1/SNK1: telemetry written as source-named CSV, read back with the
-    explicit-schema reader and renamed to canonical columns."""
+    """SRC1/SNK1: telemetry CSV (source headers) written, then read with an explicit schema."""
     path = _stage_telemetry(spark, sf_dir)
     return SF.read_telemetry_csv(spark, path, include_key=True)
 
@@ -132,8 +131,7 @@ def _thr_case(field: int) -> str:
 SELECT equipment_type, {_thr_case(0)} AS good, {_thr_case(1)} AS average, {_thr_case(2)} AS poor
 FROM (SELECT DISTINCT equipment_type FROM t WHERE equipment_type IS NOT NULL)"""), ["good", "average", "poor"]))
 def dim_thresholds(spark, sf_dir):
-    """SRC6: JSON config (defaults if absent) -> per-type thresholds with the
-    ``default`` row as fallback, for every type present in the telemetry."""
+    """SRC6: JSON config (defaults if absent) -> thresholds per telemetry type, ``default`` fallback."""
     path = scratch_path(spark, "config-json")
     spark.createDataFrame([(SF.config_json_text(),)], "value string").coalesce(1).write.text(path)
     cfg = SF.read_config(spark, path)

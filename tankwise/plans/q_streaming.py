@@ -92,8 +92,7 @@ def stream_fuel_drop(spark, sf_dir):
 
 @register("stream_dedup", with_t("SELECT event_id, equipment_id, ts FROM t"))
 def stream_dedup(spark, sf_dir):
-    """ST6: replayed readings (the last day's every 7th, resent) are dropped
-    within the watermark; each reading appears once."""
+    """ST6: resent readings dropped within the watermark; each reading appears once."""
     def resend(max_ts):
         return (F.col("ts") >= F.lit(max_ts) - F.expr("INTERVAL 1 DAY")) & (F.col("event_id") % 7 == 0)
     return J.replay(spark, sf_dir, J.run_dedup, "dedup", resend_filter=resend)

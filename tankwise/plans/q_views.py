@@ -45,7 +45,7 @@ def stat_detections(spark, sf_dir):
 
 @register("latest_per_equipment", rnd(with_t(LATEST_SQL), TELEMETRY_DOUBLES))
 def latest_per_equipment(spark, sf_dir):
-    """WN1: latest reading per unit (partial max_by aggregate)."""
+    """WN1/WN2/WN12: latest reading per unit (hash max ts, counted broadcast semi join, tie on id)."""
     return V.latest_per_equipment(telemetry(spark, sf_dir))
 
 
