@@ -171,21 +171,37 @@ def chunk_window(key: str = "equipment_id", order: Sequence[str] = DEFAULT_ORDER
     return Window.partitionBy(key, "_chunk").orderBy(*order)
 
 
+def exclusive_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str,
+                         partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value_col`` over rows with a smaller ``order_col``
+    (exclusive), without an unpartitioned window: range-partition on the
+    order, running sums inside each partition, then add each partition's
+    offset from a table of one row per partition."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, order_col).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(order_col)
+    r = r.withColumn("_local", F.coalesce(
+        F.sum(value_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    tot = r.groupBy("_pid").agg(F.sum(value_col).alias("_ptot"))   # one row per partition
+    tot = tot.withColumn("_poff", F.coalesce(F.sum("_ptot").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = r.join(F.broadcast(tot.select("_pid", "_poff")), "_pid")
+    return out.withColumn(out_col, F.col("_poff") + F.col("_local")).drop("_pid", "_local", "_poff")
+
+
 def ordered_split(df: DataFrame, frac: float = 0.8, key: str = "equipment_id",
                   order: Sequence[str] = DEFAULT_ORDER, bucket_days: int = 1) -> DataFrame:
     """WN10: flag the first floor(frac * N) rows in global (key, order) order.
 
-    Positions come from counts: per key totals -> running offset over the
-    one-row-per-key table; per (key, bucket) running offsets within a key;
+    Positions come from counts: per key totals -> distributed prefix sum over
+    the one-row-per-key table; per (key, bucket) running offsets within a key;
     only the single bucket that straddles the cut needs row numbers.
     """
     ts = order[0]
     d = df.withColumn("_b", bucket_of(ts, bucket_days))
     cnt, _ = _bounded(d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt")))
     per_key = cnt.groupBy(key).agg(F.sum("_cnt").alias("_kn"))
-    # Running offset over keys: one row per entity (fleet size), not per reading.
-    per_key = per_key.withColumn(
-        "_koff", F.sum("_kn").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)))
+    per_key = exclusive_prefix_sum(per_key, key, "_kn", "_koff")
     total = per_key.agg(F.sum("_kn")).scalar()
     cnt = (cnt.join(per_key.select(key, "_koff"), key)
               .withColumn("_boff", F.coalesce(F.col("_koff"), F.lit(0)) + F.coalesce(

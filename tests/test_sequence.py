@@ -116,3 +116,17 @@ def test_latest_by_methods_agree(spark):
     b = sorted(tuple(r) for r in latest_by(d, method="sort").collect())
     c = sorted(tuple(r) for r in latest_by(d, max_keys=0).collect())
     assert a == b == c and len(a) == 4
+
+
+def test_exclusive_prefix_sum_across_partitions(spark):
+    from tankwise.operators.sequence import exclusive_prefix_sum
+    import random
+    rnd = random.Random(3)
+    rows = [(f"K{i:04d}", rnd.randint(1, 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r["k"]: r["off"] for r in exclusive_prefix_sum(df, "k", "v", "off", partitions=7).collect()}
+    run, exp = 0, {}
+    for k, v in sorted(rows):
+        exp[k] = run
+        run += v
+    assert got == exp
