@@ -14,6 +14,7 @@ from tankwise.functions import scalar as S
 from tankwise.operators.joins import join_checked
 from tankwise.operators.sequence import DEFAULT_ORDER, chunk_window, halo_chunks, trailing
 
+# Fixed metric list of the 3-sigma detector.
 SIGMA_METRICS = ["fuel_consumed", "fuel_efficiency", "engine_temp", "oil_pressure"]
 # Fixed keyword patterns (case-insensitive) of annotated anomaly notes.
 KNOWN_ANOMALY_KEYWORDS = ["theft", "error", "warning", "Excessive", "Unexpected", "overheating"]
@@ -87,6 +88,7 @@ def detect_statistical(df: DataFrame, thresholds: DataFrame, group: str = "equip
 
 
 # --------------------------------------------------------------- ML8
+# Fixed anomaly type labels (the names the insight stage matches on).
 ANOMALY_TYPES = ["Fuel Theft", "Efficiency", "Idle", "Sensor", "Engine Overheating",
                  "Excessive Load", "Oil Pressure"]
 

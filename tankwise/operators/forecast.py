@@ -18,7 +18,7 @@ from tankwise.functions import scalar as S
 from tankwise.operators.joins import join_checked, materialize_small
 from tankwise.operators.sequence import latest_by
 
-# Declared feature list (target excluded: defect Q1 fixed).
+# Fixed declared feature list and type vocabulary (target excluded: defect Q1 fixed).
 TYPE_LEVELS = ["Bulldozer", "Excavator", "Forklift", "Loader", "Truck"]
 BASE_FEATURES = ["hour", "weekday", "is_weekend", "load_pct", "rpm", "speed", "ambient_temp",
                  *[f"equipment_type_{t.lower()}" for t in TYPE_LEVELS], "operational_status_running"]

@@ -31,6 +31,7 @@ MIN_HISTORY = 5
 HISTORY_POINTS = 24
 PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
 
+# Fixed values (must equal the reference's): recommended actions per insight kind.
 ACTIONS = {
     ("efficiency", "low"): ["Maintain current operating practices."],
     ("efficiency", "medium"): ["Consider reducing idle time", "Check for proper maintenance"],

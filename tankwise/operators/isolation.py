@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tankwise.operators.forecast import standardize
 from tankwise.operators.joins import join_checked, materialize_small
 
+# Fixed feature lists of the anomaly detector (base + optional when present).
 BASE = ["fuel_consumed", "load_pct", "rpm", "speed", "idle_time", "ambient_temp", "engine_temp",
         "oil_pressure", "fuel_efficiency", "emission_rate"]
 OPTIONAL = ["fuel_level_change", "engine_ambient_temp_diff", "consumption_per_load", "battery_voltage",

@@ -11,6 +11,7 @@ from tankwise.plans.q_views import SIGMA_CTE, STAT_CTE, stat_detections
 from tankwise.plans.registry import register, rnd, with_t
 from tankwise.sources.tables import telemetry
 
+# SQL text of the ML8 rules (same thresholds as operators.anomaly.rule_flags).
 RULE_CASES = [
     ("Fuel Theft", "refuel_event <> 'Yes' AND prev_level IS NOT NULL AND prev_level - fuel_consumed > 0 "
                    "AND (prev_level - fuel_consumed) - fuel_level >= 1e-1 * (prev_level - fuel_consumed)"),
