@@ -130,3 +130,17 @@ def test_exclusive_prefix_sum_across_partitions(spark):
         exp[k] = run
         run += v
     assert got == exp
+
+
+def test_halo_with_multi_day_buckets(spark):
+    df = _skewed(spark, seed=11)
+    c = halo_chunks(df, halo_rows=23, bucket_days=3)
+    w = chunk_window()
+    got = (c.withColumn("m", F.avg("speed").over(w.rowsBetween(-23, 0)))
+             .withColumn("p", F.lag("fuel_level", 1).over(w))
+             .filter(~F.col("_halo")).select("event_id", "m", "p"))
+    nw = Window.partitionBy("equipment_id").orderBy("ts", "event_id")
+    exp = df.select("event_id", F.avg("speed").over(nw.rowsBetween(-23, 0)).alias("m"),
+                    F.lag("fuel_level", 1).over(nw).alias("p"))
+    norm = lambda rows: {r[0]: (round(r[1], 9), r[2]) for r in rows}
+    assert norm(got.collect()) == norm(exp.collect())
