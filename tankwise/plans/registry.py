@@ -41,9 +41,10 @@ def register(key: str, sql: str | None = None):
 
 def prepare(spark) -> None:
     """Jobs may run in a caller's session: make sure the shared checkpoint
-    folder is known and event-time casts use UTC (telemetry is zone-less)."""
-    from tankwise.session import ensure_checkpoint_dir
+    folder is known, Python workers can import the package, and event-time casts use UTC (telemetry is zone-less)."""
+    from tankwise.session import ensure_checkpoint_dir, ship_package
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +62,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     on a cluster); used for staged files, models and stream outputs."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tankwise/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers wherever the job was
+    started from: a zip in the shared folder, added to the context once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tankwise_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(here):          # already imported from a shipped zip
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tankwise", os.path.relpath(full, here)))
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "package") + "/tankwise_package.zip")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(fs.makeQualified(path).toString())
+    sc._tankwise_shipped = True
