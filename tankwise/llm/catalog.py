@@ -6,7 +6,13 @@ labels in ``tests/llm``."""
 
 from __future__ import annotations
 
+from tankwise.llm.external_shuffle import op10_external_shuffle
 from tankwise.llm.ngram_join import op1_ngram_join
+from tankwise.llm.piece_codec import op5_piece_codec
+from tankwise.llm.projection_forest import op3_projection_forest
+from tankwise.llm.quality import op6_quality
+from tankwise.llm.token_counts import op8_token_counts
+from tankwise.llm.toxicity import op4_toxicity
 from tankwise.plans.registry import prepare
 
 ORACLE: dict[str, str] = {}
@@ -21,5 +27,6 @@ def _prepared(fn):
 
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
-    op1_ngram_join,
+    op1_ngram_join, op3_projection_forest, op4_toxicity, op5_piece_codec, op6_quality, op8_token_counts,
+    op10_external_shuffle,
 )}
