@@ -6,7 +6,10 @@ labels in ``tests/llm``."""
 
 from __future__ import annotations
 
+from tankwise.llm.decontaminate import op9_decontaminate
 from tankwise.llm.external_shuffle import op10_external_shuffle
+from tankwise.llm.licenses import op7_license_scan
+from tankwise.llm.lm_score import op2_lm_score
 from tankwise.llm.ngram_join import op1_ngram_join
 from tankwise.llm.piece_codec import op5_piece_codec
 from tankwise.llm.projection_forest import op3_projection_forest
@@ -27,6 +30,6 @@ def _prepared(fn):
 
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
-    op1_ngram_join, op3_projection_forest, op4_toxicity, op5_piece_codec, op6_quality, op8_token_counts,
-    op10_external_shuffle,
+    op1_ngram_join, op2_lm_score, op3_projection_forest, op4_toxicity, op5_piece_codec, op6_quality, op7_license_scan,
+    op8_token_counts, op9_decontaminate, op10_external_shuffle,
 )}

@@ -209,18 +209,50 @@ def fit_scorer(p, cols, vals, bits: int, rounds: int = 300, rate: float = 1.0, d
     return w
 
 
-def _score(batches, posterior, weights, bits, threshold):
-    names = ["id", "posterior", "score", "keep"]
+def _judge(column: pa.Array, posterior: dict, weights: np.ndarray, bits: int):
+    """Posterior and score of each text."""
+    posts, scores = [], []
+    for _, off, data in text_chunks(column):
+        n, q, shape, doc, _ = _measures(off, data)
+        code = pattern_codes(_votes(n, q))
+        r, c, v = _features(n, q, shape, doc, bits)
+        z = np.bincount(r, weights[c] * v, minlength=len(n)) + weights[-1]
+        scores.append(np.where(n > 0, 1 / (1 + np.exp(-z)), 0.0))
+        posts.append(np.array([float(posterior.get(int(x), 0.5)) if k else 0.0 for x, k in zip(code, n)]))
+    return (np.concatenate(posts), np.concatenate(scores)) if posts else (np.zeros(0), np.zeros(0))
+
+
+def _score(batches, model, threshold):
     for batch in batches:
-        ids = batch.column(0)
-        for row, off, data in text_chunks(batch.column(1)):
-            n, q, shape, doc, _ = _measures(off, data)
-            code = pattern_codes(_votes(n, q))
-            r, c, v = _features(n, q, shape, doc, bits)
-            z = np.bincount(r, weights.value[c] * v, minlength=len(n)) + weights.value[-1]
-            s = np.where(n > 0, 1 / (1 + np.exp(-z)), 0.0)
-            p = [float(posterior.value.get(int(x), 0.5)) if k else 0.0 for x, k in zip(code, n)]
-            yield pa.record_batch([ids.slice(row, len(n)), pa.array(p), pa.array(s), pa.array(s >= threshold)], names=names)
+        p, s = _judge(batch.column(1), *model.value)
+        yield pa.record_batch([batch.column(0), pa.array(p), pa.array(s), pa.array(s >= threshold)],
+                              names=["id", "posterior", "score", "keep"])
+
+
+def _keep(batches, model, threshold):
+    for batch in batches:
+        _, s = _judge(batch.column(batch.num_columns - 1), *model.value)
+        yield batch.select(range(batch.num_columns - 1)).filter(pa.array(s >= threshold))
+
+
+def fit(texts: DataFrame, sample: int = SAMPLE, bits: int = HASH_BITS):
+    """``(posterior by vote pattern, scorer weights, bits)`` from ``texts(text)``."""
+    spark = texts.sparkSession
+    table = (arrow_map(texts, _pattern_rows, "code long, n long").where("code >= 0")
+             .groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas())
+    codes, counts = table["code"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
+    post = estimate(codes, counts)[2] if len(codes) else []
+    posterior = dict(zip(codes.tolist(), map(float, post)))
+    shared = spark.sparkContext.broadcast(posterior)
+    share = sample / max(int(counts.sum()), 1)
+    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = arrow_map(picked, lambda it: _sample_rows(it, shared, bits),
+                     "p double, cols array<int>, vals array<double>").toPandas()
+    if not len(rows):
+        return posterior, np.zeros((1 << bits) + 1), bits
+    w = fit_scorer(rows["p"].to_numpy(float), [np.asarray(c, np.int64) for c in rows["cols"]],
+                   [np.asarray(c, float) for c in rows["vals"]], bits)
+    return posterior, w, bits
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
@@ -231,26 +263,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     Null, empty and wordless texts score 0 and are not kept.  Ids may be null or
     repeated; other columns are not read; an empty table gives an empty
     result."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    table = (arrow_map(texts.select("text"), _pattern_rows, "code long, n long").where("code >= 0")
-             .groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas())
+    model = docs.sparkSession.sparkContext.broadcast(fit(texts.select("text"), sample, bits))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, posterior double, score double, keep boolean"
-    codes, counts = table["code"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
-    post = estimate(codes, counts)[2] if len(codes) else []
-    posterior = spark.sparkContext.broadcast(dict(zip(codes.tolist(), map(float, post))))
-    share = sample / max(int(counts.sum()), 1)
-    picked = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
-    rows = arrow_map(picked, lambda it: _sample_rows(it, posterior, bits),
-                     "p double, cols array<int>, vals array<double>").toPandas()
-    if len(rows):
-        w = fit_scorer(rows["p"].to_numpy(float), [np.asarray(c, np.int64) for c in rows["cols"]],
-                       [np.asarray(c, float) for c in rows["vals"]], bits)
-    else:
-        w = np.zeros((1 << bits) + 1)
-    weights = spark.sparkContext.broadcast(w)
-    return arrow_map(texts, lambda it: _score(it, posterior, weights, bits, threshold),
-                     schema).withColumnRenamed("id", id_col)
+    return arrow_map(texts, lambda it: _score(it, model, threshold), schema).withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, bits: int = HASH_BITS,
+              threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``; decided
+    row by row, so nothing is joined."""
+    text = F.col(text_col).cast("string")
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(text.alias("text")), sample, bits))
+    return arrow_map(docs.select("*", text.alias("_judged_text")), lambda it: _keep(it, model, threshold), docs.schema)
 
 
 def op6_quality(spark, sf_dir):

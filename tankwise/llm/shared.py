@@ -29,12 +29,18 @@ def dropped(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with this package importable in the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def let(value, fn):
+    """``fn(value)`` with ``value`` computed once per row however often ``fn`` uses
+    it (bound as the variable of a one-element array)."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

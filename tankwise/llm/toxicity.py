@@ -279,15 +279,36 @@ def fit(training: DataFrame):
     return terms, weights, fit_logistic(x, y) if len(y) else np.array([0.0] * 5 + [-3.0])
 
 
+def _judge(column, matcher, weights, logistic) -> np.ndarray:
+    out = np.zeros(len(column))
+    for i, t in enumerate(column):
+        found, n = matches(matcher, t.as_py() or "")
+        z = float(np.dot(inputs(found, n, weights), logistic[:-1]) + logistic[-1])
+        out[i] = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
+    return out
+
+
 def _score(batches, model):
-    matcher, weights, logistic = model.value
     for batch in batches:
-        score = []
-        for t in batch.column(1):
-            found, n = matches(matcher, t.as_py() or "")
-            z = float(np.dot(inputs(found, n, weights), logistic[:-1]) + logistic[-1])
-            score.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
-        yield pa.record_batch([batch.column(0), pa.array(score, pa.float64())], names=["id", "score"])
+        yield pa.record_batch([batch.column(0), pa.array(_judge(batch.column(1), *model.value))], names=["id", "score"])
+
+
+def _keep(batches, model, limit):
+    for batch in batches:
+        last = batch.num_columns - 1
+        yield batch.select(range(last)).filter(pa.array(_judge(batch.column(last), *model.value) < limit))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int):
+    """Broadcast model from the labelled rows of ``docs``, about ``sample`` of them."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
+    share = min(1.0, sample / max(known.count(), 1))
+    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["id"])
+    # the picked ids are bounded by the sample
+    training = texts.where("text is not null").join(F.broadcast(picked), "id").select("text", "toxic")
+    terms, weights, logistic = fit(training)
+    return docs.sparkSession.sparkContext.broadcast((Matcher(terms), weights.tolist(), logistic.tolist()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -298,20 +319,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts have no match and get the score of a text without matches; without any
     label all scores are low.  Ids may be null or repeated; null labels are not
     used; other columns are not read."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1)")
-    n = known.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["id"])
-    # the picked ids are bounded by the sample
-    training = texts.where("text is not null").join(F.broadcast(picked), "id").select("text", "toxic")
-    terms, weights, logistic = fit(training)
-    model = spark.sparkContext.broadcast((Matcher(terms), weights.tolist(), logistic.tolist()))
-    return arrow_map(texts, lambda it: _score(it, model),
+    model = learn(docs, labels, id_col, text_col, label_col, sample)
+    return arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
+                     lambda it: _score(it, model),
                      f"id {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_below(docs: DataFrame, labels: DataFrame, limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+               label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``limit``; decided
+    row by row, so nothing is joined."""
+    model = learn(docs, labels, id_col, text_col, label_col, sample)
+    return arrow_map(docs.select("*", F.col(text_col).cast("string").alias("_judged_text")),
+                     lambda it: _keep(it, model, limit), docs.schema)
+
+
 def held_out(parts: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 

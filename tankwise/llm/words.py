@@ -133,3 +133,40 @@ def shingles_of_texts(column: pa.Array, k: int):
         s, e, first = word_bounds(off, data)
         values, count = shingle_sets(word_hashes(data, s, e), first, k)
         yield row, values, count
+
+
+class HashIndex:
+    """Position of 64-bit hashes in a fixed list: open addressing, looked up in
+    NumPy steps."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(len(hashes) + 1))) + 2)
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.keys, self.at = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int64)
+        todo, step = np.arange(len(hashes)), 0
+        slot = (hashes >> self.shift).astype(np.int64)
+        while len(todo):                       # the first to claim a free slot keeps it
+            s = (slot[todo] + step) & self.mask
+            free = self.at[s] < 0
+            claim, first = np.unique(np.where(free, s, -1), return_index=True)
+            first = first[claim >= 0]
+            self.at[s[first]], self.keys[s[first]] = todo[first], hashes[todo[first]]
+            won = np.zeros(len(todo), bool)
+            won[first] = True
+            # a loser of a free slot sees it taken now, like the others: go on
+            todo, step = todo[~won], step + 1
+        self.steps = step
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions, -1 where a hash is not in the list."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot = (hashes >> self.shift).astype(np.int64)
+        todo = np.arange(len(hashes))
+        for step in range(self.steps):
+            s = (slot[todo] + step) & self.mask
+            hit = (self.keys[s] == hashes[todo]) & (self.at[s] >= 0)
+            out[todo[hit]] = self.at[s[hit]]
+            todo = todo[~hit & (self.at[s] >= 0)]
+            if len(todo) == 0:
+                break
+        return out
