@@ -94,18 +94,18 @@ def onehot_name(col: str, level: str) -> str:
     return f"{col}_{safe}"
 
 
-def features_all(df: DataFrame, key: str = "equipment_id",
-                 order: Sequence[str] = DEFAULT_ORDER, onehot: bool = True) -> DataFrame:
-    """FT1: calendar + flags + lags + rolling means + one-hot in one pass.
-
-    Both window families use the same chunks and the same ordering, so Spark
-    plans one Exchange and one Sort for all thirteen window columns.
-    """
+def with_windows(df: DataFrame, key: str = "equipment_id", order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
+    """WN3-WN6: lags and rolling means.  Both families use the same chunks and the
+    same ordering, so Spark plans one Exchange and one Sort for all of them."""
     c = halo_chunks(df, key, order, halo_rows=max(ROLL_FRAMES) - 1)
     w = chunk_window(key, order)
-    out = c.withColumns({**_lag_cols(w), **_roll_cols(w)})
-    out = _finish(out)
-    out = with_flags(with_calendar(out))
+    return _finish(c.withColumns({**_lag_cols(w), **_roll_cols(w)}))
+
+
+def features_all(df: DataFrame, key: str = "equipment_id",
+                 order: Sequence[str] = DEFAULT_ORDER, onehot: bool = True) -> DataFrame:
+    """FT1: calendar + flags + lags + rolling means + one-hot in one pass."""
+    out = with_flags(with_calendar(with_windows(df, key, order)))
     return with_onehot(out) if onehot else out
 
 

@@ -5,7 +5,8 @@ single task; if one unit holds a third of the data that task holds a third of
 the data.  The helpers here instead
 
 * compute "latest row" as a partial (map-side) aggregate (``max_by``),
-* split each entity's series into time buckets and copy the few rows a row
+* split each entity's series into time buckets (finer where one holds many rows)
+  and copy the few rows a row
   frame needs from earlier buckets ("halo" rows), so ordered windows run per
   ``(entity, bucket)``; only a per-bucket count table and at most ``halo``
   rows per bucket take part in the bookkeeping joins,
@@ -85,29 +86,78 @@ def trailing(df: DataFrame, ts: str = "ts", hours: int | None = 24, days: int |
     return df.filter(F.col(ts) >= cut - delta)
 
 
+CHUNK_ROWS = 100_000     # rows of one entity and day from which the day is cut into finer buckets
+PARTS = 1 << 20          # buckets that a day can be cut into
+
+
+def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the right side's keys are dropped."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    out = left.join(r, on, how)
+    return out if how == "left_semi" else out.drop(*[f"_r_{c}" for c in keys])
+
+
 def bucket_of(ts: str, bucket_days: int = 1) -> Column:
-    return F.floor(F.unix_date(F.to_date(F.col(ts))) / F.lit(bucket_days)).cast("long")
+    """Day bucket; rows without a time come before all others, as in their order."""
+    day = F.floor(F.unix_date(F.to_date(F.col(ts))) / F.lit(bucket_days)).cast("long")
+    return F.coalesce(day, F.lit(-(1 << 30)))
+
+
+def with_buckets(df: DataFrame, key: str, order: Sequence[str], bucket_days: int = 1) -> DataFrame:
+    """``_b``: an entity's consecutive buckets, ascending in its order.
+
+    A bucket is a day; a day of an entity with more than ``CHUNK_ROWS`` rows is
+    cut at quantiles of the order (time, then the next order column), found by one
+    partial aggregate over the hot days only, into buckets of about that size."""
+    ts, tie = order[0], order[1] if len(order) > 1 else None
+    d = df.withColumn("_day", bucket_of(ts, bucket_days))
+    n = d.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > CHUNK_ROWS)
+    hot, few = _bounded(n)
+    if hot.isEmpty():
+        return d.withColumnRenamed("_day", "_b").withColumn("_b", F.col("_b") * PARTS)
+    hot = F.broadcast(hot) if few else hot
+    inside = same(d, hot, [key, "_day"])
+    micros = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0))
+    share = F.lit(CHUNK_ROWS).cast("double") / F.col("_rows")
+    sampled = inside.groupBy(key, "_day").agg(
+        F.percentile_approx(micros, [i / 256 for i in range(1, 256)], 10_000).alias("_cut"),
+        *([F.percentile_approx(tie, [i / 256 for i in range(1, 256)], 10_000).alias("_tie")] if tie else []),
+        F.first(F.ceil(1 / share)).alias("_want"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("_want")).cast("int"))
+    keep = lambda c: F.array_distinct(F.filter(c, lambda x, i: (i + 1) % step == 0))     # noqa: E731
+    cuts, few = _bounded(sampled.select(key, "_day", keep("_cut").alias("_cut"),
+                                        (keep("_tie") if tie else F.array().cast("array<bigint>")).alias("_tie")))
+    d = same(d, F.broadcast(cuts) if few else cuts, [key, "_day"], "left")
+    below = lambda c, v: F.size(F.filter(c, lambda x: x < v))      # noqa: E731
+    # between cuts: an even place; the rows of one instant that is itself a cut
+    # come in between and are told apart by the next order column
+    at_cut = 256 + F.least(F.lit(255), below("_tie", F.col(tie)) if tie else F.lit(0))
+    part = F.when(F.col("_cut").isNull(), 0).otherwise(
+        below("_cut", micros) * 512 + F.when(F.array_contains("_cut", micros), at_cut).otherwise(0))
+    return d.withColumn("_b", F.col("_day") * PARTS + part).drop("_day", "_cut", "_tie")
 
 
 def halo_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] = DEFAULT_ORDER,
                 halo_rows: int = 23, bucket_days: int = 1) -> DataFrame:
     """Attach ``_chunk`` / ``_halo`` / ``_n_key`` for skew-safe row-frame windows.
 
-    Output = every input row once with ``_halo=false`` and ``_chunk`` = its
-    bucket, plus copies (``_halo=true``) of the last ``halo_rows`` rows that
-    precede each bucket in the entity's order, tagged with that bucket.  A
-    window ``partitionBy(key, _chunk).orderBy(order)`` whose frame reaches at
-    most ``halo_rows`` rows back is then exact on the non-halo rows.
-    ``_n_key`` is the entity's total row count (for size gates).
+    Output = every input row once (rows without a key or a time included) with
+    ``_halo=false`` and ``_chunk`` = its bucket, plus copies (``_halo=true``) of
+    the last ``halo_rows`` rows that precede each bucket in the entity's order,
+    tagged with that bucket.  A window ``partitionBy(key, _chunk).orderBy(order)``
+    whose frame reaches at most ``halo_rows`` rows back is then exact on the
+    non-halo rows.  ``_n_key`` is the entity's total row count (for size gates).
 
     Work outside the main shuffle: one partial count per (key, bucket), a
     top-``halo_rows`` per (key, bucket) (Spark plans it as a map-side
     WindowGroupLimit) and an equi-join on (key, block) where each bucket
     meets at most two blocks of ``halo_rows`` positions.
     """
-    ts = order[0]
     H = int(halo_rows)
-    d = df.withColumn("_b", bucket_of(ts, bucket_days))
+    d = with_buckets(df, key, order, bucket_days)
 
     cnt = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(key).orderBy("_b")
@@ -120,26 +170,26 @@ def halo_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] =
 
     if H > 0:
         wdesc = Window.partitionBy(key, "_b").orderBy(*[F.col(c).desc() for c in order])
-        tails = (d.withColumn("_r", F.row_number().over(wdesc)).filter(F.col("_r") <= H)
-                  .join(bc(cnt.select(key, "_b", "_cum")), [key, "_b"])
-                  .withColumn("_p", F.col("_cum") - F.col("_r") + 1)
-                  .withColumn("_blk", F.floor((F.col("_p") - 1) / H)))
+        tails = (same(d.withColumn("_r", F.row_number().over(wdesc)).filter(F.col("_r") <= H),
+                      bc(cnt.select(key, "_b", "_cum")), [key, "_b"])
+                 .withColumn("_p", F.col("_cum") - F.col("_r") + 1)
+                 .withColumn("_blk", F.floor((F.col("_p") - 1) / H)))
         targets = (cnt.select(key, F.col("_b").alias("_tb"),
                               (F.col("_cum") - F.col("_cnt")).alias("_e"))
                       .filter(F.col("_e") >= 1)
                       .withColumn("_s", F.greatest(F.col("_e") - H + 1, F.lit(1)))
                       .withColumn("_blk", F.explode(F.array_distinct(F.array(
                           F.floor((F.col("_s") - 1) / H), F.floor((F.col("_e") - 1) / H))))))
-        halo = (tails.join(bc(targets), [key, "_blk"])
-                     .filter((F.col("_p") >= F.col("_s")) & (F.col("_p") <= F.col("_e")))
-                     .select(*df.columns, F.col("_tb").alias("_chunk"), F.lit(True).alias("_halo")))
+        halo = (same(tails, bc(targets), [key, "_blk"])
+                .filter((F.col("_p") >= F.col("_s")) & (F.col("_p") <= F.col("_e")))
+                .select(*df.columns, F.col("_tb").alias("_chunk"), F.lit(True).alias("_halo")))
         rows = d.select(*df.columns, F.col("_b").alias("_chunk"), F.lit(False).alias("_halo"))
         rows = rows.unionByName(halo)
     else:
         rows = d.select(*df.columns, F.col("_b").alias("_chunk"), F.lit(False).alias("_halo"))
 
     sizes = cnt.select(key, F.col("_b").alias("_chunk"), "_n_key")
-    return rows.join(bc(sizes), [key, "_chunk"])
+    return same(rows, bc(sizes), [key, "_chunk"])
 
 
 def _bounded(df: DataFrame):
@@ -158,7 +208,7 @@ def range_halo_chunks(df: DataFrame, key: str = "equipment_id", ts: str = "ts",
     """
     if reach_hours > 24 * bucket_days:
         raise ValueError("range reach longer than one bucket")
-    b = bucket_of(ts, bucket_days)
+    b = F.floor(F.unix_date(F.to_date(F.col(ts))) / F.lit(bucket_days)).cast("long")
     # date -> TIMESTAMP_NTZ is zone-independent (midnight of the next bucket).
     start_next = F.date_from_unix_date((b + 1) * F.lit(bucket_days)).cast("timestamp_ntz")
     d = df.withColumn("_chunk", b).withColumn("_halo", F.lit(False))
@@ -182,6 +232,8 @@ def exclusive_prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col:
     w = Window.partitionBy("_pid").orderBy(order_col)
     r = r.withColumn("_local", F.coalesce(
         F.sum(value_col).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Materialised once: both uses must see the same range boundaries.
+    r = r.checkpoint(eager=True)
     tot = r.groupBy("_pid").agg(F.sum(value_col).alias("_ptot"))   # one row per partition
     tot = tot.withColumn("_poff", F.coalesce(F.sum("_ptot").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -197,20 +249,19 @@ def ordered_split(df: DataFrame, frac: float = 0.8, key: str = "equipment_id",
     the one-row-per-key table; per (key, bucket) running offsets within a key;
     only the single bucket that straddles the cut needs row numbers.
     """
-    ts = order[0]
-    d = df.withColumn("_b", bucket_of(ts, bucket_days))
+    d = with_buckets(df, key, order, bucket_days)
     cnt, _ = _bounded(d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt")))
     per_key = cnt.groupBy(key).agg(F.sum("_cnt").alias("_kn"))
     per_key = exclusive_prefix_sum(per_key, key, "_kn", "_koff")
     total = per_key.agg(F.sum("_kn")).scalar()
-    cnt = (cnt.join(per_key.select(key, "_koff"), key)
+    cnt = (same(cnt, per_key.select(key, "_koff"), [key])
               .withColumn("_boff", F.coalesce(F.col("_koff"), F.lit(0)) + F.coalesce(
                   F.sum("_cnt").over(Window.partitionBy(key).orderBy("_b")
                                      .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("_cut", F.floor(total * F.lit(frac)).cast("long")))
     cnt, small = _bounded(cnt)
     side = cnt.select(key, "_b", "_boff", "_cnt", "_cut")
-    d = d.join(F.broadcast(side) if small else side, [key, "_b"])
+    d = same(d, F.broadcast(side) if small else side, [key, "_b"])
     inside = F.col("_boff") + F.col("_cnt") <= F.col("_cut")
     outside = F.col("_boff") >= F.col("_cut")
     whole = d.filter(inside | outside).withColumn("is_train", inside)

@@ -88,6 +88,25 @@ def features_lag(spark, sf_dir):
     return FE.with_lags(t).select("event_id", "equipment_id", "ts", *LAG_SQL)
 
 
+# Rows without a unit or a time: an ordinary outcome of cleaning at ingestion.
+NULL_KEYS_CTE = """u AS (SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts,
+  CASE WHEN event_id % 11 = 0 THEN NULL ELSE equipment_id END AS equipment_id) FROM t)"""
+
+
+@register("features_null_keys", rnd(with_t(f"""
+SELECT event_id, equipment_id, ts,
+  {_sel(LAG_SQL)},
+  {_sel(ROLL_SQL).replace('ORDER BY ts', 'ORDER BY ts NULLS FIRST')}
+FROM u {W.replace('ORDER BY ts', 'ORDER BY ts NULLS FIRST')}""", NULL_KEYS_CTE), list(LAG_SQL) + list(ROLL_SQL)))
+def features_null_keys(spark, sf_dir):
+    """WN3-WN6 over telemetry with some units and times missing: every row is kept."""
+    t = telemetry(spark, sf_dir).select("event_id", "equipment_id", "ts", "fuel_level", "load_pct", "rpm",
+                                        "fuel_consumed", "speed")
+    t = t.withColumns({"ts": F.when(F.col("event_id") % 7 != 0, F.col("ts")),
+                       "equipment_id": F.when(F.col("event_id") % 11 != 0, F.col("equipment_id"))})
+    return FE.with_windows(t).select("event_id", "equipment_id", "ts", *LAG_SQL, *ROLL_SQL)
+
+
 @register("features_rolling", rnd(with_t(f"""
 SELECT event_id, equipment_id, ts,
   {_sel(ROLL_SQL)}

@@ -19,10 +19,13 @@ from tankwise.sources import files as SF
 from tankwise.sources.tables import economy, fuel_ratings, table, telemetry
 
 TELEMETRY_COLUMNS = [canon for _, canon, _ in SF.TELEMETRY_SOURCE_COLUMNS]
+FILE_CTE = """f AS (SELECT *, avg(load_pct) OVER (PARTITION BY equipment_id ORDER BY ts
+  RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND CURRENT ROW) AS avg_load_3h FROM t)"""
+FILE_DOUBLES = [*TELEMETRY_DOUBLES, "avg_load_3h"]
 
 
 def _stage_telemetry(spark, sf_dir, dirty: bool = False):
-    t = telemetry(spark, sf_dir).select(*TELEMETRY_COLUMNS, "event_id")
+    t = FE.with_avg_load_3h(telemetry(spark, sf_dir)).select(*TELEMETRY_COLUMNS, "event_id")
     path = scratch_path(spark, "telemetry-csv")
     if dirty:
         # Fixture dirt: unparseable and non-finite text in numeric fields.
@@ -35,9 +38,9 @@ def _stage_telemetry(spark, sf_dir, dirty: bool = False):
     return path
 
 
-@register("src_telemetry", rnd(with_t(f"SELECT {', '.join(TELEMETRY_COLUMNS)}, event_id FROM t"), TELEMETRY_DOUBLES))
+@register("src_telemetry", rnd(with_t(f"SELECT {', '.join(TELEMETRY_COLUMNS)}, event_id FROM f", FILE_CTE), FILE_DOUBLES))
 def src_telemetry(spark, sf_dir):
-    """SRC1/SNK1: telemetry CSV (source headers) written, then read with an explicit schema."""
+    """SRC1/SNK1: telemetry CSV (source headers) written, then read by header names."""
     path = _stage_telemetry(spark, sf_dir)
     return SF.read_telemetry_csv(spark, path, include_key=True)
 
@@ -47,7 +50,7 @@ SELECT * REPLACE (
   CASE WHEN event_id % 97 = 0 THEN NULL ELSE rpm END AS rpm,
   CASE WHEN event_id % 89 = 0 THEN NULL ELSE load_pct END AS load_pct,
   CASE WHEN event_id % 83 = 0 THEN NULL ELSE speed END AS speed)
-FROM (SELECT {', '.join(TELEMETRY_COLUMNS)}, event_id FROM t)"""), TELEMETRY_DOUBLES))
+FROM (SELECT {', '.join(TELEMETRY_COLUMNS)}, event_id FROM f)""", FILE_CTE), FILE_DOUBLES))
 def ingest_clean(spark, sf_dir):
     """PRJ6/PRJ14: all-string read, try_cast to canonical types, NaN/inf/junk -> NULL."""
     path = _stage_telemetry(spark, sf_dir, dirty=True)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed source header names of the telemetry CSV -> canonical names.
+# The telemetry CSV's header names, in the file's order, and their
+# canonical names and types.
 TELEMETRY_SOURCE_COLUMNS = [
     ("Timestamp", "ts", T.TimestampNTZType()),
     ("Equipment_ID", "equipment_id", T.StringType()),
@@ -34,14 +35,15 @@ TELEMETRY_SOURCE_COLUMNS = [
     ("Engine_Temperature (°C)", "engine_temp", T.DoubleType()),
     ("Oil_Pressure (psi)", "oil_pressure", T.DoubleType()),
     ("Throttle_Position (%)", "throttle", T.DoubleType()),
-    ("Battery_Voltage (V)", "battery_voltage", T.DoubleType()),
     ("Gear_Position", "gear", T.StringType()),
     ("Driving_Mode", "driving_mode", T.StringType()),
+    ("Battery_Voltage (V)", "battery_voltage", T.DoubleType()),
     ("Sensor_Fault_Code", "sensor_fault", T.IntegerType()),
-    ("Emission_Rate (g/km)", "emission_rate", T.DoubleType()),
     ("Fuel_Efficiency (km/L)", "fuel_efficiency", T.DoubleType()),
+    ("Emission_Rate (g/km)", "emission_rate", T.DoubleType()),
     ("Maintenance_Status", "maintenance_status", T.StringType()),
     ("Time_Since_Last_Service (hrs)", "hours_since_service", T.DoubleType()),
+    ("Average_Load_Last_3hr (%)", "avg_load_3h", T.DoubleType()),
     ("Operational_Status", "operational_status", T.StringType()),
     ("Refuel_Event", "refuel_event", T.StringType()),
     ("Event_Notes", "event_notes", T.StringType()),
@@ -51,14 +53,6 @@ TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 EXTRA_KEY = "event_id"  # carried through round trips of the test view
 
 
-def telemetry_source_schema(include_key: bool = False, as_strings: bool = False) -> T.StructType:
-    fields = [T.StructField(src, T.StringType() if as_strings else typ, True)
-              for src, _, typ in TELEMETRY_SOURCE_COLUMNS]
-    if include_key:
-        fields.append(T.StructField(EXTRA_KEY, T.StringType() if as_strings else T.LongType(), True))
-    return T.StructType(fields)
-
-
 def to_source_names(df: DataFrame) -> DataFrame:
     m = {canon: src for src, canon, _ in TELEMETRY_SOURCE_COLUMNS}
     return df.select(*[F.col(c).alias(m.get(c, c)) for c in df.columns])
@@ -76,18 +70,21 @@ def write_telemetry_csv(df: DataFrame, path: str) -> None:
 
 
 def read_telemetry_csv(spark: SparkSession, path: str, include_key: bool = False) -> DataFrame:
-    """SRC1: explicit schema, header, UTF-8 BOM stripped by the reader,
-    blanks as NULL; columns renamed to canonical names."""
-    df = (spark.read.schema(telemetry_source_schema(include_key)).option("header", True)
-          .option("timestampNTZFormat", TS_FORMAT).option("enforceSchema", False).csv(path))
-    return to_canonical_names(df)
+    """SRC1: header, UTF-8 BOM, blanks as NULL; columns are found by their header
+    names wherever they stand (a missing one is NULL), renamed and typed."""
+    return ingest_clean(read_telemetry_raw(spark, path, include_key))
 
 
 def read_telemetry_raw(spark: SparkSession, path: str, include_key: bool = False) -> DataFrame:
-    """All-string read of the telemetry CSV (input of ``ingest_clean``)."""
-    df = (spark.read.schema(telemetry_source_schema(include_key, as_strings=True))
-          .option("header", True).option("enforceSchema", False).csv(path))
-    return to_canonical_names(df)
+    """All-string read of the telemetry CSV (input of ``ingest_clean``).  Only the
+    header line is looked at beforehand; no types are inferred."""
+    df = spark.read.option("header", True).csv(path)
+    names = {c.replace("\ufeff", "").strip(): c for c in df.columns}
+    wanted = [(src, canon) for src, canon, _ in TELEMETRY_SOURCE_COLUMNS]
+    if include_key:
+        wanted.append((EXTRA_KEY, EXTRA_KEY))
+    return df.select(*[(F.col(f"`{names[src]}`") if src in names else F.lit(None).cast("string")).alias(canon)
+                       for src, canon in wanted])
 
 
 def ingest_clean(raw: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tankwise.operators import features as FE
+from tankwise.operators import sequence as SQ
 from tankwise.operators.sequence import (halo_chunks, chunk_window, latest_by, ordered_split,
                                          trailing)
 
@@ -144,3 +145,36 @@ def test_halo_with_multi_day_buckets(spark):
                     F.lag("fuel_level", 1).over(nw).alias("p"))
     norm = lambda rows: {r[0]: (round(r[1], 9), r[2]) for r in rows}
     assert norm(got.collect()) == norm(exp.collect())
+
+
+def hot_rows(spark, n=3000):
+    """One unit, one day; a third of the rows at one instant; some keys missing."""
+    rows = []
+    for i in range(n):
+        ts = dt.datetime(2024, 5, 1, 12) if i % 3 == 0 else dt.datetime(2024, 5, 1) + dt.timedelta(seconds=(i * 37) % 80000)
+        rows.append((i, "EQ1" if i % 50 else None, ts if i % 61 else None, float(i % 97), float((i * 7) % 101)))
+    return spark.createDataFrame(rows, "event_id long, equipment_id string, ts timestamp_ntz, fuel_level double, load_pct double")
+
+
+def test_hot_day_is_cut_and_windows_stay_exact(spark, monkeypatch):
+    monkeypatch.setattr(SQ, "CHUNK_ROWS", 200)
+    df = hot_rows(spark)
+    c = SQ.halo_chunks(df, halo_rows=5)
+    w = SQ.chunk_window().rowsBetween(-5, 0)
+    got = (c.withColumns({"m": F.sum("load_pct").over(w), "p": F.lag("fuel_level").over(SQ.chunk_window())})
+           .where("not _halo").select("event_id", "m", "p", "_n_key"))
+    plain = Window.partitionBy("equipment_id").orderBy("ts", "event_id")
+    want = df.select("event_id", F.sum("load_pct").over(plain.rowsBetween(-5, 0)).alias("m"),
+                     F.lag("fuel_level").over(plain).alias("p"),
+                     F.count("*").over(Window.partitionBy("equipment_id")).alias("_n_key"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    sizes = [r["count"] for r in c.where("equipment_id = 'EQ1' and not _halo").groupBy("_chunk").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 2 * 200
+
+
+def test_split_keeps_rows_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(SQ, "CHUNK_ROWS", 200)
+    df = hot_rows(spark, 1000)
+    got = {r["event_id"]: r["is_train"] for r in SQ.ordered_split(df).collect()}
+    order = [r["event_id"] for r in df.orderBy("equipment_id", "ts", "event_id").collect()]
+    assert got == {e: k < 800 for k, e in enumerate(order)}

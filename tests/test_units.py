@@ -13,19 +13,36 @@ from tankwise.operators import patterns as P
 from tankwise.sources import files as SF
 
 
+# The header line as the file has it.
+HEADER = ("Timestamp,Equipment_ID,Driver_ID,Equipment_Type,Fuel_Level (L),Fuel_Consumed (L/hr),Fuel_Tank_Capacity (L),"
+          "Idle_Time (min),Load (%),RPM,Speed (km/h),Distance_Travelled (km),Fuel_Price (₹),Temperature (°C),"
+          "Engine_Temperature (°C),Oil_Pressure (psi),Throttle_Position (%),Gear_Position,Driving_Mode,"
+          "Battery_Voltage (V),Sensor_Fault_Code,Fuel_Efficiency (km/L),Emission_Rate (g/km),Maintenance_Status,"
+          "Time_Since_Last_Service (hrs),Average_Load_Last_3hr (%),Operational_Status,Refuel_Event,Event_Notes,Location")
+VALUES = ["2024-01-01 00:00:00", "EQ1", "D1", "Truck", "-5", "400", "200", "0", "300", "", "10", "9", "95", "999", "120",
+          "30", "50", "3", "Eco", "12.1", "0", "2.5", "200", "Due", "410", "61.5", "Idle", "No", "", "Site_1"]
+
+
 def test_telemetry_csv_with_bom_and_blanks(spark, tmp_dir):
-    header = ",".join(src for src, _, _ in SF.TELEMETRY_SOURCE_COLUMNS)
-    row = ["2024-01-01 00:00:00", "EQ1", "D1", "Truck", "-5", "400", "200", "0", "300", "", "10", "9",
-           "95", "999", "120", "30", "50", "12.1", "3", "Eco", "0", "200", "2.5", "Due", "410",
-           "Idle", "No", "", "Site_1"]
     path = os.path.join(tmp_dir, "t.csv")
     with open(path, "w", encoding="utf-8") as f:
-        f.write("﻿" + header + "\n" + ",".join(row) + "\n")
+        f.write("\ufeff" + HEADER + "\n" + ",".join(VALUES) + "\n")
     df = SF.read_telemetry_csv(spark, path)
     r = df.collect()[0]
     assert df.columns[0] == "ts" and r["ts"] == dt.datetime(2024, 1, 1)
     assert r["rpm"] is None and r["event_notes"] is None      # blanks are NULL
     assert r["fuel_level"] == -5.0 and r["ambient_temp"] == 999.0  # dirty values kept
+    assert r["avg_load_3h"] == 61.5 and r["battery_voltage"] == 12.1 and r["emission_rate"] == 200.0
+    assert SF.read_telemetry_raw(spark, path).collect()[0]["gear"] == "3"
+
+
+def test_telemetry_columns_are_found_by_name(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "t.csv")
+    pairs = [p for p in zip(HEADER.split(","), VALUES) if p[0] != "Driving_Mode"][::-1]
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(",".join(k for k, _ in pairs) + "\n" + ",".join(v for _, v in pairs) + "\n")
+    r = SF.read_telemetry_csv(spark, path).collect()[0]
+    assert r["avg_load_3h"] == 61.5 and r["driving_mode"] is None and r["equipment_id"] == "EQ1"
 
 
 def test_ingest_clean_nonfinite_and_junk(spark):
