@@ -70,12 +70,12 @@ def _wide_bounds(thresholds: DataFrame, group: str, metrics) -> DataFrame:
 
 
 def detect_statistical(df: DataFrame, thresholds: DataFrame, group: str = "equipment_type",
-                       metrics=SIGMA_METRICS) -> DataFrame:
+                       metrics=SIGMA_METRICS, how: str = "inner") -> DataFrame:
     """ML6: flag rows outside mean +- 3 std on any metric; types without
-    bounds are dropped (JN9).  Adds ``stat_anomaly``, ``stat_fired`` and
+    bounds are dropped (JN9), or kept unflagged with ``how="left"``.  Adds ``stat_anomaly``, ``stat_fired`` and
     ``max_abs_z`` (largest standardised deviation)."""
     wide = _wide_bounds(thresholds, group, metrics)
-    j = join_checked(df, wide, group, "inner")
+    j = join_checked(df, wide, group, how)
     fired = [F.when((F.col(m) < F.col(f"_{m}_lo")) | (F.col(m) > F.col(f"_{m}_hi")), F.lit(m))
              for m in metrics]
     zs = [F.when(F.col(f"_{m}_sd") > 0, F.abs(F.col(m) - F.col(f"_{m}_mu")) / F.col(f"_{m}_sd"))

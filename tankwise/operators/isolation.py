@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tankwise.operators.forecast import standardize
 from tankwise.operators.joins import join_checked, materialize_small
@@ -32,7 +33,7 @@ BASE = ["fuel_consumed", "load_pct", "rpm", "speed", "idle_time", "ambient_temp"
 OPTIONAL = ["fuel_level_change", "engine_ambient_temp_diff", "consumption_per_load", "battery_voltage",
             "throttle"]
 EULER = 0.5772156649015329
-MAX_MODEL_NODES = 2_000_000
+PACKED_NODES = 2_000_000   # model nodes sent to the tasks at a time (about 100 MB)
 
 NODE_SCHEMA = ("equipment_type string, tree int, node int, feature int, threshold double, "
                "left int, right int, size int, depth int, psi int")
@@ -42,15 +43,16 @@ def feature_columns(df: DataFrame):
     return BASE + [c for c in OPTIONAL if c in df.columns]
 
 
-def anomaly_matrix(features: DataFrame, cols=None) -> DataFrame:
-    """FT2/PRJ14/FT4: finite, non-null features standardised per type."""
+def anomaly_matrix(features: DataFrame, cols=None, carry=()) -> DataFrame:
+    """FT2/PRJ14/FT4: finite, non-null features standardised per type; ``carry``
+    columns go along."""
     cols = cols or feature_columns(features)
     clean = {}
     for c in cols:
         v = F.col(c).cast("double")
         clean[c] = F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(0.0)).otherwise(
             F.coalesce(v, F.lit(0.0)))
-    d = features.select("event_id", "equipment_id", "equipment_type", "ts", *[clean[c].alias(c) for c in cols])
+    d = features.select("event_id", "equipment_id", "equipment_type", "ts", *carry, *[clean[c].alias(c) for c in cols])
     return standardize(d, cols)
 
 
@@ -172,29 +174,50 @@ def _score_matrix(x: np.ndarray, m) -> np.ndarray:
 
 
 def score(matrix: DataFrame, nodes: DataFrame, cols=None) -> DataFrame:
-    """ML5: anomaly score in (0, 1] per row (higher = more isolated)."""
+    """ML5: anomaly score in (0, 1] per row (higher = more isolated), beside the
+    row's other columns: nothing is joined back, so resent rows stay as they are.
+
+    The model goes to the tasks in packs of whole types of at most PACKED_NODES
+    nodes (one type has at most trees x 2 psi); each pack scores the rows of its
+    types.  Rows of types without a model are scored NULL."""
     cols = cols or [c for c in feature_columns(matrix) if c in matrix.columns]
     if not cols:
         raise ValueError("no feature columns to score")
     nodes = materialize_small(nodes)
-    n = nodes.count()
-    if n > MAX_MODEL_NODES:
-        raise ValueError(f"isolation model too large to broadcast: {n} nodes")
+    packs, size = [[]], 0
+    for r in nodes.groupBy("equipment_type").count().orderBy("equipment_type").collect():    # one row per type
+        if size + r["count"] > PACKED_NODES and packs[-1]:
+            packs.append([])
+            size = 0
+        packs[-1].append(r["equipment_type"])
+        size += r["count"]
+    keep = [c for c in matrix.columns if c not in cols]
+    schema = T.StructType([matrix.schema[c] for c in keep] + [T.StructField("iso_score", T.DoubleType())])
     spark = matrix.sparkSession
-    model_b = spark.sparkContext.broadcast(_pack(nodes.toPandas()))
+    known = [t for p in packs for t in p]
+    parts = [matrix.where(F.col("equipment_type").isNull() | ~F.col("equipment_type").isin(known))
+             .select(*keep, F.lit(None).cast("double").alias("iso_score"))]
+    for types in packs:
+        if not types:
+            continue
+        model = spark.sparkContext.broadcast(_pack(nodes.where(F.col("equipment_type").isin(types)).toPandas()))
+        rows = matrix if len(packs) == 1 else matrix.where(F.col("equipment_type").isin(types))
+        rows = rows.where(F.col("equipment_type").isin(types))
+        parts.append(rows.select(*keep, *cols).mapInPandas(_scorer(model, cols, keep), schema))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
+
+def _scorer(model, cols, keep):
     def run(batches):
-        model = model_b.value
         for pdf in batches:
             out = np.full(len(pdf), np.nan)
             for t, idx in pdf.groupby("equipment_type").indices.items():
-                if t in model:
-                    out[idx] = _score_matrix(pdf[cols].to_numpy(dtype=float)[idx], model[t])
-            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "iso_score": out})
-
-    scored = matrix.select("event_id", "equipment_type", *cols).mapInPandas(
-        run, "event_id long, iso_score double")
-    return scored
+                out[idx] = _score_matrix(pdf[cols].to_numpy(dtype=float)[idx], model.value[t])
+            yield pdf[keep].assign(iso_score=out)
+    return run
 
 
 def cutoffs(train_scores: DataFrame, contamination: float = 0.05) -> DataFrame:
@@ -203,23 +226,48 @@ def cutoffs(train_scores: DataFrame, contamination: float = 0.05) -> DataFrame:
         F.percentile_approx("iso_score", 1.0 - contamination, 10000).alias("iso_cut"))
 
 
-def detect(matrix: DataFrame, nodes: DataFrame, train_rows: DataFrame | None = None,
+def detect(matrix: DataFrame, nodes: DataFrame, train_flag: str | None = None,
            contamination: float = 0.05, cols=None) -> DataFrame:
-    """ML5: scores + flag ``iso_score > cut`` (cut from the training rows)."""
-    s = score(matrix, nodes, cols).join(matrix.select("event_id", "equipment_id", "equipment_type", "ts"), "event_id")
-    base = s if train_rows is None else s.join(train_rows.select("event_id"), "event_id", "left_semi")
-    cuts = cutoffs(base, contamination)
+    """ML5: scores + flag ``iso_score > cut``; the cut comes from the rows whose
+    boolean column ``train_flag`` is set (default: all)."""
+    s = score(matrix, nodes, cols)
+    cuts = cutoffs(s if train_flag is None else s.where(train_flag), contamination)
     s = join_checked(s, cuts, "equipment_type", "inner")
     return s.withColumn("iso_anomaly", F.col("iso_score") > F.col("iso_cut"))
 
 
-def combined(iso: DataFrame, stat: DataFrame) -> DataFrame:
-    """ML7: either detector fires; report which."""
-    j = iso.select("event_id", "equipment_id", "ts", "iso_score", "iso_anomaly").join(
-        stat.select("event_id", "stat_anomaly", "stat_fired"), "event_id", "full_outer")
+def combined(df: DataFrame) -> DataFrame:
+    """ML7: either detector fires; report which.  Both flags stand on the same row."""
     iso_f = F.coalesce(F.col("iso_anomaly"), F.lit(False))
     st_f = F.coalesce(F.col("stat_anomaly"), F.lit(False))
-    return j.withColumns({
+    return df.withColumns({
         "anomaly_detected": iso_f | st_f,
         "detectors": F.concat_ws(",", F.when(iso_f, F.lit("isolation_forest")), F.when(st_f, F.lit("statistical"))),
     })
+
+
+def save_forest(nodes: DataFrame, scalers: DataFrame, cuts: DataFrame, cols, base: str) -> None:
+    """SNK3: node table, per-type scaling and cut-offs and the feature list, as
+    Parquet under ``base``."""
+    for name, df in (("nodes", nodes), ("scalers", scalers), ("cutoffs", cuts)):
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+    spark = nodes.sparkSession
+    (spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "place int, feature string").coalesce(1)
+     .write.mode("overwrite").parquet(f"{base}/features"))
+
+
+def load_forest(spark, base: str):
+    """``(nodes, scalers, cutoffs, feature names)`` as saved."""
+    read = lambda name: spark.read.parquet(f"{base}/{name}")     # noqa: E731
+    return (read("nodes"), read("scalers"), read("cutoffs"),
+            [r["feature"] for r in read("features").orderBy("place").collect()])
+
+
+def scalers(matrix: DataFrame, cols) -> DataFrame:
+    """Per-type mean and population deviation of the raw features, one row per
+    (type, feature)."""
+    agg = matrix.groupBy("equipment_type").agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
+                                                 for c in cols])
+    return agg.select("equipment_type", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std")) for c in cols])
+    ).alias("s")).select("equipment_type", "s.*")

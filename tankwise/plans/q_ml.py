@@ -20,7 +20,8 @@ from tankwise.plans.registry import register, rnd, with_t
 from tankwise.session import scratch_path
 from tankwise.sources.tables import telemetry
 
-DRIVER_TREES = 20  # library default is 100 (as the reference); registered jobs use 20
+TREES = 100        # as the reference
+_SAVED: dict = {}  # (application, data folder, kind) -> (matrix, model folders): trained once, then loaded
 
 
 def _matrix_cols_sql() -> dict:
@@ -120,19 +121,26 @@ def forecast_grid(spark, sf_dir):
 
 
 def _train(spark, sf_dir, kind="rf"):
-    mx = _matrix(spark, sf_dir)
-    split = ordered_split(mx.select("event_id", "equipment_id", "ts"), 0.8).select("event_id", "is_train")
-    # Materialised once: read by every per-type fit and by the scoring.
-    mx = mx.join(split, "event_id").checkpoint(eager=True)
-    train_rows = mx.filter("is_train").drop("is_train")
-    models = FC.train_per_type(train_rows, kind=kind, trees=DRIVER_TREES, checkpoint=False)
+    """Trains per type on the ordered 80 % and saves the models."""
+    mx = ordered_split(_matrix(spark, sf_dir), 0.8)
+    path = scratch_path(spark, "matrix")
+    mx.write.partitionBy("equipment_type").parquet(path)      # each fit reads its own type
+    mx = spark.read.schema(mx.schema).parquet(path)
+    models = FC.train_per_type(mx.filter("is_train").drop("is_train"), kind=kind, trees=TREES, checkpoint=False)
+    paths = FC.save_models(models, scratch_path(spark, f"models-{kind}"))
+    _SAVED[spark.sparkContext.applicationId, sf_dir, kind] = (mx, paths)
     return mx, models
 
 
-@register("train_consumption")
-def train_consumption(spark, sf_dir):
-    """ML1: per-type regressors on the ordered 80 % split; RMSE vs mean predictor."""
-    mx, models = _train(spark, sf_dir)
+def _trained(spark, sf_dir, kind="rf"):
+    """The models saved earlier in this application, else newly trained ones."""
+    saved = _SAVED.get((spark.sparkContext.applicationId, sf_dir, kind))
+    if saved is None:
+        return _train(spark, sf_dir, kind)
+    return saved[0], FC.load_models(saved[1])
+
+
+def _rmse(mx, models):
     scored = FC.score_per_type(mx, models)
     means = mx.filter("is_train").groupBy("equipment_type").agg(F.avg("label").alias("_mean"))
     s = join_checked(scored, means, "equipment_type", "inner")   # per-type table, counted
@@ -142,16 +150,48 @@ def train_consumption(spark, sf_dir):
         F.sqrt(F.avg((F.col("_mean") - F.col("label")) ** 2)).alias("rmse_mean_predictor"))
 
 
+@register("train_consumption")
+def train_consumption(spark, sf_dir):
+    """ML1: per-type regressors on the ordered 80 % split; RMSE vs mean predictor."""
+    return _rmse(*_train(spark, sf_dir))
+
+
+@register("train_boosted")
+def train_boosted(spark, sf_dir):
+    """ML1: the same with boosted trees."""
+    return _rmse(*_train(spark, sf_dir, "gbt"))
+
+
+# Counts of the ordered split per type: exact whatever the models are.
+SPLIT_SQL = """SELECT equipment_type, pos <= floor(total * 0.8) AS is_train, count(*) AS n
+FROM (SELECT equipment_type, row_number() OVER (ORDER BY equipment_id, ts, event_id) AS pos, count(*) OVER () AS total FROM mx)
+GROUP BY ALL"""
+
+
+@register("training_rows", with_t(SPLIT_SQL, MATRIX_CTE))
+def training_rows(spark, sf_dir):
+    """ML1: rows per type and side of the split that the models were trained and scored on."""
+    mx, models = _trained(spark, sf_dir)
+    return FC.score_per_type(mx, models).groupBy("equipment_type", "is_train").agg(F.count(F.lit(1)).cast("long").alias("n"))
+
+
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
     """ML2: feature importances per type."""
-    _, models = _train(spark, sf_dir)
-    return FC.importances(models, spark)
+    return FC.importances(_trained(spark, sf_dir)[1], spark)
+
+
+@register("importance_sums", with_t(f"""
+SELECT equipment_type, CAST({len(FC.MODEL_FEATURES)} AS BIGINT) AS features, 1e0 AS total
+FROM mx GROUP BY equipment_type""", MATRIX_CTE))
+def importance_sums(spark, sf_dir):
+    """ML2: every type has an importance for every feature; they add up to one."""
+    return FC.importances(_trained(spark, sf_dir)[1], spark).groupBy("equipment_type").agg(
+        F.count("*").alias("features"), F.sum("importance").alias("total"))
 
 
 def _forecasts(spark, sf_dir):
-    _, models = _train(spark, sf_dir)
-    return FC.forecast(_grid(spark, sf_dir), models)
+    return FC.forecast(_grid(spark, sf_dir), _trained(spark, sf_dir)[1])
 
 
 @register("forecast_consumption")
@@ -161,6 +201,15 @@ def forecast_consumption(spark, sf_dir):
                                             "predicted_consumption")
 
 
+@register("forecast_hours", with_t("""
+SELECT equipment_id, equipment_type, h, forecast_ts, true AS finite, false AS below_zero FROM grid""", MATRIX_CTE, GRID_CTE))
+def forecast_hours(spark, sf_dir):
+    """ML3: a finite forecast, clipped at zero, for each of the next 24 hours of every unit."""
+    p = F.col("predicted_consumption")
+    return _forecasts(spark, sf_dir).select("equipment_id", "equipment_type", "h", "forecast_ts",
+                                            (p.isNotNull() & ~F.isnan(p)).alias("finite"), (p < 0).alias("below_zero"))
+
+
 @register("forecast_payload")
 def forecast_payload(spark, sf_dir):
     """VW3: per-unit forecast payload (ordered items, values rounded to 2)."""
@@ -173,38 +222,54 @@ def forecast_payload(spark, sf_dir):
                     F.aggregate("items", F.lit(0.0), lambda a, x: a + x["p"]).alias("total_predicted"), "items")
 
 
-@register("model_roundtrip")
+@register("model_roundtrip", with_t("""
+SELECT equipment_type, count(*) AS n, 0e0 AS max_abs_diff FROM grid GROUP BY equipment_type""", MATRIX_CTE, GRID_CTE))
 def model_roundtrip(spark, sf_dir):
     """SNK3: save each type's pipeline, load it back, score the grid with both."""
-    _, models = _train(spark, sf_dir)
-    paths = FC.save_models(models, scratch_path(spark, "models"))
-    loaded = FC.load_models(paths)
-    grid = _grid(spark, sf_dir)
-    a = FC.score_per_type(grid, models).select("event_id", "h", "equipment_type", F.col("prediction").alias("p1"))
-    b = FC.score_per_type(grid, loaded).select("event_id", "h", F.col("prediction").alias("p2"))
-    j = a.join(b, ["event_id", "h"])
-    return j.groupBy("equipment_type").agg(F.count(F.lit(1)).cast("long").alias("n"),
-                                           F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+    models = _trained(spark, sf_dir)[1]
+    loaded = FC.load_models(FC.save_models(models, scratch_path(spark, "models")))
+    once = FC.score_per_type(_grid(spark, sf_dir), models).withColumnRenamed("prediction", "p1")
+    both = FC.score_per_type(once, loaded)       # the same rows, scored again: no join
+    return both.groupBy("equipment_type").agg(F.count(F.lit(1)).cast("long").alias("n"),
+                                              F.max(F.abs(F.col("p1") - F.col("prediction"))).alias("max_abs_diff"))
 
 
 def _iso(spark, sf_dir):
+    """Matrix with the training flag (no note) and the statistical flags on each
+    row, and the forest of the training rows."""
     t = telemetry(spark, sf_dir)
-    mx = ISO.anomaly_matrix(FE.features_all(t, onehot=False)).checkpoint(eager=True)
-    train_rows = mx.join(A.unannotated(t).select("event_id"), "event_id", "left_semi")
-    nodes = ISO.train(train_rows, trees=100, psi=256, seed=42)
-    return mx, train_rows, nodes
+    feats = A.detect_statistical(FE.features_all(t, onehot=False), A.sigma_thresholds(A.unannotated(t)), how="left")
+    note = F.coalesce(F.length("event_notes"), F.lit(0)) == 0
+    mx = ISO.anomaly_matrix(feats.withColumn("unannotated", note), [*ISO.BASE, *ISO.OPTIONAL],
+                            carry=("unannotated", "stat_anomaly")).checkpoint(eager=True)
+    nodes = ISO.train(mx.where("unannotated"), trees=100, psi=256, seed=42)
+    return mx, nodes
 
 
 @register("train_isolation")
 def train_isolation(spark, sf_dir):
     """ML4: isolation-forest node table per type (100 trees, psi 256)."""
-    _, _, nodes = _iso(spark, sf_dir)
-    return nodes
+    return _iso(spark, sf_dir)[1]
+
+
+@register("isolation_shape", with_t("""
+SELECT equipment_type, 100 AS trees, true AS leaves_hold_the_sample, true AS depth_bounded
+FROM amx JOIN (SELECT DISTINCT equipment_type FROM t WHERE event_notes IS NULL OR event_notes = '') USING (equipment_type)
+GROUP BY equipment_type HAVING count(*) >= 50""", AMX_CTE))
+def isolation_shape(spark, sf_dir):
+    """ML4: 100 trees per type; the leaves of each hold its whole sample, at most 256 rows."""
+    nodes = _iso(spark, sf_dir)[1]
+    tree = nodes.groupBy("equipment_type", "tree").agg(
+        F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaves"), F.max("psi").alias("psi"), F.max("depth").alias("depth"))
+    return tree.groupBy("equipment_type").agg(
+        F.count("*").cast("int").alias("trees"),
+        F.every((F.col("leaves") == F.col("psi")) & (F.col("psi") <= 256)).alias("leaves_hold_the_sample"),
+        F.every(F.col("depth") <= 8).alias("depth_bounded"))
 
 
 def _detect(spark, sf_dir):
-    mx, train_rows, nodes = _iso(spark, sf_dir)
-    return ISO.detect(mx, nodes, train_rows, 0.05)
+    mx, nodes = _iso(spark, sf_dir)
+    return ISO.detect(mx, nodes, "unannotated", 0.05)
 
 
 @register("detect_isolation")
@@ -214,10 +279,18 @@ def detect_isolation(spark, sf_dir):
                                          "iso_cut", "iso_anomaly")
 
 
+@register("detected_rows", with_t("""
+SELECT equipment_type, count(*) AS n, true AS five_percent
+FROM amx GROUP BY equipment_type""", AMX_CTE))
+def detected_rows(spark, sf_dir):
+    """ML5: every reading is scored once; about 5 % of the training rows are flagged."""
+    rate = F.avg(F.when(F.col("unannotated"), F.col("iso_anomaly").cast("double")))
+    return _detect(spark, sf_dir).groupBy("equipment_type").agg(
+        F.count("*").alias("n"), (F.abs(rate - 0.05) < 0.02).alias("five_percent"))
+
+
 @register("detect_combined")
 def detect_combined(spark, sf_dir):
     """ML7: isolation forest OR statistical detector, with the firing detectors."""
-    t = telemetry(spark, sf_dir)
-    stat = A.detect_statistical(t, A.sigma_thresholds(A.unannotated(t)))
-    return ISO.combined(_detect(spark, sf_dir), stat).select(
+    return ISO.combined(_detect(spark, sf_dir)).select(
         "event_id", "equipment_id", "ts", "iso_score", "iso_anomaly", "stat_anomaly", "anomaly_detected", "detectors")
