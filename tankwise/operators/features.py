@@ -19,14 +19,16 @@ from tankwise.operators.sequence import (DEFAULT_ORDER, chunk_window, halo_chunk
 ROLL_FRAMES = (6, 12, 24)
 ROLL_MEASURES = {"consumption": "fuel_consumed", "load": "load_pct", "speed": "speed"}
 LAG_MEASURES = {"prev_fuel_level": "fuel_level", "prev_load": "load_pct", "prev_rpm": "rpm"}
-# Fixed one-hot vocabularies of the telemetry categoricals (all levels kept).
+# The categoricals' levels.  A level outside the list has the
+# column ``<name>_other`` set, so no row is all zeros without notice.
 ONEHOT_LEVELS = {
-    "equipment_type": ["Excavator", "Forklift", "Generator", "Truck"],
-    "gear": ["1", "2", "3", "4", "5", "N"],
+    "equipment_type": ["Bulldozer", "Crane", "Excavator", "Forklift", "Generator", "Loader", "Truck"],
+    "gear": ["1", "2", "3", "4", "5", "D", "N", "R"],
     "driving_mode": ["Eco", "N/A", "Normal", "Power"],
-    "operational_status": ["Running", "Stopped"],
-    "maintenance_status": ["Needs Service", "Normal", "Service Due Soon"],
+    "operational_status": ["Idle", "Running", "Stopped"],
+    "maintenance_status": ["Due", "Needs Service", "Normal", "Not Due", "Recently Serviced", "Service Due Soon"],
 }
+OTHER = "other"
 
 
 def with_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -80,12 +82,14 @@ def with_rolling(df: DataFrame, key: str = "equipment_id",
 
 
 def with_onehot(df: DataFrame, levels: dict | None = None) -> DataFrame:
-    """SC11: one 0/1 column per fixed level (no pivot job, no vocabulary scan)."""
+    """SC11: one 0/1 column per listed level and one for any other level (no pivot
+    job, no vocabulary scan)."""
     levels = levels or ONEHOT_LEVELS
     cols = {}
     for c, vals in levels.items():
         for v in vals:
             cols[onehot_name(c, v)] = (F.col(c) == F.lit(v)).cast("int")
+        cols[onehot_name(c, OTHER)] = (~F.col(c).isin(vals)).cast("int")
     return df.withColumns(cols)
 
 

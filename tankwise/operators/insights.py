@@ -28,7 +28,6 @@ DAILY_IDLE_RATIO = 0.3
 LOW_FUEL_PCT = 20.0
 OPTIMAL_REFUEL_PCT = 25.0
 MIN_HISTORY = 5
-HISTORY_POINTS = 24
 PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
 
 # Fixed values (must equal the reference's): recommended actions per insight kind.
@@ -85,8 +84,10 @@ def forecast_proxy(telemetry: DataFrame, hours: int = 24) -> DataFrame:
 def equipment_state(telemetry: DataFrame, forecasts: DataFrame | None = None) -> DataFrame:
     """IN1: latest row + idle/active counters + histories + runtime.
 
-    Counters aggregate over all rows (defect Q11 fixed); histories are kept as
-    bounded summaries (count / mean of positive readings) rather than lists.
+    Counters aggregate over all rows (defect Q11 fixed).  The families need only
+    counts and means of the histories; the histories themselves are rows
+    (``reading_history``), as a unit's list has no bound.  ``forecasts`` are the
+    models' hourly predictions (default: the trailing day's readings).
     """
     latest = latest_by(telemetry.select(
         "equipment_id", "ts", "event_id", "equipment_type", "fuel_level", "tank_capacity",
@@ -103,8 +104,6 @@ def equipment_state(telemetry: DataFrame, forecasts: DataFrame | None = None) ->
         F.max(F.when(F.col("refuel_event") == "Yes", F.col("ts"))).alias("last_refuel"),
     )
     st = latest.join(counters, "equipment_id")
-    for name, col in (("consumption_history", "fuel_consumed"), ("efficiency_history", "fuel_efficiency")):
-        st = st.join(recent_history(telemetry, col, name, HISTORY_POINTS), "equipment_id", "left")
     st = st.withColumns({
         "fuel_level_percentage": F.col("fuel_level") / F.col("tank_capacity") * 100.0,
         "last_update": F.col("ts"),
@@ -115,8 +114,17 @@ def equipment_state(telemetry: DataFrame, forecasts: DataFrame | None = None) ->
     return rt.withColumn("as_of", max_scalar(telemetry.select("ts"), "ts"))
 
 
-def recent_history(telemetry: DataFrame, col: str, name: str, k: int = HISTORY_POINTS) -> DataFrame:
-    """AG25: each unit's last ``k`` positive readings of ``col`` as an ordered
+def reading_history(telemetry: DataFrame) -> DataFrame:
+    """AG25: every positive reading of consumption and efficiency of every unit, one
+    row each."""
+    parts = [telemetry.where(F.col(c) > 0).select("equipment_id", F.lit(name).alias("measure"), "ts", "event_id",
+                                                  F.col(c).alias("value"))
+             for name, c in (("consumption", "fuel_consumed"), ("efficiency", "fuel_efficiency"))]
+    return parts[0].unionAll(parts[1])
+
+
+def recent_history(telemetry: DataFrame, col: str, name: str, k: int) -> DataFrame:
+    """Each unit's last ``k`` positive readings of ``col`` as an ordered
     array of (ts, value).  ``row_number() <= k`` is planned as a map-side
     group limit, so at most k rows per unit and partition are shuffled."""
     w = Window.partitionBy("equipment_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
@@ -252,12 +260,12 @@ def insights_anomaly(rollup: DataFrame, state: DataFrame) -> DataFrame:
 # --------------------------------------------------------------- IN7
 def insights_all(*parts: DataFrame) -> DataFrame:
     """IN7: union of the families with a priority rank (high first, defect Q8
-    fixed).  Ordering is applied only at output (``order_insights``)."""
+    fixed), in output order."""
     u = parts[0].select(*INSIGHT_COLUMNS)
     for p in parts[1:]:
         u = u.unionByName(p.select(*INSIGHT_COLUMNS))
     rank = S.map_literal("priority", PRIORITY_RANK, 3)
-    return u.withColumn("priority_rank", rank.cast("int"))
+    return order_insights(u.withColumn("priority_rank", rank.cast("int")))
 
 
 def order_insights(df: DataFrame) -> DataFrame:

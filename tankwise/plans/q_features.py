@@ -52,6 +52,8 @@ ROLL_SQL = {
 }
 ONEHOT_SQL = {FE.onehot_name(c, v): f"CAST({c} = '{v}' AS INTEGER)"
               for c, vals in FE.ONEHOT_LEVELS.items() for v in vals}
+ONEHOT_SQL.update({FE.onehot_name(c, FE.OTHER): f"CAST({c} NOT IN ({', '.join(repr(v) for v in vals)}) AS INTEGER)"
+                   for c, vals in FE.ONEHOT_LEVELS.items()})
 
 
 def _sel(d: dict) -> str:
@@ -127,6 +129,23 @@ def onehot(spark, sf_dir):
     return FE.with_onehot(t).select("event_id", *ONEHOT_SQL)
 
 
+# Levels that the listed vocabulary lacks.
+UNSEEN_CTE = """s AS (SELECT * REPLACE (CASE WHEN event_id % 5 = 0 THEN 'Grader' ELSE equipment_type END AS equipment_type,
+  CASE WHEN event_id % 9 = 0 THEN NULL ELSE gear END AS gear) FROM t)"""
+
+
+@register("onehot_unseen", with_t(f"""
+SELECT event_id,
+  {_sel(ONEHOT_SQL)}
+FROM s""", UNSEEN_CTE))
+def onehot_unseen(spark, sf_dir):
+    """SC11 over rows with unlisted and missing levels."""
+    t = telemetry(spark, sf_dir).withColumns({
+        "equipment_type": F.when(F.col("event_id") % 5 == 0, F.lit("Grader")).otherwise(F.col("equipment_type")),
+        "gear": F.when(F.col("event_id") % 9 != 0, F.col("gear"))})
+    return FE.with_onehot(t).select("event_id", *ONEHOT_SQL)
+
+
 @register("features_all", rnd(with_t(f"""
 SELECT *,
   {_sel(CAL_SQL)},

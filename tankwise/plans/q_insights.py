@@ -143,6 +143,22 @@ def equipment_state(spark, sf_dir):
     return _state(spark, sf_dir)
 
 
+@register("reading_history", rnd(with_t("""
+SELECT equipment_id, 'consumption' AS measure, ts, event_id, fuel_consumed AS value FROM t WHERE fuel_consumed > 0
+UNION ALL SELECT equipment_id, 'efficiency', ts, event_id, fuel_efficiency FROM t WHERE fuel_efficiency > 0"""), ["value"]))
+def reading_history(spark, sf_dir):
+    """AG25: complete consumption and efficiency histories as rows."""
+    return I.reading_history(telemetry(spark, sf_dir))
+
+
+@register("runtime_from_models")
+def runtime_from_models(spark, sf_dir):
+    """JN6/AG22/IN1: runtime from the trained models' 24-hour forecasts."""
+    from tankwise.plans.q_ml import _forecasts
+    st = I.equipment_state(telemetry(spark, sf_dir), _forecasts(spark, sf_dir).select("equipment_id", "predicted_consumption"))
+    return st.select("equipment_id", "fuel_level", "predicted_consumption", "estimated_runtime")
+
+
 @register("estimated_runtime", rnd(with_t(
     "SELECT equipment_id, fuel_level, predicted_consumption, estimated_runtime FROM state", STATE_CTE),
     ["fuel_level", "predicted_consumption", "estimated_runtime"]))

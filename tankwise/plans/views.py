@@ -125,11 +125,12 @@ def dataset_summary(telemetry: DataFrame) -> DataFrame:
 
 
 def distinct_types(telemetry: DataFrame) -> DataFrame:
-    """PRJ17: distinct equipment types (ordering only at output)."""
-    return telemetry.select("equipment_type").filter(F.col("equipment_type").isNotNull()).distinct()
+    """PRJ17: distinct equipment types, in order."""
+    return (telemetry.select("equipment_type").filter(F.col("equipment_type").isNotNull()).distinct()
+            .orderBy("equipment_type"))
 
 
 def type_counts(telemetry: DataFrame) -> DataFrame:
-    """AG16: value counts of equipment type, descending at output."""
+    """AG16: value counts of equipment type, descending."""
     return (telemetry.filter(F.col("equipment_type").isNotNull()).groupBy("equipment_type")
-                     .agg(F.count(F.lit(1)).cast("long").alias("n")))
+                     .agg(F.count(F.lit(1)).cast("long").alias("n")).orderBy(F.desc("n"), "equipment_type"))

@@ -43,12 +43,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins; only when it is unset (local runs, tests) a
-    fresh folder under /tmp is chosen and registered.
+    The cluster's setting wins; only when it is unset in a local session (tests) a
+    fresh folder under /tmp is chosen and registered; elsewhere that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = os.path.join("/tmp", f"tankwise-ckpt-{uuid.uuid4().hex[:12]}")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -179,7 +179,9 @@ def _fuel_drop(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     prev = np.concatenate(([prev_level], level[:-1]))
     x = prev - used
     with np.errstate(invalid="ignore"):
-        fired = (refuel != "Yes") & ~np.isnan(prev) & (x > 0) & ((x - level) >= 0.1 * x)
+        # as in the SQL rule, an unknown refuel flag does not fire
+        known = np.array([r is not None and r == r for r in refuel], bool)
+        fired = known & (refuel != "Yes") & ~np.isnan(prev) & (x > 0) & ((x - level) >= 0.1 * x)
     state.update((pd.Timestamp(ts[-1]).to_pydatetime(), int(eid[-1]), float(level[-1])))
     if fired.any():
         yield pd.DataFrame({"event_id": eid[fired], "equipment_id": key[0], "ts": ts[fired],
