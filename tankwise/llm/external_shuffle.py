@@ -22,6 +22,7 @@ from tankwise.llm.shared import documents, stored
 SHARDS = 24
 SEED = 20240607
 BUCKET_BYTES = 24 << 20
+BROADCAST_BUCKETS = 500_000   # bucket starts sent to all tasks up to this number (12 bytes each)
 
 
 def external_shuffle(df: DataFrame, size: F.Column, shards: int = SHARDS, seed: int = SEED,
@@ -47,6 +48,7 @@ def external_shuffle(df: DataFrame, size: F.Column, shards: int = SHARDS, seed:
     starts = (written.groupBy("bucket").agg(F.count("*").alias("n"))
               .select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))
     at = F.col("start") + F.col("pos")
+    starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
     return written.join(starts, "bucket").select(
         "record", (at % shards).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"))
 
