@@ -55,7 +55,7 @@ class Matcher:
 
     def __init__(self, terms):
         self.children, self.term, self.open = [{}], [None], [False]
-        self.fuzzy = [False]
+        self.fuzzy, self.short = [False], set()
         for i, (stem, whole) in enumerate(terms):
             at = 0
             for c in stem:
@@ -70,6 +70,8 @@ class Matcher:
                 self.fuzzy[at] |= len(stem) >= 4
             self.fuzzy[0] |= len(stem) >= 4
             self.term[at], self.open[at] = i, not whole
+            if len(stem) < 4:
+                self.short.add(i)
         start = self._closed({(0, 0)})
         self.sets, self.number = [start], {start: 0}
         self.moves = [{}]
@@ -89,7 +91,8 @@ class Matcher:
 
     def _accept(self, state):
         """Best stem match and best match were the word to end: (edits, term)."""
-        ends = [(e, self.term[n], self.open[n]) for n, e in state if self.term[n] is not None]
+        ends = [(e, self.term[n], self.open[n]) for n, e in state
+                if self.term[n] is not None and not (e and self.term[n] in self.short)]
         stems = sorted((e, t) for e, t, o in ends if o)
         return (stems[0] if stems else None), (min((e, t) for e, t, _ in ends) if ends else None)
 
@@ -97,7 +100,7 @@ class Matcher:
         items = set()
         for node, e in self.sets[state]:
             kids = self.children[node]
-            if c in kids:
+            if c in kids and (e == 0 or self.fuzzy[kids[c]]):
                 items.add((kids[c], e))
             if e == 0 and self.fuzzy[node]:
                 items.add((node, 1))
