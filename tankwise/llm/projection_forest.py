@@ -26,7 +26,7 @@ from tankwise.session import ship_package
 
 COSINE = 0.9
 TREES = 8
-SPILL = 0.09
+SPILL = 0.06
 LEAF = 96                # sample points in a leaf
 SAMPLE = 50_000          # classes that the trees are fitted on, at most
 BLOCK = 2048
@@ -116,47 +116,44 @@ def _route(batches, dim, forest):
         leaves = [route(x, nodes) for nodes in forest.value]
         flat = [[t << 24 | leaf for t in range(len(leaves)) for leaf in leaves[t][i]] for i in range(len(x))]
         pick = pa.array(keep)
-        yield pa.record_batch([batch.column("id").take(pick), batch.column("copies").take(pick),
-                               pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64())),
-                               pa.array(flat, pa.list_(pa.int32()))], names=["id", "copies", "x", "leaves"])
+        yield pa.record_batch([*(batch.column(c).take(pick) for c in ("id", "copies", "v")),
+                               pa.array(flat, pa.list_(pa.int32()))], names=["id", "copies", "v", "leaves"])
 
 
 # ---------------------------------------------------------------------- leaves
-def _compare(key, table: pa.Table, cosine: float) -> pa.Table:
+def _compare(key, table: pa.Table, dim: int, cosine: float) -> pa.Table:
     """One leaf, or one pair of its blocks: local component and weight of the
     first-met links of each member."""
     leaf = key[0].as_py()
-    ids = table["id"].to_numpy()
-    x = np.asarray(table["x"].combine_chunks().flatten()).reshape(len(ids), -1)
-    side = table["side"].to_numpy()
-    copies = table["copies"].to_numpy()
-    lists = table["leaves"].to_pylist()
-    width = max(map(len, lists))
-    codes = np.full((len(ids), width), -1, np.int64)
-    for i, v in enumerate(lists):
-        codes[i, :len(v)] = v
-    earlier = np.where((codes < leaf) & (codes >= 0), codes, -1)
+    table = table.combine_chunks()
+    ids, side, copies = (table[c].to_numpy() for c in ("id", "side", "copies"))
+    x, _ = _matrix(table["v"].chunk(0), dim)
     linked = (x @ x.T) >= cosine
     np.fill_diagonal(linked, False)
     if key[1].as_py() != key[2].as_py():
         linked &= side[:, None] != side[None, :]
-    label = ids.copy()
-    a, b = np.nonzero(linked)
-    while len(a):
-        low = label.copy()
-        np.minimum.at(low, a, label[b])
-        if (low == label).all():
-            break
-        label = low
-    links = np.zeros(len(ids), np.int64)
-    for p in range(0, len(a), 200_000):
-        u, v = a[p:p + 200_000], b[p:p + 200_000]
-        new = np.ones(len(u), bool)
-        eu, ev = earlier[u], earlier[v]
-        for c in range(width):
-            col = eu[:, c]
-            new &= ~((col[:, None] == ev) & (col >= 0)[:, None]).any(axis=1)
-        links += np.bincount(u[new], weights=copies[v[new]], minlength=len(ids)).astype(np.int64)
+    label, links = ids.copy(), np.zeros(len(ids), np.int64)
+    some = np.flatnonzero(linked.any(axis=1))
+    if len(some):
+        near = linked[np.ix_(some, some)]
+        own, far = ids[some], np.iinfo(np.int64).max
+        low = own
+        while True:
+            nxt = np.minimum(low, np.where(near, low[None, :], far).min(axis=1))
+            if (nxt == low).all():
+                break
+            low = nxt
+        label[some] = low
+        # a pair counts here unless the two share an earlier leaf
+        lists = table["leaves"].chunk(0).take(pa.array(some))
+        rows = np.repeat(np.arange(len(some)), np.diff(lists.offsets.to_numpy()))
+        code = lists.flatten().to_numpy()
+        rows, code = rows[code < leaf], code[code < leaf]
+        seen, col = np.unique(code, return_inverse=True)
+        inside = np.zeros((len(some), len(seen)), np.float32)
+        inside[rows, col] = 1
+        fresh = near & (inside @ inside.T == 0)
+        links[some] = fresh @ copies[some]
     return pa.table({"id": ids, "local": label, "links": links})
 
 
@@ -172,10 +169,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     read."""
     spark = vectors.sparkSession
     ship_package(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.withColumns({"h1": F.xxhash64(F.lit(1), "v"), "h2": F.xxhash64(F.lit(2), "v")})
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
+    # a hash passes over null parts: vectors with any have no class
+    whole = F.when(~F.exists("v", lambda a: a.isNull()), F.col("v"))
+    rows = rows.withColumns({"h1": F.when(whole.isNotNull(), F.xxhash64(F.lit(1), "v", F.size("v"))),
+                             "h2": F.xxhash64(F.lit(2), "v", F.size("v"))})
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    classes = stored(rows.where("id is not null and size(v) > 0").groupBy("h1", "h2")
+    classes = stored(rows.where("id is not null and h1 is not null and size(v) > 0").groupBy("h1", "h2")
                      .agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("v").alias("v")), "vectors")
     picked = classes.orderBy("h1").limit(sample).select("v").toArrow()["v"].combine_chunks()
     if isinstance(picked, pa.ChunkedArray):
@@ -184,18 +186,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     forest = spark.sparkContext.broadcast(fit_forest(x[good], trees, leaf, spill, seed) if good.any() else [])
 
     routed = stored(arrow_map(classes.select("id", "copies", "v"), lambda it: _route(it, dim, forest),
-                              "id long, copies long, x array<double>, leaves array<int>"), "routed")
+                              f"id long, copies long, v {kind}, leaves array<int>"), "routed")
     # members of each leaf; blocks of a large one
-    members = routed.select("id", "copies", "x", "leaves", F.explode("leaves").alias("leaf"))
+    members = routed.select("id", "copies", "v", "leaves", F.explode("leaves").alias("leaf"))
     sizes = (routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
              .select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     # a leaf table row per leaf: bounded by the sample, as trees stop at ``leaf`` sample points
     placed = members.join(F.broadcast(sizes), "leaf").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     pairs = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.col("own").alias("side"), "id", "copies", "x", "leaves"))
+                     F.col("own").alias("side"), "id", "copies", "v", "leaves"))
     found = stored(pairs.groupBy("leaf", "i", "j").applyInArrow(
-        lambda key, t: _compare(key, t, cosine), "id long, local long, links long"), "found")
+        lambda key, t: _compare(key, t, dim, cosine), "id long, local long, links long"), "found")
 
     comp = components(found.where("id <> local").select(F.col("id").alias("a"), F.col("local").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
