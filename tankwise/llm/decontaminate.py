@@ -26,14 +26,13 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankwise.llm.shared import documents, let, stored
+from tankwise.llm.shared import documents, let, of_ids, stored
 
 K = 5
 SIMILARITY = 0.75
 RADIUS = 27
 BLOCKS = 8
 BROADCAST_ROWS = 400_000   # shingles of the benchmark up to which its index is broadcast (16 bytes each)
-BROADCAST_WINDOWS = 2_000_000   # windows sent to all tasks instead of shuffling texts, at most (about 60 MB)
 
 
 def words_of(text) -> F.Column:
@@ -111,11 +110,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         places = found if places is None else places.unionAll(found)
     windows = stored(places.distinct(), "windows")
 
-    # few windows are sent to the texts; else the texts (not their words) are
-    # shuffled, each once
+    # only texts with a window are shuffled (not their words), each once
     wanted = windows.groupBy("id").agg(F.collect_list(F.struct("n", "start")).alias("w"))
-    wanted = F.broadcast(wanted) if windows.count() <= BROADCAST_WINDOWS else wanted
-    cut = (docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")
+    ids = stored(windows.select("id").distinct(), "ids")
+    whole_texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    cut = (of_ids(whole_texts, ids, "left_semi", "id").join(wanted, "id")
            .select("id", words_of(F.col("text")).alias("words"), "w").select("id", "words", F.explode("w").alias("w"))
            .select("id", "w.n", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.n")).alias("part")))
     spans = None
