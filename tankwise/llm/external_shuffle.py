@@ -38,7 +38,7 @@ def external_shuffle(df: DataFrame, size: F.Column, shards: int = SHARDS, seed:
     place = F.monotonically_increasing_id()
     scattered = (df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"), place.alias("place"))
                  .withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "place"), F.lit(buckets)).cast("int"))
-                 .repartition(buckets, "bucket"))
+                 .repartitionById(buckets, F.col("bucket")))      # one bucket a partition
     permuted = (scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("place", "record"))).alias("rows"))
                 .select("bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("pos", "row"))
                 .select("bucket", "pos", F.col("row.record").alias("record")))
