@@ -24,7 +24,7 @@ def start(head_counts: np.ndarray, tail_count: float, inputs: int, hidden: int,
          "h": (rng.normal(size=(hidden, 3 * hidden)) * 0.3).astype(f),
          "b": np.zeros(3 * hidden, f),
          "c": np.zeros((hidden, classes + 1), f),
-         "cb": np.log(np.append(total, tail_count + 1.0)).astype(f),
+         "cb": np.log(np.append(np.maximum(total, 1e-9), tail_count + 1.0)).astype(f),
          "w": np.zeros((len(order), hidden), f),
          "wb": np.log(head_counts + 1.0).astype(f)}
     members = [np.flatnonzero(cls == c) for c in range(classes)]

@@ -31,7 +31,7 @@ from tankwise.llm import gru
 from tankwise.llm.shared import arrow_map, documents, stored
 from tankwise.llm.words import U, HashIndex, mix, text_chunks, word_bounds, word_hashes
 
-FREQUENT = 1 << 17       # words counted inside tasks and known to the scoring tasks, at most
+FREQUENT = 1 << 18       # words counted inside tasks and known to the scoring tasks, at most
 OFTEN = 8                # times a task must meet a word to propose it
 HEAD = 1023              # head words besides the end of text
 CLASSES = 32
@@ -44,24 +44,37 @@ SEED = 5
 END = np.array([0x5851F42D4C957F2D], U)    # hash of the end of a text
 
 
-def _tokens(batch, ids, texts, train):
-    """Per chunk: rows, token hashes with ends, first token of each text, whether
-    it is training text, its fingerprint."""
+def _tokens(batch, texts, train):
+    """Per CHUNK of bytes: first row, rows, token hashes with ends, first token of
+    each text, whether it is training text, its fingerprint.  Bytes are hashed in
+    smaller pieces, which bounds the scratch arrays."""
     held = batch.column(train).to_numpy(zero_copy_only=False)
-    for row, off, data in text_chunks(batch.column(texts), CHUNK):
-        s, e, first = word_bounds(off, data)
-        words = word_hashes(data, s, e)
-        m = len(off) - 1
-        h = np.insert(words, first[1:], END[0])
-        off = first + np.arange(m + 1)
+    hashes, counts, start, size = [], [], 0, 0
+
+    def joined(row):
+        h, n = np.concatenate(hashes), np.concatenate(counts)
+        m = len(n)
+        off = np.concatenate([[0], np.cumsum(n)])
         with np.errstate(over="ignore"):
-            c = np.concatenate([[U(0)], np.cumsum(mix(h + np.arange(len(h)).astype(U) - np.repeat(off[:-1], np.diff(off)).astype(U)))])
-        yield row, m, h, off, held[row:row + m], (c[off[1:]] - c[off[:-1]]).view(np.int64)
+            place = (np.arange(len(h)) - np.repeat(off[:-1], n)).astype(U)
+            c = np.concatenate([[U(0)], np.cumsum(mix(h + place))])
+        return row, m, h, off, held[row:row + m], (c[off[1:]] - c[off[:-1]]).view(np.int64)
+
+    for row, off, data in text_chunks(batch.column(texts)):
+        s, e, first = word_bounds(off, data)
+        hashes.append(np.insert(word_hashes(data, s, e), first[1:], END[0]))
+        counts.append(np.diff(first) + 1)
+        size += len(data)
+        if size >= CHUNK:
+            yield joined(start)
+            start, hashes, counts, size = row + len(off) - 1, [], [], 0
+    if hashes:
+        yield joined(start)
 
 
 def _often(batches):
     for batch in batches:
-        for _, _, h, off, train, _ in _tokens(batch, 0, 1, 2):
+        for _, _, h, off, train, _ in _tokens(batch, 1, 2):
             v, c = np.unique(h[np.repeat(train, np.diff(off))], return_counts=True)
             v, c = v[c >= OFTEN], c[c >= OFTEN]
             yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
@@ -75,7 +88,7 @@ def _counted(batches, frequent):
     names = ["h", "id", "f", "n", "train"]
     for batch in batches:
         ids = batch.column(0)
-        for row, m, h, off, train, f in _tokens(batch, 0, 1, 2):
+        for row, m, h, off, train, f in _tokens(batch, 1, 2):
             at = index.find(h)
             doc = np.repeat(np.arange(m), np.diff(off))
             total += np.bincount(at[(at >= 0) & train[doc]], minlength=len(total))
@@ -176,7 +189,7 @@ def _train(batches, model, every):
     p = {k: v.copy() for k, v in m.network.items()}
     memory, tokens = None, 0
     for batch in batches:
-        for _, _, h, off, train, f in _tokens(batch, 0, 1, 2):
+        for _, _, h, off, train, f in _tokens(batch, 1, 2):
             use = np.flatnonzero(train & (f % every == 0))
             if len(use) == 0:
                 continue
@@ -210,7 +223,7 @@ def _scored(batches, model):
     names = ["id", "f", "train", "n", "known", "tail", "unseen", "logs", "logp"]
     for batch in batches:
         ids = batch.column(0)
-        for row, k, h, off, train, f in _tokens(batch, 0, 1, 2):
+        for row, k, h, off, train, f in _tokens(batch, 1, 2):
             at, goal, given = m.feed(h)
             logp = gru.score(m.network, m.tables, given, goal, off) / math.log(10)
             listed = at >= 0
