@@ -13,7 +13,7 @@ from tankwise.llm.decontaminate import decontaminate
 from tankwise.llm.ngram_join import ngram_join
 from tankwise.llm.piece_codec import MODEL, piece_codec, vocabulary_path
 from tankwise.llm.quality import keep_good
-from tankwise.llm.shared import documents, stored
+from tankwise.llm.shared import documents, of_ids, stored
 from tankwise.llm.toxicity import held_out, keep_below
 from tankwise.plans.registry import prepare
 
@@ -22,10 +22,11 @@ ORACLE_SQL = None
 TOXIC = 0.5
 
 
-def _kept(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (left_semi) or is not (left_anti);
-    rows without an id stay out of every decision and are dropped."""
-    return docs.where("doc_id is not null").join(ids.select("doc_id").distinct(), "doc_id", how).select(docs.columns)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids(doc_id)``; rows without an id can
+    not be told apart and are dropped."""
+    gone = stored(ids.select("doc_id").distinct(), "gone")
+    return of_ids(docs.where("doc_id is not null"), gone, "left_anti", "doc_id").select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +45,17 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the smallest id."""
     prepare(spark)
-    return _kept(docs, ngram_join(docs).where("doc_id = component_id"), "left_semi").dropDuplicates(["doc_id"])
+    rest = _without(docs, ngram_join(docs).where("doc_id <> component_id"))
+    twice = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    once = of_ids(rest, twice, "left_anti", "doc_id").select(docs.columns)
+    return once.unionAll(of_ids(rest, twice, "left_semi", "doc_id").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def keep_unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     prepare(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _kept(docs, found, "left_anti")
+    return _without(docs, found)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ Sets are the distinct k-word shingles of each text.  Two sets of sizes l >= s
 with Jaccard >= t differ in at most H = (l + s)(1 - t)/(1 + t) elements.
 
 * Equal sets are one class; only the class representative (smallest id) joins.
+  (A row whose id stands for another class joins too; it links with its own.)
 * *Main index.*  Size bands grow by 4; band b splits the universe into
   3 * 4^b segments by hash.  A set's entries are its non-empty segment subsets.
   Every differing element spoils at most one subset, so a pair whose larger
@@ -15,15 +16,19 @@ with Jaccard >= t differ in at most H = (l + s)(1 - t)/(1 + t) elements.
   into one bucket.  A set that is left with at most H entries can only be missed
   together with a partner in the same position (subsets that are not shared are
   all spoiled, on both sides).
-* *One-deletion index.*  Those sets get ceil((H + 1) / 2) segments over the full
-  universe in narrow bands, each with allocation 1: the subset and all its
-  one-element deletions.  Allocations add up to H + 1 spoilt elements, so any
+* *Finest partition.*  Those sets also enter their single elements (segments of
+  one element, frequent ones left out).  There only the set's own l - overlap
+  differing elements spoil entries, at most A, so the first A + 1 in hash order
+  do; again a pair without a common entry has at most A entries on both sides.
+* *One-deletion index.*  The sets still left get ceil((H + 1) / 2) segments over
+  the full universe in narrow bands, each with allocation 1: the subset and all
+  its one-element deletions.  Allocations add up to H + 1 spoilt elements, so any
   pair agrees on some segment up to one deletion.
 * *Buckets to links.*  Each bucket member meets the bucket's smallest set first;
   verified links are merged into components, and only members of different
-  components that share a bucket are paired afterwards.  Large groups of near
-  copies therefore cost a star, not all pairs, and no link between different
-  texts is lost for the components.
+  components that share a bucket are compared afterwards (large buckets block by
+  block, on sketches).  Large groups of near copies therefore cost a star, not
+  all pairs, and no link between different texts is lost for the components.
 * *Verification.*  A parity sketch whose Hamming distance never exceeds the true
   difference rejects candidates without their texts; the rest are decided on the
   full shingle sets of the whole texts.
@@ -38,15 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankwise.llm.shared import arrow_map, components, documents, dropped, stored
+from tankwise.llm.shared import arrow_map, components, documents, dropped, of_ids, stored
 from tankwise.llm.words import U, mix, shingles_of_texts
 
 K = 5
 SIMILARITY = (75, 100)
-FREQUENT = 24            # sets holding a shingle, seen by tasks, from which it is frequent
+FREQUENT = 8             # sets holding a shingle, seen by tasks, from which it is frequent
 FREQUENT_KEPT = 1 << 20  # most frequent shingles given to the tasks (8 MB at most)
 COUNT_CHUNK = 1 << 22    # shingles counted at a time inside a task
 SKETCH_BITS = 1 << 16
+SMALL_BUCKET = 32        # members up to which a bucket's pairs are joined by Spark
+BLOCK = 1024             # members of a larger bucket compared at a time
 
 
 def _differ(a, b, sim):
@@ -111,9 +118,9 @@ def _sums(values, off):
 
 
 def _sketch(values) -> bytes:
-    """Parity of the shingles in each of 1.5 to 3 times as many cells (a power of two)."""
+    """Parity of the shingles in each of 2 to 4 times as many cells (a power of two)."""
     n = len(values)
-    bits = min(SKETCH_BITS, max(64, 1 << int(np.ceil(np.log2(max(1.5 * n, 1))))))
+    bits = min(SKETCH_BITS, max(64, 1 << int(np.ceil(np.log2(max(2 * n, 1))))))
     par = np.bincount((values & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(par.astype(np.uint8)).tobytes()
 
@@ -124,14 +131,11 @@ def _signatures(batches, k, sim, frequent):
     names = ["sig", "id", "n"]
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        want1 = batch.column(2).to_numpy(zero_copy_only=False).view(U)
-        want2 = batch.column(3).to_numpy(zero_copy_only=False).view(U)
         for row, values, off in shingles_of_texts(batch.column(1), k):
             m = len(off) - 1
-            ok = (_sums(mix(values, 1), off) == want1[row:row + m]) & (_sums(mix(values, 2), off) == want2[row:row + m])
-            n = np.where(ok, np.diff(off), 0)
-            doc = np.repeat(np.arange(m), np.diff(off))
-            cold = ok[doc]
+            n = np.diff(off)
+            doc = np.repeat(np.arange(m), n)
+            cold = np.ones(len(values), bool)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
                 cold &= frequent[at] != values
@@ -146,7 +150,7 @@ def _signatures(batches, k, sim, frequent):
             low = np.where((band > 0) & (n <= _partner(edge - 1, sim)), _differ(n, edge - 1, sim), -1)
             sigs, who, few = [], [], np.zeros(m, bool)
             for scheme, most in ((band, own), (band - 1, low)):
-                use = big & ok & (most >= 0)
+                use = big & (most >= 0)
                 s, d = _entries(cv, cd, scheme, use, m)
                 rank, order, count = _ranks(s, d, m)
                 take = rank <= most[d[order]]
@@ -154,7 +158,12 @@ def _signatures(batches, k, sim, frequent):
                 who.append(d[order][take])
                 few |= use & (count <= most)
             for i in np.flatnonzero(few).tolist():
-                s = _deletion_entries(values[off[i]:off[i + 1]], sim)
+                v = values[off[i]:off[i + 1]]
+                own = mix(v[cold[off[i]:off[i + 1]]], 31)
+                alone = _alone(len(v), sim)
+                s = np.sort(own)[:alone + 1]
+                if len(own) <= alone:
+                    s = np.concatenate([s, _deletion_entries(v, sim)])
                 sigs.append(s)
                 who.append(np.full(len(s), i))
             s, w = np.concatenate(sigs), np.concatenate(who)
@@ -188,6 +197,13 @@ def _ranks(sig, doc, m):
     return np.arange(len(order)) - start[doc[order]], order, count
 
 
+def _alone(n, sim):
+    """Most elements that a set of size n has outside a linked set."""
+    p, q = sim
+    smallest = -(-n * p // q)
+    return n + (-p * (n + smallest) // (p + q))
+
+
 def _deletion_entries(values, sim):
     """Entries of one set over the full universe with allocation 1 (the last
     segment 0 when H + 1 is odd), in the narrow bands that it can share."""
@@ -265,6 +281,80 @@ def _sketch_filter(batches, sim):
         yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
 
+def _folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    while sketches.shape[1] > size:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _near_in_bucket(key, table: pa.Table, sim) -> pa.Table:
+    """Pairs of a bucket, or of two of its blocks, that lie in different
+    components and whose sketches do not exclude a link."""
+    p, q = sim
+    ids, n, c, side = (table[x].to_numpy() for x in ("id", "n", "c", "side"))
+    n = n.astype(np.int64)
+    across = key[1].as_py() != key[2].as_py()
+    raw = table["sketch"].to_pylist()
+    groups: dict[int, list[int]] = {}
+    for i, x in enumerate(raw):
+        groups.setdefault(len(x), []).append(i)
+    packed = {k: np.frombuffer(b"".join(raw[i] for i in v), np.uint64).reshape(len(v), k // 8) for k, v in groups.items()}
+    left, right = [], []
+    sig, lists, sets = key[0].as_py(), table["sigs"], {}
+
+    def before(i):
+        if i not in sets:
+            sets[i] = {x for x in lists[i].as_py() if x < sig}
+        return sets[i]
+
+    for k, rows in groups.items():
+        for k2, rows2 in groups.items():
+            if k2 < k:
+                continue
+            other, at = _folded(packed[k2], k // 8), np.array(rows2)
+            for i, x in zip(rows, packed[k]):
+                ok = (c[at] != c[i]) & (n[at] * p <= n[i] * q) & (n[i] * p <= n[at] * q)
+                if across:
+                    ok &= side[at] != side[i]
+                if k == k2:
+                    ok &= at > i
+                j = np.flatnonzero(ok)
+                if len(j):
+                    apart = np.bitwise_count(other[j] ^ x).sum(axis=1)
+                    for m in at[j[apart <= _differ(n[at[j]], n[i], sim)]].tolist():
+                        if before(i).isdisjoint(before(m)):      # else an earlier bucket has the pair
+                            left.append(ids[i])
+                            right.append(ids[m])
+    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def remaining_pairs(members: DataFrame, sketches: DataFrame, sim) -> DataFrame:
+    """Distinct pairs (a > b) of ``members(sig, id, n, c)`` that share a signature
+    and lie in different components; pairs from large buckets have passed the
+    sketch."""
+    p, q = sim
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size"))
+    sized = members.join(sizes, "sig")
+    small = sized.where(F.col("size") <= SMALL_BUCKET)
+    l, r = small.alias("l"), small.alias("r")
+    few = (l.join(r, F.expr(f"l.sig = r.sig and l.c < r.c and l.n * {p} <= r.n * {q} and r.n * {p} <= l.n * {q}"))
+           .select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    large = (sized.where(F.col("size") > SMALL_BUCKET).groupBy("id", "n", "c")
+             .agg(F.sort_array(F.collect_list(F.struct("sig", "size"))).alias("all"))
+             .join(sketches.select("id", "sketch"), "id")
+             .select("id", "n", "c", "sketch", F.col("all.sig").alias("sigs"), F.explode("all").alias("one"))
+             .select("id", "n", "c", "sketch", "sigs", "one.sig", "one.size")
+             .withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     F.col("own").alias("side"), "id", "n", "c", "sketch", "sigs"))
+    many = large.groupBy("sig", "i", "j").applyInArrow(lambda key, t: _near_in_bucket(key, t, sim), "a long, b long")
+    return few.unionAll(many).where("a <> b").distinct()
+
+
 def _exact_links(batches, k, sim):
     p, q = sim
     for batch in batches:
@@ -290,12 +380,13 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, si
     both = pairs.join(sa, "a").join(sb, "b").where(F.greatest("na", "nb") * p <= F.least("na", "nb") * q)
     near = stored(arrow_map(both, lambda it: _sketch_filter(it, sim), "a long, b long").distinct(), "near")
     need = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
-    have = stored(texts.join(need, "id", "left_semi"), "texts")
+    need = stored(need, "need")
+    have = stored(of_ids(texts, need, "left_semi", "id"), "texts")
     ta = have.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     tb = have.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
     out = stored(arrow_map(both, lambda it: _exact_links(it, k, sim), "a long, b long").distinct(), "links")
-    dropped(have, near)
+    dropped(have, near, need)
     return out
 
 
@@ -322,15 +413,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     classes = stored(sets.where("n > 0 and id is not null").groupBy("f1", "f2", "n")
                      .agg(F.min("id").alias("rep")), "classes")
-    reps = texts.join(classes.select(F.col("rep").alias("id"), "f1", "f2").distinct(), "id")
-    entries = arrow_map(reps.select("id", "text", "f1", "f2"),
+    ids = classes.select(F.col("rep").alias("id")).distinct()
+    copies = stored(sets.where("n > 0 and id is not null").select("id").distinct().join(ids, "id", "left_anti"), "copies")
+    entries = arrow_map(of_ids(texts.where("id is not null"), copies, "left_anti", "id"),
                         lambda it: _signatures(it, k, sim, common.value), "sig long, id long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = stored(arrow_map(entries.repartition(parts, "sig").sortWithinPartitions("sig", "n", "id"),
                                _runs, "sig long, id long, center long, n int"), "buckets")
 
-    rep_sketch = stored(sketches.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"),
-                        "sketches")
+    rep_sketch = stored(sketches.join(ids, "id", "left_semi").dropDuplicates(["id", "sketch"]), "sketches")
     stars = stored(buckets.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b"))
                    .distinct(), "stars")
     links = verified(stars, rep_sketch, texts, k, sim)
@@ -339,10 +430,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select("sig", "id", "n", F.coalesce("component", "id").alias("c")))
     mixed = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig")
     left = stored(placed.join(mixed, "sig", "left_semi").distinct(), "mixed")
-    p, q = sim
-    l, r = left.alias("l"), left.alias("r")
-    rest = (l.join(r, F.expr(f"l.sig = r.sig and l.c < r.c and l.n * {p} <= r.n * {q} and r.n * {p} <= l.n * {q}"))
-            .select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")).distinct())
+    rest = remaining_pairs(left, rep_sketch, sim)
     done = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = verified(rest.join(done, ["a", "b"], "left_anti"), rep_sketch, texts, k, sim)
     joined = comp.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more)

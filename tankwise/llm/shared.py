@@ -35,6 +35,16 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+BROADCAST_IDS = 4_000_000   # ids sent to all tasks instead of shuffling texts, at most (about 100 MB)
+
+
+def of_ids(rows: DataFrame, ids: DataFrame, how: str, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is (left_semi) or is not (left_anti) in ``ids``, a
+    stored table of that one column; the rows are shuffled only if the ids are too
+    many to send round."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def let(value, fn):
     """``fn(value)`` with ``value`` computed once per row however often ``fn`` uses
     it (bound as the variable of a one-element array)."""
