@@ -50,7 +50,7 @@ K = 5
 SIMILARITY = (75, 100)
 FREQUENT = 8             # sets holding a shingle, seen by tasks, from which it is frequent
 FREQUENT_KEPT = 1 << 20  # most frequent shingles given to the tasks (8 MB at most)
-COUNT_CHUNK = 1 << 22    # shingles counted at a time inside a task
+COUNT_CHUNK = 1 << 21    # shingles counted at a time inside a task
 SKETCH_BITS = 1 << 16
 SMALL_BUCKET = 32        # members up to which a bucket's pairs are joined by Spark
 BLOCK = 1024             # members of a larger bucket compared at a time

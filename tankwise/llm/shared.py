@@ -30,9 +30,27 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with this package importable in the workers."""
+    """``mapInArrow`` with this package importable in the workers, which give
+    freed memory back when a task ends (idle workers stay for the next stage)."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        give_back()
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return this process's freed memory to the machine."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+    if trim is not None:
+        trim(0)
 
 
 BROADCAST_IDS = 4_000_000   # ids sent to all tasks instead of shuffling texts, at most (about 100 MB)

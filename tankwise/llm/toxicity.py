@@ -133,7 +133,7 @@ class Matcher:
 
     def words(self, words):
         """Matches of the given words as {word: (term, edits)}."""
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 150_000:
             self.cache.clear()
         known, out = self.cache, {}
         for w in words:
