@@ -8,12 +8,16 @@ word count.
    shingle where the item has it (an insertion or deletion inside the passage
    gives one window for each side of it).
 2. *SimHash.*  A window's 64-bit fingerprint is the sign of the weighted vote of
-   its shingles; weights fall with the number of items that hold a shingle.
+   its shingles; weights fall with the number of items that hold a shingle, and a
+   shingle of no item weighs what the window's other shingles do on average.
 3. *Multi-index.*  Fingerprints are cut into 8 blocks.  Within Hamming radius R
    some block differs in at most R // 8 bits; items are indexed under all values
    of each block within that distance, so the join on (words, block, value)
    finds every item within the radius.
-4. *Exact check.*  A found pair counts if the item's shingles inside the window
+4. *Rare shingles.*  A fingerprint is no proof, so pairs outside the radius are
+   sought too: the rarest shingles of an item that together weigh more than 0.25
+   of it cannot all be missing, so a join on them finds every pair that counts.
+5. *Exact check.*  A found pair counts if the item's shingles inside the window
    weigh at least 0.75 of all its shingles.
 
 Items of fewer than five words have their whole sequence as one shingle.
@@ -23,7 +27,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankwise.llm.shared import documents, let, of_ids, stored
@@ -64,6 +68,15 @@ def _fingerprint(shingles: DataFrame, keys: list[str]) -> DataFrame:
     return votes.select(*keys, F.array(*blocks).alias("blocks"))
 
 
+def _rarest(whole: DataFrame, similarity: float) -> DataFrame:
+    """Shingles of each item, rarest first, until they weigh more than it may miss
+    (a hair more, for sums in another order)."""
+    item = Window.partitionBy("item", "version", "n")
+    before = F.sum("weight").over(item.orderBy(F.desc("weight"), "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")
+    return (whole.withColumns({"before": before, "most": F.sum("weight").over(item) * (1 - similarity + 1e-6)})
+            .where("before <= most").select("item", "version", "n", "h"))
+
+
 def _apart(a: str, b: str) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -122,8 +135,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         s = (cut.where(F.least("n", F.lit(K)) == k)
              .select("id", "n", "start", F.explode(shingles_of(F.col("part"), k)).alias("h")))
         spans = s if spans is None else spans.unionAll(s)
+    # a window holds a shingle of an item, so its mean is never null
+    mean = F.avg("weight").over(Window.partitionBy("id", "n", "start"))
     spans = stored(spans.distinct().join(_bounded(weight, rows), "h", "left")
-                   .select("id", "n", "start", "h", F.coalesce("weight", F.lit(1.0)).alias("weight")), "spans")
+                   .select("id", "n", "start", "h", F.coalesce("weight", mean).alias("weight")), "spans")
 
     prints = _fingerprint(spans, ["id", "n", "start"])
     marks = _fingerprint(whole, ["item", "version", "n"])
@@ -132,8 +147,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "item", "version", "n", "mark", "block", F.explode(F.transform(F.array(*[F.lit(x) for x in near]),
                                                                        lambda x: x.bitwiseXOR(F.col("value")))).alias("value"))
     probes = prints.select("id", "n", "start", F.col("blocks").alias("print"), F.posexplode("blocks").alias("block", "value"))
+    rare = spans.join(_bounded(_rarest(whole, similarity), rows), ["n", "h"])
     pairs = (probes.join(keyed, ["n", "block", "value"]).where(_apart("print", "mark") <= radius)
-             .select("id", "start", "item", "version", "n").distinct())
+             .select("id", "start", "item", "version", "n")
+             .unionAll(rare.select("id", "start", "item", "version", "n")).distinct())
 
     shared = (pairs.join(spans.select("id", "n", "start", "h"), ["id", "n", "start"])
               .join(_bounded(whole.select("item", "version", "n", "h", "weight"), rows), ["item", "version", "n", "h"])

@@ -106,6 +106,28 @@ def test_windows_equal_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_edited_passages_of_templated_and_copied_items_are_found(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]     # noqa: E731
+    template, copied = words(34), words(40)
+    items = {i: " ".join(template + words(6)) for i in range(60)}
+    items |= {100 + i: " ".join(copied[:39] + [f"end{i}"]) for i in range(60)}
+    items |= {200 + i: " ".join(words(40)) for i in range(20)}
+    docs = {}
+    for d in range(160):
+        part = items[rng.choice(list(items))].split()
+        for at in rng.sample(range(len(part)), rng.randint(1, 2)):
+            part[at] = f"new{d}"
+        docs[d] = " ".join(words(30) + part + words(30))
+    want = best_windows(docs, items, decontaminate.SIMILARITY)
+    out = decontaminate.decontaminate(spark.createDataFrame(list(docs.items()), "doc_id long, text string"),
+                                      spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in out.collect()}
+    assert len(want) > 300 and set(got) == set(want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
 def test_decontamination_edge_rows(spark):
     docs = edge.documents(spark)
     items = spark.createDataFrame([(1, edge.PASSAGE), (1, edge.PASSAGE), (2, None), (3, ""), (None, "a b c d e f"), (4, "one two three"),
