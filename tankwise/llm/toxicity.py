@@ -175,19 +175,21 @@ def inputs(found, n, weights) -> list[float]:
 
 
 # -------------------------------------------------------------------- learning
+def _stems_of(words) -> set[str]:
+    lo, hi = PREFIXES
+    return {w[:k] for w in words for k in range(lo, min(len(w), hi) + 1)}
+
+
 def _stem_counts(batches):
-    """Per chunk of training texts and stem that occurs in its toxic ones: toxic
-    and clean document counts, words equal to the stem, and a 64-bit map of the
-    words met in front of it."""
+    """Per chunk of training texts and stem of its toxic ones: toxic document
+    count, words equal to the stem, and a 64-bit map of the words met in front."""
     lo, hi = PREFIXES
     for batch in batches:
-        tox, clean, whole, before = Counter(), Counter(), Counter(), {}
-        rest = []
+        tox, whole, before = Counter(), Counter(), {}
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = WORD.findall(t.lower())
             if not y:
-                rest.append(set(words))
                 continue
+            words = WORD.findall(t.lower())
             first = {}
             for prev, w in zip(["", *words], words):
                 first.setdefault(w, prev)
@@ -200,14 +202,37 @@ def _stem_counts(batches):
             tox.update(mine.keys())
             for s, bits in mine.items():
                 before[s] = before.get(s, 0) | bits
-        for words in rest:
-            clean.update({w[:k] for w in words for k in range(lo, min(len(w), hi) + 1)} & tox.keys())
         stems = list(tox)
         maps = np.array([before[s] for s in stems], np.uint64).view(np.int64)
         yield pa.record_batch([pa.array(stems, pa.string()), pa.array([whole[s] for s in stems], pa.int64()),
-                               pa.array([tox[s] for s in stems], pa.int64()),
-                               pa.array([clean[s] for s in stems], pa.int64()), pa.array(maps)],
-                              names=["stem", "whole", "tox", "clean", "before"])
+                               pa.array([tox[s] for s in stems], pa.int64()), pa.array(maps)],
+                              names=["stem", "whole", "tox", "before"])
+
+
+def _clean_counts(batches, stems):
+    """Clean documents of each of ``stems``, over all training texts."""
+    for batch in batches:
+        clean = Counter()
+        for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not y:
+                clean.update(_stems_of(set(WORD.findall(t.lower()))) & stems.value)
+        yield pa.record_batch([pa.array(list(clean), pa.string()), pa.array(list(clean.values()), pa.int64())],
+                              names=["stem", "clean"])
+
+
+def find_stems(training: DataFrame):
+    """``stem, whole, tox`` of the stems that mark toxic documents: those of enough
+    toxic documents first, then their clean documents in every batch."""
+    stems = (arrow_map(training, _stem_counts, "stem string, whole long, tox long, before long")
+             .groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("whole", "tox")], F.bit_count(F.bit_or("before")).alias("contexts"))
+             .where((F.col("tox") >= MIN_DOCS) & (F.col("contexts") >= MIN_CONTEXTS)).toPandas())
+    # bounded by the words of the sample's toxic documents
+    known = training.sparkSession.sparkContext.broadcast(frozenset(stems["stem"]))
+    clean = (arrow_map(training, lambda it: _clean_counts(it, known), "stem string, clean long")
+             .groupBy("stem").agg(F.sum("clean").alias("clean")).toPandas())
+    count = dict(zip(clean["stem"], clean["clean"]))
+    pure = [(s, w, t) for s, w, t in zip(stems["stem"], stems["whole"], stems["tox"]) if t >= PURITY * (t + count.get(s, 0))]
+    return sorted(pure, key=lambda r: (-r[2], -len(r[0]), r[0]))[:MAX_STEMS]
 
 
 def choose_terms(stems, most: int = MAX_TERMS):
@@ -260,13 +285,7 @@ def fit(training: DataFrame):
     """``(terms, weights, logistic weights)`` from ``training(text, toxic)``, a
     bounded sample."""
     spark = training.sparkSession
-    stems = (arrow_map(training, _stem_counts, "stem string, whole long, tox long, clean long, before long")
-             .groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("whole", "tox", "clean")],
-                                  F.bit_count(F.bit_or("before")).alias("contexts"))
-             .where((F.col("tox") >= MIN_DOCS) & (F.col("contexts") >= MIN_CONTEXTS)
-                    & (F.col("tox") >= PURITY * (F.col("tox") + F.col("clean"))))
-             .orderBy(F.desc("tox"), F.desc(F.length("stem")), "stem").limit(MAX_STEMS).toPandas())
-    terms = choose_terms(list(zip(stems["stem"], stems["whole"], stems["tox"])))
+    terms = choose_terms(find_stems(training))
     matcher = spark.sparkContext.broadcast(Matcher(terms))
     rows = arrow_map(training, lambda it: _train_rows(it, matcher), "toxic int, n long, found array<double>").toPandas()
     found = [[(int(f[i]), int(f[i + 1]), f[i + 2]) for i in range(0, len(f), 3)] for f in rows["found"]]

@@ -74,6 +74,20 @@ def test_held_out_toxicity(spark):
     assert np.mean(clean) < 0.01 and np.mean(toxic) > 0.85
 
 
+def test_lexicon_does_not_follow_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))     # noqa: E731
+    common = [word() for _ in range(60)]
+    texts = [(" ".join([*rng.choice(common, 12), *(["zzmoron", common[i % 9]] if i % 8 == 0 else []), *rng.choice(common, 12)]), int(i % 8 == 0))
+             for i in range(800)]
+    texts.sort(key=lambda r: r[1])
+    rows = spark.createDataFrame(texts, "text string, toxic int")
+    whole = toxicity.find_stems(rows.coalesce(1))
+    assert whole and all("zzmoron".startswith(s) for s, _, _ in whole)
+    assert toxicity.find_stems(rows.repartitionByRange(200, "toxic", "text")) == whole
+    assert toxicity.find_stems(rows.repartition(200)) == whole
+
+
 def test_toxicity_edge_rows(spark):
     docs = edge.documents(spark)
     labels = spark.createDataFrame([(7, 1, 1), (10, 0, None), (None, 0, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
