@@ -1,6 +1,13 @@
 """Embedding near duplicates (operator 3): random-projection tree forest.
 
 * Equal vectors are one class (a group of exact copies of any size is one row).
+* Dense groups come first, as a median split cuts through a group that is most of
+  a node: balls of the threshold's angle around centres found in the sample.  A
+  ball's *core* (within the angle) is compared with everything within twice the
+  angle, which holds all its links, and goes no further; so a pair with a core
+  member is met in one ball exactly, and the trees hold the other pairs.  Core
+  members within half the angle are linked to one another by the triangle
+  inequality: they are counted, not compared.
 * Trees are fitted on a bounded sample of classes: a node projects on the
   difference of two of its points and splits at the median; points between the
   quantiles 0.5 -+ SPILL go to both children.  Every vector is then routed
@@ -16,6 +23,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +39,8 @@ SPILL = 0.06
 LEAF = 96                # sample points in a leaf
 SAMPLE = 50_000          # classes that the trees are fitted on, at most
 BLOCK = 2048
+DENSE = 96               # sample points that a ball holds at least
+PIVOTS = 4096            # sample points tried as centres
 SEED = 7
 
 
@@ -58,6 +69,51 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(good, norm, 1)[:, None], good
 
 
+# ----------------------------------------------------------------------- balls
+def find_balls(x: np.ndarray, cosine: float, dense: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres of dense groups in the sample, largest first, and the sample points
+    in no core."""
+    rng = np.random.default_rng(seed)
+    free, centres = np.ones(len(x), bool), []
+    pivots = rng.permutation(len(x))[:PIVOTS]
+    if cosine <= 0 or len(x) <= dense:
+        return np.zeros((0, x.shape[1])), free
+    small = x.astype(np.float32)
+    count = np.zeros(len(pivots), np.int64)
+    for a in range(0, len(x), 4096):
+        count += (small[a:a + 4096] @ small[pivots].T >= cosine).sum(axis=0)
+    for p in pivots[np.argsort(-count, kind="stable")][:int((count >= dense).sum())]:
+        if not free[p]:
+            continue
+        mine = free & (x @ x[p] >= cosine)
+        if mine.sum() < dense:
+            continue
+        centre = x[mine].sum(axis=0)
+        centre /= np.sqrt(centre @ centre)
+        core = x @ centre >= cosine
+        if (core & free).sum() >= dense:
+            centres.append(centre)
+            free &= ~core
+    return np.array(centres).reshape(-1, x.shape[1]), free
+
+
+def in_balls(x: np.ndarray, centres: np.ndarray, cosine: float) -> tuple[list[list[int]], np.ndarray]:
+    """Per row its balls as ``ball << 2 | core << 1 | tight``, ending with the one
+    that it is a core member of, and whether it is in no core."""
+    out: list[list[int]] = [[] for _ in range(len(x))]
+    free = np.ones(len(x), bool)
+    if len(centres):
+        angle = math.acos(cosine)
+        near = x @ centres.T
+        # a hair wider and narrower than the angles, for rounding
+        reach, tight = math.cos(min(2 * angle, math.pi)) - 1e-9, math.cos(angle / 2) + 1e-9
+        for b in range(len(centres)):
+            for r in np.flatnonzero(free & (near[:, b] >= reach)).tolist():
+                out[r].append(b << 2 | (near[r, b] >= cosine) << 1 | (near[r, b] >= tight))
+            free &= near[:, b] < cosine
+    return out, free
+
+
 # ----------------------------------------------------------------------- trees
 def fit_forest(x: np.ndarray, trees: int, leaf: int, spill: float, seed: int) -> list[list]:
     """Each tree is a list of nodes: ``(direction, low, high, left, right)`` or
@@ -108,16 +164,21 @@ def route(x: np.ndarray, nodes: list) -> list[list[int]]:
     return [sorted(v) for v in out]
 
 
-def _route(batches, dim, forest):
+def _route(batches, dim, forest, centres, cosine):
     for batch in batches:
         x, good = _matrix(batch.column("v"), dim)
         keep = np.flatnonzero(good)
         x = x[keep]
-        leaves = [route(x, nodes) for nodes in forest.value]
-        flat = [[t << 24 | leaf for t in range(len(leaves)) for leaf in leaves[t][i]] for i in range(len(x))]
+        balls, free = in_balls(x, centres.value, cosine)
+        flat: list[list[int]] = [[] for _ in range(len(x))]
+        rest = np.flatnonzero(free)
+        for t, nodes in enumerate(forest.value):
+            for r, leaves in zip(rest.tolist(), route(x[rest], nodes)):
+                flat[r] += [t << 24 | leaf for leaf in leaves]
         pick = pa.array(keep)
         yield pa.record_batch([*(batch.column(c).take(pick) for c in ("id", "copies", "v")),
-                               pa.array(flat, pa.list_(pa.int32()))], names=["id", "copies", "v", "leaves"])
+                               pa.array(flat, pa.list_(pa.int32())), pa.array([[int(c) for c in b] for b in balls], pa.list_(pa.int32()))],
+                              names=["id", "copies", "v", "leaves", "balls"])
 
 
 # ---------------------------------------------------------------------- leaves
@@ -130,6 +191,8 @@ def _compare(key, table: pa.Table, dim: int, cosine: float) -> pa.Table:
     x, _ = _matrix(table["v"].chunk(0), dim)
     linked = (x @ x.T) >= cosine
     np.fill_diagonal(linked, False)
+    core = table["core"].to_numpy()
+    linked &= core[:, None] | core[None, :]      # a pair of a ball has a core member; all are, in a leaf
     if key[1].as_py() != key[2].as_py():
         linked &= side[:, None] != side[None, :]
     label, links = ids.copy(), np.zeros(len(ids), np.int64)
@@ -159,7 +222,7 @@ def _compare(key, table: pa.Table, dim: int, cosine: float) -> pa.Table:
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
                  trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, sample: int = SAMPLE,
-                 block: int = BLOCK, seed: int = SEED) -> DataFrame:
+                 block: int = BLOCK, dense: int = DENSE, seed: int = SEED) -> DataFrame:
     """``(id, n_links, component_id, kept)`` per row of ``vectors``.
 
     Vectors that are null, empty, zero or hold null or non-finite parts link with
@@ -183,21 +246,37 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if isinstance(picked, pa.ChunkedArray):
         picked = picked.chunk(0) if picked.num_chunks else pa.array([], pa.list_(pa.float64()))
     x, good = _matrix(picked, dim)
-    forest = spark.sparkContext.broadcast(fit_forest(x[good], trees, leaf, spill, seed) if good.any() else [])
-
-    routed = stored(arrow_map(classes.select("id", "copies", "v"), lambda it: _route(it, dim, forest),
-                              f"id long, copies long, v {kind}, leaves array<int>"), "routed")
-    # members of each leaf; blocks of a large one
-    members = routed.select("id", "copies", "v", "leaves", F.explode("leaves").alias("leaf"))
-    sizes = (routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
-             .select("leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    # a leaf table row per leaf: bounded by the sample, as trees stop at ``leaf`` sample points
-    placed = members.join(F.broadcast(sizes), "leaf").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    pairs = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x[good]
+    balls, free = find_balls(x, cosine, dense, seed)
+    centres = spark.sparkContext.broadcast(balls)
+    # one leaf a tree if no sample point is left
+    forest = spark.sparkContext.broadcast(fit_forest(x[free], trees, leaf, spill, seed) if good.any() else [])
+
+    routed = stored(arrow_map(classes.select("id", "copies", "v"), lambda it: _route(it, dim, forest, centres, cosine),
+                              f"id long, copies long, v {kind}, leaves array<int>, balls array<int>"), "routed")
+    # members of each leaf and ball; blocks of a large one, those of tight members last
+    places = F.concat(
+        F.transform("leaves", lambda c: F.struct(c.alias("leaf"), F.lit(True).alias("core"), F.lit(False).alias("tight"))),
+        F.transform("balls", lambda c: F.struct((F.shiftright(c, 2) + F.lit(trees << 24)).alias("leaf"),
+                                                (c.bitwiseAND(F.lit(2)) != 0).alias("core"), (c.bitwiseAND(F.lit(1)) != 0).alias("tight"))))
+    members = routed.select("id", "copies", "v", "leaves", F.explode(places).alias("at")).select("id", "copies", "v", "leaves", "at.*")
+    # a row per leaf and ball: bounded by the sample, as trees stop at ``leaf`` sample points
+    blocks = lambda tight: F.ceil(F.count(F.when(F.col("tight") == tight, 1)) / block).cast("int")     # noqa: E731
+    sizes = members.groupBy("leaf").agg(
+        blocks(False).alias("loose"), blocks(True).alias("close"), F.min(F.when(F.col("tight"), F.col("id"))).alias("first"),
+        F.sum(F.when(F.col("tight"), F.col("copies"))).alias("all"))
+    sizes = stored(sizes, "sizes")
+    placed = members.join(F.broadcast(sizes), "leaf").withColumn("own", F.when(
+        F.col("tight"), F.col("loose") + F.pmod(F.xxhash64("id"), "close")).otherwise(F.pmod(F.xxhash64("id"), "loose")).cast("int"))
+    # tight members meet the loose ones only
+    last = F.when(F.col("tight"), F.col("loose")).otherwise(F.col("loose") + F.col("close")) - 1
+    pairs = (placed.withColumn("other", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
              .select("leaf", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.col("own").alias("side"), "id", "copies", "v", "leaves"))
-    found = stored(pairs.groupBy("leaf", "i", "j").applyInArrow(
-        lambda key, t: _compare(key, t, dim, cosine), "id long, local long, links long"), "found")
+                     F.col("own").alias("side"), "core", "id", "copies", "v", "leaves"))
+    compared = pairs.groupBy("leaf", "i", "j").applyInArrow(
+        lambda key, t: _compare(key, t, dim, cosine), "id long, local long, links long")
+    counted = placed.where("tight").select("id", F.col("first").alias("local"), (F.col("all") - F.col("copies")).alias("links"))
+    found = stored(compared.unionAll(counted), "found")
 
     comp = components(found.where("id <> local").select(F.col("id").alias("a"), F.col("local").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))

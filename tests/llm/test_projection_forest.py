@@ -38,6 +38,22 @@ def test_recall_and_precision_on_planted_links(spark, monkeypatch):
         assert all(rows[i]["kept"] == (comp[i] == i) for i in range(len(x)))
 
 
+def test_large_near_groups_keep_their_links(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(2, 64))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    x = np.concatenate([rng.normal(size=(3000, 64)) / 8,
+                        centre[0] + rng.normal(size=(2500, 64)) * 0.2 / 8,       # cosine 0.96
+                        centre[1] + rng.normal(size=(800, 64)) * 0.32 / 8])      # about the threshold
+    x[5600:5630] = x[5599]
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    links, label = brute(np.arange(len(x)), x / np.linalg.norm(x, axis=1)[:, None])
+    t = P.near_vectors(df, block=700).toPandas().set_index("vec_id").loc[np.arange(len(x))]
+    got = t["n_links"].to_numpy()
+    assert (got <= links).all() and got[3000:].sum() >= 0.99 * links[3000:].sum()
+    assert np.mean(t["component_id"].to_numpy() == label) > 0.99
+
+
 def test_recall_on_the_given_table(spark):
     sf = "/root/testdata/sf0.1"
     t = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
