@@ -13,8 +13,8 @@
    are averaged by tokens in a tree.
 5. Every document is scored whole, the state running on from window to window.
 
-Gradient steps are taken on one in TRAIN_EVERY training documents (by hash, a
-fixed share, so training grows with the corpus); counts cover all of them.
+Gradient steps are taken on every training document, so training grows with the
+corpus.
 """
 
 from __future__ import annotations
@@ -38,7 +38,6 @@ CLASSES = 32
 HIDDEN = 16
 TAIL_INPUTS = 256        # input vectors shared by tail words
 DISCOUNT = 0.75
-TRAIN_EVERY = 6
 CHUNK = 1 << 23
 SEED = 5
 END = np.array([0x5851F42D4C957F2D], U)    # hash of the end of a text
@@ -184,13 +183,13 @@ class Model:
         return at, goal, given
 
 
-def _train(batches, model, every):
+def _train(batches, model):
     m = model.value
     p = {k: v.copy() for k, v in m.network.items()}
     memory, tokens = None, 0
     for batch in batches:
-        for _, _, h, off, train, f in _tokens(batch, 1, 2):
-            use = np.flatnonzero(train & (f % every == 0))
+        for _, _, h, off, train, _ in _tokens(batch, 1, 2):
+            use = np.flatnonzero(train)
             if len(use) == 0:
                 continue
             n = np.diff(off)[use]
@@ -236,8 +235,7 @@ def _scored(batches, model):
 
 
 def lm_score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", hidden: int = HIDDEN,
-             classes: int = CLASSES, head: int = HEAD, frequent: int = FREQUENT, every: int = TRAIN_EVERY,
-             seed: int = SEED) -> DataFrame:
+             classes: int = CLASSES, head: int = HEAD, frequent: int = FREQUENT, seed: int = SEED) -> DataFrame:
     """``(id, training, n_tokens, n_known, train_tokens, base_score, score)`` per
     row; ``training`` is a boolean column of ``docs``.
 
@@ -268,7 +266,7 @@ def lm_score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
     model = Model(words, counts, rare_tokens, rare_words, hidden, classes, head, seed)
     if total:
         given = spark.sparkContext.broadcast(model)
-        trained = arrow_map(rows, lambda it: _train(it, given, every), "w double, p binary")
+        trained = arrow_map(rows, lambda it: _train(it, given), "w double, p binary")
         trained = arrow_map(trained.repartition(16), _average, "w double, p binary")
         mean = arrow_map(trained.repartition(1), _average, "w double, p binary").first()
         if mean is not None:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import edge
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tankwise.llm import gru, lm_score
@@ -83,6 +84,19 @@ def test_state_is_carried_across_windows(monkeypatch):
         whole = s
 
 
+def test_every_training_document_is_trained_on():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 50, 12)) for _ in range(90)]
+    batch = pa.record_batch([pa.array(range(90)), pa.array(texts), pa.array([i % 7 != 2 for i in range(90)])], names=["id", "text", "train"])
+    h = np.concatenate([t[2] for t in lm_score._tokens(batch, 1, 2)])
+    words, counts = np.unique(h, return_counts=True)
+
+    class Sent:
+        value = lm_score.Model(words, counts, 0, 0, 4, 4, 30, 1)
+    out = list(lm_score._train([batch], Sent))
+    assert out[0].column(0).to_pylist() == [13.0 * sum(i % 7 != 2 for i in range(90))]
+
+
 def test_training_lowers_the_loss_and_gradients_are_right():
     p, tables = network()
     rng = np.random.default_rng(5)
