@@ -1,7 +1,7 @@
 """Registered jobs run correctly in a caller's session with another time zone."""
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_jobs_normalise_session_zone(spark):

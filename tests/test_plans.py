@@ -1,6 +1,6 @@
 """Plan-shape guards for the scale design (checked on the physical plan)."""
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from tankwise.operators import anomaly as A
 from tankwise.operators import features as FE
 from tankwise.plans import views as V

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from tankwise.operators import features as FE
 from tankwise.operators.sequence import ordered_split
 from tankwise.plans import views as V

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from tankwise.operators import anomaly as A
 from tankwise.session import scratch_path
 from tankwise.sources.tables import table, telemetry
