@@ -1,8 +1,8 @@
 """Queries of this subpackage: name -> (spark, sf_dir) -> DataFrame.
 
-SQL cannot express these operators (hash partitions, trained models, tokenizers,
-connected components); each is tested against brute force, a library or held-out
-labels in ``tests/llm``."""
+Where SQL cannot express an operator (hash partitions, trained models, tokenizers,
+connected components, eigenvectors) it is tested against brute force, a library or
+held-out labels in ``tests/llm``."""
 
 from __future__ import annotations
 
@@ -14,11 +14,13 @@ from tankwise.llm.ngram_join import op1_ngram_join
 from tankwise.llm.piece_codec import op5_piece_codec
 from tankwise.llm.projection_forest import op3_projection_forest
 from tankwise.llm.quality import op6_quality
+from tankwise.llm.source_mix import SQL as SOURCE_MIX_SQL
+from tankwise.llm.source_mix import op12_source_mix
 from tankwise.llm.token_counts import op8_token_counts
 from tankwise.llm.toxicity import op4_toxicity
 from tankwise.plans.registry import prepare
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_source_mix": SOURCE_MIX_SQL}
 
 
 def _prepared(fn):
@@ -31,5 +33,5 @@ def _prepared(fn):
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op1_ngram_join, op2_lm_score, op3_projection_forest, op4_toxicity, op5_piece_codec, op6_quality, op7_license_scan,
-    op8_token_counts, op9_decontaminate, op10_external_shuffle,
+    op8_token_counts, op9_decontaminate, op10_external_shuffle, op12_source_mix,
 )}
