@@ -18,6 +18,7 @@ from tankwise.llm.source_mix import SQL as SOURCE_MIX_SQL
 from tankwise.llm.source_mix import op12_source_mix
 from tankwise.llm.token_counts import op8_token_counts
 from tankwise.llm.toxicity import op4_toxicity
+from tankwise.llm.whitening import op11_whitening
 from tankwise.plans.registry import prepare
 
 ORACLE: dict[str, str] = {"op12_source_mix": SOURCE_MIX_SQL}
@@ -33,5 +34,5 @@ def _prepared(fn):
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op1_ngram_join, op2_lm_score, op3_projection_forest, op4_toxicity, op5_piece_codec, op6_quality, op7_license_scan,
-    op8_token_counts, op9_decontaminate, op10_external_shuffle, op12_source_mix,
+    op8_token_counts, op9_decontaminate, op10_external_shuffle, op11_whitening, op12_source_mix,
 )}
