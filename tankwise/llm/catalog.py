@@ -6,6 +6,8 @@ held-out labels in ``tests/llm``."""
 
 from __future__ import annotations
 
+from tankwise.llm.collocations import SQL as COLLOCATIONS_SQL
+from tankwise.llm.collocations import op13_collocations
 from tankwise.llm.decontaminate import op9_decontaminate
 from tankwise.llm.external_shuffle import op10_external_shuffle
 from tankwise.llm.licenses import op7_license_scan
@@ -21,7 +23,7 @@ from tankwise.llm.toxicity import op4_toxicity
 from tankwise.llm.whitening import op11_whitening
 from tankwise.plans.registry import prepare
 
-ORACLE: dict[str, str] = {"op12_source_mix": SOURCE_MIX_SQL}
+ORACLE: dict[str, str] = {"op12_source_mix": SOURCE_MIX_SQL, "op13_collocations": COLLOCATIONS_SQL}
 
 
 def _prepared(fn):
@@ -34,5 +36,5 @@ def _prepared(fn):
 
 QUERIES = {fn.__name__: _prepared(fn) for fn in (
     op1_ngram_join, op2_lm_score, op3_projection_forest, op4_toxicity, op5_piece_codec, op6_quality, op7_license_scan,
-    op8_token_counts, op9_decontaminate, op10_external_shuffle, op11_whitening, op12_source_mix,
+    op8_token_counts, op9_decontaminate, op10_external_shuffle, op11_whitening, op12_source_mix, op13_collocations,
 )}
