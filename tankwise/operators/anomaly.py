@@ -7,12 +7,15 @@ lag, computed over the halo-chunked series so a hot unit is split by day.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
 from tankwise.operators.joins import join_checked
-from tankwise.operators.sequence import DEFAULT_ORDER, chunk_window, halo_chunks, trailing
+from tankwise.operators.sequence import DEFAULT_ORDER, chunk_window, halo_chunks
+from tankwise.sources.store import last_before
 
 # Fixed metric list of the 3-sigma detector.
 SIGMA_METRICS = ["fuel_consumed", "fuel_efficiency", "engine_temp", "oil_pressure"]
@@ -132,22 +135,25 @@ def expected_columns(df: DataFrame, patterns: DataFrame) -> DataFrame:
     })
 
 
-def anomaly_rules(df: DataFrame, patterns: DataFrame, key: str = "equipment_id") -> DataFrame:
+def with_kinds(df: DataFrame, patterns: DataFrame, key: str = "equipment_id", prev=with_prev_level) -> DataFrame:
+    """Every reading with the array ``kinds`` of the rule types it fires (empty if none);
+    all columns of ``df`` are carried along, so other detectors' results need no join."""
+    d = expected_columns(prev(df, key), patterns)
+    kinds = F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in rule_flags().items()]))
+    return d.withColumn("fuel_level_change", F.col("fuel_level") - F.col("prev_level")).withColumn("kinds", kinds)
+
+
+def anomaly_rules(df: DataFrame, patterns: DataFrame, key: str = "equipment_id", prev=with_prev_level) -> DataFrame:
     """ML8: one output row per (reading, fired rule type)."""
-    d = expected_columns(with_prev_level(df, key), patterns)
-    flags = rule_flags()
-    kinds = F.array_compact(F.array(*[F.when(c, F.lit(t)) for t, c in flags.items()]))
-    d = d.withColumn("fuel_level_change", F.col("fuel_level") - F.col("prev_level"))
-    return d.select("*", F.explode(kinds).alias("anomaly_type"))
-
-
-def anomaly_severity(rules: DataFrame, stat: DataFrame) -> DataFrame:
-    """SC23 applied to rule anomalies; score = min(1, max |z| / 5) from the
-    statistical detector (rows without bounds score 0)."""
-    z = stat.select("event_id", "max_abs_z")
-    j = rules.join(z, "event_id", "left")
+    d = with_kinds(df, patterns, key, prev)
+    return d.select(*[c for c in d.columns if c != "kinds"], F.explode("kinds").alias("anomaly_type"))
+
+
+def anomaly_severity(rules: DataFrame) -> DataFrame:
+    """SC23 applied to rule anomalies over rows that carry the statistical detector's
+    ``max_abs_z``; score = min(1, max |z| / 5) (rows without bounds score 0)."""
     score = F.least(F.lit(1.0), F.coalesce(F.col("max_abs_z"), F.lit(0.0)) / 5.0)
-    return j.withColumn("anomaly_score", score).withColumn(
+    return rules.withColumn("anomaly_score", score).withColumn(
         "severity", S.severity(F.col("anomaly_type"), F.col("anomaly_score")))
 
 
@@ -170,6 +176,17 @@ def union_detectors(stat: DataFrame, rules: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def anomalies_recent(rules: DataFrame, telemetry: DataFrame, hours: int = 48) -> DataFrame:
-    """VW4: rule anomalies in the trailing window (relative to the data max)."""
-    return trailing(rules, "ts", hours=hours, anchor=telemetry)
+def recent_rules(store, patterns: DataFrame, hours: int = 48) -> DataFrame:
+    """VW4: rule anomalies of the trailing window.  Only its date folders are read, and
+    for each unit in it one earlier reading, the one that the first lag looks at."""
+    recent = store.trailing(hours=hours).drop("date")
+    last = store.stats.agg(F.max("last")).first()[0]
+    if last is None:
+        return anomaly_rules(recent, patterns)
+    cut = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=last) - dt.timedelta(hours=hours)
+    before = last_before(store, cut, recent, ["equipment_id", "ts", "event_id", "fuel_level"])
+
+    def prev(df, key):
+        both = df.withColumn("_early", F.lit(False)).unionByName(before.withColumn("_early", F.lit(True)), allowMissingColumns=True)
+        return with_prev_level(both, key).where(~F.col("_early")).drop("_early")
+    return anomaly_rules(recent, patterns, prev=prev)

@@ -9,6 +9,7 @@ from tankwise.operators import patterns as P
 from tankwise.plans.q_patterns import EXPECTED_CTE, PATTERNS_CTE
 from tankwise.plans.q_views import SIGMA_CTE, STAT_CTE, stat_detections
 from tankwise.plans.registry import register, rnd, with_t
+from tankwise.sources.store import telemetry_store
 from tankwise.sources.tables import telemetry
 
 # SQL text of the ML8 rules (same thresholds as operators.anomaly.rule_flags).
@@ -40,6 +41,13 @@ def rules_df(spark, sf_dir):
     return A.anomaly_rules(t, P.equipment_patterns(t))
 
 
+def detected(spark, sf_dir):
+    """Every reading with both detectors' results, in one pass over the series."""
+    t = telemetry(spark, sf_dir)
+    rows = A.detect_statistical(t, A.sigma_thresholds(A.unannotated(t)), how="left")
+    return A.with_kinds(rows, P.equipment_patterns(t))
+
+
 SIGMA_SQL = """
 SELECT equipment_type, metric, avg(value) AS mean, stddev_samp(value) AS std, CAST(count(*) AS BIGINT) AS n,
   avg(value) - 3e0 * stddev_samp(value) AS lower, avg(value) + 3e0 * stddev_samp(value) AS upper
@@ -91,11 +99,10 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM stat WHERE length(stat_fired) > 0)
     SIGMA_CTE, STAT_CTE, *RULE_CTES))
 def anomaly_count(spark, sf_dir):
     """AG23: number of detected anomalies per detector."""
-    s = stat_detections(spark, sf_dir).agg(F.count_if("stat_anomaly").cast("long").alias("n_statistical"))
-    r = rules_df(spark, sf_dir)
-    return s.select("n_statistical",
-                    r.agg(F.count(F.lit(1)).cast("long")).scalar().alias("n_rule_rows"),
-                    r.agg(F.count_distinct("event_id").cast("long")).scalar().alias("n_rule_events"))
+    d = detected(spark, sf_dir)
+    return d.agg(F.count_if("stat_anomaly").cast("long").alias("n_statistical"),
+                 F.coalesce(F.sum(F.size("kinds")), F.lit(0)).cast("long").alias("n_rule_rows"),
+                 F.count_distinct(F.when(F.size("kinds") > 0, F.col("event_id"))).cast("long").alias("n_rule_events"))
 
 
 ROLLUP_CTE = """rollup AS (
@@ -123,7 +130,7 @@ SELECT r.event_id, r.anomaly_type, least(1e0, coalesce(s.max_abs_z, 0e0) / 5e0)
 FROM rules r LEFT JOIN stat s USING (event_id)""", SIGMA_CTE, STAT_CTE, *RULE_CTES), ["anomaly_score"]))
 def anomaly_severity(spark, sf_dir):
     """SC23: severity by score band, theft/oil/overheat at least high."""
-    out = A.anomaly_severity(rules_df(spark, sf_dir), stat_detections(spark, sf_dir))
+    out = A.anomaly_severity(detected(spark, sf_dir).withColumn("anomaly_type", F.explode("kinds")))
     return out.select("event_id", "anomaly_type", "anomaly_score", "severity")
 
 
@@ -132,9 +139,8 @@ SELECT event_id, equipment_id, ts, anomaly_type, fuel_consumed, fuel_level FROM
 WHERE ts >= (SELECT max(ts) FROM t) - INTERVAL 48 HOUR""", *RULE_CTES), ["fuel_consumed", "fuel_level"]))
 def anomalies_48h(spark, sf_dir):
     """VW4: rule anomalies in the trailing 48 h (six fields)."""
-    t = telemetry(spark, sf_dir)
-    r = A.anomaly_rules(t, P.equipment_patterns(t))
-    return A.anomalies_recent(r, t, 48).select("event_id", "equipment_id", "ts", "anomaly_type",
+    r = A.recent_rules(telemetry_store(spark, sf_dir), P.equipment_patterns(telemetry(spark, sf_dir)), 48)
+    return r.select("event_id", "equipment_id", "ts", "anomaly_type",
                                                "fuel_consumed", "fuel_level")
 
 
@@ -142,7 +148,6 @@ def anomalies_48h(spark, sf_dir):
 SELECT event_id, equipment_id, ts FROM t
 WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.event_id = t.event_id)""", *RULE_CTES))
 def unfaulted_rows(spark, sf_dir):
-    """JN12/SE3: readings no rule flagged (anti join on the reading id)."""
+    """JN12/SE3: readings no rule flagged (empty array of rule types, in the pass that fills it)."""
     t = telemetry(spark, sf_dir)
-    r = A.anomaly_rules(t, P.equipment_patterns(t)).select("event_id")
-    return t.select("event_id", "equipment_id", "ts").join(r, "event_id", "left_anti")
+    return A.with_kinds(t, P.equipment_patterns(t)).where(F.size("kinds") == 0).select("event_id", "equipment_id", "ts")

@@ -8,7 +8,9 @@ from tankwise.operators import anomaly as A
 from tankwise.operators.sequence import top_per_group
 from tankwise.plans import views as V
 from tankwise.plans.registry import TELEMETRY_DOUBLES, register, rnd, with_t
+from tankwise.sources.store import ingest, store_folder, telemetry_store
 from tankwise.sources.tables import telemetry
+from tankwise.sources.versions import fingerprint
 
 LATEST_SQL = """SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY ts DESC, event_id DESC) AS rn FROM t
@@ -52,8 +54,8 @@ def latest_per_equipment(spark, sf_dir):
 @register("recent_events", rnd(with_t(
     "SELECT * FROM t WHERE ts >= (SELECT max(ts) FROM t) - INTERVAL 24 HOUR"), TELEMETRY_DOUBLES))
 def recent_events(spark, sf_dir):
-    """PRJ9/JN11: readings in the trailing 24 h (inclusive)."""
-    return V.recent_events(telemetry(spark, sf_dir))
+    """PRJ9/JN11: readings in the trailing 24 h (inclusive), from the last date folders of the store."""
+    return V.recent_events(telemetry_store(spark, sf_dir))
 
 
 @register("dashboard_summary", with_t("""
@@ -70,7 +72,8 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS total_equipment,
 """, "latest AS (" + LATEST_SQL + ")", SIGMA_CTE, STAT_CTE))
 def dashboard_summary(spark, sf_dir):
     """VW6 summary: unit counts on latest rows, 24 h fuel, 24 h anomalies."""
-    return V.dashboard_summary(telemetry(spark, sf_dir), stat_detections(spark, sf_dir))
+    t = telemetry(spark, sf_dir)
+    return V.dashboard_summary(t, telemetry_store(spark, sf_dir), A.sigma_thresholds(A.unannotated(t)))
 
 
 @register("dashboard_equipment", rnd(with_t("""
@@ -130,7 +133,18 @@ FROM t WHERE ts >= (SELECT max(ts) FROM t) - INTERVAL 7 DAY AND equipment_type I
 GROUP BY equipment_type, CAST(ts AS DATE)"""), ["fuel_consumed"]))
 def consumption_history(spark, sf_dir):
     """VW7/AG15: mean consumption per type and day over the trailing week."""
-    return V.consumption_history(telemetry(spark, sf_dir), days=7)
+    return V.consumption_history(telemetry_store(spark, sf_dir), days=7)
+
+
+@register("ingest_store", with_t("""
+SELECT CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS rows, min(ts) AS first_ts, max(ts) AS last_ts
+FROM t GROUP BY CAST(ts AS DATE)"""))
+def ingest_store(spark, sf_dir):
+    """SRC1/SNK1: writes the date-partitioned store anew; rows and times of each date come from its footers."""
+    folder = store_folder(spark, sf_dir)
+    store = ingest(telemetry(spark, sf_dir), folder, fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet"))
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")      # noqa: E731
+    return store.stats.select("date", "rows", at("first").alias("first_ts"), at("last").alias("last_ts"))
 
 
 @register("dataset_summary", with_t("""

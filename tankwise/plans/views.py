@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankwise.operators.sequence import latest_by, max_scalar, trailing
+from tankwise.operators.anomaly import detect_statistical
+from tankwise.operators.sequence import latest_by, max_scalar
+from tankwise.sources.store import Store
 
 NA_TEXT = "Data Not Available"
 
@@ -73,8 +75,8 @@ def nested_payload(telemetry: DataFrame) -> DataFrame:
                     text.alias("rendered"))
 
 
-def recent_events(telemetry: DataFrame, hours: int = 24) -> DataFrame:
-    return trailing(telemetry, "ts", hours=hours)
+def recent_events(store: Store, hours: int = 24) -> DataFrame:
+    return store.trailing(hours=hours).drop("date")
 
 
 def dashboard_equipment(telemetry: DataFrame) -> DataFrame:
@@ -89,9 +91,10 @@ def dashboard_equipment(telemetry: DataFrame) -> DataFrame:
         F.lit(max_scalar(telemetry.select("ts"), "ts")).alias("last_updated"))
 
 
-def dashboard_summary(telemetry: DataFrame, stat_detections: DataFrame | None = None) -> DataFrame:
+def dashboard_summary(telemetry: DataFrame, store: Store, bounds: DataFrame | None = None) -> DataFrame:
     """VW6 (summary): AG13 counts on latest rows, AG14 trailing-24h fuel sum,
-    and anomalies in the trailing 24 h from the statistical detector."""
+    and anomalies in the trailing 24 h by the statistical detector's bounds.
+    The trailing parts read the last date folders only."""
     latest = latest_by(telemetry.select("equipment_id", "ts", "event_id", "operational_status",
                                         "maintenance_status", "fuel_level", "tank_capacity"))
     a = latest.agg(
@@ -99,22 +102,20 @@ def dashboard_summary(telemetry: DataFrame, stat_detections: DataFrame | None =
         F.count_if(F.col("operational_status") == "Running").cast("long").alias("active_equipment"),
         F.count_if(F.col("maintenance_status") == "Needs Service").cast("long").alias("maintenance_needed"),
         F.count_if(F.col("fuel_level") / F.col("tank_capacity") < 0.2).cast("long").alias("low_fuel_count"))
-    recent = trailing(telemetry.select("ts", "fuel_consumed"), "ts", hours=24)
+    recent = store.trailing(hours=24)
     fuel = recent.agg(F.round(F.coalesce(F.sum("fuel_consumed"), F.lit(0.0)), 2)).scalar()
     out = a.withColumn("total_fuel_consumed", fuel)
-    if stat_detections is not None:
-        rec = trailing(stat_detections.filter("stat_anomaly").select("ts"), "ts", hours=24,
-                       anchor=telemetry)
+    if bounds is not None:
+        rec = detect_statistical(recent, bounds).filter("stat_anomaly")
         out = out.withColumn("anomaly_count_24h", rec.agg(F.count(F.lit(1)).cast("long")).scalar())
-    return out.withColumn("last_updated", F.lit(max_scalar(telemetry.select("ts"), "ts")))
+    return out.withColumn("last_updated", F.lit(store.last_time()))
 
 
-def consumption_history(telemetry: DataFrame, days: int = 7) -> DataFrame:
+def consumption_history(store: Store, days: int = 7) -> DataFrame:
     """VW7/AG15: mean consumption per (type, day) over the trailing ``days``."""
-    t = trailing(telemetry.select("equipment_type", "ts", "fuel_consumed"), "ts", days=days)
+    t = store.trailing(days=days).select("equipment_type", "date", "fuel_consumed")
     return (t.filter(F.col("equipment_type").isNotNull())
-             .groupBy("equipment_type", F.to_date("ts").alias("date"))
-             .agg(F.avg("fuel_consumed").alias("fuel_consumed")))
+             .groupBy("equipment_type", "date").agg(F.avg("fuel_consumed").alias("fuel_consumed")))
 
 
 def dataset_summary(telemetry: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import io
 import os
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +68,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tankwise/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """SQL settings for the jobs run inside; the caller's come back afterwards."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers wherever the job was
     started from: a zip in the shared folder, added to the context once."""

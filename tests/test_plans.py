@@ -4,6 +4,7 @@ from support import SF_SMALL
 from tankwise.operators import anomaly as A
 from tankwise.operators import features as FE
 from tankwise.plans import views as V
+from tankwise.sources.store import telemetry_store
 from tankwise.sources.tables import telemetry
 
 
@@ -23,12 +24,13 @@ def test_feature_windows_share_one_exchange_on_unit_and_chunk(spark):
 
 
 def test_scan_reads_only_needed_columns(spark):
-    df = V.consumption_history(telemetry(spark, SF_SMALL))
+    df = V.consumption_history(telemetry_store(spark, SF_SMALL))
     p = _plan(df)
     import re
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", p)
     assert schemas and all("props" not in x for x in schemas)   # no scan reads unused columns
-    assert any("value" in x for x in schemas) and any(x == "struct<ts:timestamp_ntz>" for x in schemas)
+    assert any("fuel_consumed" in x for x in schemas) and any(x == "struct<last:bigint>" for x in schemas)
+    assert not any("fuel_level" in x for x in schemas)
 
 
 def test_statistical_detector_broadcasts_bounds(spark):
