@@ -7,13 +7,17 @@ SQL of the same job (closed windows only for append-mode windows).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tankwise.operators import anomaly as A
 from tankwise.plans.q_anomaly import RULE_CASES
 from tankwise.plans.q_views import LATEST_SQL, SIGMA_CTE
 from tankwise.plans.registry import register, rnd, with_t
+from tankwise.session import scratch_path
 from tankwise.sources.tables import telemetry
+from tankwise.sources.upserts import Published
 from tankwise.streaming import jobs as J
 
 
@@ -27,8 +31,8 @@ FROM latest l JOIN (
     CAST(count(*) AS BIGINT) AS n_readings
   FROM t GROUP BY equipment_id) c USING (equipment_id)""", f"latest AS ({LATEST_SQL})"), ["fuel_level"]))
 def stream_equipment_state(spark, sf_dir):
-    """ST1: streaming latest state and counters (complete mode)."""
-    return J.replay(spark, sf_dir, J.run_equipment_state, "state")
+    """ST1: streaming latest state and counters (update mode into a versioned upsert table)."""
+    return J.replay(spark, sf_dir, J.run_equipment_state, "state", reader=lambda s, out: J.state_table(s, out).read())
 
 
 @register("stream_consumption_daily", rnd(with_t("""
@@ -71,11 +75,11 @@ LATERAL (SELECT unnest(x.kinds) AS alert)"""
 
 @register("stream_alerts", with_t(ALERTS_SQL, SIGMA_CTE))
 def stream_alerts(spark, sf_dir):
-    """ST4: stream-static join with per-type bounds + lag-free rules."""
+    """ST4: per-type bounds, newest version per micro-batch, + lag-free rules."""
     t = telemetry(spark, sf_dir)
-    bounds = A._wide_bounds(A.sigma_thresholds(A.unannotated(t)), "equipment_type", A.SIGMA_METRICS)
-    bounds = bounds.checkpoint(eager=True)
-    return J.replay(spark, sf_dir, lambda s, o, c: J.run_alerts(s, bounds, o, c), "alerts")
+    bounds = Published(spark, scratch_path(spark, "bounds"))
+    bounds.publish(A._wide_bounds(A.sigma_thresholds(A.unannotated(t)), "equipment_type", A.SIGMA_METRICS))
+    return J.replay(spark, sf_dir, lambda s, o, c: J.run_alerts(s, bounds, o, c), "alerts", reader=J.alerts_table)
 
 
 @register("stream_fuel_drop", rnd(with_t("""
@@ -86,8 +90,8 @@ WHERE refuel_event <> 'Yes' AND prev_level IS NOT NULL AND prev_level - fuel_con
   AND (prev_level - fuel_consumed) - fuel_level >= 1e-1 * (prev_level - fuel_consumed)"""),
     ["prev_level", "fuel_level", "fuel_consumed", "missing"]))
 def stream_fuel_drop(spark, sf_dir):
-    """ST5: keyed-state fuel-drop alert across micro-batches."""
-    return J.replay(spark, sf_dir, J.run_fuel_drop, "fueldrop")
+    """ST5: fuel-drop alerts from keyed state with event-time timers."""
+    return J.replay(spark, sf_dir, J.run_fuel_drop, "fueldrop", heartbeat=dt.timedelta(hours=3))
 
 
 @register("stream_dedup", with_t("SELECT event_id, equipment_id, ts FROM t"))

@@ -11,17 +11,16 @@ SQL of the same job.  Checkpoints live under the shared checkpoint folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tankwise.session import scratch_path
+from tankwise.session import scratch_path, settings, ship_package
 from tankwise.sources.tables import table, telemetry_from_events
+from tankwise.sources.upserts import Published, UpsertTable
+from tankwise.streaming.fuel_drop import OUT_SCHEMA, FuelDrop
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -55,6 +54,14 @@ def stage_events(spark: SparkSession, events: DataFrame, path: str, chunks: int
     return n
 
 
+def stage_heartbeat(spark: SparkSession, path: str, after: dt.timedelta) -> None:
+    """One row without a unit, ``after`` the newest staged time."""
+    newest = spark.read.schema(EVENTS_SCHEMA).parquet(path).agg(F.max("ts")).first()[0]
+    if newest is not None:
+        spark.createDataFrame([(None, newest + after, None, None, None, None)], EVENTS_SCHEMA).coalesce(1) \
+            .write.mode("append").parquet(path)
+
+
 def read_stream(spark: SparkSession, path: str, files_per_chunk: int = 4) -> DataFrame:
     return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_chunk)
             .parquet(path))
@@ -74,22 +81,27 @@ def _run(writer, name: str):
 
 
 # ------------------------------------------------------------------ ST1
+def state_table(spark: SparkSession, out: str) -> UpsertTable:
+    return UpsertTable(spark, out, "equipment_id")
+
+
 def run_equipment_state(stream: DataFrame, out: str, ckpt: str) -> None:
-    """ST1: live latest row + idle/active counters per unit (complete mode;
-    each epoch overwrites the table with the full state)."""
+    """ST1: live latest row + idle/active counters per unit.  Update mode: an epoch
+    carries the units that changed and becomes one change set of a versioned table,
+    which is read through ``state_table``."""
     running = F.col("operational_status") == "Running"
-    agg = stream.groupBy("equipment_id").agg(
+    agg = stream.where("equipment_id is not null").groupBy("equipment_id").agg(
         F.max_by(F.struct("ts", "event_id", "equipment_type", "fuel_level", "operational_status",
                           "maintenance_status"), F.struct("ts", "event_id")).alias("latest"),
         F.count_if(running & (F.col("idle_time") > 0)).cast("long").alias("total_idle_time"),
         F.count_if(running & ~F.coalesce(F.col("idle_time") > 0, F.lit(False))).cast("long").alias("total_active_time"),
         F.count(F.lit(1)).cast("long").alias("n_readings"))
+    table_ = state_table(stream.sparkSession, out)
 
     def write(batch: DataFrame, epoch: int):
-        batch.select("equipment_id", "latest.*", "total_idle_time", "total_active_time", "n_readings") \
-             .write.mode("overwrite").parquet(out)
+        table_.apply(batch.select("equipment_id", "latest.*", "total_idle_time", "total_active_time", "n_readings"), epoch)
 
-    _run(agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", ckpt), "st1")
+    _run(agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", ckpt), "st1")
 
 
 # ------------------------------------------------------------------ ST2 / ST3
@@ -126,77 +138,51 @@ def run_consumption_sliding(stream: DataFrame, out: str, ckpt: str, delay: str =
 LAGLESS_RULES = ["Idle", "Sensor", "Engine Overheating", "Excessive Load", "Oil Pressure"]
 
 
-def run_alerts(stream: DataFrame, bounds_wide: DataFrame, out: str, ckpt: str) -> None:
-    """ST4: stateless alerts -- stream-static join with the per-type 3-sigma
-    bounds (a per-type table, broadcast) plus the rules that need no lag."""
+def run_alerts(stream: DataFrame, bounds: Published, out: str, ckpt: str) -> None:
+    """ST4: stateless alerts -- the per-type 3-sigma bounds plus the rules that need no
+    lag.  Every micro-batch takes the bounds' newest version, broadcast if their count
+    allows and shuffled otherwise; an epoch's alerts replace what an earlier try of the
+    same epoch wrote."""
     from tankwise.operators.anomaly import SIGMA_METRICS, rule_flags
-    from tankwise.operators.joins import BROADCAST_MAX_ROWS
-    if bounds_wide.count() > BROADCAST_MAX_ROWS:  # one row per type; checked before broadcasting
-        raise ValueError("bounds table too large for a stream-static broadcast join")
-    j = stream.join(F.broadcast(bounds_wide), "equipment_type", "inner")
+    from tankwise.operators.joins import join_checked
     flags = rule_flags()
-    kinds = [F.when(flags[k], F.lit(k)) for k in LAGLESS_RULES]
-    stat = F.concat_ws(",", *[F.when((F.col(m) < F.col(f"_{m}_lo")) | (F.col(m) > F.col(f"_{m}_hi")), F.lit(m))
-                              for m in SIGMA_METRICS])
-    j = j.withColumn("_stat", stat)
-    kinds.append(F.when(F.length("_stat") > 0, F.concat(F.lit("Statistical:"), F.col("_stat"))))
-    res = j.select("event_id", "equipment_id", "ts",
-                   F.explode(F.array_compact(F.array(*kinds))).alias("alert"))
-    _run(res.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt), "st4")
+
+    def write(batch: DataFrame, epoch: int):
+        j = join_checked(batch, bounds.read(), "equipment_type", "inner", materialize=False)
+        stat = F.concat_ws(",", *[F.when((F.col(m) < F.col(f"_{m}_lo")) | (F.col(m) > F.col(f"_{m}_hi")), F.lit(m))
+                                  for m in SIGMA_METRICS])
+        j = j.withColumn("_stat", stat)
+        kinds = [F.when(flags[k], F.lit(k)) for k in LAGLESS_RULES]
+        kinds.append(F.when(F.length("_stat") > 0, F.concat(F.lit("Statistical:"), F.col("_stat"))))
+        res = j.select("event_id", "equipment_id", "ts", F.explode(F.array_compact(F.array(*kinds))).alias("alert"))
+        res.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", ckpt), "st4")
+
+
+def alerts_table(spark: SparkSession, out: str) -> DataFrame:
+    return (spark.read.schema("event_id long, equipment_id string, ts timestamp_ntz, alert string, epoch long")
+            .option("basePath", out).parquet(out).drop("epoch"))
 
 
 # ------------------------------------------------------------------ ST5
-FUEL_DROP_SCHEMA = ("event_id long, equipment_id string, ts timestamp_ntz, prev_level double, "
-                    "fuel_level double, fuel_consumed double, missing double")
-FUEL_STATE_SCHEMA = "last_ts timestamp_ntz, last_event_id long, last_level double"
-
-
-_DROP_COLS = ["event_id", "equipment_id", "ts", "prev_level", "fuel_level", "fuel_consumed", "missing"]
-
-
-def _fuel_drop(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
-    """Per unit: previous level from state, theft rule on each new reading;
-    readings not newer than the last one seen are ignored (late data)."""
-    parts = list(pdfs)
-    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    ts = pdf["ts"].to_numpy()
-    eid = pdf["event_id"].to_numpy()
-    order = np.lexsort((eid, ts))
-    ts, eid = ts[order], eid[order]
-    level = pdf["fuel_level"].to_numpy(dtype=float)[order]
-    used = pdf["fuel_consumed"].to_numpy(dtype=float)[order]
-    refuel = pdf["refuel_event"].to_numpy()[order]
-    prev_level = np.nan
-    if state.exists:
-        last_ts, last_id, last_level = state.get
-        last_ts = np.datetime64(pd.Timestamp(last_ts))
-        keep = (ts > last_ts) | ((ts == last_ts) & (eid > last_id))
-        ts, eid, level, used, refuel = ts[keep], eid[keep], level[keep], used[keep], refuel[keep]
-        prev_level = np.nan if last_level is None else float(last_level)
-    if len(ts) == 0:
-        return
-    prev = np.concatenate(([prev_level], level[:-1]))
-    x = prev - used
-    with np.errstate(invalid="ignore"):
-        # as in the SQL rule, an unknown refuel flag does not fire
-        known = np.array([r is not None and r == r for r in refuel], bool)
-        fired = known & (refuel != "Yes") & ~np.isnan(prev) & (x > 0) & ((x - level) >= 0.1 * x)
-    state.update((pd.Timestamp(ts[-1]).to_pydatetime(), int(eid[-1]), float(level[-1])))
-    if fired.any():
-        yield pd.DataFrame({"event_id": eid[fired], "equipment_id": key[0], "ts": ts[fired],
-                            "prev_level": prev[fired], "fuel_level": level[fired],
-                            "fuel_consumed": used[fired], "missing": (x - level)[fired]})[_DROP_COLS]
-
-
-def run_fuel_drop(stream: DataFrame, out: str, ckpt: str) -> None:
-    """ST5: keyed state (applyInPandasWithState) carrying each unit's last
-    level across micro-batches."""
-    src = stream.select("event_id", "equipment_id", "ts", "fuel_level", "fuel_consumed", "refuel_event")
-    res = src.groupBy("equipment_id").applyInPandasWithState(
-        _fuel_drop, FUEL_DROP_SCHEMA, FUEL_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    _run(res.writeStream.outputMode("append").format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt), "st5")
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_fuel_drop(stream: DataFrame, out: str, ckpt: str, delay: str = "2 hours", silence_days: int = 60) -> None:
+    """ST5: fuel-drop alerts in event-time order (``fuel_drop.FuelDrop``).  Readings up to
+    ``delay`` late are put in order, later ones are dropped; rows without a unit only
+    move the clock; a unit that is silent for ``silence_days`` is forgotten."""
+    # no filter on the unit here: it would be pushed below the watermark and the clock rows with it
+    src = (stream.withWatermark("ets", delay)
+           .select("event_id", "equipment_id", "ts", "ets", "fuel_level", "fuel_consumed", "refuel_event"))
+    spark = stream.sparkSession
+    ship_package(spark)
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        res = src.groupBy("equipment_id").transformWithStateInPandas(
+            FuelDrop(silence_days * 86_400_000), OUT_SCHEMA, "Append", "EventTime")
+        _run(res.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", ckpt), "st5")
 
 
 # ------------------------------------------------------------------ ST6
@@ -212,9 +198,11 @@ def run_dedup(stream: DataFrame, out: str, ckpt: str, delay: str = "7 days") ->
 
 # ------------------------------------------------------------------ harness
 def replay(spark: SparkSession, sf_dir: str, runner, name: str, chunks: int = 6, files_per_chunk: int = 4,
-           resend_filter=None, **kw) -> DataFrame:
+           resend_filter=None, heartbeat: dt.timedelta | None = None, reader=None, **kw) -> DataFrame:
     """Stage ``events`` under the shared folder, run ``runner`` over the
-    stream and return the sink as a batch DataFrame."""
+    stream and return the sink as a batch DataFrame (through ``reader`` if given).
+    ``heartbeat`` adds, last, one row without a unit that much after the newest one:
+    it moves the watermark past all readings."""
     base = scratch_path(spark, f"stream-{name}")
     ev = table(spark, sf_dir, "events")
     resend = None
@@ -222,6 +210,8 @@ def replay(spark: SparkSession, sf_dir: str, runner, name: str, chunks: int = 6,
         lo = ev.agg(F.max("ts")).first()[0]
         resend = ev.filter(resend_filter(lo))
     stage_events(spark, ev, f"{base}/input", chunks, files_per_chunk, resend)
+    if heartbeat is not None:
+        stage_heartbeat(spark, f"{base}/input", heartbeat)
     stream = stream_telemetry(spark, read_stream(spark, f"{base}/input", files_per_chunk))
     runner(stream, f"{base}/output", f"{base}/checkpoint", **kw)
-    return spark.read.parquet(f"{base}/output")
+    return reader(spark, f"{base}/output") if reader else spark.read.parquet(f"{base}/output")
