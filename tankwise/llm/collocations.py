@@ -22,21 +22,22 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tankwise.llm.fm_index import Grams, Index, bwt, text_of
 from tankwise.llm.shared import arrow_map, documents, dropped, stored
 from tankwise.llm.words import U, mix, text_chunks, word_hashes
-from tankwise.session import scratch_path
+from tankwise.session import scratch_path, settings
 
 MIN_COUNT = 30
 MAX_WORDS = 4
 TOP = 2000
 NO_LANG = "und"
 INSIDE = 80                  # a candidate goes if a longer one has this many percent of its count
-SHARD = 1 << 20              # words of a shard, about (one text is never cut)
+SHARD = 1 << 18              # words of a shard, about (one text is never cut)
+BATCH = "16m"                # bytes that a task takes at once, of indexes and of shuffled counts
 MAX_BITS = 1 << 28           # bitmap of frequent n-grams of one length: 32 MB
 BITS_EACH = 32
 
@@ -71,8 +72,8 @@ def _words(offsets: np.ndarray, data: np.ndarray) -> tuple[pa.Array, np.ndarray]
     return words, opens
 
 
-INDEX = "lang string, words array<string>, counts array<long>, left binary, right binary"
-_INDEX_NAMES = ["lang", "words", "counts", "left", "right"]
+INDEX = "lang string, words array<string>, counts array<long>, length int, left binary, right binary"
+_INDEX_NAMES = ["lang", "words", "counts", "length", "left", "right"]
 
 
 def _shard(lang: str, words: list[pa.Array], opens: list[np.ndarray], depth: int) -> pa.RecordBatch:
@@ -84,7 +85,8 @@ def _shard(lang: str, words: list[pa.Array], opens: list[np.ndarray], depth: int
     return pa.RecordBatch.from_arrays([
         pa.array([lang]), pa.ListArray.from_arrays(one, coded.dictionary.cast(pa.string())),
         pa.ListArray.from_arrays(one, pa.array(counts.astype(np.int64))),
-        pa.array([bwt(text, depth).tobytes()], pa.binary()), pa.array([bwt(text[::-1], depth).tobytes()], pa.binary())],
+        pa.array([len(text)], pa.int32()), *(pa.array([pa.compress(bwt(t, depth).tobytes(), "zstd", asbytes=True)], pa.binary())
+                                             for t in (text, text[::-1]))],
         names=_INDEX_NAMES)
 
 
@@ -116,7 +118,7 @@ def build_index(docs: DataFrame, max_words: int = MAX_WORDS, shard: int = SHARD)
     index = arrow_map(rows, run, INDEX)
     path = scratch_path(docs.sparkSession, "phrase_index")
     # few shards a row group, so that a reader holds few of them at a time
-    (index.write.option("parquet.block.size", 16 << 20).option("parquet.block.size.row.check.min", 1)
+    (index.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.block.size.row.check.min", 1)
      .option("parquet.block.size.row.check.max", 1).parquet(path))
     out = docs.sparkSession.read.schema(index.schema).parquet(path)
     out._stored_at = path
@@ -174,7 +176,8 @@ def _shards(batches):
     for b in batches:
         for i in range(b.num_rows):
             yield (b.column("lang")[i].as_py(), b.column("words")[i].values,
-                   *(np.frombuffer(b.column(c)[i].as_buffer(), np.int32) for c in ("left", "right")))
+                   *(np.frombuffer(pa.decompress(b.column(c)[i].as_buffer(), 4 * b.column("length")[i].as_py(), "zstd"), np.int32)
+                     for c in ("left", "right")))
 
 
 def _bitmap(frequent: DataFrame) -> np.ndarray:
@@ -200,7 +203,8 @@ def _frequent_hashes(index: DataFrame, sent, size: int, min_count: int) -> DataF
             for k, grams, hashes in _levels(row, sent.value, size):
                 if k == size and len(hashes):
                     yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(grams.count)], names=["h", "c"])
-    counted = arrow_map(index.select("lang", "words", "left", "right"), run, "h long, c long")
+    # a shard's counts are sums already: no second table of them before the shuffle
+    counted = arrow_map(index.drop("counts"), run, "h long, c long").repartition("h")
     return stored(counted.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count).select("h"), "frequent")
 
 
@@ -217,7 +221,7 @@ def _texts(index: DataFrame, sent, max_words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([row[0]]).take(pa.array(np.zeros(m, np.int32))), pc.binary_join_element_wise(*parts, " "),
                         pa.array(np.full(m, size, np.int32)), pa.array(grams.count)], names=names)
-    return arrow_map(index.select("lang", "words", "left", "right"), run, "lang string, phrase string, size int, c long")
+    return arrow_map(index.drop("counts"), run, "lang string, phrase string, size int, c long")
 
 
 def _word_rows(index: DataFrame) -> DataFrame:
@@ -243,7 +247,11 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int =
     """``(lang, phrase, size, f)`` of all phrases of 1 to ``max_words`` words that occur
     at least ``min_count`` times in their language, and ``(lang, n)``, both stored."""
     spark = docs.sparkSession
-    index = build_index(docs, max_words, shard)
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, "spark.sql.adaptive.advisoryPartitionSizeInBytes": BATCH}):
+        return _phrase_counts(spark, build_index(docs, max_words, shard), min_count, max_words)
+
+
+def _phrase_counts(spark: SparkSession, index: DataFrame, min_count: int, max_words: int) -> tuple[DataFrame, DataFrame]:
     words = stored(_word_rows(index).groupBy("lang", "phrase").agg(F.sum("c").alias("f")), "words")
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent = stored(words.where(F.col("f") >= min_count).select("lang", "phrase", F.lit(1).alias("size"), "f"), "words_kept")
