@@ -90,13 +90,11 @@ def train_per_type(matrix: DataFrame, kind: str = "rf", trees: int = 100, seed:
 
 
 def score_per_type(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
-    """Apply each type's model to its rows; types without a model are dropped (JN9)."""
-    parts = []
+    """Apply each type's model to its rows; types without a model are dropped (JN9),
+    so without any model the result is empty."""
+    out = df.where(F.lit(False)).withColumn("prediction", F.lit(None).cast("double"))
     for t, mdl in models.items():
-        parts.append(mdl.transform(df.filter(F.col("equipment_type") == t)).drop("features"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(mdl.transform(df.filter(F.col("equipment_type") == t)).drop("features"))
     return out
 
 
@@ -127,20 +125,6 @@ def forecast(grid_matrix: DataFrame, models: dict[str, PipelineModel]) -> DataFr
     return s.withColumn("predicted_consumption", F.greatest(F.lit(0.0), F.col("prediction")))
 
 
-def save_models(models: dict[str, PipelineModel], base: str) -> dict[str, str]:
-    """SNK3: one PipelineModel directory per type."""
-    paths = {}
-    for t, mdl in models.items():
-        p = f"{base}/{t}"
-        mdl.write().overwrite().save(p)
-        paths[t] = p
-    return paths
-
-
-def load_models(paths: dict[str, str]) -> dict[str, PipelineModel]:
-    return {t: PipelineModel.load(p) for t, p in paths.items()}
-
-
 def schema_drift(train: DataFrame, predict: DataFrame) -> dict[str, list[str]]:
     """SE4: column-name set difference between training and prediction
     frames (metadata only, no job)."""

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 
 from tankwise.operators.forecast import standardize
 from tankwise.operators.joins import join_checked, materialize_small
+from tankwise.operators.models import Model, ModelRegistry
 
 # Fixed feature lists of the anomaly detector (base + optional when present).
 BASE = ["fuel_consumed", "load_pct", "rpm", "speed", "idle_time", "ambient_temp", "engine_temp",
@@ -43,17 +45,41 @@ def feature_columns(df: DataFrame):
     return BASE + [c for c in OPTIONAL if c in df.columns]
 
 
-def anomaly_matrix(features: DataFrame, cols=None, carry=()) -> DataFrame:
-    """FT2/PRJ14/FT4: finite, non-null features standardised per type; ``carry``
-    columns go along."""
+def raw_matrix(features: DataFrame, cols=None, carry=()) -> DataFrame:
+    """FT2/PRJ14: finite, non-null features as they are; ``carry`` columns go along."""
     cols = cols or feature_columns(features)
     clean = {}
     for c in cols:
         v = F.col(c).cast("double")
         clean[c] = F.when(F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(0.0)).otherwise(
             F.coalesce(v, F.lit(0.0)))
-    d = features.select("event_id", "equipment_id", "equipment_type", "ts", *carry, *[clean[c].alias(c) for c in cols])
-    return standardize(d, cols)
+    return features.select("event_id", "equipment_id", "equipment_type", "ts", *carry, *[clean[c].alias(c) for c in cols])
+
+
+def anomaly_matrix(features: DataFrame, cols=None, carry=()) -> DataFrame:
+    """FT2/PRJ14/FT4: ``raw_matrix`` standardised per type."""
+    cols = cols or feature_columns(features)
+    return standardize(raw_matrix(features, cols, carry), cols)
+
+
+def scalers(matrix: DataFrame, cols) -> DataFrame:
+    """Per-type mean and population deviation of the raw features, one row per
+    (type, feature)."""
+    agg = matrix.where("equipment_type is not null").groupBy("equipment_type").agg(
+        *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in cols])
+    return agg.select("equipment_type", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std")) for c in cols])
+    ).alias("s")).select("equipment_type", "s.*")
+
+
+def scaled(raw: DataFrame, saved: DataFrame, cols) -> DataFrame:
+    """Raw rows standardised by saved scalers (no spread: scale 1); types that the
+    scalers do not know are dropped (JN9)."""
+    of = lambda c, v: F.max(F.when(F.col("feature") == c, F.col(v)))      # noqa: E731
+    wide = saved.groupBy("equipment_type").agg(*[of(c, "mean").alias(f"_mu_{c}") for c in cols], *[of(c, "std").alias(f"_sd_{c}") for c in cols])
+    j = join_checked(raw, wide, "equipment_type", "inner")
+    out = {c: (F.col(c) - F.col(f"_mu_{c}")) / F.when(F.col(f"_sd_{c}") > 0, F.col(f"_sd_{c}")).otherwise(F.lit(1.0)) for c in cols}
+    return j.withColumns(out).drop(*[f"_mu_{c}" for c in cols], *[f"_sd_{c}" for c in cols])
 
 
 def c_factor(n):
@@ -246,28 +272,42 @@ def combined(df: DataFrame) -> DataFrame:
     })
 
 
-def save_forest(nodes: DataFrame, scalers: DataFrame, cuts: DataFrame, cols, base: str) -> None:
-    """SNK3: node table, per-type scaling and cut-offs and the feature list, as
-    Parquet under ``base``."""
-    for name, df in (("nodes", nodes), ("scalers", scalers), ("cutoffs", cuts)):
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-    spark = nodes.sparkSession
-    (spark.createDataFrame([(i, c) for i, c in enumerate(cols)], "place int, feature string").coalesce(1)
-     .write.mode("overwrite").parquet(f"{base}/features"))
+@dataclass
+class Forest:
+    """What scoring needs: trees, scalers and cut-offs per type, features in order."""
+    nodes: DataFrame
+    scalers: DataFrame
+    cutoffs: DataFrame
+    features: list[str]
 
 
-def load_forest(spark, base: str):
-    """``(nodes, scalers, cutoffs, feature names)`` as saved."""
-    read = lambda name: spark.read.parquet(f"{base}/{name}")     # noqa: E731
-    return (read("nodes"), read("scalers"), read("cutoffs"),
-            [r["feature"] for r in read("features").orderBy("place").collect()])
+def fit_forest(raw: DataFrame, train_flag: str, cols, trees: int = 100, psi: int = 256, seed: int = 42,
+               contamination: float = 0.05) -> Forest:
+    """ML4: scalers of all rows, trees and cut-offs of the rows whose ``train_flag`` is set."""
+    saved = materialize_small(scalers(raw, cols))
+    rows = scaled(raw, saved, cols).where(train_flag)
+    nodes = materialize_small(train(rows, trees, psi, seed, cols))
+    return Forest(nodes, saved, materialize_small(cutoffs(score(rows, nodes, cols), contamination)), list(cols))
 
 
-def scalers(matrix: DataFrame, cols) -> DataFrame:
-    """Per-type mean and population deviation of the raw features, one row per
-    (type, feature)."""
-    agg = matrix.groupBy("equipment_type").agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c)
-                                                 for c in cols])
-    return agg.select("equipment_type", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std")) for c in cols])
-    ).alias("s")).select("equipment_type", "s.*")
+def detect_with(raw: DataFrame, forest: Forest) -> DataFrame:
+    """ML5 by a fitted or loaded forest: raw rows are scaled, scored and held against
+    their type's cut-off; types that it does not know are dropped."""
+    s = score(scaled(raw, forest.scalers, forest.features), forest.nodes, forest.features)
+    s = join_checked(s, forest.cutoffs, "equipment_type", "inner")
+    return s.withColumn("iso_anomaly", F.col("iso_score") > F.col("iso_cut"))
+
+
+def save_forest(registry: ModelRegistry, source: str, settings: dict, forest: Forest) -> Forest:
+    """SNK3: a version of trees, scalers, cut-offs and feature list; as loaded again."""
+    tables = {"nodes": forest.nodes, "scalers": forest.scalers, "cutoffs": forest.cutoffs}
+    return _as_forest(registry.publish("forest", source, settings, forest.features, tables))
+
+
+def find_forest(registry: ModelRegistry, source: str, settings: dict) -> Forest | None:
+    found = registry.find("forest", source, settings)
+    return None if found is None else _as_forest(found)
+
+
+def _as_forest(model: Model) -> Forest:
+    return Forest(model.tables["nodes"], model.tables["scalers"], model.tables["cutoffs"], model.features)

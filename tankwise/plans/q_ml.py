@@ -7,6 +7,8 @@ oracles; fitted models are checked by row counts here and by the unit tests
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tankwise.operators import anomaly as A
@@ -14,14 +16,16 @@ from tankwise.operators import features as FE
 from tankwise.operators import forecast as FC
 from tankwise.operators import isolation as ISO
 from tankwise.operators.joins import join_checked
+from tankwise.operators.models import ModelRegistry
 from tankwise.operators.sequence import ordered_split
 from tankwise.plans.q_features import CAL_SQL, FLAG_SQL, ROLL_SQL
 from tankwise.plans.registry import register, rnd, with_t
-from tankwise.session import scratch_path
+from tankwise.session import ensure_checkpoint_dir, scratch_path
 from tankwise.sources.tables import telemetry
+from tankwise.sources.versions import fingerprint
 
 TREES = 100        # as the reference
-_SAVED: dict = {}  # (application, data folder, kind) -> (matrix, model folders): trained once, then loaded
+FOREST = {"trees": 100, "psi": 256, "seed": 42, "contamination": 0.05}
 
 
 def _matrix_cols_sql() -> dict:
@@ -120,24 +124,37 @@ def forecast_grid(spark, sf_dir):
                                        *FC.MODEL_FEATURES)
 
 
+def registry(spark, sf_dir) -> ModelRegistry:
+    """Models of a table folder, in the shared folder."""
+    name = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:24]
+    return ModelRegistry(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tankwise/models/{name}")
+
+
+def source(spark, sf_dir) -> str:
+    return fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+
+
+def _settings(kind) -> dict:
+    return {"kind": kind, "trees": TREES, "share": 0.8, "min_rows": FC.MIN_TRAIN_ROWS, "seed": 42}
+
+
 def _train(spark, sf_dir, kind="rf"):
-    """Trains per type on the ordered 80 % and saves the models."""
+    """Trains per type on the ordered 80 % and publishes models and matrix as a version."""
+    made_from = source(spark, sf_dir)
     mx = ordered_split(_matrix(spark, sf_dir), 0.8)
     path = scratch_path(spark, "matrix")
     mx.write.partitionBy("equipment_type").parquet(path)      # each fit reads its own type
     mx = spark.read.schema(mx.schema).parquet(path)
     models = FC.train_per_type(mx.filter("is_train").drop("is_train"), kind=kind, trees=TREES, checkpoint=False)
-    paths = FC.save_models(models, scratch_path(spark, f"models-{kind}"))
-    _SAVED[spark.sparkContext.applicationId, sf_dir, kind] = (mx, paths)
-    return mx, models
+    made = registry(spark, sf_dir).publish(f"consumption-{kind}", made_from, _settings(kind), FC.MODEL_FEATURES,
+                                           {"matrix": mx}, models, {"matrix": "equipment_type"})
+    return made.tables["matrix"], made.pipelines
 
 
 def _trained(spark, sf_dir, kind="rf"):
-    """The models saved earlier in this application, else newly trained ones."""
-    saved = _SAVED.get((spark.sparkContext.applicationId, sf_dir, kind))
-    if saved is None:
-        return _train(spark, sf_dir, kind)
-    return saved[0], FC.load_models(saved[1])
+    """The newest published models of this state of the table, else newly trained ones."""
+    found = registry(spark, sf_dir).find(f"consumption-{kind}", source(spark, sf_dir), _settings(kind))
+    return (found.tables["matrix"], found.pipelines) if found else _train(spark, sf_dir, kind)
 
 
 def _rmse(mx, models):
@@ -225,31 +242,60 @@ def forecast_payload(spark, sf_dir):
 @register("model_roundtrip", with_t("""
 SELECT equipment_type, count(*) AS n, 0e0 AS max_abs_diff FROM grid GROUP BY equipment_type""", MATRIX_CTE, GRID_CTE))
 def model_roundtrip(spark, sf_dir):
-    """SNK3: save each type's pipeline, load it back, score the grid with both."""
+    """SNK3: publish each type's pipeline, load that version, score the grid with both."""
     models = _trained(spark, sf_dir)[1]
-    loaded = FC.load_models(FC.save_models(models, scratch_path(spark, "models")))
+    other = ModelRegistry(spark, scratch_path(spark, "models"))
+    loaded = other.publish("copy", "", {}, FC.MODEL_FEATURES, pipelines=models).pipelines
     once = FC.score_per_type(_grid(spark, sf_dir), models).withColumnRenamed("prediction", "p1")
     both = FC.score_per_type(once, loaded)       # the same rows, scored again: no join
     return both.groupBy("equipment_type").agg(F.count(F.lit(1)).cast("long").alias("n"),
                                               F.max(F.abs(F.col("p1") - F.col("prediction"))).alias("max_abs_diff"))
 
 
-def _iso(spark, sf_dir):
-    """Matrix with the training flag (no note) and the statistical flags on each
-    row, and the forest of the training rows."""
+def _raw(spark, sf_dir):
+    """Raw anomaly features with the training flag (no note) and the statistical flags
+    on each row."""
     t = telemetry(spark, sf_dir)
     feats = A.detect_statistical(FE.features_all(t, onehot=False), A.sigma_thresholds(A.unannotated(t)), how="left")
     note = F.coalesce(F.length("event_notes"), F.lit(0)) == 0
-    mx = ISO.anomaly_matrix(feats.withColumn("unannotated", note), [*ISO.BASE, *ISO.OPTIONAL],
-                            carry=("unannotated", "stat_anomaly")).checkpoint(eager=True)
-    nodes = ISO.train(mx.where("unannotated"), trees=100, psi=256, seed=42)
-    return mx, nodes
+    return ISO.raw_matrix(feats.withColumn("unannotated", note), ANOM_COLS,
+                          carry=("unannotated", "stat_anomaly")).checkpoint(eager=True)
+
+
+def _fit_forest(spark, sf_dir, raw):
+    made_from = source(spark, sf_dir)
+    forest = ISO.fit_forest(raw, "unannotated", ANOM_COLS, **FOREST)
+    return forest, ISO.save_forest(registry(spark, sf_dir), made_from, FOREST, forest)
+
+
+def _forest(spark, sf_dir, raw=None):
+    """The newest published forest of this state of the table, else a newly fitted one."""
+    found = ISO.find_forest(registry(spark, sf_dir), source(spark, sf_dir), FOREST)
+    return found or _fit_forest(spark, sf_dir, _raw(spark, sf_dir) if raw is None else raw)[1]
+
+
+@register("forest_roundtrip", with_t("""
+SELECT equipment_type, count(*) AS n, 0e0 AS max_abs_diff, CAST(0 AS BIGINT) AS flags_changed
+FROM amx JOIN (SELECT equipment_type FROM t WHERE event_notes IS NULL OR event_notes = '' GROUP BY equipment_type HAVING count(*) >= 50)
+  USING (equipment_type)
+GROUP BY equipment_type""", AMX_CTE))
+def forest_roundtrip(spark, sf_dir):
+    """SNK3: fit the anomaly side (trees, scalers, cut-offs, features), publish it, load that
+    version and score every reading with both."""
+    raw = _raw(spark, sf_dir)
+    fitted, loaded = _fit_forest(spark, sf_dir, raw)
+    once = ISO.detect_with(raw, fitted).select("event_id", "equipment_id", "ts", F.col("iso_score").alias("s1"),
+                                               F.col("iso_anomaly").alias("a1"))
+    both = ISO.detect_with(raw, loaded).join(once, ["event_id", "equipment_id", "ts"])
+    return both.where("s1 is not null").groupBy("equipment_type").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.max(F.abs(F.col("iso_score") - F.col("s1"))).alias("max_abs_diff"),
+        F.count_if(F.col("a1") != F.col("iso_anomaly")).cast("long").alias("flags_changed"))
 
 
 @register("train_isolation")
 def train_isolation(spark, sf_dir):
     """ML4: isolation-forest node table per type (100 trees, psi 256)."""
-    return _iso(spark, sf_dir)[1]
+    return _fit_forest(spark, sf_dir, _raw(spark, sf_dir))[1].nodes
 
 
 @register("isolation_shape", with_t("""
@@ -258,7 +304,7 @@ FROM amx JOIN (SELECT DISTINCT equipment_type FROM t WHERE event_notes IS NULL O
 GROUP BY equipment_type HAVING count(*) >= 50""", AMX_CTE))
 def isolation_shape(spark, sf_dir):
     """ML4: 100 trees per type; the leaves of each hold its whole sample, at most 256 rows."""
-    nodes = _iso(spark, sf_dir)[1]
+    nodes = _forest(spark, sf_dir).nodes
     tree = nodes.groupBy("equipment_type", "tree").agg(
         F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("leaves"), F.max("psi").alias("psi"), F.max("depth").alias("depth"))
     return tree.groupBy("equipment_type").agg(
@@ -268,8 +314,8 @@ def isolation_shape(spark, sf_dir):
 
 
 def _detect(spark, sf_dir):
-    mx, nodes = _iso(spark, sf_dir)
-    return ISO.detect(mx, nodes, "unannotated", 0.05)
+    raw = _raw(spark, sf_dir)
+    return ISO.detect_with(raw, _forest(spark, sf_dir, raw))
 
 
 @register("detect_isolation")

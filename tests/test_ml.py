@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from tankwise.operators import forecast as FC
 from tankwise.operators import isolation as ISO
+from tankwise.operators.models import ModelRegistry
+from tankwise.plans import q_ml
+from tankwise.session import scratch_path
+from tankwise.sources.tables import table
+from support import SF_SMALL
 
 COLS = ["a", "b", "c"]
 
@@ -70,7 +75,7 @@ def test_regressor_beats_mean_and_roundtrips(spark, tmp_dir):
     r = s.agg(F.sqrt(F.avg((F.col("prediction") - F.col("label")) ** 2)).alias("m"),
               F.sqrt(F.avg((F.lit(mean) - F.col("label")) ** 2)).alias("b")).first()
     assert r["m"] < 0.5 * r["b"]
-    loaded = FC.load_models(FC.save_models(models, tmp_dir + "/m"))
+    loaded = ModelRegistry(spark, tmp_dir + "/m").publish("rf", "x", {}, FC.MODEL_FEATURES, pipelines=models).pipelines
     a = {x["event_id"]: x["prediction"] for x in FC.score_per_type(mx, models).collect()}
     b = {x["event_id"]: x["prediction"] for x in FC.score_per_type(mx, loaded).collect()}
     assert a == b
@@ -82,3 +87,55 @@ def test_forecast_grid_recomputes_calendar(spark):
     assert g.count() == 5 * 24
     r = g.filter("h = 1").orderBy("equipment_id").first()
     assert r["forecast_ts"] == r["ts"] + dt.timedelta(hours=1) and r["hour"] == r["forecast_ts"].hour
+
+
+# ------------------------------------------------------------ registry
+def test_no_model_gives_an_empty_score(spark):
+    mx = FC.model_matrix(_reg_data(spark, n=20))
+    assert FC.train_per_type(mx) == {}
+    scored = FC.score_per_type(mx, {})
+    assert scored.count() == 0 and "prediction" in scored.columns
+    assert FC.importances({}, spark).count() == 0
+
+
+def test_versions_by_data_and_settings(spark):
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    table_ = spark.createDataFrame([(1, "a")], "x int, k string")
+    assert reg.find("m", "d1", {"trees": 3}) is None
+    first = reg.publish("m", "d1", {"trees": 3}, ["x"], {"part": table_})
+    second = reg.publish("m", "d2", {"trees": 3}, ["x"], {"part": table_.unionAll(table_)}, partition_by={"part": "k"})
+    assert (first.version, second.version) == (0, 1)
+    assert reg.find("m", "d1", {"trees": 3}).tables["part"].count() == 1
+    assert reg.find("m", "d2", {"trees": 3}).tables["part"].count() == 2
+    assert reg.find("m", "d2", {"trees": 4}) is None and reg.find("other", "d1", {"trees": 3}) is None
+    assert reg.load("m", 0).features == ["x"] and reg.load("m", 0).source == "d1"
+
+
+def test_a_loaded_forest_scores_the_same(spark):
+    raw = _iso_data(spark, n=800).withColumn("fit", F.col("event_id") % 4 != 0)
+    forest = ISO.fit_forest(raw, "fit", COLS, trees=20, psi=64)
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    ISO.save_forest(reg, "d", {"trees": 20}, forest)
+    loaded = ISO.find_forest(reg, "d", {"trees": 20})
+    assert loaded.features == COLS and ISO.find_forest(reg, "other", {"trees": 20}) is None
+    new = raw.where("event_id < 100").unionAll(raw.where("event_id = 1").withColumn("equipment_type", F.lit("Unknown")))
+    a, b = [sorted((r["event_id"], r["iso_score"], r["iso_anomaly"]) for r in ISO.detect_with(new, f).collect()) for f in (forest, loaded)]
+    assert a == b and len(a) == 100            # the type without a model is left out
+
+
+def test_a_changed_table_trains_anew(spark, monkeypatch):
+    monkeypatch.setattr(q_ml, "TREES", 3)
+    path = scratch_path(spark, "tables")
+    ev = table(spark, SF_SMALL, "events")
+    ev.where("event_id <= 700").repartition(1).write.parquet(f"{path}/events.parquet")
+    log = q_ml.registry(spark, path).log("consumption-rf")
+    first, _ = q_ml._trained(spark, path)
+    assert log.numbers() == [0]
+    again, models = q_ml._trained(spark, path)
+    assert log.numbers() == [0] and again.count() == first.count() == 701
+    ev.where("event_id > 700").repartition(1).write.mode("append").parquet(f"{path}/events.parquet")
+    more, _ = q_ml._trained(spark, path)
+    assert log.numbers() == [0, 1] and more.count() == ev.count()
+    monkeypatch.setattr(q_ml, "TREES", 4)
+    q_ml._trained(spark, path)
+    assert log.numbers() == [0, 1, 2]
