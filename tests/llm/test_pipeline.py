@@ -49,4 +49,34 @@ def test_edge_rows_pass_through(spark, tmp_dir):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         docs.write.parquet(f"{tmp_dir}/{k}")
         docs = spark.read.parquet(f"{tmp_dir}/{k}")
-    assert docs.where("doc_id is null").count() == 0
+    assert docs.columns[:2] == ["doc_id", "n_tokens"]
+
+
+PROSE = ("the river rose in spring and the farmers moved their cattle to the higher fields while old people told "
+         "stories about floods of other years and children counted the boats that came down from the hills")
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_kept(spark):
+    """Stages 3 and 4 drop rows for their texts only."""
+    def words(i):
+        return " ".join(f"{w}{i}" for w in PROSE.split())
+    rows = [(None, words(1)), (None, words(2)), (None, words(2)), (7, words(3)), (7, words(4)), (7, words(4)), (8, words(5)),
+            (9, words(5) + " more"), (10, words(1)), (None, None), (None, None), (7, ""), (11, "")]
+    docs = edge.documents(spark, rows)
+    left = C.keep_distinct(spark, docs, "/root/testdata/sf0.001")
+    assert left.columns == docs.columns
+    texts = sorted((r["text"] or "").split("more")[0].strip() for r in left.collect())
+    assert texts == sorted([words(i) for i in range(1, 6)] + [""] * 4)
+    assert sorted(r["doc_id"] for r in left.where("doc_id in (8, 9)").collect()) == [8]
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("length(text) > 200").limit(1).collect()
+    rows = [(None, words(1)), (None, "so " + items[0]["text"]), (7, words(3)), (7, items[0]["text"]), (8, words(2)), (None, None)]
+    seen = C.keep_unseen(spark, edge.documents(spark, rows), "/root/testdata/sf0.001")
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in seen.collect()) == sorted(
+        [(0, words(1)), (7, words(3)), (8, words(2)), (0, "")])
+
+
+def test_stages_take_an_empty_table(spark):
+    docs = edge.nothing(spark)
+    for k, (_, stage) in enumerate(C.STAGES):
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.count() == 0 and (k == 4 or out.columns == docs.columns)
