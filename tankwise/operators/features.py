@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
-from tankwise.operators.sequence import (DEFAULT_ORDER, chunk_window, halo_chunks,
-                                         range_halo_chunks)
+from tankwise.operators import sequence as SQ
+from tankwise.operators.sequence import (DEFAULT_ORDER, _bounded, chunk_window, halo_chunks,
+                                         range_halo_chunks, same)
 
 ROLL_FRAMES = (6, 12, 24)
 ROLL_MEASURES = {"consumption": "fuel_consumed", "load": "load_pct", "speed": "speed"}
@@ -113,19 +114,69 @@ def features_all(df: DataFrame, key: str = "equipment_id",
     return with_onehot(out) if onehot else out
 
 
-def with_avg_load_3h(df: DataFrame, key: str = "equipment_id", ts: str = "ts",
-                     order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
-    """WN8 re-aim: mean load over the trailing 3 hours (time range, inclusive)."""
-    c = range_halo_chunks(df, key, ts, reach_hours=3)
+REACH_HOURS = 3
+
+
+def with_avg_load_3h(df: DataFrame, key: str = "equipment_id", ts: str = "ts") -> DataFrame:
+    """WN8 re-aim: mean load over the trailing 3 hours (time range, inclusive).
+
+    A unit whose days are small has one window a day; a unit with a day of more than
+    ``CHUNK_ROWS`` readings is answered by prefix sums over slices of its days."""
+    day = df.groupBy(key, SQ.bucket_of(ts).alias("_day")).agg(F.count(F.lit(1)).alias("_rows"))
+    hot, few = _bounded(day.where(F.col("_rows") > SQ.CHUNK_ROWS).select(key).distinct())
+    if hot.isEmpty():
+        return _mean_by_day(df, key, ts)
+    hot = F.broadcast(hot) if few else hot
+    return _mean_by_day(same(df, hot, [key], "left_anti"), key, ts).unionByName(
+        mean_by_prefix_sums(same(df, hot, [key], "left_semi"), key, ts))
+
+
+def _mean_by_day(df: DataFrame, key: str, ts: str) -> DataFrame:
+    c = range_halo_chunks(df, key, ts, reach_hours=REACH_HOURS)
     # Range frames need a numeric or timestamp order key; microseconds keep
     # the frame exact and inclusive.
     w = (Window.partitionBy(key, "_chunk")
          .orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
-         .rangeBetween(-3 * 3600 * 1_000_000, 0))
+         .rangeBetween(-REACH_HOURS * 3600 * 1_000_000, 0))
     out = c.withColumn("avg_load_3h", F.avg("load_pct").over(w))
     return out.filter(~F.col("_halo")).drop("_halo", "_chunk")
 
 
+def mean_by_prefix_sums(df: DataFrame, key: str = "equipment_id", ts: str = "ts") -> DataFrame:
+    """The same mean, with no frame held anywhere.
+
+    Readings of one instant share their frame, so they are summed first.  The frame's
+    sum is the unit's running sum at the instant less the running sum before the
+    frame's edge; edges are laid into the series as entries without a value (before
+    readings of the same time), the series is cut into slices of about ``CHUNK_ROWS``
+    entries, and a slice adds the sum of all earlier slices of its unit.  Sums are
+    decimals, so differences of large sums lose nothing."""
+    exact = F.col("load_pct").cast("decimal(20,9)")
+    instants = df.groupBy(key, ts).agg(F.sum(exact).alias("_s"), F.count("load_pct").alias("_n"))
+    timed = instants.where(F.col(ts).isNotNull())
+    zero = F.lit(0)
+    edges = timed.select(key, (F.col(ts) - F.make_dt_interval(zero, F.lit(REACH_HOURS))).alias("_t"), zero.alias("_kind"),
+                         F.col(ts).alias("_at"), zero.cast("decimal(30,9)").alias("_s"), zero.cast("long").alias("_n"))
+    points = timed.select(key, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.col(ts).alias("_at"),
+                          F.coalesce(F.col("_s").cast("decimal(30,9)"), zero.cast("decimal(30,9)")).alias("_s"), "_n")
+    series = SQ.with_buckets(points.unionByName(edges), key, ("_t",))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts, few = _bounded(series.groupBy(key, "_b").agg(F.sum("_s").cast("decimal(38,9)").alias("_s"), F.sum("_n").alias("_n"))
+                           .select(key, "_b", F.coalesce(F.sum("_s").over(earlier).cast("decimal(38,9)"), zero).alias("_s0"),
+                                   F.coalesce(F.sum("_n").over(earlier), zero).alias("_n0")))
+    run = Window.partitionBy(key, "_b").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    running = series.select(key, "_b", "_kind", "_at", F.sum("_s").over(run).alias("_rs"), F.sum("_n").over(run).alias("_rn"))
+    running = same(running, F.broadcast(starts) if few else starts, [key, "_b"])
+    total = lambda kind, c, c0: F.max(F.when(F.col("_kind") == kind, F.col(c) + F.col(c0)))      # noqa: E731
+    both = running.groupBy(key, "_at").agg(total(1, "_rs", "_s0").alias("_hs"), total(0, "_rs", "_s0").alias("_ls"),
+                                           total(1, "_rn", "_n0").alias("_hn"), total(0, "_rn", "_n0").alias("_ln"))
+    n = F.col("_hn") - F.col("_ln")
+    means = both.select(key, F.col("_at").alias(ts), F.when(n > 0, (F.col("_hs") - F.col("_ls")).cast("double") / n).alias("avg_load_3h"))
+    untimed = instants.where(F.col(ts).isNull()).select(
+        key, ts, F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n")).alias("avg_load_3h"))
+    return same(df, means.unionByName(untimed), [key, ts])
+
+
 def derived_efficiency(df: DataFrame) -> DataFrame:
     """SC19: distance from speed and idle minutes; km/L guarded."""
     dist = S.distance_km("speed", "idle_time")

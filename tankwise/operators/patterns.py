@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
+from tankwise.operators.selection import exact_median
 from tankwise.operators.joins import join_checked, join_literal_dim
 
 # --------------------------------------------------------------- PRJ1-PRJ3
@@ -35,8 +36,8 @@ def resolve_substring(columns, *needles):
 
 
 # --------------------------------------------------------------- AG11 / SC2
-def unit_detection(df: DataFrame, col: str, threshold: float = 15.0) -> DataFrame:
-    """AG11: is the exact median of ``col`` above ``threshold``?
+def unit_flag(df: DataFrame, col: str, threshold: float = 15.0) -> DataFrame:
+    """AG11, the decision: is the exact median of ``col`` above ``threshold``?
 
     Decided from one partial aggregate (counts and the two values around the
     threshold) instead of buffering all values: for an even count whose two
@@ -48,15 +49,19 @@ def unit_detection(df: DataFrame, col: str, threshold: float = 15.0) -> DataFram
         F.count_if(x > threshold).alias("n_above"),
         F.max(F.when(x <= threshold, x)).alias("lo_max"),
         F.min(F.when(x > threshold, x)).alias("hi_min"),
-        F.median(x).alias("median_value"),
     )
     n, a = F.col("n"), F.col("n_above")
     is_mpg = (F.when(n % 2 == 1, a >= (n + 1) / 2)
               .when(a >= n / 2 + 1, F.lit(True))
               .when(a == n / 2, (F.col("lo_max") + F.col("hi_min")) > 2 * threshold)
               .otherwise(F.lit(False)))
-    return agg.select(F.col("n").cast("long").alias("n"), F.col("n_above").cast("long").alias("n_above"),
-                      "median_value", is_mpg.alias("is_mpg"))
+    return agg.select(F.col("n").cast("long").alias("n"), F.col("n_above").cast("long").alias("n_above"), is_mpg.alias("is_mpg"))
+
+
+def unit_detection(df: DataFrame, col: str, threshold: float = 15.0) -> DataFrame:
+    """AG11: the decision with the median it rests on, found by rank search."""
+    _, median = exact_median(df, col)
+    return unit_flag(df, col, threshold).withColumn("median_value", F.lit(median).cast("double"))
 
 
 def unit_conversion(df: DataFrame, city: str, highway: str, combined: str, is_mpg) -> DataFrame:
@@ -82,7 +87,7 @@ def equipment_efficiency(economy: DataFrame) -> DataFrame:
     hwy = resolve_substring(df.columns, "highway", "hwy")
     comb = resolve_substring(df.columns, "comb")
     df = df.withColumn("equipment_type", S.class_to_equipment(F.col(vclass)))
-    is_mpg = unit_detection(df, comb).select("is_mpg").scalar()   # scalar subquery
+    is_mpg = unit_flag(df, comb).select("is_mpg").scalar()   # scalar subquery
     df = unit_conversion(df, city, hwy, comb, is_mpg)
     return df.groupBy("equipment_type").agg(*[F.avg(m).alias(m) for m in EFFICIENCY_MEASURES])
 

@@ -56,7 +56,7 @@ EFF_CTE = ("eff AS (SELECT equipment_type, " + ", ".join(f"avg({m}) AS {m}" for
 SELECT CAST(count(comb08) AS BIGINT) AS n, CAST(count_if(comb08 > 15) AS BIGINT) AS n_above,
        median(comb08) AS median_value, median(comb08) > 15 AS is_mpg FROM econ""", ECONOMY_CTE))
 def unit_detection(spark, sf_dir):
-    """AG11: exact median test MPG vs L/100 km (count-based decision)."""
+    """AG11: exact median test MPG vs L/100 km (count-based decision; the median by rank search)."""
     return P.unit_detection(economy(spark, sf_dir), "comb08")
 
 
@@ -66,7 +66,7 @@ def unit_detection(spark, sf_dir):
 def unit_conversion(spark, sf_dir):
     """SC1/SC2: km/L and L/100 km for city, highway, combined."""
     e = economy(spark, sf_dir)
-    is_mpg = P.unit_detection(e, "comb08").select("is_mpg").scalar()
+    is_mpg = P.unit_flag(e, "comb08").select("is_mpg").scalar()
     return P.unit_conversion(e, "city08", "highway08", "comb08", is_mpg).select("p_partkey", *MEASURES)
 
 
