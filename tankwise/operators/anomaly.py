@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
 from tankwise.operators.joins import join_checked
-from tankwise.operators.sequence import DEFAULT_ORDER, chunk_window, halo_chunks
+from tankwise.operators.sequence import DEFAULT_ORDER, PAGE, chunk_window, halo_chunks, paged, positions
 from tankwise.sources.store import last_before
 
 # Fixed metric list of the 3-sigma detector.
@@ -167,6 +167,12 @@ def anomaly_rollup(rules: DataFrame, key: str = "equipment_id") -> DataFrame:
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def anomaly_times(rules: DataFrame, key: str = "equipment_id", size: int = PAGE) -> DataFrame:
+    """AG21, the times: per (unit, type, page) the ordered times of the anomalies."""
+    d = rules.select(key, "anomaly_type", "ts", "event_id", F.struct(key, "anomaly_type").alias("_of"))
+    return paged(positions(d, "_of"), [key, "anomaly_type"], ["ts", "event_id"], "times", size)
+
+
 def union_detectors(stat: DataFrame, rules: DataFrame) -> DataFrame:
     """SE1: bag union of detector outputs in one long shape."""
     a = stat.filter("stat_anomaly").select("event_id", "equipment_id", "ts",

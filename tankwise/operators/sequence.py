@@ -273,6 +273,38 @@ def ordered_split(df: DataFrame, frac: float = 0.8, key: str = "equipment_id",
     return out.drop("_b", "_boff", "_cnt", "_cut")
 
 
+def positions(df: DataFrame, key: str = "equipment_id", order: Sequence[str] = DEFAULT_ORDER,
+              per_day: bool = False) -> DataFrame:
+    """``position``: each row's place (from 0) in its key's order, or in its key's day.
+
+    Row numbers run inside buckets only; a bucket starts after the rows of all earlier
+    ones of its key, known from one count a bucket."""
+    d = with_buckets(df, key, order)
+    count = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    part = [F.col(key)] + ([F.floor(F.col("_b") / PARTS)] if per_day else [])
+    before = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts, small = _bounded(count.select(key, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_start")))
+    d = d.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1)
+    out = same(d, F.broadcast(starts) if small else starts, [key, "_b"])
+    return out.withColumn("position", (F.col("_start") + F.col("_rn")).cast("long")).drop("_b", "_start", "_rn")
+
+
+PAGE = 500               # entries of one nested array, at most
+
+
+def paged(numbered: DataFrame, keys: Sequence[str], entry: Sequence[str], name: str, size: int = PAGE) -> DataFrame:
+    """``(keys, page, name)``: the rows of ``positions`` as arrays of at most ``size``
+    structs in order; a key's pages are numbered from 0 without gaps."""
+    page = F.floor(F.col("position") / F.lit(size)).cast("long").alias("page")
+    return numbered.groupBy(*keys, page).agg(F.sort_array(F.collect_list(F.struct("position", *entry))).alias(name))
+
+
+def page_table(numbered: DataFrame, keys: Sequence[str], size: int = PAGE) -> DataFrame:
+    """Entries and pages of each key, for readers that fetch page by page."""
+    n = F.max("position") + 1
+    return numbered.groupBy(*keys).agg(n.alias("entries"), F.ceil(n / F.lit(size)).cast("long").alias("pages"))
+
+
 def top_per_group(df: DataFrame, group: str, rank_col: str, k: int,
                   dense: bool = True) -> DataFrame:
     """WN11: rows whose ``rank_col`` is among the first k per group.

@@ -118,6 +118,17 @@ def anomaly_rollup(spark, sf_dir):
     return A.anomaly_rollup(rules_df(spark, sf_dir))
 
 
+@register("anomaly_times", with_t("""
+SELECT equipment_id, anomaly_type, CAST(position // 10 AS BIGINT) AS page, CAST(position AS BIGINT) AS position, ts, event_id
+FROM (SELECT *, row_number() OVER (PARTITION BY equipment_id, anomaly_type ORDER BY ts, event_id) - 1 AS position FROM rules)""",
+    *RULE_CTES))
+def anomaly_times(spark, sf_dir):
+    """AG21: the ordered times of each (unit, type) in pages of bounded arrays, exploded."""
+    pages = A.anomaly_times(rules_df(spark, sf_dir), size=10)
+    return pages.select("equipment_id", "anomaly_type", "page", F.explode("times").alias("x")).select(
+        "equipment_id", "anomaly_type", "page", "x.*")
+
+
 @register("anomaly_severity", rnd(with_t("""
 SELECT r.event_id, r.anomaly_type, least(1e0, coalesce(s.max_abs_z, 0e0) / 5e0) AS anomaly_score,
   CASE GREATEST(

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tankwise.operators import anomaly as A
-from tankwise.operators.sequence import top_per_group
+from tankwise.operators.sequence import PAGE, top_per_group
 from tankwise.plans import views as V
 from tankwise.plans.registry import TELEMETRY_DOUBLES, register, rnd, with_t
 from tankwise.sources.store import ingest, store_folder, telemetry_store
 from tankwise.sources.tables import telemetry
 from tankwise.sources.versions import fingerprint
 
+# Text fields of a reading: their SQL text is the same in both engines.
+RECORD_TEXT = ["driver_id", "equipment_type", "gear", "driving_mode", "maintenance_status", "operational_status", "refuel_event",
+               "event_notes", "location", "sensor_fault"]
+
 LATEST_SQL = """SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY ts DESC, event_id DESC) AS rn FROM t
 ) WHERE rn = 1"""
@@ -116,17 +120,56 @@ def equipment_detail(spark, sf_dir):
     return V.equipment_detail(telemetry(spark, sf_dir))
 
 
-@register("nested_payload", rnd(with_t("""
-SELECT equipment_id, CAST(ts AS DATE) AS date, CAST(count(*) AS BIGINT) AS n_items,
+@register("nested_payload", rnd(with_t(f"""
+SELECT equipment_id, date, page, CAST(count(*) AS BIGINT) AS n_items,
        min(ts) AS first_ts, max(ts) AS last_ts, sum(fuel_consumed) AS sum_consumed,
        string_agg(strftime(ts, '%H:%M:%S') || '=' || CAST(round(fuel_consumed, 2) AS VARCHAR), ','
                   ORDER BY ts, event_id) AS rendered
-FROM t GROUP BY equipment_id, CAST(ts AS DATE)"""), ["sum_consumed"]))
+FROM (SELECT *, CAST(ts AS DATE) AS date, CAST((row_number() OVER (PARTITION BY equipment_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1)
+             // {PAGE} AS BIGINT) AS page FROM t)
+GROUP BY equipment_id, date, page"""), ["sum_consumed"]))
 def nested_payload(spark, sf_dir):
-    """SNK5: ordered per-(unit, day) history arrays (flat summary compared)."""
+    """SNK5: ordered per-(unit, day, page) history arrays (flat summary compared)."""
     return V.nested_payload(telemetry(spark, sf_dir))
 
 
+HISTORY_PAGE = 20        # small, so that most units have several pages
+
+
+@register("equipment_history", rnd(with_t(f"""
+SELECT equipment_id, CAST(position // {HISTORY_PAGE} AS BIGINT) AS page, CAST(position AS BIGINT) AS position, ts,
+       {', '.join(V.HISTORY_COLUMNS)}
+FROM (SELECT *, row_number() OVER (PARTITION BY equipment_id ORDER BY ts, event_id) - 1 AS position FROM t)"""), V.HISTORY_COLUMNS))
+def equipment_history(spark, sf_dir):
+    """VW2/SNK5: every unit's six-column history in pages of bounded arrays, exploded."""
+    pages = V.equipment_history(telemetry(spark, sf_dir), HISTORY_PAGE)
+    return pages.select("equipment_id", "page", F.explode("history").alias("h")).select("equipment_id", "page", "h.*")
+
+
+@register("equipment_record", with_t(f"""
+SELECT equipment_id, field, value FROM (
+  SELECT equipment_id, unnest([{', '.join(f"'{c}'" for c in RECORD_TEXT)}]) AS field,
+         unnest([{', '.join(f"coalesce(CAST({c} AS VARCHAR), 'Data Not Available')" for c in RECORD_TEXT)}]) AS value
+  FROM latest)""", "latest AS (" + LATEST_SQL + ")"))
+def equipment_record(spark, sf_dir):
+    """VW2/PRJ15: the latest reading's fields as a map, NULL as the sentinel text; exploded."""
+    wanted = F.map_filter("latest", lambda k, v: k.isin(RECORD_TEXT))
+    return V.equipment_record(telemetry(spark, sf_dir)).select("equipment_id", F.explode(wanted).alias("field", "value"))
+
+
+LOOKED_UP = ["EQ-0001", "EQ-0007", "EQ-0012", "no such unit"]
+
+
+@register("equipment_lookup", rnd(with_t(f"""
+SELECT a.equipment_id, CAST(count(t.event_id) AS BIGINT) AS readings, min(ts) AS first_ts, max(ts) AS latest_ts,
+       max_by(fuel_level, ts) AS latest_fuel_level, count(t.event_id) > 0 AS found
+FROM (SELECT unnest([{', '.join(f"'{i}'" for i in LOOKED_UP)}]) AS equipment_id) a LEFT JOIN t ON a.equipment_id = t.equipment_id
+GROUP BY a.equipment_id"""), ["latest_fuel_level"]))
+def equipment_lookup(spark, sf_dir):
+    """PRJ7: a few units by id from the store (row groups skipped by range and Bloom filter)."""
+    return V.equipment_lookup(telemetry_store(spark, sf_dir), LOOKED_UP)
+
+
 @register("consumption_history", rnd(with_t("""
 SELECT equipment_type, CAST(ts AS DATE) AS date, avg(fuel_consumed) AS fuel_consumed
 FROM t WHERE ts >= (SELECT max(ts) FROM t) - INTERVAL 7 DAY AND equipment_type IS NOT NULL

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tankwise.operators.anomaly import detect_statistical
-from tankwise.operators.sequence import latest_by, max_scalar
+from tankwise.operators.sequence import PAGE, latest_by, max_scalar, paged, positions
 from tankwise.sources.store import Store
 
 NA_TEXT = "Data Not Available"
@@ -56,18 +57,54 @@ def equipment_detail(telemetry: DataFrame, equipment_ids=None) -> DataFrame:
     return latest.join(hist, "equipment_id")
 
 
-def nested_payload(telemetry: DataFrame) -> DataFrame:
-    """SNK5: per (unit, day) the ordered readings (ts, consumption, level).
+# Columns of a unit's served history, after the time.
+HISTORY_COLUMNS = ["fuel_consumed", "fuel_level", "fuel_efficiency", "load_pct", "speed"]
 
+
+def equipment_history(telemetry: DataFrame, size: int = PAGE) -> DataFrame:
+    """VW2, the history: per (unit, page) the readings' time and five figures in order."""
+    d = positions(telemetry.select("equipment_id", "ts", "event_id", *HISTORY_COLUMNS))
+    return paged(d, ["equipment_id"], ["ts", *HISTORY_COLUMNS], "history", size)
+
+
+def equipment_record(telemetry: DataFrame) -> DataFrame:
+    """VW2, the latest reading: every field as text in a map, NULL (and NaN) as the sentinel."""
+    latest = latest_by(telemetry)
+    def text(f):
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.DoubleType):
+            c = F.when(F.isnan(c), F.lit(None)).otherwise(c)
+        return F.coalesce(c.cast("string"), F.lit(NA_TEXT))
+    fields = [f for f in latest.schema.fields if f.name != "equipment_id"]
+    pairs = [x for f in fields for x in (F.lit(f.name), text(f))]
+    return latest.select("equipment_id", F.create_map(*pairs).alias("latest"))
+
+
+def equipment_lookup(store: Store, ids: list[str]) -> DataFrame:
+    """PRJ7: readings, first and latest time and latest level of the asked units; an
+    unknown id has a row that says so.  Only the units' row groups are read."""
+    spark = store.spark
+    asked = spark.createDataFrame([(i,) for i in sorted(set(ids))], "equipment_id string")
+    found = store.units(ids).groupBy("equipment_id").agg(
+        F.count(F.lit(1)).alias("readings"), F.min("ts").alias("first_ts"), F.max("ts").alias("latest_ts"),
+        F.max_by("fuel_level", F.struct("ts", "event_id")).alias("latest_fuel_level"))
+    return F.broadcast(asked).join(found, "equipment_id", "left").withColumn(
+        "found", F.col("readings").isNotNull()).withColumn("readings", F.coalesce("readings", F.lit(0)))
+
+
+def nested_payload(telemetry: DataFrame, size: int = PAGE) -> DataFrame:
+    """SNK5: per (unit, day, page) the ordered readings (ts, consumption, level).
+
+    A page holds at most ``size`` readings, so no array grows with a unit's day.
     Returns the array column ``history`` plus flat summaries (count, first and
     last ts, rounded sum and a text rendering) for value comparison.
     """
-    d = telemetry.withColumn("date", F.to_date("ts"))
-    items = F.sort_array(F.collect_list(F.struct("ts", "event_id", "fuel_consumed", "fuel_level")))
-    g = d.groupBy("equipment_id", "date").agg(items.alias("history"))
+    d = positions(telemetry.select("equipment_id", "ts", "event_id", "fuel_consumed", "fuel_level"), per_day=True)
+    g = paged(d.withColumn("date", F.to_date("ts")), ["equipment_id", "date"], ["ts", "event_id", "fuel_consumed", "fuel_level"],
+              "history", size)
     text = F.array_join(F.transform("history", lambda x: F.concat(
         F.date_format(x["ts"], "HH:mm:ss"), F.lit("="), F.round(x["fuel_consumed"], 2).cast("string"))), ",")
-    return g.select("equipment_id", "date", "history",
+    return g.select("equipment_id", "date", "page", "history",
                     F.size("history").cast("long").alias("n_items"),
                     F.col("history")[0]["ts"].alias("first_ts"),
                     F.element_at("history", -1)["ts"].alias("last_ts"),

@@ -24,19 +24,21 @@ from tankwise.sources.tables import telemetry
 from tankwise.sources.versions import Log, fingerprint
 
 MICROS, DATE = "ts_us", "date"
+FORMAT = 2               # of a store's files and record; older ones are written anew
+ROW_GROUP = 64 << 20     # bytes that a point lookup has to read at least
 STATS = "date date, rows long, first long, last long"
 # the aggregate reaches the footers only through the newer file source
 FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
 
 
-def write_store(rows: DataFrame, path: str) -> None:
+def write_store(rows: DataFrame, path: str, row_group: int = ROW_GROUP) -> None:
     """Write readings partitioned by date; rows without a time form a partition of
     their own that no trailing window reads."""
     # a file of nulls only has no range in its footer
     d = rows.withColumn(MICROS, F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))).withColumn(DATE, F.to_date("ts"))
     (d.repartitionByRange(DATE, "equipment_id", MICROS)
      .sortWithinPartitions(DATE, "equipment_id", MICROS, "event_id")
-     .write.option("parquet.bloom.filter.enabled#equipment_id", "true").partitionBy(DATE).parquet(path))
+     .write.option("parquet.bloom.filter.enabled#equipment_id", "true").option("parquet.block.size", row_group).partitionBy(DATE).parquet(path))
 
 
 def date_stats(spark: SparkSession, path: str, schema: T.StructType):
@@ -96,7 +98,7 @@ def ingest(rows: DataFrame, folder: str, source: str) -> Store:
     schema = T.StructType([*rows.schema.fields, T.StructField(MICROS, T.LongType()), T.StructField(DATE, T.DateType())])
     found = date_stats(spark, path, schema)         # one row a date
     spark.createDataFrame(found, STATS).coalesce(1).write.parquet(stats)
-    Log(spark, f"{folder}/versions").add({"source": source, "data": path, "dates": stats, "schema": schema.jsonValue()})
+    Log(spark, f"{folder}/versions").add({"format": FORMAT, "source": source, "data": path, "dates": stats, "schema": schema.jsonValue()})
     return Store(spark, path, stats, schema)
 
 
@@ -111,7 +113,7 @@ def telemetry_store(spark: SparkSession, sf_dir: str) -> Store:
     folder = store_folder(spark, sf_dir)
     source = fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet")
     _, newest = Log(spark, f"{folder}/versions").latest()
-    if newest and newest["source"] == source:
+    if newest and newest.get("format") == FORMAT and newest["source"] == source:
         return Store(spark, newest["data"], newest["dates"], T.StructType.fromJson(newest["schema"]))
     return ingest(telemetry(spark, sf_dir), folder, source)
 

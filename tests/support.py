@@ -21,3 +21,9 @@ def files_read(df) -> int:
     """Files that the scans of ``df`` open, subqueries left out."""
     df.collect()
     return sum(int(s.metrics().apply("numFiles").value()) for s in scans(df._jdf.queryExecution().executedPlan()))
+
+
+def rows_scanned(df) -> int:
+    """Rows that the file scans of ``df`` hand on, before any filter above them."""
+    df.collect()
+    return sum(int(s.metrics().apply("numOutputRows").value()) for s in scans(df._jdf.queryExecution().executedPlan()))

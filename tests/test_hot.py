@@ -84,3 +84,29 @@ def test_slices_of_a_hot_day_are_many_and_small(spark, monkeypatch):
     out = FE.with_avg_load_3h(df)
     assert out.count() == 4000
     assert len(seen[0]) > 60 and max(seen[0]) < 400
+
+
+# ------------------------------------------------------------ pages
+@pytest.mark.parametrize("per_day", [False, True])
+def test_pages_hold_a_hot_unit_in_bounded_arrays(spark, monkeypatch, per_day):
+    monkeypatch.setattr(SQ, "CHUNK_ROWS", 60)
+    rng, t0 = random.Random(2), dt.datetime(2024, 5, 1)
+    rows = [(i, "hot", t0 + dt.timedelta(seconds=rng.randint(0, 200_000))) for i in range(1500)]
+    rows += [(5000 + i, "hot", t0) for i in range(200)] + [(6000 + i, f"u{i % 3}", t0 + dt.timedelta(hours=i)) for i in range(50)]
+    rows += [(7000, "hot", None), (7001, None, t0), (7002, None, None)]
+    df = spark.createDataFrame(rows, "event_id long, equipment_id string, ts timestamp_ntz").repartition(5)
+    numbered = SQ.positions(df, per_day=per_day).withColumn("date", F.to_date("ts"))
+    keys = ["equipment_id", "date"] if per_day else ["equipment_id"]
+    pages = SQ.paged(numbered, keys, ["ts", "event_id"], "items", size=70)
+    assert max(len(r["items"]) for r in pages.collect()) == 70
+    low = dt.datetime.min
+    want, got = {}, {}
+    for i, unit, ts in sorted(rows, key=lambda r: (r[2] or low, r[0])):
+        want.setdefault((unit, ts.date() if ts and per_day else None), []).append(i)
+    for r in sorted(pages.collect(), key=lambda r: r["page"]):
+        out = got.setdefault((r["equipment_id"], r["date"] if per_day else None), [])
+        assert r["page"] * 70 == len(out) and [x["position"] for x in r["items"]] == list(range(len(out), len(out) + len(r["items"])))
+        out += [x["event_id"] for x in r["items"]]
+    assert got == want
+    table = {tuple(r)[:-2]: (r["entries"], r["pages"]) for r in SQ.page_table(numbered, keys, 70).collect()}
+    assert all(v[1] == -(-v[0] // 70) for v in table.values()) and sum(v[0] for v in table.values()) == len(rows)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from support import SF_SMALL, files_read
+from support import SF_SMALL, files_read, rows_scanned
 from tankwise.operators import anomaly as A
 from tankwise.operators import patterns as P
 from tankwise.plans import views as V
@@ -121,3 +121,26 @@ def test_versions_are_whole_and_never_overwritten(spark):
     assert log.add({"a": 3}) == 1 and log.latest() == (1, {"a": 3}) and log.read(0) == {"a": 1}
     assert not write_text_once(spark, f"{folder}/000000000001.json", "x")
     assert fingerprint(spark, folder) == fingerprint(spark, folder)
+
+
+def test_a_lookup_reads_the_units_row_groups_only(spark):
+    """Small row groups stand for the large files of a large store."""
+    df = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.format_string("EQ-%04d", F.col("id") % 600).alias("equipment_id"),
+        (F.lit("2024-01-05 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("ts"),
+        F.rand(1).alias("fuel_level"))
+    path = scratch_path(spark, "store")
+    S.write_store(df, path, row_group=4_096)
+    rows = spark.read.parquet(path)
+    hit = rows.where("equipment_id = 'EQ-0123'")
+    assert rows_scanned(rows) == 60_000
+    assert hit.count() == 100 and 100 <= rows_scanned(hit) < 15_000
+    assert "PushedFilters: [IsNotNull(equipment_id), EqualTo(equipment_id,EQ-0123)]" in _plan(hit)
+
+
+def test_lookup_says_what_is_not_there(spark, store):
+    got = {r["equipment_id"]: r for r in V.equipment_lookup(store, ["EQ-0001", "EQ-0001", "nobody"]).collect()}
+    assert set(got) == {"EQ-0001", "nobody"}
+    assert not got["nobody"]["found"] and got["nobody"]["readings"] == 0 and got["nobody"]["latest_ts"] is None
+    t = telemetry(spark, SF_SMALL).where("equipment_id = 'EQ-0001'")
+    assert got["EQ-0001"]["readings"] == t.count() and got["EQ-0001"]["latest_ts"] == t.agg(F.max("ts")).first()[0]
