@@ -8,28 +8,84 @@ stamped with the data's ``as_of`` time (max ts), never the wall clock.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
-from tankwise.operators.joins import join_literal_dim
 from tankwise.operators.sequence import latest_by, max_scalar, trailing
+from tankwise.sources.files import DEFAULT_CONFIG, read_config
 
-# Fixed default thresholds (values equal the reference's defaults).
-EFFICIENCY_THRESHOLDS = {
-    "Bulldozer": (0.8, 0.6, 0.4), "Excavator": (0.8, 0.6, 0.4), "Forklift": (0.85, 0.7, 0.5),
-    "Loader": (0.8, 0.6, 0.4), "Truck": (0.85, 0.7, 0.5), "default": (0.8, 0.6, 0.4),
-}
 BASELINE_EFFICIENCY = {"Truck": 6.0, "Bulldozer": 3.0, "Forklift": 8.0}
 DEFAULT_BASELINE = 5.0
-SERVICE_DUE_HOURS = 500.0
-SERVICE_WARNING_HOURS = 450.0
-DAILY_IDLE_RATIO = 0.3
-LOW_FUEL_PCT = 20.0
-OPTIMAL_REFUEL_PCT = 25.0
 MIN_HISTORY = 5
 PRIORITY_RANK = {"high": 0, "medium": 1, "low": 2}
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Thresholds of the insight families, from one configuration document (SRC6)."""
+    efficiency: dict          # type -> (good, average, poor), with a ``default``
+    service_due: float
+    service_warning: float
+    idle_ratio: float
+    low_fuel: float
+    optimal_refuel: float
+
+    @classmethod
+    def of(cls, config: dict) -> Limits:
+        return cls({k: tuple(float(t[c]) for c in ("good", "average", "poor")) for k, t in config["efficiency_thresholds"].items()},
+                   float(config["maintenance_thresholds"]["service_due_hours"]),
+                   float(config["maintenance_thresholds"]["service_warning_hours"]),
+                   float(config["idle_thresholds"]["daily_idle_ratio"]), float(config["refuel_thresholds"]["low_fuel_percentage"]),
+                   float(config["refuel_thresholds"]["optimal_refuel_percentage"]))
+
+    @classmethod
+    def read(cls, spark, path: str | None) -> Limits:
+        """From a configuration file (``read_config``: the defaults if there is none)."""
+        return cls.of(read_config(spark, path).first().asDict(recursive=True))
+
+    def cut(self, place: int) -> Column:
+        """Cut-off of the row's type: 0 good, 1 average, 2 poor."""
+        return S.map_literal("equipment_type", {k: v[place] for k, v in self.efficiency.items() if k != "default"},
+                             self.efficiency["default"][place])
+
+
+DEFAULT_LIMITS = Limits.of(DEFAULT_CONFIG)
+
+# Fixed values (must equal the reference's): message texts by kind, with the place of
+# the figure; the last block holds the variants of the message formatter.
+MESSAGES = {
+    ("efficiency", "low"): "Good fuel efficiency. Current average: %s km/L.",
+    ("efficiency", "medium"): "Average fuel efficiency. Current average: %s km/L.",
+    ("efficiency", "high"): "Poor fuel efficiency. Current average: %s km/L.",
+    ("maintenance", "high"): "Maintenance overdue. Hours since last service: %s",
+    ("maintenance", "medium"): "Maintenance due soon. Hours since last service: %s",
+    ("refueling", "high"): "Low fuel alert. Estimated runtime: %s hours.",
+    ("refueling", "medium"): "Plan refueling soon. Estimated runtime: %s hours.",
+    ("idle", "medium"): "Excessive idle time detected. Idle ratio: %s%%",
+    ("anomaly", "fuel_theft"): "Potential fuel theft detected. Total missing: %s L",
+    ("anomaly", "efficiency"): "Abnormal fuel efficiency detected. %s instances.",
+    ("anomaly", "idle"): "Excessive idle time detected. %s instances.",
+    ("anomaly", "mechanical"): "%s detected. %s instances.",
+    ("anomaly", "general"): "%s anomaly detected. %s instances.",
+    ("maintenance", "remaining"): "Maintenance due soon. Hours remaining: %s",
+    ("refueling", "critical"): "Critical fuel level. Estimated runtime: %s hours.",
+    ("anomaly", "any mechanical"): "Mechanical issue detected. %s instances.",
+    ("anomaly", "any"): "Anomaly detected. %s instances.",
+    ("any", "any"): "Insight generated.",
+}
+
+
+def say(kind: str, variant: str, *figures) -> Column:
+    return F.format_string(MESSAGES[kind, variant], *figures)
+
+
+def details(**figures) -> Column:
+    """Map of names to texts; numbers with four decimals, counts as they are."""
+    return F.create_map(*[x for k, v in figures.items() for x in (F.lit(k), v)])
+
 # Fixed values (must equal the reference's): recommended actions per insight kind.
 ACTIONS = {
     ("efficiency", "low"): ["Maintain current operating practices."],
@@ -55,7 +111,7 @@ ACTIONS = {
 }
 
 INSIGHT_COLUMNS = ["insight_type", "subtype", "priority", "equipment_id", "as_of", "message",
-                   "metric_value", "actions"]
+                   "metric_value", "actions", "details", "action_list"]
 
 
 def fmt(x: Column, digits: int) -> Column:
@@ -64,12 +120,20 @@ def fmt(x: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.round(x * F.lit(scale)) / F.lit(scale))
 
 
-def _actions(kind: str, level_col: Column, levels) -> Column:
+def _action_list(kind: str, level_col: Column, levels) -> Column:
     expr = None
     for lv in levels:
         arr = F.array(*[F.lit(a) for a in ACTIONS[(kind, lv)]])
         expr = F.when(level_col == lv, arr) if expr is None else expr.when(level_col == lv, arr)
-    return F.array_join(expr, "; ")
+    return expr
+
+
+def _record(rows: DataFrame, kind: str, priority: Column, message: Column, metric: Column, figures: Column,
+            actions: Column, subtype: Column | None = None) -> DataFrame:
+    """The columns of an insight, the same for all families."""
+    return rows.select(F.lit(kind).alias("insight_type"), (F.lit(None).cast("string") if subtype is None else subtype).alias("subtype"),
+                       priority.alias("priority"), "equipment_id", "as_of", message.alias("message"), metric.alias("metric_value"),
+                       F.array_join(actions, "; ").alias("actions"), figures.alias("details"), actions.alias("action_list"))
 
 
 # --------------------------------------------------------------- IN1
@@ -149,87 +213,64 @@ def estimated_runtime(state: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------- IN2-IN5
-def _thresholds_dim(spark) -> DataFrame:
-    rows = [(k, g, a, p, BASELINE_EFFICIENCY.get(k, DEFAULT_BASELINE))
-            for k, (g, a, p) in EFFICIENCY_THRESHOLDS.items()]
-    return spark.createDataFrame(rows, "equipment_type string, good double, average double, "
-                                       "poor double, baseline double")
-
-
-def insights_efficiency(state: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
+def insights_efficiency(state: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """IN2: ratio of mean positive efficiency to the type baseline, graded by
-    the type's cut-offs (``default`` row when the type has none)."""
-    spark = state.sparkSession
-    dim = thresholds if thresholds is not None else _thresholds_dim(spark)
-    typed = dim.filter(F.col("equipment_type") != "default")
-    dflt = dim.filter(F.col("equipment_type") == "default")
-    s = state.filter(F.col("n_efficiency") >= MIN_HISTORY)
-    s = join_literal_dim(s, typed.select("equipment_type", "good", "average"), "equipment_type", "left")
+    the type's cut-offs (the ``default`` ones when the type has none)."""
     baseline = S.map_literal("equipment_type", BASELINE_EFFICIENCY, DEFAULT_BASELINE)
-    good = F.coalesce(F.col("good"), dflt.select(F.max("good")).scalar())
-    avg_cut = F.coalesce(F.col("average"), dflt.select(F.max("average")).scalar())
-    ratio = F.col("avg_efficiency") / baseline
-    s = s.withColumn("ratio", ratio)
-    pr = F.when(F.col("ratio") >= good, "low").when(F.col("ratio") >= avg_cut, "medium").otherwise("high")
+    s = state.filter(F.col("n_efficiency") >= MIN_HISTORY).withColumn("ratio", F.col("avg_efficiency") / baseline)
+    pr = F.when(F.col("ratio") >= limits.cut(0), "low").when(F.col("ratio") >= limits.cut(1), "medium").otherwise("high")
     s = s.withColumn("priority", pr)
-    label = F.when(F.col("priority") == "low", "Good").when(F.col("priority") == "medium", "Average").otherwise("Poor")
-    msg = F.concat(label, F.lit(" fuel efficiency. Current average: "), fmt(F.col("avg_efficiency"), 2),
-                   F.lit(" km/L."))
-    return s.select(F.lit("efficiency").alias("insight_type"), F.lit(None).cast("string").alias("subtype"),
-                    "priority", "equipment_id", "as_of", msg.alias("message"),
-                    F.col("ratio").alias("metric_value"),
-                    _actions("efficiency", F.col("priority"), ["low", "medium", "high"]).alias("actions"))
+    p, mean = F.col("priority"), fmt(F.col("avg_efficiency"), 2)
+    msg = (F.when(p == "low", say("efficiency", "low", mean)).when(p == "medium", say("efficiency", "medium", mean))
+           .otherwise(say("efficiency", "high", mean)))
+    return _record(s, "efficiency", p, msg, F.col("ratio"),
+                   details(avg_efficiency=fmt(F.col("avg_efficiency"), 4), baseline=fmt(baseline, 4), ratio=fmt(F.col("ratio"), 4)),
+                   _action_list("efficiency", p, ["low", "medium", "high"]))
 
 
-def insights_maintenance(state: DataFrame) -> DataFrame:
+def insights_maintenance(state: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """IN3: >= 500 h overdue (high); >= 450 h due soon (medium)."""
-    h = F.col("hours_since_service")
-    s = state.filter(h >= SERVICE_WARNING_HOURS).withColumn(
-        "priority", F.when(h >= SERVICE_DUE_HOURS, "high").otherwise("medium"))
-    msg = F.when(F.col("priority") == "high",
-                 F.concat(F.lit("Maintenance overdue. Hours since last service: "), fmt(h, 1))).otherwise(
-        F.concat(F.lit("Maintenance due soon. Hours since last service: "), fmt(h, 1)))
-    remaining = F.when(F.col("priority") == "medium", F.lit(SERVICE_DUE_HOURS) - h).otherwise(h)
-    return s.select(F.lit("maintenance").alias("insight_type"), F.lit(None).cast("string").alias("subtype"),
-                    "priority", "equipment_id", "as_of", msg.alias("message"),
-                    remaining.alias("metric_value"),
-                    _actions("maintenance", F.col("priority"), ["high", "medium"]).alias("actions"))
-
-
-def insights_refuel(state: DataFrame) -> DataFrame:
+    h, due = F.col("hours_since_service"), F.lit(limits.service_due)
+    s = state.filter(h >= limits.service_warning).withColumn("priority", F.when(h >= due, "high").otherwise("medium"))
+    p = F.col("priority")
+    msg = F.when(p == "high", say("maintenance", "high", fmt(h, 1))).otherwise(say("maintenance", "medium", fmt(h, 1)))
+    both = details(hours_since_service=fmt(h, 4), threshold=fmt(due, 4))
+    return _record(s, "maintenance", p, msg, F.when(p == "medium", due - h).otherwise(h),
+                   F.when(p == "high", both).otherwise(F.map_concat(both, details(hours_remaining=fmt(due - h, 4)))),
+                   _action_list("maintenance", p, ["high", "medium"]))
+
+
+def insights_refuel(state: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """IN4: needs a non-zero runtime; <= 20 % high; <= 25 % and < 8 h medium."""
     pct, rt = F.col("fuel_level_percentage"), F.col("estimated_runtime")
     s = state.filter(rt.isNotNull() & (rt != 0))
-    pr = F.when(pct <= LOW_FUEL_PCT, "high").when((pct <= OPTIMAL_REFUEL_PCT) & (rt < 8), "medium")
+    pr = F.when(pct <= limits.low_fuel, "high").when((pct <= limits.optimal_refuel) & (rt < 8), "medium")
     s = s.withColumn("priority", pr).filter(F.col("priority").isNotNull())
-    msg = F.when(F.col("priority") == "high",
-                 F.concat(F.lit("Low fuel alert. Estimated runtime: "), fmt(rt, 1), F.lit(" hours."))).otherwise(
-        F.concat(F.lit("Plan refueling soon. Estimated runtime: "), fmt(rt, 1), F.lit(" hours.")))
-    return s.select(F.lit("refueling").alias("insight_type"), F.lit(None).cast("string").alias("subtype"),
-                    "priority", "equipment_id", "as_of", msg.alias("message"),
-                    rt.alias("metric_value"),
-                    _actions("refueling", F.col("priority"), ["high", "medium"]).alias("actions"))
+    p = F.col("priority")
+    msg = F.when(p == "high", say("refueling", "high", fmt(rt, 1))).otherwise(say("refueling", "medium", fmt(rt, 1)))
+    return _record(s, "refueling", p, msg, rt,
+                   details(fuel_percentage=fmt(pct, 4), estimated_runtime=fmt(rt, 4), fuel_level=fmt(F.col("fuel_level"), 4),
+                           fuel_capacity=fmt(F.col("tank_capacity"), 4)),
+                   _action_list("refueling", p, ["high", "medium"]))
 
 
-def insights_idle(state: DataFrame) -> DataFrame:
+def insights_idle(state: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """IN5/AG20: idle / max(1, total) over running rows; total >= 5, ratio > 0.3."""
     idle, act = F.col("total_idle_time"), F.col("total_active_time")
     total = idle + act
     ratio = idle / F.greatest(F.lit(1), total)
     s = state.filter(total >= MIN_HISTORY).withColumn("ratio", ratio.cast("double")).filter(
-        F.col("ratio") > DAILY_IDLE_RATIO)
-    msg = F.concat(F.lit("Excessive idle time detected. Idle ratio: "),
-                   fmt(F.col("ratio") * 100.0, 1), F.lit("%"))
-    return s.select(F.lit("idle").alias("insight_type"), F.lit(None).cast("string").alias("subtype"),
-                    F.lit("medium").alias("priority"), "equipment_id", "as_of", msg.alias("message"),
-                    F.col("ratio").alias("metric_value"),
-                    _actions("idle", F.lit("medium"), ["medium"]).alias("actions"))
+        F.col("ratio") > limits.idle_ratio)
+    return _record(s, "idle", F.lit("medium"), say("idle", "medium", fmt(F.col("ratio") * 100.0, 1)), F.col("ratio"),
+                   details(idle_time=idle.cast("string"), active_time=act.cast("string"), idle_ratio=fmt(F.col("ratio"), 4)),
+                   _action_list("idle", F.lit("medium"), ["medium"]))
 
 
 # --------------------------------------------------------------- IN6
 def insights_anomaly(rollup: DataFrame, state: DataFrame) -> DataFrame:
     """IN6: per (unit, anomaly type) by substring precedence.  Units absent
-    from the state are ignored (JN7)."""
+    from the state are ignored (JN7).  The times of the anomalies are rows of
+    ``anomaly.anomaly_times``; a record holds their number, first and last."""
     t = F.col("anomaly_type")
     sub = (F.when(t.contains("Fuel Theft"), "fuel_theft").when(t.contains("Efficiency"), "efficiency")
            .when(t.contains("Idle"), "idle")
@@ -238,32 +279,47 @@ def insights_anomaly(rollup: DataFrame, state: DataFrame) -> DataFrame:
     r = (rollup.filter(t.isNotNull() & (t != "") & (t != "Unknown"))
                .join(state.select("equipment_id", "as_of"), "equipment_id", "inner")
                .withColumn("subtype", sub))
-    n = F.col("anomaly_count").cast("string")
-    msg = (F.when(F.col("subtype") == "fuel_theft",
-                  F.concat(F.lit("Potential fuel theft detected. Total missing: "), fmt(F.col("total_missing"), 1), F.lit(" L")))
-           .when(F.col("subtype") == "efficiency", F.concat(F.lit("Abnormal fuel efficiency detected. "), n, F.lit(" instances.")))
-           .when(F.col("subtype") == "idle", F.concat(F.lit("Excessive idle time detected. "), n, F.lit(" instances.")))
-           .when(F.col("subtype") == "mechanical", F.concat(t, F.lit(" detected. "), n, F.lit(" instances.")))
-           .otherwise(F.concat(t, F.lit(" anomaly detected. "), n, F.lit(" instances."))))
-    pr = F.when(F.col("subtype").isin("fuel_theft", "mechanical"), "high").otherwise("medium")
-    metric = F.when(F.col("subtype") == "fuel_theft", F.col("total_missing")).otherwise(
-        F.col("anomaly_count").cast("double"))
-    acts = None
-    for st in ["fuel_theft", "efficiency", "idle", "mechanical", "general"]:
-        arr = F.array(*[F.lit(a) for a in ACTIONS[("anomaly", st)]])
-        acts = F.when(F.col("subtype") == st, arr) if acts is None else acts.when(F.col("subtype") == st, arr)
-    return r.select(F.lit("anomaly").alias("insight_type"), "subtype", pr.alias("priority"),
-                    "equipment_id", "as_of", msg.alias("message"), metric.alias("metric_value"),
-                    F.array_join(acts, "; ").alias("actions"))
+    n, st, missing = F.col("anomaly_count").cast("string"), F.col("subtype"), F.col("total_missing")
+    msg = (F.when(st == "fuel_theft", say("anomaly", "fuel_theft", fmt(missing, 1)))
+           .when(st == "efficiency", say("anomaly", "efficiency", n)).when(st == "idle", say("anomaly", "idle", n))
+           .when(st == "mechanical", say("anomaly", "mechanical", t, n)).otherwise(say("anomaly", "general", t, n)))
+    pr = F.when(st.isin("fuel_theft", "mechanical"), "high").otherwise("medium")
+    metric = F.when(st == "fuel_theft", missing).otherwise(F.col("anomaly_count").cast("double"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")      # noqa: E731
+    figures = F.when(st == "fuel_theft", details(anomaly_count=n, total_missing=fmt(missing, 4), locations=F.col("locations"))).otherwise(
+        details(anomaly_count=n, first_timestamp=at("first_ts"), last_timestamp=at("last_ts")))
+    return _record(r, "anomaly", pr, msg, metric, figures,
+                   _action_list("anomaly", st, ["fuel_theft", "efficiency", "idle", "mechanical", "general"]), st)
+
+
+def formatted(insights: DataFrame) -> Column:
+    """SC24: the message of a typed record from its kind and details alone."""
+    d = lambda name: F.element_at("details", F.lit(name)).cast("double")      # noqa: E731
+    kind, st, n = F.col("insight_type"), F.coalesce("subtype", F.lit("general")), F.element_at("details", F.lit("anomaly_count"))
+    mean, run = fmt(d("avg_efficiency"), 2), fmt(d("estimated_runtime"), 1)
+    efficiency = (F.when(d("ratio") >= 0.8, say("efficiency", "low", mean)).when(d("ratio") >= 0.6, say("efficiency", "medium", mean))
+                  .otherwise(say("efficiency", "high", mean)))
+    hours, due = d("hours_since_service"), d("threshold")
+    service = F.when(hours >= due, say("maintenance", "high", fmt(hours, 1))).otherwise(
+        say("maintenance", "remaining", fmt(F.coalesce(d("hours_remaining"), due - hours), 1)))
+    pct = d("fuel_percentage")
+    fuel = (F.when(pct <= 10, say("refueling", "critical", run)).when(pct <= 20, say("refueling", "high", run))
+            .otherwise(say("refueling", "medium", run)))
+    anomaly = (F.when(st == "fuel_theft", say("anomaly", "fuel_theft", fmt(d("total_missing"), 1)))
+               .when(st == "efficiency", say("anomaly", "efficiency", n)).when(st == "idle", say("anomaly", "idle", n))
+               .when(st == "mechanical", say("anomaly", "any mechanical", n)).otherwise(say("anomaly", "any", n)))
+    return (F.when(kind == "efficiency", efficiency).when(kind == "maintenance", service).when(kind == "refueling", fuel)
+            .when(kind == "anomaly", anomaly).otherwise(F.lit(MESSAGES["any", "any"])))
 
 
 # --------------------------------------------------------------- IN7
 def insights_all(*parts: DataFrame) -> DataFrame:
     """IN7: union of the families with a priority rank (high first, defect Q8
     fixed), in output order."""
-    u = parts[0].select(*INSIGHT_COLUMNS)
+    cols = [c for c in INSIGHT_COLUMNS if all(c in p.columns for p in parts)]
+    u = parts[0].select(*cols)
     for p in parts[1:]:
-        u = u.unionByName(p.select(*INSIGHT_COLUMNS))
+        u = u.unionByName(p.select(*cols))
     rank = S.map_literal("priority", PRIORITY_RANK, 3)
     return order_insights(u.withColumn("priority_rank", rank.cast("int")))
 

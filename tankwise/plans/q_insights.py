@@ -1,8 +1,8 @@
 """Registered jobs: equipment state and insights (build step 8).
 
-The forecast input is the trailing-day mean consumption per unit (the
-forecast frame's shape); ``forecast_consumption`` feeds model forecasts into
-the same operators.
+The forecast input of the jobs with SQL is the trailing-day mean consumption per unit
+(the forecast frame's shape); the ``*_from_models`` jobs feed the trained models'
+forecasts into the same operators.
 """
 
 from __future__ import annotations
@@ -58,9 +58,10 @@ def _acts(kind: str, col: str, levels) -> str:
     return f"CASE {whens} END"
 
 
-_typed = {k: v for k, v in I.EFFICIENCY_THRESHOLDS.items() if k != "default"}
-GOOD = _case("equipment_type", {k: v[0] for k, v in _typed.items()}, I.EFFICIENCY_THRESHOLDS["default"][0])
-AVERAGE = _case("equipment_type", {k: v[1] for k, v in _typed.items()}, I.EFFICIENCY_THRESHOLDS["default"][1])
+LIMITS = I.DEFAULT_LIMITS
+_typed = {k: v for k, v in LIMITS.efficiency.items() if k != "default"}
+GOOD = _case("equipment_type", {k: v[0] for k, v in _typed.items()}, LIMITS.efficiency["default"][0])
+AVERAGE = _case("equipment_type", {k: v[1] for k, v in _typed.items()}, LIMITS.efficiency["default"][1])
 BASELINE = _case("equipment_type", I.BASELINE_EFFICIENCY, I.DEFAULT_BASELINE)
 
 EFF_SQL = f"""SELECT 'efficiency' AS insight_type, CAST(NULL AS VARCHAR) AS subtype, priority, equipment_id, as_of,
@@ -73,18 +74,18 @@ FROM (SELECT *, CASE WHEN ratio >= {GOOD} THEN 'low' WHEN ratio >= {AVERAGE} THE
 MAINT_SQL = f"""SELECT 'maintenance' AS insight_type, CAST(NULL AS VARCHAR) AS subtype, priority, equipment_id, as_of,
   CASE WHEN priority = 'high' THEN concat('Maintenance overdue. Hours since last service: ', {_fmt('hours_since_service', 1)})
        ELSE concat('Maintenance due soon. Hours since last service: ', {_fmt('hours_since_service', 1)}) END AS message,
-  CASE WHEN priority = 'medium' THEN {I.SERVICE_DUE_HOURS}e0 - hours_since_service ELSE hours_since_service END
+  CASE WHEN priority = 'medium' THEN {LIMITS.service_due}e0 - hours_since_service ELSE hours_since_service END
     AS metric_value,
   {_acts('maintenance', 'priority', ['high', 'medium'])} AS actions
-FROM (SELECT *, CASE WHEN hours_since_service >= {I.SERVICE_DUE_HOURS}e0 THEN 'high' ELSE 'medium' END AS priority
-      FROM state WHERE hours_since_service >= {I.SERVICE_WARNING_HOURS}e0)"""
+FROM (SELECT *, CASE WHEN hours_since_service >= {LIMITS.service_due}e0 THEN 'high' ELSE 'medium' END AS priority
+      FROM state WHERE hours_since_service >= {LIMITS.service_warning}e0)"""
 
 REFUEL_SQL = f"""SELECT 'refueling' AS insight_type, CAST(NULL AS VARCHAR) AS subtype, priority, equipment_id, as_of,
   CASE WHEN priority = 'high' THEN concat('Low fuel alert. Estimated runtime: ', {_fmt('estimated_runtime', 1)}, ' hours.')
        ELSE concat('Plan refueling soon. Estimated runtime: ', {_fmt('estimated_runtime', 1)}, ' hours.') END AS message,
   estimated_runtime AS metric_value, {_acts('refueling', 'priority', ['high', 'medium'])} AS actions
-FROM (SELECT *, CASE WHEN fuel_level_percentage <= {I.LOW_FUEL_PCT}e0 THEN 'high'
-                     WHEN fuel_level_percentage <= {I.OPTIMAL_REFUEL_PCT}e0 AND estimated_runtime < 8 THEN 'medium' END
+FROM (SELECT *, CASE WHEN fuel_level_percentage <= {LIMITS.low_fuel}e0 THEN 'high'
+                     WHEN fuel_level_percentage <= {LIMITS.optimal_refuel}e0 AND estimated_runtime < 8 THEN 'medium' END
                   AS priority
       FROM state WHERE estimated_runtime IS NOT NULL AND estimated_runtime <> 0)
 WHERE priority IS NOT NULL"""
@@ -94,7 +95,7 @@ IDLE_SQL = f"""SELECT 'idle' AS insight_type, CAST(NULL AS VARCHAR) AS subtype,
   ratio AS metric_value, '{'; '.join(I.ACTIONS[('idle', 'medium')])}' AS actions
 FROM (SELECT *, CAST(total_idle_time AS DOUBLE) / greatest(1, total_idle_time + total_active_time) AS ratio
       FROM state WHERE total_idle_time + total_active_time >= {I.MIN_HISTORY})
-WHERE ratio > {I.DAILY_IDLE_RATIO}"""
+WHERE ratio > {LIMITS.idle_ratio}"""
 
 _SUB = ("CASE WHEN contains(anomaly_type, 'Fuel Theft') THEN 'fuel_theft' WHEN contains(anomaly_type, 'Efficiency') "
         "THEN 'efficiency' WHEN contains(anomaly_type, 'Idle') THEN 'idle' WHEN contains(anomaly_type, 'Engine') "
@@ -130,11 +131,13 @@ def _anomaly_insights(spark, sf_dir, state):
     return I.insights_anomaly(roll, state)
 
 
-def all_insights(spark, sf_dir):
+def all_insights(spark, sf_dir, config=None):
+    """All families; ``config`` is the path of a threshold file (none: the defaults)."""
+    limits = I.Limits.read(spark, config)
     # One row per unit, read by five insight families: materialise once.
     st = materialize_small(_state(spark, sf_dir))
-    return I.insights_all(I.insights_efficiency(st), I.insights_maintenance(st), I.insights_refuel(st),
-                          I.insights_idle(st), _anomaly_insights(spark, sf_dir, st))
+    return I.insights_all(I.insights_efficiency(st, limits), I.insights_maintenance(st, limits), I.insights_refuel(st, limits),
+                          I.insights_idle(st, limits), _anomaly_insights(spark, sf_dir, st))
 
 
 @register("equipment_state", rnd(with_t("SELECT * FROM state", STATE_CTE), STATE_DOUBLES))
@@ -159,6 +162,16 @@ def runtime_from_models(spark, sf_dir):
     return st.select("equipment_id", "fuel_level", "predicted_consumption", "estimated_runtime")
 
 
+@register("insights_from_models")
+def insights_from_models(spark, sf_dir):
+    """IN4/IN7: all insight families with runtimes from the trained models' 24-hour forecasts."""
+    from tankwise.plans.q_ml import _forecasts
+    st = materialize_small(I.equipment_state(telemetry(spark, sf_dir),
+                                             _forecasts(spark, sf_dir).select("equipment_id", "predicted_consumption")))
+    return I.insights_all(I.insights_efficiency(st), I.insights_maintenance(st), I.insights_refuel(st), I.insights_idle(st),
+                          _anomaly_insights(spark, sf_dir, st))
+
+
 @register("estimated_runtime", rnd(with_t(
     "SELECT equipment_id, fuel_level, predicted_consumption, estimated_runtime FROM state", STATE_CTE),
     ["fuel_level", "predicted_consumption", "estimated_runtime"]))
@@ -219,3 +232,79 @@ def insights_payload(spark, sf_dir):
     return g.select("equipment_id", F.size("items").cast("long").alias("n_insights"), "n_high",
                     F.array_join(F.transform("items", lambda x: F.concat(x["priority"], F.lit(":"), x["message"])),
                                  " | ").alias("rendered"), "items")
+
+
+# Details of each family: (name, SQL text) by the rows that have them.
+def _detail_rows(source: str, kind: str, subtype: str, pairs) -> str:
+    names = ", ".join(f"'{n}'" for n, _ in pairs)
+    return (f"SELECT '{kind}' AS insight_type, {subtype} AS subtype, equipment_id, unnest([{names}]) AS name, "
+            f"unnest([{', '.join(x for _, x in pairs)}]) AS value FROM ({source})")
+
+
+_EFF_ROWS = f"SELECT *, avg_efficiency / {BASELINE} AS ratio, {BASELINE} AS baseline FROM state WHERE n_efficiency >= {I.MIN_HISTORY}"
+_NO = "CAST(NULL AS VARCHAR)"
+_HOURS = [("hours_since_service", _fmt("hours_since_service", 4)), ("threshold", f"'{LIMITS.service_due:.4f}'")]
+_FUEL = (f"SELECT * FROM state WHERE estimated_runtime IS NOT NULL AND estimated_runtime <> 0 AND (fuel_level_percentage <= {LIMITS.low_fuel}e0 "
+         f"OR fuel_level_percentage <= {LIMITS.optimal_refuel}e0 AND estimated_runtime < 8)")
+_IDLE = (f"SELECT * FROM (SELECT *, CAST(total_idle_time AS DOUBLE) / greatest(1, total_idle_time + total_active_time) AS ratio FROM state "
+         f"WHERE total_idle_time + total_active_time >= {I.MIN_HISTORY}) WHERE ratio > {LIMITS.idle_ratio}")
+_ANOM = (f"SELECT r.*, {_SUB} AS subtype FROM rollup r JOIN state s USING (equipment_id) "
+         f"WHERE anomaly_type IS NOT NULL AND anomaly_type <> '' AND anomaly_type <> 'Unknown'")
+_COUNT = ("anomaly_count", "CAST(anomaly_count AS VARCHAR)")
+DETAILS_SQL = " UNION ALL ".join([
+    _detail_rows(_EFF_ROWS, "efficiency", _NO, [(c, _fmt(c, 4)) for c in ("avg_efficiency", "baseline", "ratio")]),
+    _detail_rows(f"SELECT * FROM state WHERE hours_since_service >= {LIMITS.service_warning}e0", "maintenance", _NO, _HOURS),
+    _detail_rows(f"SELECT * FROM state WHERE hours_since_service >= {LIMITS.service_warning}e0 AND hours_since_service < {LIMITS.service_due}e0",
+                 "maintenance", _NO, [("hours_remaining", _fmt(f"{LIMITS.service_due}e0 - hours_since_service", 4))]),
+    _detail_rows(_FUEL, "refueling", _NO, [("fuel_percentage", _fmt("fuel_level_percentage", 4)), ("estimated_runtime", _fmt("estimated_runtime", 4)),
+                                           ("fuel_level", _fmt("fuel_level", 4)), ("fuel_capacity", _fmt("tank_capacity", 4))]),
+    _detail_rows(_IDLE, "idle", _NO, [("idle_time", "CAST(total_idle_time AS VARCHAR)"), ("active_time", "CAST(total_active_time AS VARCHAR)"),
+                                      ("idle_ratio", _fmt("ratio", 4))]),
+    _detail_rows(f"SELECT * FROM ({_ANOM}) WHERE subtype = 'fuel_theft'", "anomaly", "subtype",
+                 [_COUNT, ("total_missing", _fmt("total_missing", 4)), ("locations", "locations")]),
+    _detail_rows(f"SELECT * FROM ({_ANOM}) WHERE subtype <> 'fuel_theft'", "anomaly", "subtype",
+                 [_COUNT, ("first_timestamp", "strftime(first_ts, '%Y-%m-%d %H:%M:%S')"), ("last_timestamp", "strftime(last_ts, '%Y-%m-%d %H:%M:%S')")])])
+
+
+@register("insight_details", with_t(DETAILS_SQL, STATE_CTE, *RULE_CTES, ROLLUP_CTE))
+def insight_details(spark, sf_dir):
+    """IN2-IN6: the ``details`` map of every insight, exploded into rows."""
+    return all_insights(spark, sf_dir).select("insight_type", "subtype", "equipment_id", F.explode("details").alias("name", "value"))
+
+
+@register("insight_actions", with_t(f"""
+SELECT insight_type, subtype, equipment_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS place, unnest(a) AS action
+FROM (SELECT *, string_split(actions, '; ') AS a FROM ({ALL_SQL}))""", STATE_CTE, *RULE_CTES, ROLLUP_CTE))
+def insight_actions(spark, sf_dir):
+    """IN2-IN6: the recommended actions as an array, exploded in order."""
+    return all_insights(spark, sf_dir).select("insight_type", "subtype", "equipment_id", F.posexplode("action_list").alias("place", "action"))
+
+
+_4 = lambda x: f"CAST({_fmt(x, 4)} AS DOUBLE)"      # noqa: E731
+FORMATTED_SQL = " UNION ALL ".join([
+    f"""SELECT 'efficiency' AS insight_type, {_NO} AS subtype, equipment_id,
+      concat(CASE WHEN {_4('ratio')} >= 8e-1 THEN 'Good' WHEN {_4('ratio')} >= 6e-1 THEN 'Average' ELSE 'Poor' END,
+             ' fuel efficiency. Current average: ', {_fmt(_4('avg_efficiency'), 2)}, ' km/L.') AS text FROM ({_EFF_ROWS})""",
+    f"""SELECT 'maintenance', {_NO}, equipment_id,
+      CASE WHEN {_4('hours_since_service')} >= {LIMITS.service_due}e0 THEN concat('Maintenance overdue. Hours since last service: ',
+             {_fmt(_4('hours_since_service'), 1)})
+           ELSE concat('Maintenance due soon. Hours remaining: ', {_fmt(_4(f'{LIMITS.service_due}e0 - hours_since_service'), 1)}) END
+      FROM state WHERE hours_since_service >= {LIMITS.service_warning}e0""",
+    f"""SELECT 'refueling', {_NO}, equipment_id,
+      concat(CASE WHEN {_4('fuel_level_percentage')} <= 10 THEN 'Critical fuel level.' WHEN {_4('fuel_level_percentage')} <= 20
+             THEN 'Low fuel alert.' ELSE 'Plan refueling soon.' END, ' Estimated runtime: ', {_fmt(_4('estimated_runtime'), 1)}, ' hours.')
+      FROM ({_FUEL})""",
+    f"SELECT 'idle', {_NO}, equipment_id, 'Insight generated.' FROM ({_IDLE})",
+    f"""SELECT 'anomaly', subtype, equipment_id,
+      CASE subtype WHEN 'fuel_theft' THEN concat('Potential fuel theft detected. Total missing: ', {_fmt(_4('total_missing'), 1)}, ' L')
+        WHEN 'efficiency' THEN concat('Abnormal fuel efficiency detected. ', anomaly_count, ' instances.')
+        WHEN 'idle' THEN concat('Excessive idle time detected. ', anomaly_count, ' instances.')
+        WHEN 'mechanical' THEN concat('Mechanical issue detected. ', anomaly_count, ' instances.')
+        ELSE concat('Anomaly detected. ', anomaly_count, ' instances.') END FROM ({_ANOM})"""])
+
+
+@register("insight_messages", with_t(FORMATTED_SQL, STATE_CTE, *RULE_CTES, ROLLUP_CTE))
+def insight_messages(spark, sf_dir):
+    """SC24: the message formatter's text of every typed record, from kind and details alone."""
+    ins = all_insights(spark, sf_dir)
+    return ins.select("insight_type", "subtype", "equipment_id", I.formatted(ins).alias("text"))

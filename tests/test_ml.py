@@ -139,3 +139,21 @@ def test_a_changed_table_trains_anew(spark, monkeypatch):
     monkeypatch.setattr(q_ml, "TREES", 4)
     q_ml._trained(spark, path)
     assert log.numbers() == [0, 1, 2]
+
+
+def test_model_forecasts_reach_the_insights(spark, monkeypatch):
+    """The refuelling insight of a unit quotes the runtime by the models' mean forecast."""
+    from tankwise.plans import q_insights as Q
+    monkeypatch.setattr(q_ml, "TREES", 3)
+    mean = {r["equipment_id"]: r["m"] for r in q_ml._forecasts(spark, SF_SMALL).groupBy("equipment_id")
+            .agg(F.avg("predicted_consumption").alias("m")).collect()}
+    run = {r["equipment_id"]: r for r in Q.runtime_from_models(spark, SF_SMALL).collect()}
+    assert set(run) == set(mean)
+    for u, r in run.items():
+        assert abs(r["predicted_consumption"] - mean[u]) < 1e-9
+        assert r["estimated_runtime"] is None if mean[u] <= 0 else abs(r["estimated_runtime"] - r["fuel_level"] / mean[u]) < 1e-9
+    quoted = {r["equipment_id"]: r for r in Q.insights_from_models(spark, SF_SMALL).where("insight_type = 'refueling'").collect()}
+    assert quoted
+    for u, r in quoted.items():
+        assert abs(r["metric_value"] - run[u]["estimated_runtime"]) < 1e-9
+        assert r["details"]["estimated_runtime"] == f"{run[u]['estimated_runtime']:.4f}"
