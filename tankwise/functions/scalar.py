@@ -254,12 +254,20 @@ def clamp(x, lo, hi) -> Column:
     return F.least(F.greatest(_c(x), F.lit(lo)), F.lit(hi))
 
 
+def half_even(x, digits: int) -> Column:
+    """SC25: a served figure, ties to the even neighbour."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(_c(x) * scale) / scale
+
+
 def plus_hours(ts, n) -> Column:
     return _c(ts) + F.make_dt_interval(F.lit(0), _c(n).cast("int") if not isinstance(n, int) else F.lit(n))
 
 
 def iso_text(ts) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
+    """SC26: ISO text; microseconds only where there are any."""
+    whole = F.date_trunc("second", _c(ts)).cast("timestamp_ntz") == _c(ts)
+    return F.when(whole, F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def trend_direction(first, last, n, min_change=0.05) -> Column:

@@ -11,6 +11,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from tankwise.functions import scalar as S
 from tankwise.operators import anomaly as A
 from tankwise.operators import features as FE
 from tankwise.operators import forecast as FC
@@ -227,11 +228,22 @@ def forecast_hours(spark, sf_dir):
                                             (p.isNotNull() & ~F.isnan(p)).alias("finite"), (p < 0).alias("below_zero"))
 
 
+@register("forecast_times", with_t("""
+SELECT equipment_id, equipment_type, h, CASE WHEN microsecond(forecast_ts) % 1000000 = 0 THEN strftime(forecast_ts, '%Y-%m-%dT%H:%M:%S')
+  ELSE strftime(forecast_ts, '%Y-%m-%dT%H:%M:%S.%f') END AS served_at FROM grid""", MATRIX_CTE, GRID_CTE))
+def forecast_times(spark, sf_dir):
+    """VW3/SC26: the ordered items of every unit's forecast payload carry ISO times, hour by hour."""
+    f = _forecasts(spark, sf_dir)
+    items = F.sort_array(F.collect_list(F.struct("h", S.iso_text(S.plus_hours("ts", "h")).alias("served_at"))))
+    return (f.groupBy("equipment_id", "equipment_type").agg(items.alias("items"))          # 24 items a unit
+            .select("equipment_id", "equipment_type", F.explode("items").alias("i")).select("equipment_id", "equipment_type", "i.*"))
+
+
 @register("forecast_payload")
 def forecast_payload(spark, sf_dir):
     """VW3: per-unit forecast payload (ordered items, values rounded to 2)."""
     f = _forecasts(spark, sf_dir)
-    items = F.sort_array(F.collect_list(F.struct("forecast_ts", F.round("predicted_consumption", 2).alias("p"))))
+    items = F.sort_array(F.collect_list(F.struct("forecast_ts", S.half_even("predicted_consumption", 2).alias("p"))))
     g = f.groupBy("equipment_id", "equipment_type").agg(items.alias("items"))
     return g.select("equipment_id", "equipment_type", F.size("items").cast("long").alias("n_hours"),
                     F.col("items")[0]["forecast_ts"].alias("first_ts"),

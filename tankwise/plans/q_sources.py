@@ -64,12 +64,13 @@ SELECT l_quantity AS mpg, CAST(l_linenumber + 2 AS INTEGER) AS cylinders,
   CAST(70 + l_orderkey % 13 AS INTEGER) AS model_year, CAST(1 + l_suppkey % 3 AS INTEGER) AS origin,
   concat('car ', l_returnflag, l_linestatus, ' ', CAST(l_orderkey AS VARCHAR)) AS car_name,
   CAST(1500 + (l_orderkey * 7) % 3500 AS DOUBLE) * 4.53592e-1 AS weight_kg,
-  l_quantity * 4.25e-1 AS fuel_efficiency_km_per_l
+  l_quantity * 4.25e-1 AS fuel_efficiency_km_per_l,
+  CASE WHEN l_quantity <> 0 THEN 6e1 / (l_quantity * 4.25e-1) END AS fuel_consumption_l_per_hr
 FROM lineitem WHERE l_orderkey % 17 <> 0 AND l_quantity IS NOT NULL"""
 
 
 @register("src_auto_mpg", rnd(AUTO_SQL, ["mpg", "displacement", "horsepower", "weight", "acceleration",
-                                          "weight_kg", "fuel_efficiency_km_per_l"]))
+                                          "weight_kg", "fuel_efficiency_km_per_l", "fuel_consumption_l_per_hr"]))
 def src_auto_mpg(spark, sf_dir):
     """SRC2/PRJ16: auto-MPG text layout ('?' = missing) parsed, coerced, NULL rows dropped."""
     li = table(spark, sf_dir, "lineitem")

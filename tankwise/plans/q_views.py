@@ -69,7 +69,7 @@ FROM (SELECT CAST(count(*) AS BIGINT) AS total_equipment,
              CAST(count_if(maintenance_status = 'Needs Service') AS BIGINT) AS maintenance_needed,
              CAST(count_if(fuel_level / tank_capacity < 2e-1) AS BIGINT) AS low_fuel_count
       FROM latest) a,
-     (SELECT round(round(coalesce(sum(fuel_consumed), 0e0), 2), 4) AS total_fuel_consumed
+     (SELECT round(round_even(coalesce(sum(fuel_consumed), 0e0) * 1e2, 0) / 1e2, 4) AS total_fuel_consumed
       FROM t WHERE ts >= (SELECT max(ts) FROM t) - INTERVAL 24 HOUR) b,
      (SELECT CAST(count(*) AS BIGINT) AS anomaly_count_24h FROM stat
       WHERE length(stat_fired) > 0 AND ts >= (SELECT max(ts) FROM t) - INTERVAL 24 HOUR) c
@@ -82,7 +82,7 @@ def dashboard_summary(spark, sf_dir):
 
 @register("dashboard_equipment", rnd(with_t("""
 SELECT equipment_id, equipment_type, operational_status,
-       round(fuel_level / tank_capacity * 1e2, 1) AS fuel_level_pct, location, maintenance_status,
+       round_even(fuel_level / tank_capacity * 1e2 * 1e1, 0) / 1e1 AS fuel_level_pct, location, maintenance_status,
        (SELECT max(ts) FROM t) AS last_updated
 FROM latest""", "latest AS (" + LATEST_SQL + ")"), ["fuel_level_pct"]))
 def dashboard_equipment(spark, sf_dir):

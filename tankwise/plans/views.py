@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tankwise.functions import scalar as S
 from tankwise.operators.anomaly import detect_statistical
 from tankwise.operators.sequence import PAGE, latest_by, max_scalar, paged, positions
 from tankwise.sources.store import Store
@@ -123,7 +124,7 @@ def dashboard_equipment(telemetry: DataFrame) -> DataFrame:
                                         "location", "maintenance_status"))
     return latest.select(
         "equipment_id", "equipment_type", "operational_status",
-        F.round(F.col("fuel_level") / F.col("tank_capacity") * 100.0, 1).alias("fuel_level_pct"),
+        S.half_even(F.col("fuel_level") / F.col("tank_capacity") * 100.0, 1).alias("fuel_level_pct"),
         "location", "maintenance_status",
         F.lit(max_scalar(telemetry.select("ts"), "ts")).alias("last_updated"))
 
@@ -140,7 +141,7 @@ def dashboard_summary(telemetry: DataFrame, store: Store, bounds: DataFrame | No
         F.count_if(F.col("maintenance_status") == "Needs Service").cast("long").alias("maintenance_needed"),
         F.count_if(F.col("fuel_level") / F.col("tank_capacity") < 0.2).cast("long").alias("low_fuel_count"))
     recent = store.trailing(hours=24)
-    fuel = recent.agg(F.round(F.coalesce(F.sum("fuel_consumed"), F.lit(0.0)), 2)).scalar()
+    fuel = recent.agg(S.half_even(F.coalesce(F.sum("fuel_consumed"), F.lit(0.0)), 2)).scalar()
     out = a.withColumn("total_fuel_consumed", fuel)
     if bounds is not None:
         rec = detect_statistical(recent, bounds).filter("stat_anomaly")

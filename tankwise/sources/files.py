@@ -117,8 +117,8 @@ AUTO_MPG_PATTERN = (r'^\s*(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\
 
 def read_auto_mpg(spark: SparkSession, path: str) -> DataFrame:
     """SRC2: whitespace-delimited text, ``?`` = missing, quoted trailing name;
-    horsepower coerced to a number; any row with a NULL dropped; kg and km/L
-    derived."""
+    horsepower coerced to a number; any row with a NULL dropped; kg, km/L and
+    L/h derived."""
     lines = spark.read.text(path)
     parts = [F.regexp_extract("value", AUTO_MPG_PATTERN, i + 1).alias(c)
              for i, c in enumerate(AUTO_MPG_COLUMNS)]
@@ -130,8 +130,9 @@ def read_auto_mpg(spark: SparkSession, path: str) -> DataFrame:
                                           "origin": F.col("origin").cast("int")})
     df = df.na.drop("any")
     from tankwise.functions import scalar as S
-    return df.withColumns({"weight_kg": S.lb_to_kg("weight"),
-                           "fuel_efficiency_km_per_l": S.mpg_to_km_per_l("mpg")})
+    # litres an hour at a mean speed of 60 km/h
+    return df.withColumns({"weight_kg": S.lb_to_kg("weight"), "fuel_efficiency_km_per_l": S.mpg_to_km_per_l("mpg"),
+                           "fuel_consumption_l_per_hr": S.km_per_l_to_l_per_h(S.mpg_to_km_per_l("mpg"))})
 
 
 def write_auto_mpg(df: DataFrame, path: str) -> None:

@@ -212,3 +212,19 @@ def test_persist_insights_partition_pruning(spark, tmp_dir):
     back = spark.read.parquet(tmp_dir + "/ins").filter(F.col("priority") == "high")
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(priority" in plan and back.count() == 1
+
+
+def test_served_figures_and_times(spark):
+    import datetime as dt
+
+    from tankwise.functions import scalar as S
+    xs = [0.25, 0.35, 2.5, -0.25, 1.005, 12.349, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = [r[0] for r in df.orderBy("i").select(S.half_even("x", 1)).collect()]
+    assert got[:4] == [0.2, 0.4, 2.5, -0.2] and got[5] == 12.3 and got[6] is None
+    assert [r[0] for r in df.orderBy("i").limit(1).select(S.clamp(F.lit(120.0), 0.0, 100.0)).collect()] == [100.0]
+    t = dt.datetime(2024, 1, 1, 23, 0, 5)
+    rows = spark.createDataFrame([(t,), (t.replace(microsecond=70),)], "ts timestamp_ntz")
+    assert [r[0] for r in rows.orderBy("ts").select(S.iso_text(S.plus_hours("ts", 2))).collect()] == [
+        x.isoformat() for x in (t + dt.timedelta(hours=2), t.replace(microsecond=70) + dt.timedelta(hours=2))]
+    assert spark.range(1).select(S.metric_short_name(F.lit("Speed (km/h)"))).first()[0] == "speed"
