@@ -304,8 +304,8 @@ def save_forest(registry: ModelRegistry, source: str, settings: dict, forest: Fo
     return _as_forest(registry.publish("forest", source, settings, forest.features, tables))
 
 
-def find_forest(registry: ModelRegistry, source: str, settings: dict) -> Forest | None:
-    found = registry.find("forest", source, settings)
+def find_forest(registry: ModelRegistry, source: str, settings: dict, features=None) -> Forest | None:
+    found = registry.find("forest", source, settings, features)
     return None if found is None else _as_forest(found)
 
 

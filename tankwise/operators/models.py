@@ -59,11 +59,12 @@ class ModelRegistry:
                      {n: self.spark.read.schema(T.StructType.fromJson(t["schema"])).parquet(t["path"]) for n, t in r["tables"].items()},
                      {n: PipelineModel.load(p) for n, p in r["pipelines"].items()})
 
-    def find(self, kind: str, source: str, settings: dict) -> Model | None:
-        """The newest version trained on this state of the data with these settings."""
+    def find(self, kind: str, source: str, settings: dict, features: list[str] | None = None) -> Model | None:
+        """The newest version trained on this state of the data with these settings (and
+        these features, in this order)."""
         log = self.log(kind)
         for version in reversed(log.numbers()):
             r = log.read(version)
-            if r["source"] == source and r["settings"] == settings:
+            if r["source"] == source and r["settings"] == settings and (features is None or r["features"] == list(features)):
                 return self.load(kind, version)
         return None

@@ -154,7 +154,7 @@ def _train(spark, sf_dir, kind="rf"):
 
 def _trained(spark, sf_dir, kind="rf"):
     """The newest published models of this state of the table, else newly trained ones."""
-    found = registry(spark, sf_dir).find(f"consumption-{kind}", source(spark, sf_dir), _settings(kind))
+    found = registry(spark, sf_dir).find(f"consumption-{kind}", source(spark, sf_dir), _settings(kind), FC.MODEL_FEATURES)
     return (found.tables["matrix"], found.pipelines) if found else _train(spark, sf_dir, kind)
 
 
@@ -282,7 +282,7 @@ def _fit_forest(spark, sf_dir, raw):
 
 def _forest(spark, sf_dir, raw=None):
     """The newest published forest of this state of the table, else a newly fitted one."""
-    found = ISO.find_forest(registry(spark, sf_dir), source(spark, sf_dir), FOREST)
+    found = ISO.find_forest(registry(spark, sf_dir), source(spark, sf_dir), FOREST, ANOM_COLS)
     return found or _fit_forest(spark, sf_dir, _raw(spark, sf_dir) if raw is None else raw)[1]
 
 

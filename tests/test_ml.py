@@ -107,6 +107,7 @@ def test_versions_by_data_and_settings(spark):
     assert (first.version, second.version) == (0, 1)
     assert reg.find("m", "d1", {"trees": 3}).tables["part"].count() == 1
     assert reg.find("m", "d2", {"trees": 3}).tables["part"].count() == 2
+    assert reg.find("m", "d2", {"trees": 3}, ["x"]).version == 1 and reg.find("m", "d2", {"trees": 3}, ["x", "y"]) is None
     assert reg.find("m", "d2", {"trees": 4}) is None and reg.find("other", "d1", {"trees": 3}) is None
     assert reg.load("m", 0).features == ["x"] and reg.load("m", 0).source == "d1"
 
