@@ -87,7 +87,8 @@ def trailing(df: DataFrame, ts: str = "ts", hours: int | None = 24, days: int |
 
 
 CHUNK_ROWS = 100_000     # rows of one entity and day from which the day is cut into finer buckets
-PARTS = 1 << 20          # buckets that a day can be cut into
+PARTS = 1 << 26          # buckets that a day can be cut into
+MOST_CUTS = 4096         # quantiles of a day, at most; 256 unless a day needs more
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -118,15 +119,20 @@ def with_buckets(df: DataFrame, key: str, order: Sequence[str], bucket_days: int
     hot, few = _bounded(n)
     if hot.isEmpty():
         return d.withColumnRenamed("_day", "_b").withColumn("_b", F.col("_b") * PARTS)
+    widest = hot.agg(F.max("_rows")).first()[0]
+    cuts_of = 256
+    while cuts_of < min(MOST_CUTS, -(-widest // CHUNK_ROWS)):
+        cuts_of *= 2
     hot = F.broadcast(hot) if few else hot
     inside = same(d, hot, [key, "_day"])
+    places, accuracy = [i / cuts_of for i in range(1, cuts_of)], max(10_000, 8 * cuts_of)
     micros = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0))
     share = F.lit(CHUNK_ROWS).cast("double") / F.col("_rows")
     sampled = inside.groupBy(key, "_day").agg(
-        F.percentile_approx(micros, [i / 256 for i in range(1, 256)], 10_000).alias("_cut"),
-        *([F.percentile_approx(tie, [i / 256 for i in range(1, 256)], 10_000).alias("_tie")] if tie else []),
+        F.percentile_approx(micros, places, accuracy).alias("_cut"),
+        *([F.percentile_approx(tie, places, accuracy).alias("_tie")] if tie else []),
         F.first(F.ceil(1 / share)).alias("_want"))
-    step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("_want")).cast("int"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(cuts_of) / F.col("_want")).cast("int"))
     keep = lambda c: F.array_distinct(F.filter(c, lambda x, i: (i + 1) % step == 0))     # noqa: E731
     cuts, few = _bounded(sampled.select(key, "_day", keep("_cut").alias("_cut"),
                                         (keep("_tie") if tie else F.array().cast("array<bigint>")).alias("_tie")))
@@ -134,9 +140,9 @@ def with_buckets(df: DataFrame, key: str, order: Sequence[str], bucket_days: int
     below = lambda c, v: F.size(F.filter(c, lambda x: x < v))      # noqa: E731
     # between cuts: an even place; the rows of one instant that is itself a cut
     # come in between and are told apart by the next order column
-    at_cut = 256 + F.least(F.lit(255), below("_tie", F.col(tie)) if tie else F.lit(0))
+    at_cut = cuts_of + F.least(F.lit(cuts_of - 1), below("_tie", F.col(tie)) if tie else F.lit(0))
     part = F.when(F.col("_cut").isNull(), 0).otherwise(
-        below("_cut", micros) * 512 + F.when(F.array_contains("_cut", micros), at_cut).otherwise(0))
+        below("_cut", micros) * (2 * cuts_of) + F.when(F.array_contains("_cut", micros), at_cut).otherwise(0))
     return d.withColumn("_b", F.col("_day") * PARTS + part).drop("_day", "_cut", "_tie")
 
 

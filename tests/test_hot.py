@@ -110,3 +110,13 @@ def test_pages_hold_a_hot_unit_in_bounded_arrays(spark, monkeypatch, per_day):
     assert got == want
     table = {tuple(r)[:-2]: (r["entries"], r["pages"]) for r in SQ.page_table(numbered, keys, 70).collect()}
     assert all(v[1] == -(-v[0] // 70) for v in table.values()) and sum(v[0] for v in table.values()) == len(rows)
+
+
+def test_a_day_can_need_more_than_256_buckets(spark, monkeypatch):
+    monkeypatch.setattr(SQ, "CHUNK_ROWS", 10)
+    df = spark.range(9_000).select(F.col("id").alias("event_id"), F.lit("hot").alias("equipment_id"),
+                                   (F.lit("2024-05-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 9)).alias("ts"))
+    sizes = [r["count"] for r in SQ.with_buckets(df, "equipment_id", ("ts", "event_id")).groupBy("_b").count().collect()]
+    assert len(sizes) > 600 and max(sizes) <= 30 and sum(sizes) == 9_000
+    got = {r["event_id"]: r["position"] for r in SQ.positions(df).collect()}
+    assert got == {i: i for i in range(9_000)}
