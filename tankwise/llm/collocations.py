@@ -7,7 +7,7 @@ indexes:
 
 * Word totals: dictionaries summed over shards.
 * For 2, 3 and 4 words in turn every shard extends its intervals by one word (left,
-  right, left) and gives each n-gram's 64-bit hash with its count; summed over
+  right, left) and gives each n-gram's hash with its count; summed over
   shards these are upper bounds, exact but for hash collisions.  Only what can
   reach the least count is extended: a phrase as frequent as that has no rarer part.
 * The hashes that reach it are sent round as a bitmap of at most ``MAX_BITS`` bits
@@ -40,6 +40,7 @@ SHARD = 1 << 18              # words of a shard, about (one text is never cut)
 BATCH = "16m"                # bytes that a task takes at once, of indexes and of shuffled counts
 MAX_BITS = 1 << 28           # bitmap of frequent n-grams of one length: 32 MB
 BITS_EACH = 32
+HASH = U((1 << 48) - 1)      # what of a hash is sent: 48 bits hold the n-grams of 100 TB apart but for some percent
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -141,7 +142,7 @@ def _gram_hashes(word: np.ndarray, grams: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(grams.shape[1]):
             out = mix(out + word[grams[:, k]], k + 1)
-    return out
+    return out & HASH
 
 
 def _let_through(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
