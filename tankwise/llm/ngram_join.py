@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from tankwise.llm.shared import arrow_map, components, documents, dropped, of_ids, stored
 from tankwise.llm.words import U, mix, shingles_of_texts
+from tankwise.session import settings
 
 K = 5
 SIMILARITY = (75, 100)
@@ -53,6 +54,8 @@ FREQUENT_KEPT = 1 << 20  # most frequent shingles given to the tasks (8 MB at mo
 COUNT_CHUNK = 1 << 21    # shingles counted at a time inside a task
 SKETCH_BITS = 1 << 16
 SMALL_BUCKET = 32        # members up to which a bucket's pairs are joined by Spark
+CODEC = "zstd"           # of the tables between the steps: signatures and ids, small after it
+FIRST_BUCKETS = 4        # large buckets of a set that its rows name, to report a pair once
 BLOCK = 1024             # members of a larger bucket compared at a time
 
 
@@ -301,11 +304,11 @@ def _near_in_bucket(key, table: pa.Table, sim) -> pa.Table:
         groups.setdefault(len(x), []).append(i)
     packed = {k: np.frombuffer(b"".join(raw[i] for i in v), np.uint64).reshape(len(v), k // 8) for k, v in groups.items()}
     left, right = [], []
-    sig, lists, sets = key[0].as_py(), table["sigs"], {}
+    sig, first, sets = key[0].as_py(), table["first"], {}
 
     def before(i):
         if i not in sets:
-            sets[i] = {x for x in lists[i].as_py() if x < sig}
+            sets[i] = {x for x in first[i].as_py() if x < sig}
         return sets[i]
 
     for k, rows in groups.items():
@@ -342,15 +345,17 @@ def remaining_pairs(members: DataFrame, sketches: DataFrame, sim) -> DataFrame:
     few = (l.join(r, F.expr(f"l.sig = r.sig and l.c < r.c and l.n * {p} <= r.n * {q} and r.n * {p} <= l.n * {q}"))
            .select(F.greatest("l.id", "r.id").alias("a"), F.least("l.id", "r.id").alias("b")))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # beside its sketch a member carries its first large buckets, a fixed number: a pair with
+    # a common one among them is reported there only, a pair without may come several times
     large = (sized.where(F.col("size") > SMALL_BUCKET).groupBy("id", "n", "c")
              .agg(F.sort_array(F.collect_list(F.struct("sig", "size"))).alias("all"))
              .join(sketches.select("id", "sketch"), "id")
-             .select("id", "n", "c", "sketch", F.col("all.sig").alias("sigs"), F.explode("all").alias("one"))
-             .select("id", "n", "c", "sketch", "sigs", "one.sig", "one.size")
+             .select("id", "n", "c", "sketch", F.slice("all.sig", 1, FIRST_BUCKETS).alias("first"), F.explode("all").alias("one"))
+             .select("id", "n", "c", "sketch", "first", "one.sig", "one.size")
              .withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.col("own").alias("side"), "id", "n", "c", "sketch", "sigs"))
+                     F.col("own").alias("side"), "id", "n", "c", "sketch", "first"))
     many = large.groupBy("sig", "i", "j").applyInArrow(lambda key, t: _near_in_bucket(key, t, sim), "a long, b long")
     return few.unionAll(many).where("a <> b").distinct()
 
@@ -399,7 +404,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component is themselves.  Rows that repeat an id count as one node (linked if
     any of its texts is); rows without an id get a null component.  An empty
     table gives an empty result.  Other columns are not read."""
-    sim = similarity
+    with settings(docs.sparkSession, {"spark.sql.parquet.compression.codec": CODEC}):
+        return _joined(docs, id_col, text_col, k, similarity)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, k: int, sim: tuple[int, int]) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     first = stored(arrow_map(texts, lambda it: _fingerprints(it, k),
