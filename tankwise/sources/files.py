@@ -120,9 +120,11 @@ def read_auto_mpg(spark: SparkSession, path: str) -> DataFrame:
     horsepower coerced to a number; any row with a NULL dropped; kg, km/L and
     L/h derived."""
     lines = spark.read.text(path)
-    parts = [F.regexp_extract("value", AUTO_MPG_PATTERN, i + 1).alias(c)
-             for i, c in enumerate(AUTO_MPG_COLUMNS)]
-    df = lines.select(*parts).filter(F.col("car_name") != "")
+    # One match a line: its groups come back joined by a character that no line holds.
+    fields = F.split(F.regexp_replace("value", AUTO_MPG_PATTERN + r"[\s\S]*", "\n".join(f"${i + 1}" for i in range(len(AUTO_MPG_COLUMNS)))), "\n")
+    # Bound by explode, they are found once a line for all columns.  A line without a match is one field.
+    df = (lines.select(F.explode(F.array(fields)).alias("f")).where(F.size("f") == len(AUTO_MPG_COLUMNS))
+          .select(*[F.col("f")[i].alias(c) for i, c in enumerate(AUTO_MPG_COLUMNS)]).where(F.col("car_name") != ""))
     num = {c: F.when(F.col(c) == "?", F.lit(None)).otherwise(F.col(c)).try_cast("double")
            for c in AUTO_MPG_COLUMNS[:-1]}
     df = df.withColumns(num).withColumns({"cylinders": F.col("cylinders").cast("int"),

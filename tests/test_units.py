@@ -65,6 +65,19 @@ def test_auto_mpg_parse_and_drop(spark, tmp_dir):
     assert abs(rows[0]["fuel_efficiency_km_per_l"] - 18 * 0.425) < 1e-12
 
 
+def test_auto_mpg_matches_a_line_once(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "auto.data")
+    with open(path, "w") as f:
+        f.write('18.0 8 307.0 130.0 3504. 12.0 70 1\t"a "quoted" name"  \n')
+        f.write('18.0 8 307.0 130.0 3504. 12.0 70 1\t""\n')             # no name
+        f.write('18.0 8 307.0 130.0 3504. 12.0 70\t"a field short"\n')
+        f.write('\nno line of the file\n')
+    df = SF.read_auto_mpg(spark, path)
+    assert [r["car_name"] for r in df.collect()] == ['a "quoted" name']
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_") == 1
+
+
 def test_candidate_paths_first_readable_wins(spark, tmp_dir):
     good = os.path.join(tmp_dir, "r.csv")
     with open(good, "w") as f:
