@@ -110,7 +110,10 @@ def importances(models: dict[str, PipelineModel], spark) -> DataFrame:
 def forecast_grid(features: DataFrame, horizon: int = 24) -> DataFrame:
     """JN10: latest row per unit x hours 1..H; calendar recomputed for each
     future hour, other covariates held (persistence assumption)."""
-    latest = latest_by(features, method="sort")   # features come from window pipelines: one pass
+    return _future_hours(latest_by(features, method="sort"), horizon)   # features come from window pipelines: one pass
+
+
+def _future_hours(latest: DataFrame, horizon: int) -> DataFrame:
     g = latest.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     fts = F.col("ts") + F.make_dt_interval(F.lit(0), F.col("h"))
     g = g.withColumn("forecast_ts", fts)
@@ -119,6 +122,16 @@ def forecast_grid(features: DataFrame, horizon: int = 24) -> DataFrame:
                           "is_weekend": (S.weekday_mon0(F.col("forecast_ts")) >= 5).cast("int")})
 
 
+def grid_of_matrix(matrix: DataFrame, horizon: int = 24) -> DataFrame:
+    """JN10 from a stored model matrix: the same rows as ``model_matrix`` of
+    ``forecast_grid``, without computing the windows of all history again.  The latest
+    rows, one per unit, are stored once, as every type's model reads them."""
+    latest = materialize_small(latest_by(matrix))
+    future = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("hour", "weekday", "is_weekend")}
+    return _future_hours(latest, horizon).withColumns(future).select(
+        "event_id", "equipment_id", "equipment_type", "ts", "h", "forecast_ts", "label", *MODEL_FEATURES)
+
+
 def forecast(grid_matrix: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     """ML3: predictions on the grid, clipped at 0."""
     s = score_per_type(grid_matrix, models)

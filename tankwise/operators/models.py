@@ -37,17 +37,29 @@ class ModelRegistry:
     def log(self, kind: str) -> Log:
         return Log(self.spark, f"{self.folder}/{kind}/versions")
 
+    def stage(self, kind: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        """A table of a version to come, written where versions are; ``publish`` names it
+        without writing it again."""
+        path = f"{self.folder}/{kind}/{uuid.uuid4().hex}"
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._staged_at = path
+        return out
+
     def publish(self, kind: str, source: str, settings: dict, features: list[str], tables: dict[str, DataFrame] | None = None,
                 pipelines: dict[str, PipelineModel] | None = None, partition_by: dict[str, str] | None = None) -> Model:
         """Write all parts and add a version that names them; returns it as a reader
-        would load it.  ``partition_by`` names a folder column for some tables."""
+        would load it.  ``partition_by`` names a folder column for some tables; tables
+        from ``stage`` are in place already."""
         base = f"{self.folder}/{kind}/{uuid.uuid4().hex}"
         record = {"source": source, "settings": settings, "features": list(features), "tables": {}, "pipelines": {}}
         for name, df in (tables or {}).items():
-            w = df.write
-            column = (partition_by or {}).get(name)
-            (w.partitionBy(column) if column else w).parquet(f"{base}/{name}")
-            record["tables"][name] = {"path": f"{base}/{name}", "schema": df.schema.jsonValue()}
+            path = getattr(df, "_staged_at", None)
+            if path is None:
+                path, w = f"{base}/{name}", df.write
+                column = (partition_by or {}).get(name)
+                (w.partitionBy(column) if column else w).parquet(path)
+            record["tables"][name] = {"path": path, "schema": df.schema.jsonValue()}
         for i, (name, model) in enumerate(sorted((pipelines or {}).items())):
             model.write().save(f"{base}/pipeline-{i}")
             record["pipelines"][name] = f"{base}/pipeline-{i}"

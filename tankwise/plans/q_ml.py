@@ -12,6 +12,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
+from tankwise.llm.shared import dropped, stored
 from tankwise.operators import anomaly as A
 from tankwise.operators import features as FE
 from tankwise.operators import forecast as FC
@@ -141,14 +142,12 @@ def _settings(kind) -> dict:
 
 def _train(spark, sf_dir, kind="rf"):
     """Trains per type on the ordered 80 % and publishes models and matrix as a version."""
-    made_from = source(spark, sf_dir)
-    mx = ordered_split(_matrix(spark, sf_dir), 0.8)
-    path = scratch_path(spark, "matrix")
-    mx.write.partitionBy("equipment_type").parquet(path)      # each fit reads its own type
-    mx = spark.read.schema(mx.schema).parquet(path)
+    made_from, models_of = source(spark, sf_dir), registry(spark, sf_dir)
+    features = stored(_matrix(spark, sf_dir), "matrix")       # the split reads its rows several times, the windows run once
+    mx = models_of.stage(f"consumption-{kind}", ordered_split(features, 0.8), "equipment_type")   # each fit reads its own type
+    dropped(features)
     models = FC.train_per_type(mx.filter("is_train").drop("is_train"), kind=kind, trees=TREES, checkpoint=False)
-    made = registry(spark, sf_dir).publish(f"consumption-{kind}", made_from, _settings(kind), FC.MODEL_FEATURES,
-                                           {"matrix": mx}, models, {"matrix": "equipment_type"})
+    made = models_of.publish(f"consumption-{kind}", made_from, _settings(kind), FC.MODEL_FEATURES, {"matrix": mx}, models)
     return made.tables["matrix"], made.pipelines
 
 
@@ -209,7 +208,8 @@ def importance_sums(spark, sf_dir):
 
 
 def _forecasts(spark, sf_dir):
-    return FC.forecast(_grid(spark, sf_dir), _trained(spark, sf_dir)[1])
+    mx, models = _trained(spark, sf_dir)
+    return FC.forecast(FC.grid_of_matrix(mx.drop("is_train")), models)
 
 
 @register("forecast_consumption")
@@ -255,10 +255,10 @@ def forecast_payload(spark, sf_dir):
 SELECT equipment_type, count(*) AS n, 0e0 AS max_abs_diff FROM grid GROUP BY equipment_type""", MATRIX_CTE, GRID_CTE))
 def model_roundtrip(spark, sf_dir):
     """SNK3: publish each type's pipeline, load that version, score the grid with both."""
-    models = _trained(spark, sf_dir)[1]
+    mx, models = _trained(spark, sf_dir)
     other = ModelRegistry(spark, scratch_path(spark, "models"))
     loaded = other.publish("copy", "", {}, FC.MODEL_FEATURES, pipelines=models).pipelines
-    once = FC.score_per_type(_grid(spark, sf_dir), models).withColumnRenamed("prediction", "p1")
+    once = FC.score_per_type(FC.grid_of_matrix(mx.drop("is_train")), models).withColumnRenamed("prediction", "p1")
     both = FC.score_per_type(once, loaded)       # the same rows, scored again: no join
     return both.groupBy("equipment_type").agg(F.count(F.lit(1)).cast("long").alias("n"),
                                               F.max(F.abs(F.col("p1") - F.col("prediction"))).alias("max_abs_diff"))

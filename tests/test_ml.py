@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tankwise.operators import forecast as FC
 from tankwise.operators import isolation as ISO
 from tankwise.operators.models import ModelRegistry
+from tankwise.operators.sequence import ordered_split
 from tankwise.plans import q_ml
 from tankwise.session import scratch_path
 from tankwise.sources.tables import table
@@ -89,6 +90,23 @@ def test_forecast_grid_recomputes_calendar(spark):
     assert r["forecast_ts"] == r["ts"] + dt.timedelta(hours=1) and r["hour"] == r["forecast_ts"].hour
 
 
+def test_training_runs_the_windows_once(spark, monkeypatch):
+    """The split and the forecast grid read stored features; the grid's rows are the same."""
+    monkeypatch.setattr(q_ml, "TREES", 2)
+    path = scratch_path(spark, "tables")
+    table(spark, SF_SMALL, "events").write.parquet(f"{path}/events.parquet")
+    split = []
+    monkeypatch.setattr(q_ml, "ordered_split", lambda df, share: split.append(df) or ordered_split(df, share))
+    mx, models = q_ml._trained(spark, path)
+    assert "Window" not in split[0]._jdf.queryExecution().optimizedPlan().toString()
+    got = q_ml._forecasts(spark, path)
+    assert "avg(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = FC.forecast(q_ml._grid(spark, path), models)
+    cols = sorted(want.columns)
+    assert got.count() == 24 * mx.select("equipment_id").distinct().count() and sorted(got.columns) == cols
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
 # ------------------------------------------------------------ registry
 def test_no_model_gives_an_empty_score(spark):
     mx = FC.model_matrix(_reg_data(spark, n=20))
