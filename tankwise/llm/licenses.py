@@ -2,13 +2,13 @@
 
 A paragraph (line) is classified by sparse multinomial logistic regression over
 its word n-grams (1 to 3 words).  Training rows are the template notices below,
-whole and in part, and paragraphs of the corpus without any licence vocabulary as
-the class "unknown" (a bounded sample).  Only n-grams of templates are features,
-so scoring joins a paragraph's n-grams with the weight table and sums by class.
+whole and in part, and as the class "unknown" every paragraph of the corpus that
+shares no 3-word sequence with a template.  Only n-grams of templates are features,
+found once a paragraph by a join with the vocabulary; paragraphs with the same
+features are one training row that weighs as many.
 
-The unknown class is calibrated on other sampled paragraphs, none of which may
-be called a licence: a family needs a probability above that of nearly all of
-them (and above 1/2).  A prediction is confirmed by comparing the paragraph with
+A family needs a probability above that of 99.9 % of all unknown paragraphs that
+have any feature (and above 1/2).  A prediction is confirmed by comparing the paragraph with
 the family's templates: shared word pairs by size of the smaller side.
 """
 
@@ -16,10 +16,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tankwise.llm.shared import documents, let, of_ids, stored
+from tankwise.llm.shared import documents, dropped, let, of_ids, stored
+from tankwise.session import settings
 
 # Customary licence notices, by family.
 TEMPLATES = {
@@ -53,9 +55,8 @@ TEMPLATES = {
                     "Proprietary and confidential. Unauthorized copying is prohibited."],
 }
 UNKNOWN = "unknown"
-NEGATIVES = 4000         # paragraphs sampled for training, and as many for calibration, at most
 CONFIRM = 0.5
-HASH_SPACE = 1 << 30
+CUT_BINS = 10_000        # probabilities are counted in bins of this width to find the threshold
 
 
 def tokens(text) -> F.Column:
@@ -86,70 +87,78 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .where(F.length(F.trim("text")) > 0))
 
 
-def train(sample: DataFrame):
-    """``(families, {n-gram: weight per class}, intercepts, threshold)`` from
-    ``sample(text, part)``: paragraphs for training (part 0) and calibration (1)."""
-    spark = sample.sparkSession
-    known = template_table(spark)
+def vocabulary_of(known: DataFrame) -> tuple[list[str], int]:
+    """All n-grams of the templates, 3-word ones last, and how many are shorter."""
+    words = sorted(r[0] for r in known.select(F.explode(grams(tokens(F.col("text"))))).distinct().collect())   # templates only
+    short = [g for g in words if g.count(" ") < 2]
+    return short + [g for g in words if g.count(" ") == 2], len(short)
+
+
+def features(lines: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """``(id, line, x)``: the places (from 1) in the vocabulary of a paragraph's n-grams,
+    ascending; paragraphs without any are left out."""
+    spark = lines.sparkSession
+    table = spark.createDataFrame([(g, i + 1) for i, g in enumerate(vocabulary)], "gram string, place int")
+    table = table.select(F.xxhash64("gram").alias("h"), "place")        # n-grams of the templates: a few thousand rows
+    hit = (lines.select("id", "line", F.explode(F.array_distinct(grams(tokens(F.col("text"))))).alias("gram"))
+           .select("id", "line", F.xxhash64("gram").alias("h")).join(F.broadcast(table), "h"))
+    x = F.sort_array(F.collect_set("place")).alias("x")
+    # paragraphs follow each other in a task: many short lists at once, no sort
+    with settings(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "50000"}):
+        return stored(hit.groupBy("id", "line").agg(x), "features")
+
+
+def train(found: DataFrame, bare: int, known: DataFrame, vocabulary: list[str], short: int):
+    """``(score, threshold)`` from the features of all paragraphs and the number of
+    paragraphs without any; ``score`` adds ``family`` and ``probability`` to rows with ``x``."""
+    spark = found.sparkSession
     # parts of a template: every window of at least five words, and the whole
     words = known.select("family", tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     windows = (words.withColumn("a", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - 5))))
                .withColumn("len", F.explode(F.array(F.lit(5), F.lit(8), F.lit(13), F.lit(64))))
                .where("a = 0 or a + len <= n").select("family", F.slice("w", F.col("a") + 1, F.col("len")).alias("w")).distinct())
-    positive = windows.select(F.col("family").alias("label"), grams(F.col("w")).alias("grams"))
-    vocabulary = sorted(r[0] for r in words.select(F.explode(grams(F.col("w")))).distinct().collect())   # templates only
-    held = sample.select("part", grams(tokens(F.col("text"))).alias("grams"))
+    place = F.array(*[F.lit(g) for g in vocabulary])
+    positive = windows.select(F.col("family").alias("label"), F.transform(grams(F.col("w")), lambda g: F.array_position(place, g).cast("int")).alias("x"),
+                              F.lit(1).cast("long").alias("n"))
     # a paragraph that shares a 3-word template sequence may be a licence: not a negative
-    triples = [g for g in vocabulary if g.count(" ") == 2]
-    held = held.where(~F.arrays_overlap("grams", F.array(*[F.lit(t) for t in triples])))
+    held = stored(found.where(F.array_max("x") <= short).groupBy("x").agg(F.count(F.lit(1)).alias("n")), "held")
+    empty = spark.createDataFrame([(UNKNOWN, [], bare + 50)], "label string, x array<int>, n long")
+    rows = positive.unionAll(held.select(F.lit(UNKNOWN).alias("label"), "x", "n")).unionAll(empty)
     families = [*TEMPLATES, UNKNOWN]
     number = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i)))])
-    negative = held.where("part = 0").select(F.lit(UNKNOWN).alias("label"), "grams")
-    empty = spark.createDataFrame([(UNKNOWN, ["-"])] * 50, "label string, grams array<string>")
-    rows = positive.unionAll(negative).unionAll(empty).withColumn("y", number[F.col("label")])
     # families and unknown weigh the same in all
-    split = rows.groupBy((F.col("label") == UNKNOWN).alias("u")).count().collect()
-    much = {r["u"]: r["count"] for r in split}
-    rows = rows.withColumn("weight", F.when(F.col("label") == UNKNOWN, much[False] / much[True]).otherwise(1.0))
-    vector = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="x")
+    negatives = held.agg(F.sum("n")).first()[0] or 0
+    share = positive.count() / (negatives + bare + 50)
+    weight = F.col("n") * F.when(F.col("label") == UNKNOWN, share).otherwise(1.0)
+    vector = CountVectorizerModel.from_vocabulary([str(i + 1) for i in range(len(vocabulary))], inputCol="words", outputCol="features")
     vector.setBinary(True)
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1e-4, elasticNetParam=0.1,
+    vectors = lambda df: vector.transform(df.withColumn("words", F.col("x").cast("array<string>")))      # noqa: E731
+    model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1e-4, elasticNetParam=0.1,
                                maxIter=60, family="multinomial", standardization=False
-                               ).fit(vector.transform(rows).select("x", "y", "weight"))
-    matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    used = {g: [float(x) for x in matrix[:, j]] for j, g in enumerate(vocabulary) if abs(matrix[:, j]).max() > 1e-6}
-    # calibration: the highest family probability among paragraphs that are no licence
-    scored = _family(_weigh(held.where("part = 1").select(F.monotonically_increasing_id().alias("id"), F.lit(0).alias("line"), "grams"),
-                            used, len(families)), families, [float(b) for b in bias])
-    top = scored.agg(F.percentile_approx("probability", 0.999)).first()[0]
-    return families, used, [float(b) for b in bias], max(0.5, min(0.95, float(top or 0.0)))
-
-
-def _weigh(rows: DataFrame, used: dict, classes: int) -> DataFrame:
-    """Summed weights per (id, line) of ``rows(id, line, grams)`` with any weighed n-gram."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(g, w) for g, w in used.items()] or [("", [0.0] * classes)], "gram string, w array<double>")
-    table = table.select(F.xxhash64("gram").alias("h"), "w")            # n-grams of the templates: a few thousand rows
-    hit = (rows.select("id", "line", F.explode(F.array_distinct("grams")).alias("gram")).select("id", "line", F.xxhash64("gram").alias("h"))
-           .join(F.broadcast(table), "h"))
-    return hit.groupBy("id", "line").agg(F.array(*[F.sum(F.col("w")[c]) for c in range(classes)]).alias("sums"))
-
-
-def _family(weighed: DataFrame, families: list[str], bias: list[float]) -> DataFrame:
-    """Best family (never "unknown") and its probability."""
-    n = len(families)
-    z = [F.col("sums")[c] + F.lit(bias[c]) for c in range(n)]
-    top = F.greatest(*z)
-    e = [F.exp(x - top) for x in z]
-    whole = sum(e[1:], e[0])
-    best = F.greatest(*e[:-1])
-    name = F.lit(None).cast("string")
-    for c in reversed(range(n - 1)):
-        name = F.when(e[c] == best, F.lit(families[c])).otherwise(name)
-    return weighed.select(*[c for c in weighed.columns if c != "sums"], name.alias("family"), (best / whole).alias("probability"))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negatives: int = NEGATIVES) -> DataFrame:
+                               ).fit(vectors(rows.withColumns({"y": number[F.col("label")], "weight": weight})).select("features", "y", "weight"))
+
+    def score(df: DataFrame) -> DataFrame:
+        """Best family (never "unknown") and its probability."""
+        p = F.slice(vector_to_array("probability"), 1, len(families) - 1)
+        best = let(p, lambda a: F.struct(F.array_max(a).alias("p"), F.array_position(a, F.array_max(a)).cast("int").alias("i")))
+        return (model.transform(vectors(df)).withColumn("best", best)
+                .select(*df.columns, F.element_at(F.array(*[F.lit(f) for f in families[:-1]]), F.col("best.i")).alias("family"),
+                        F.col("best.p").alias("probability")))
+
+    # calibration: the highest family probabilities among all paragraphs that are no licence
+    bins = (score(held).where("probability > 0.5").groupBy(F.floor(F.col("probability") * CUT_BINS).alias("bin"))
+            .agg(F.sum("n").alias("n"), F.max("probability").alias("top")).orderBy(F.desc("bin")).collect())     # CUT_BINS / 2 rows at most
+    threshold, above = 0.5, 0
+    for r in bins:
+        above += r["n"]
+        if above > 0.001 * negatives:
+            threshold = r["top"]
+            break
+    dropped(held)
+    return score, min(0.95, threshold)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, line, family, probability, template, similarity)``: every paragraph
     that is a licence notice.  ``line`` counts a document's lines from 0.
 
@@ -157,15 +166,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
     one; null ids are not reported; other columns are not read."""
     spark = docs.sparkSession
     lines = paragraphs(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    total = docs.agg(F.sum(F.length(F.col(text_col)))).first()[0] or 0
-    share = min(HASH_SPACE, int(HASH_SPACE * negatives / max(1, total // 400)))     # about 400 characters a paragraph
-    place = F.pmod(F.xxhash64("id", "line", "text"), F.lit(2 * HASH_SPACE))
-    sample = stored(lines.withColumn("place", place).where((F.col("place") % HASH_SPACE) < share)
-                    .select("text", (F.col("place") >= HASH_SPACE).cast("int").alias("part")), "sample")
-    families, used, bias, threshold = train(sample)
-    scored = _family(_weigh(lines.select("id", "line", grams(tokens(F.col("text"))).alias("grams")), used, len(families)),
-                     families, bias).where(F.col("probability") > threshold)
-    found = stored(scored, "found")
+    templates = template_table(spark)
+    vocabulary, short = vocabulary_of(templates)
+    featured = features(lines, vocabulary)
+    # paragraphs are counted as features are: repeated rows of a document once
+    bare = lines.select("id", "line").distinct().count() - featured.count()
+    score, threshold = train(featured, bare, templates, vocabulary, short)
+    found = stored(score(featured).drop("x").where(F.col("probability") > threshold), "found")
+    dropped(featured)
 
     # template comparison on the paragraphs found
     wanted = found.groupBy("id").agg(F.collect_list(F.struct("line", "family", "probability")).alias("hits"))
@@ -175,7 +183,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", negati
               .select("id", F.split("text", "\n").alias("lines"), F.explode("hits").alias("hit"))
               .select("id", "hit.line", "hit.family", "hit.probability",
                       _pairs(tokens(F.get("lines", F.col("hit.line")))).alias("own")))
-    known = template_table(spark).select("family", "template", _pairs(tokens(F.col("text"))).alias("theirs"))
+    known = templates.select("family", "template", _pairs(tokens(F.col("text"))).alias("theirs"))
     same = F.size(F.array_intersect("own", "theirs"))
     best = F.max(F.struct((same / F.least(F.size("own"), F.size("theirs"))).alias("similarity"),
                           (same / F.size(F.array_union("own", "theirs"))).alias("jaccard"), "template")).alias("best")

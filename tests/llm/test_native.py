@@ -159,5 +159,19 @@ def test_notices_are_found_and_prose_is_not(spark):
     assert got == {(i, 1): f for i, f in enumerate(notices)}
 
 
+def test_every_paragraph_trains_and_calibrates(spark, monkeypatch):
+    """All paragraphs, short ones too, reach the unknown class with their counts; none is sampled."""
+    rows = [(i, "\n".join(f"the work of hand {i % 7}" if j % 2 else f"zq{i} zq{j}" for j in range(1000))) for i in range(30)]
+    docs = spark.createDataFrame(rows + rows[:1] + [(100, "Released under the MIT License.")], "doc_id long, text string")
+    seen, real = [], licenses.train
+
+    def train(found, bare, *rest):
+        seen.append((found.where("size(x) > 0").count(), bare))
+        return real(found, bare, *rest)
+    monkeypatch.setattr(licenses, "train", train)
+    got = [(r["doc_id"], r["family"]) for r in licenses.scan(docs).collect()]
+    assert got == [(100, "MIT")] and seen == [(15_001, 15_000)]
+
+
 def test_scan_of_an_empty_table(spark):
     assert licenses.scan(edge.nothing(spark)).count() == 0
