@@ -31,34 +31,59 @@ def start(head_counts: np.ndarray, tail_count: float, inputs: int, hidden: int,
     inside = np.zeros(len(order), np.int32)
     for m in members:
         inside[m] = np.arange(len(m))
-    return p, {"cls": cls, "inside": inside, "members": members}
+    return p, {"cls": cls, "inside": inside, "members": members, "by_class": np.concatenate(members),
+               "first": np.cumsum([0] + [len(m) for m in members])}
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
-def _step(p, x, h):
-    n = h.shape[1]
-    u = h @ p["h"]
-    z = _sigmoid(x[:, :n] + u[:, :n])
-    r = _sigmoid(x[:, n:2 * n] + u[:, n:2 * n])
-    g = np.tanh(x[:, 2 * n:] + r * u[:, 2 * n:])
-    return z, r, g, u[:, 2 * n:], g + z * (h - g)
+SAFE = 60.0      # exp() of this and its negative, and sums of them, are far from a float's bounds
 
 
 def _softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
+    if len(x) and max(x.max(), -x.min()) > SAFE:
+        x = x - x.max(axis=1, keepdims=True)
     e = np.exp(x)
-    return e / e.sum(axis=1, keepdims=True)
+    e /= (e @ np.ones(e.shape[1], e.dtype))[:, None]
+    return e
+
+
+def _forward(p, table, tokens, h, keep):
+    """A window of ``tokens`` (steps, documents) from the states ``h``: states before
+    each step and after the last, and with ``keep`` the gates z, r, the candidate's
+    recurrent part and the candidate of each step.  ``table`` is ``_input_table``'s."""
+    steps, width = tokens.shape
+    n = h.shape[1]
+    w = np.stack(np.split(p["h"], 3, axis=1))
+    w[:2] *= 0.5                                   # sigmoid(x) = (tanh(x / 2) + 1) / 2
+    x = np.take(table, tokens.ravel(), axis=1).reshape(3, steps, width, n)
+    states = np.empty((steps + 1, width, n), h.dtype)
+    states[0] = h
+    gates = np.empty((4, steps if keep else 1, width, n), h.dtype)
+    for t in range(steps):
+        s, nxt, gate = states[t], states[t + 1], gates[:, t if keep else 0]
+        np.matmul(s, w, out=gate[:3])
+        zr, g = gate[:2], gate[3]
+        zr += x[:2, t]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        np.multiply(gate[1], gate[2], out=g)
+        g += x[2, t]
+        np.tanh(g, out=g)
+        np.subtract(s, g, out=nxt)
+        nxt *= gate[0]
+        nxt += g
+    return states, gates
 
 
 def output(p, tables, states, targets, grads=None):
     """Log-probability (natural) of each target (-1: the tail class) from its
     state.  With ``grads`` also adds parameter gradients and returns those of the
-    states."""
+    states.
+
+    Rows lie by class, the words' probabilities of all rows one after the other in
+    one array, so that only matrix products go class by class."""
     tail = len(tables["members"])
-    cls = np.where(targets >= 0, tables["cls"][np.maximum(targets, 0)], tail)
+    cls = np.where(targets >= 0, tables["cls"][np.maximum(targets, 0)], tail).astype(np.int16 if tail < 2**15 else np.int64)
     at = np.arange(len(targets))
     q = _softmax(states @ p["c"] + p["cb"])
     logp = np.log(q[at, cls])
@@ -66,25 +91,43 @@ def output(p, tables, states, targets, grads=None):
     if grads is not None:
         q[at, cls] -= 1
         grads["c"] += states.T @ q
-        grads["cb"] += q.sum(axis=0)
+        grads["cb"] += np.ones(len(q), q.dtype) @ q
         back = q @ p["c"].T
     order = np.argsort(cls, kind="stable")
     cut = np.searchsorted(cls[order], np.arange(tail + 1))
-    for c in range(tail):
-        rows = order[cut[c]:cut[c + 1]]
-        if len(rows) == 0:
-            continue
-        words = tables["members"][c]
-        s = states[rows]
-        inside = tables["inside"][targets[rows]]
-        q = _softmax(s @ p["w"][words].T + p["wb"][words])
-        k = np.arange(len(rows))
-        logp[rows] += np.log(q[k, inside])
-        if grads is not None:
-            q[k, inside] -= 1
-            grads["w"][words] += q.T @ s
-            grads["wb"][words] += q.sum(axis=0)
-            back[rows] += q @ p["w"][words]
+    rows = order[:cut[-1]]
+    if len(rows) == 0:
+        return logp, back
+    n, words, first = states.shape[1], tables["by_class"], tables["first"]
+    s = np.ones((len(rows), n + 1), states.dtype)              # the last column is for the bias
+    s[:, :n] = states[rows]
+    w = np.concatenate([p["w"][words], p["wb"][words, None]], axis=1)
+    each = np.repeat(np.diff(first), np.diff(cut))             # words of each row's class
+    begin = np.cumsum(each) - each
+    flat = np.empty(int(each.sum()), np.result_type(s, w))
+    parts = []
+    for a, b, i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), first[:-1].tolist(), first[1:].tolist()):
+        if b > a:
+            o = int(begin[a])
+            parts.append((a, b, i, j, flat[o:o + (b - a) * (j - i)].reshape(b - a, j - i)))
+            np.matmul(s[a:b], w[i:j].T, out=parts[-1][-1])
+    if max(flat.max(), -flat.min()) > SAFE:
+        flat -= np.repeat(np.maximum.reduceat(flat, begin), each)
+    goal = begin + tables["inside"][targets[rows]]
+    picked = flat[goal]
+    np.exp(flat, out=flat)
+    total = np.add.reduceat(flat, begin)
+    logp[rows] += picked - np.log(total)
+    if grads is not None:
+        flat *= np.repeat(1 / total, each)
+        flat[goal] -= 1
+        gw, gs = np.zeros_like(w), np.empty_like(s)
+        for a, b, i, j, q in parts:
+            np.matmul(q.T, s[a:b], out=gw[i:j])
+            np.matmul(q, w[i:j], out=gs[a:b])
+        grads["w"][words] += gw[:, :n]
+        grads["wb"][words] += gw[:, n]
+        back[rows] += gs[:, :n]
     return logp, back
 
 
@@ -97,32 +140,82 @@ def windows(lengths: np.ndarray, width: int, window: int = WINDOW):
             yield a, b, t, min(t + window, int(lengths[a]))
 
 
+def _window(inputs, targets, begin, n, t0, t1):
+    """Tokens and targets (steps, documents) of a window, and which of them are there
+    (None: all); a place behind a document's end repeats its last token."""
+    t = np.arange(t0, t1)[:, None]
+    at = begin + np.minimum(t, n - 1)
+    return inputs[at], targets[at], None if n[-1] >= t1 else (t < n).ravel()
+
+
 def score(p, tables, inputs, targets, offsets, width: int = 512) -> np.ndarray:
     """Sum of natural log-probabilities of each document's targets."""
     lengths = np.diff(offsets)
     order = np.argsort(-lengths, kind="stable")
     size, out = p["h"].shape[0], np.zeros(len(lengths))
-    proj = p["x"] + p["b"]
+    table = _input_table(p)
     h = None
     for a, b, t0, t1 in windows(lengths[order], width):
         docs = order[a:b]
-        begin, n = offsets[docs], lengths[docs]
-        if t0 == 0:
-            h = np.zeros((b - a, size), np.float32)
-        live = int(np.searchsorted(-n, -t0, "left"))          # longer than t0
-        seen, goal, who = [], [], []
-        for t in range(t0, t1):
-            live = int(np.searchsorted(-n[:live], -t, "left"))
-            seen.append(h[:live].copy())
-            goal.append(targets[begin[:live] + t])
-            who.append(np.arange(live))
-            x = proj[inputs[begin[:live] + t]]
-            h[:live] = _step(p, x, h[:live])[-1]
-        logp, _ = output(p, tables, np.concatenate(seen), np.concatenate(goal))
-        out[docs] += np.bincount(np.concatenate(who), logp, minlength=b - a)
+        docs = docs[:int(np.searchsorted(-lengths[docs], -t0, "left"))]          # longer than t0
+        h = np.zeros((len(docs), size), np.float32) if t0 == 0 else h[:len(docs)]
+        tok, goal, there = _window(inputs, targets, offsets[docs], lengths[docs], t0, t1)
+        states, _ = _forward(p, table, tok, h, False)
+        h = states[-1]
+        flat, goal = states[:-1].reshape(-1, size), goal.ravel()
+        logp = np.zeros(len(goal))
+        if there is None:
+            logp, _ = output(p, tables, flat, goal)
+        else:
+            logp[there], _ = output(p, tables, flat[there], goal[there])
+        out[docs] += logp.reshape(tok.shape).sum(axis=0, dtype=float)
     return out
 
 
+def _input_table(p):
+    """Input vectors with the bias by gate, (3, inputs, hidden); halves for z and r."""
+    n = p["h"].shape[0]
+    table = np.add(p["x"].reshape(-1, 3, n).transpose(1, 0, 2), p["b"].reshape(3, 1, n), order="C")
+    table[:2] *= 0.5
+    return table
+
+
+def _backward(p, states, gates, back):
+    """Gradients of a window: of the gates' input parts (3, steps, documents, hidden)
+    and of the recurrent weights; ``back`` has those of the states."""
+    z, r, u, g = gates
+    steps, width, n = z.shape
+    before = states[:-1]
+    w = np.stack(np.split(p["h"].T, 3, axis=0))
+    by_d = np.empty((2, *z.shape), z.dtype)                    # of d, in the candidate and z
+    rest = 1 - z
+    np.multiply(g, g, out=by_d[0])
+    np.subtract(1, by_d[0], out=by_d[0])
+    by_d[0] *= rest
+    np.subtract(before, g, out=by_d[1])
+    by_d[1] *= z
+    by_d[1] *= rest
+    by_g = np.empty_like(by_d)                                 # of the candidate's, in r and its recurrent part
+    np.subtract(1, r, out=by_g[0])
+    by_g[0] *= r
+    by_g[0] *= u
+    by_g[1] = r
+    grads = np.empty((4, *z.shape), z.dtype)                   # candidate, z, r, candidate's recurrent part
+    carry, parts = np.zeros((width, n), z.dtype), np.empty((3, width, n), z.dtype)
+    for t in range(steps - 1, -1, -1):
+        d = grads[:, t]
+        np.multiply(carry, by_d[:, t], out=d[:2])
+        np.multiply(d[0], by_g[:, t], out=d[2:])
+        np.matmul(d[1:], w, out=parts)
+        carry *= z[t]
+        carry += parts[0]
+        carry += parts[1]
+        carry += parts[2]
+        carry += back[t]
+    flat = before.reshape(-1, n)
+    return (grads[1], grads[2], grads[0]), np.concatenate([flat.T @ d.reshape(-1, n) for d in grads[1:]], axis=1)
+
+
 def train(p, tables, inputs, targets, offsets, rate: float = 0.08, width: int = 64, memory=None):
     """One pass of AdaGrad steps, one per window of a group of documents, in place;
     returns the AdaGrad memory."""
@@ -130,50 +223,39 @@ def train(p, tables, inputs, targets, offsets, rate: float = 0.08, width: int =
     order = np.argsort(-lengths, kind="stable")
     size = p["h"].shape[0]
     memory = memory or {k: np.full_like(v, 1e-2) for k, v in p.items()}
+    h = None
     for a, b, t0, t1 in windows(lengths[order], width):
         docs = order[a:b]
-        begin, n = offsets[docs], lengths[docs]
-        if t0 == 0:
-            h = np.zeros((b - a, size), np.float32)
-        proj = p["x"]
-        trace, goal = [], []
-        for t in range(t0, t1):
-            live = int(np.searchsorted(-n, -t, "left"))
-            tok = inputs[begin[:live] + t]
-            before = h[:live].copy()
-            trace.append((live, tok, before, *_step(p, proj[tok] + p["b"], before)[:4]))
-            goal.append(targets[begin[:live] + t])
-            z, g = trace[-1][3], trace[-1][5]
-            h[:live] = g + z * (before - g)
+        docs = docs[:int(np.searchsorted(-lengths[docs], -t0, "left"))]          # longer than t0
+        h = np.zeros((len(docs), size), p["h"].dtype) if t0 == 0 else h[:len(docs)]
+        tok, goal, there = _window(inputs, targets, offsets[docs], lengths[docs], t0, t1)
+        states, gates = _forward(p, _input_table(p), tok, h, True)
+        h = states[-1]
         grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-        states = np.concatenate([x[2] for x in trace])
-        _, back = output(p, tables, states, np.concatenate(goal), grads)
-        cut = np.cumsum([x[0] for x in trace])
-        carry = np.zeros((b - a, size), np.float32)
-        toks, dxs = [], []
-        for k in range(len(trace) - 1, -1, -1):
-            live, tok, before, z, r, g, ug = trace[k]
-            d = carry[:live]
-            dz = d * (before - g) * z * (1 - z)
-            dg = d * (1 - z) * (1 - g * g)
-            dr = dg * ug * r * (1 - r)
-            dx = np.concatenate([dz, dr, dg], axis=1)
-            du = np.concatenate([dz, dr, dg * r], axis=1)
-            grads["h"] += before.T @ du
-            carry[:live] = d * z + du @ p["h"].T + back[cut[k] - live:cut[k]]
-            toks.append(tok)
-            dxs.append(dx)
-        dx, tok = np.concatenate(dxs), np.concatenate(toks)
-        grads["b"] += dx.sum(axis=0)
-        scale = 1.0 / len(states)
+        flat, tok, goal = states[:-1].reshape(-1, size), tok.ravel(), goal.ravel()
+        if there is None:
+            _, back = output(p, tables, flat, goal, grads)
+        else:
+            back = np.zeros_like(flat)
+            back[there] = output(p, tables, flat[there], goal[there], grads)[1]
+        dx, grads["h"] = _backward(p, states, gates, back.reshape(t1 - t0, len(docs), size))
+        dx = [d.reshape(-1, size) for d in dx]
+        grads["b"] = np.concatenate([np.ones(len(d), d.dtype) @ d for d in dx])
+        scale = 1.0 / (len(tok) if there is None else int(there.sum()))
         for k, g in grads.items():
-            g = np.clip(g * scale, -1, 1)
+            g *= scale
+            np.clip(g, -1, 1, out=g)
             memory[k] += g * g
-            p[k] -= rate * g / np.sqrt(memory[k])
-        used, inv = np.unique(tok, return_inverse=True)
-        gx = np.zeros((len(used), dx.shape[1]), np.float32)
-        np.add.at(gx, inv, dx)
-        gx = np.clip(gx * scale, -1, 1)
+            g /= np.sqrt(memory[k])
+            g *= rate
+            p[k] -= g
+        place = np.argsort(tok, kind="stable") if there is None else np.flatnonzero(there)[np.argsort(tok[there], kind="stable")]
+        tok = tok[place]
+        head = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        used = tok[head]
+        gx = np.concatenate([np.add.reduceat(np.take(d, place, axis=0), head, axis=0) for d in dx], axis=1)
+        gx *= scale
+        np.clip(gx, -1, 1, out=gx)
         memory["x"][used] += gx * gx
         p["x"][used] -= rate * gx / np.sqrt(memory["x"][used])
     return memory

@@ -3,7 +3,9 @@
 1. Words that tasks see often become the frequent list (a bounded number).
 2. All training tokens are counted exactly: frequent words inside the tasks, the
    others by a shuffle of (word, document) rows, whose sorted runs give every
-   rare word's count and, per document, the sums that need it.
+   rare word's count.  A document takes its rare words as met once if it is
+   training text and as never met if not; only rows of other counts go back to
+   their documents.
 3. The most frequent words are the network's head, in classes; everything else
    is its tail class.  Within the tail a word has its absolutely discounted
    unigram share, a word without training count the discounted mass (the same
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tankwise.llm import gru
-from tankwise.llm.shared import arrow_map, documents, stored
+from tankwise.llm.shared import arrow_map, documents, dropped, stored
 from tankwise.llm.words import U, HashIndex, mix, text_chunks, word_bounds, word_hashes
 
 FREQUENT = 1 << 18       # words counted inside tasks and known to the scoring tasks, at most
@@ -79,12 +81,20 @@ def _often(batches):
             yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "n"])
 
 
+def _keys(ids, f, train):
+    """A row's 64-bit name: of its id and its text's fingerprint; odd for training text."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    of_id = mix(ids.cast(pa.int64()).fill_null(0).to_numpy().view(U), 1)
+    name = mix(f.view(U) ^ np.where(null, mix(np.zeros(1, U), 2), of_id))
+    return (name & ~U(1) | train.astype(U)).view(np.int64)
+
+
 def _counted(batches, frequent):
-    """Rows of a frequent word's training count (id null) and of rare words by
-    document."""
+    """Rows of a frequent word's training count (k null) and of rare words by
+    document (k: its key)."""
     index = HashIndex(frequent.value)
     total = np.zeros(len(frequent.value), np.int64)
-    names = ["h", "id", "f", "n", "train"]
+    names = ["h", "k", "n"]
     for batch in batches:
         ids = batch.column(0)
         for row, m, h, off, train, f in _tokens(batch, 1, 2):
@@ -98,29 +108,28 @@ def _counted(batches, frequent):
             head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (v[1:] != v[:-1])])) if len(d) else np.zeros(0, np.int64)
             n = np.diff(np.append(head, len(d)))
             d, v = d[head], v[head]
-            yield pa.record_batch([pa.array(v.view(np.int64)), ids.take(pa.array(row + d)).cast(pa.int64()), pa.array(f[d]),
-                                   pa.array(n.astype(np.int32)), pa.array(train[d])], names=names)
+            yield pa.record_batch([pa.array(v.view(np.int64)), pa.array(_keys(ids.slice(row, m), f, train)[d]),
+                                   pa.array(n.astype(np.int32))], names=names)
     seen = np.flatnonzero(total)
     # counts beyond an int32 are split over rows
     parts = [(seen, np.minimum(total[seen], 2**31 - 1))]
     while (total[seen] - sum(p[1] for p in parts) > 0).any():
         parts.append((seen, np.minimum(total[seen] - sum(p[1] for p in parts), 2**31 - 1)))
     for at, n in parts:
-        k = len(at)
-        yield pa.record_batch([pa.array(frequent.value[at].view(np.int64)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                               pa.array(n.astype(np.int32)), pa.array(np.ones(k, bool))], names=names)
+        yield pa.record_batch([pa.array(frequent.value[at].view(np.int64)), pa.nulls(len(at), pa.int64()), pa.array(n.astype(np.int32))],
+                              names=names)
 
 
-def _rare_sums(batches):
-    """Input sorted by word.  Per document the sums over its rare tokens, and one
-    row (id null, f null) of totals: training tokens, distinct words, singles.
+def _rare_counts(batches):
+    """Input sorted by word.  Rows (key, times in the document, training count) of
+    training text with a count other than 1 and of other text with a count other
+    than 0, and one row (k null) of totals: training tokens, distinct words.
     Only the run of the last word is carried from batch to batch."""
     left = None
-    grand = np.zeros(2)
-    names = ["id", "f", "known", "unknown", "logs", "discounted"]
+    grand = np.zeros(2, np.int64)
+    names = ["k", "n", "c"]
     for batch in batches:
-        cols = [batch.column(i) for i in range(5)]
-        part = pa.table(cols, names=["h", "id", "f", "n", "train"])
+        part = pa.table([batch.column(i) for i in range(3)], names=["h", "k", "n"])
         if left is not None:
             part = pa.concat_tables([left, part])
         h = part["h"].to_numpy()
@@ -129,28 +138,20 @@ def _rare_sums(batches):
         cut = int(np.searchsorted(h, h[-1], "left"))
         left = part.slice(cut)
         if cut:
-            yield _run_sums(part.slice(0, cut), grand, names)
+            yield _run_counts(part.slice(0, cut), grand, names)
     if left is not None and len(left):
-        yield _run_sums(left, grand, names)
-    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(grand[0])]), pa.array([int(grand[1])]),
-                           pa.array([0.0]), pa.array([0.0])], names=names)
+        yield _run_counts(left, grand, names)
+    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array(grand[:1]), pa.array(grand[1:])], names=names)
 
 
-def _run_sums(part, grand, names):
-    h, n, train = part["h"].to_numpy(), part["n"].to_numpy().astype(np.int64), part["train"].to_numpy()
+def _run_counts(part, grand, names):
+    h, k, n = part["h"].to_numpy(), part["k"].to_numpy(), part["n"].to_numpy().astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    c = np.add.reduceat(n * train, head)
+    c = np.add.reduceat(n * (k & 1), head)
     grand += (c.sum(), (c > 0).sum())
     c = np.repeat(c, np.diff(np.append(head, len(h))))
-    known = n * (c > 0)
-    logs = n * np.log10(c + 1.0)
-    discounted = known * np.log10(np.maximum(c - DISCOUNT, 1e-9))
-    ids, f = part["id"].combine_chunks(), part["f"].to_numpy()
-    key = mix(f.view(U)) ^ (ids.fill_null(-1).to_numpy().view(U) * U(0x9E3779B97F4A7C15))
-    u, first, inv = np.unique(key, return_index=True, return_inverse=True)
-    total = [np.bincount(inv, x, minlength=len(u)) for x in (known, n - known, logs, discounted)]
-    return pa.record_batch([ids.take(pa.array(first)), pa.array(f[first]), pa.array(total[0].astype(np.int64)),
-                            pa.array(total[1].astype(np.int64)), pa.array(total[2]), pa.array(total[3])], names=names)
+    sent = c != (k & 1)
+    return pa.record_batch([pa.array(k[sent]), pa.array(n[sent]), pa.array(c[sent])], names=names)
 
 
 class Model:
@@ -219,7 +220,7 @@ def _scored(batches, model):
     log_count = np.append(np.log10(m.counts + 1.0), 0.0)
     share = np.log10(np.maximum(m.counts - DISCOUNT, 1e-9))
     log_tail = np.append(np.where(tail, np.where(m.counts > 0, share, 0.0), 0.0), 0.0)
-    names = ["id", "f", "train", "n", "known", "tail", "unseen", "logs", "logp"]
+    names = ["id", "k", "train", "n", "rare", "known", "tail", "unseen", "logs", "logp"]
     for batch in batches:
         ids = batch.column(0)
         for row, k, h, off, train, f in _tokens(batch, 1, 2):
@@ -229,7 +230,8 @@ def _scored(batches, model):
             seen = listed & (m.counts[np.maximum(at, 0)] > 0)
             of = lambda x: np.add.reduceat(x.astype(float), off[:-1])     # noqa: E731  every text has its end
             yield pa.record_batch([
-                ids.slice(row, k), pa.array(f), pa.array(train), pa.array(np.diff(off)), pa.array(of(seen).astype(np.int64)),
+                ids.slice(row, k), pa.array(_keys(ids.slice(row, k), f, train)), pa.array(train), pa.array(np.diff(off)),
+                pa.array(of(~listed).astype(np.int64)), pa.array(of(seen).astype(np.int64)),
                 pa.array(of(seen & (goal < 0)).astype(np.int64)), pa.array(of(listed & ~seen).astype(np.int64)),
                 pa.array(of(log_count[at])), pa.array(logp + of(log_tail[at]))], names=names)
 
@@ -250,15 +252,15 @@ def lm_score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
            .orderBy(F.desc("n"), "h").limit(frequent).select("h").toPandas())
     words = np.unique(np.concatenate([top["h"].to_numpy(np.int64).view(U), END]))
     shared = spark.sparkContext.broadcast(words)
-    counted = arrow_map(rows, lambda it: _counted(it, shared), "h long, id long, f long, n int, train boolean")
-    counted = stored(counted, "counted")
-    exact = counted.where("f is null").groupBy("h").agg(F.sum("n").alias("n")).toPandas()       # at most the list
+    counted = stored(arrow_map(rows, lambda it: _counted(it, shared), "h long, k long, n int"), "counted")
+    exact = counted.where("k is null").groupBy("h").agg(F.sum("n").alias("n")).toPandas()       # at most the list
     counts = np.zeros(len(words), np.int64)
     counts[np.searchsorted(words, exact["h"].to_numpy(np.int64).view(U))] = exact["n"].to_numpy(np.int64)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sums = stored(arrow_map(counted.where("f is not null").repartition(parts, "h").sortWithinPartitions("h"), _rare_sums,
-                            "id long, f long, known long, unknown long, logs double, discounted double"), "sums")
-    rare = sums.where("f is null").agg(F.sum("known"), F.sum("unknown")).first()
+    other = stored(arrow_map(counted.where("k is not null").repartition(parts, "h").sortWithinPartitions("h"), _rare_counts,
+                             "k long, n long, c long"), "other")
+    dropped(counted)
+    rare = other.where("k is null").agg(F.sum("n"), F.sum("c")).first()
     rare_tokens, rare_words = int(rare[0] or 0), int(rare[1] or 0)
     total = int(counts.sum()) + rare_tokens
     distinct = int((counts > 0).sum()) + rare_words
@@ -272,21 +274,27 @@ def lm_score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
         if mean is not None:
             model.network = pickle.loads(bytes(mean["p"]))
     given = spark.sparkContext.broadcast(model)
-    scored = (arrow_map(rows, lambda it: _scored(it, given), "id long, f long, train boolean, n long, known long, tail long, "
-                        "unseen long, logs double, logp double")
-              .groupBy("id", "f", "train", "n").agg(*[F.first(c).alias(c) for c in ("known", "tail", "unseen", "logs", "logp")],
+    scored = (arrow_map(rows, lambda it: _scored(it, given), "id long, k long, train boolean, n long, rare long, known long, "
+                        "tail long, unseen long, logs double, logp double").repartition(parts, "k")
+              .groupBy("id", "k", "train", "n").agg(*[F.first(c).alias(c) for c in ("rare", "known", "tail", "unseen", "logs", "logp")],
                                                     F.count("*").alias("copies")))
-    by_doc = (sums.where("f is not null").groupBy(F.col("id").alias("id2"), F.col("f").alias("f2"))
-              .agg(*[F.sum(c).alias("r_" + c) for c in ("known", "unknown", "logs", "discounted")]))
-    both = scored.join(by_doc, (F.col("id").eqNullSafe(F.col("id2"))) & (F.col("f") == F.col("f2")), "left").select(
-        "id", "train", "n", "known", "tail", "unseen", "logs", "logp", "copies",
-        *[(F.coalesce("r_" + c, F.lit(0)) / F.col("copies")).alias("r_" + c) for c in ("known", "unknown", "logs", "discounted")])
+    # what rows of other counts add to their document's sums; shuffled as they are, summed behind the shuffle
+    odd = F.col("k").bitwiseAND(F.lit(1))
+    by_doc = (other.where("k is not null").withColumn("n", F.col("n").cast("int")).repartition(parts, "k").groupBy("k").agg(
+        F.sum("n").alias("m"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - odd * math.log10(2))).alias("m_logs"),
+        F.sum(F.col("n") * (F.log10(F.col("c") - DISCOUNT) - odd * math.log10(1 - DISCOUNT))).alias("m_discounted")))
+    mine = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")       # noqa: E731  equal rows share a key
+    both = scored.join(by_doc, "k", "left").withColumns({
+        "r_known": F.when(F.col("train"), F.col("rare")).otherwise(F.round(mine("m")).cast("long")),
+        "r_logs": mine("m_logs") + F.when(F.col("train"), F.col("rare") * math.log10(2)).otherwise(0.0),
+        "r_discounted": mine("m_discounted") + F.when(F.col("train"), F.col("rare") * math.log10(1 - DISCOUNT)).otherwise(0.0),
+    }).withColumn("r_unknown", F.col("rare") - F.col("r_known"))
     events = math.log10(total + distinct + 1.0)
     tail_tokens = max(model.tail_tokens, 1)
     unknown_share = math.log10(max(DISCOUNT * model.tail_words, 1e-9) / tail_tokens) if model.tail_words else 0.0
     out = both.select(
         F.col("id").alias(id_col), F.col("train").alias("training"), F.col("n").alias("n_tokens"),
-        (F.col("known") + F.round("r_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("known") + F.col("r_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.col("r_logs") - F.col("n") * F.lit(events)).alias("base_score"),
         (F.col("logp") + F.col("r_discounted") - (F.col("tail") + F.col("r_known")) * F.lit(math.log10(tail_tokens))
          + (F.col("unseen") + F.col("r_unknown")) * F.lit(unknown_share)).alias("score"),

@@ -1,4 +1,6 @@
+import cProfile
 import math
+import pstats
 import re
 import zlib
 from collections import Counter
@@ -119,3 +121,36 @@ def test_training_lowers_the_loss_and_gradients_are_right():
         array[at] -= 2e-5
         assert math.isclose((up - loss()) / 2e-5, grad[at], rel_tol=1e-3)
         array[at] += 1e-5
+
+
+def test_rows_of_one_id_and_text_count_apart_by_training(spark):
+    text = "apple pear plum plum"
+    docs = spark.createDataFrame([(1, text, True), (1, text, False), (None, text, False), (-1, text, True), (-1, text, True),
+                                  (2, "fig fig kiwi", False)], "doc_id long, text string, t boolean")
+    rows = lm_score.lm_score(docs, F.col("t"), frequent=1, head=1).collect()
+    count = Counter(words(text) * 3)
+    for r in rows:
+        w = words("fig fig kiwi" if r["doc_id"] == 2 else text)
+        assert r["n_known"] == sum(count[x] > 0 for x in w) and r["train_tokens"] == 15
+        assert math.isclose(r["base_score"], sum(math.log10((count[x] + 1) / (15 + 4 + 1)) for x in w), rel_tol=1e-9)
+    assert len(rows) == 6 and len({r["score"] for r in rows if r["doc_id"] != 2}) == 1
+
+
+def test_rare_words_of_one_text_are_not_sent_back(spark, monkeypatch):
+    sent = {}
+    store = lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df, name: sent.setdefault(name, store(df, name)))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} b{i} c{i}", i % 5 > 0) for i in range(50)], "doc_id long, text string, t boolean")
+    lm_score.lm_score(docs, F.col("t"), frequent=1, head=1).collect()
+    rows = [t.dropna().count() for name, t in sent.items() if name != "counted"]
+    assert rows == [40]          # the words met twice in a training text
+
+
+def test_few_calls_for_a_window():
+    """Arrays are small: a call for each class and quantity would cost more than the work."""
+    rng = np.random.default_rng(7)
+    p, tables = gru.start(rng.integers(1, 500, 1000).astype(float), 40.0, 1256, 16, 32, 1)
+    given, goal = rng.integers(0, 1256, 640), rng.integers(-1, 1000, 640)
+    profile = cProfile.Profile()
+    profile.runcall(gru.train, p, tables, given, goal, np.arange(0, 641, 32))
+    assert pstats.Stats(profile).total_calls < 600
