@@ -8,7 +8,7 @@ Spark ML has no isolation forest, so:
   (type, tree) group -- bounded by construction -- builds one tree in NumPy
   via ``applyInPandas``;
 * the node table (types x trees x <= 2^(h+1)-1 nodes) is counted, then
-  broadcast, and ``mapInPandas`` scores every row in vectorised passes;
+  broadcast, and ``mapInArrow`` scores every row in vectorised passes;
 * the cut-off is the (1 - contamination) quantile of the training scores per
   type (``percentile_approx``, a partial aggregate).
 """
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,49 +154,62 @@ def train(matrix: DataFrame, trees: int = 100, psi: int = 256, seed: int = 42, c
 
 
 def _pack(nodes: pd.DataFrame):
-    """Node rows -> per type dense arrays [tree, node]."""
+    """Node rows -> per type and tree ``(features, thresholds, leaves)`` by level: a
+    level's arrays have a place for each node of a full tree, a leaf above the last
+    level sends all rows on to the right; ``leaves`` holds the path lengths."""
     model = {}
     for t, g in nodes.groupby("equipment_type"):
         n_trees = int(g["tree"].max()) + 1
-        n_nodes = int(g["node"].max()) + 1
-        shape = (n_trees, n_nodes)
-        feat = np.full(shape, -1, dtype=np.int64)
-        thr = np.zeros(shape)
-        left = np.zeros(shape, dtype=np.int64)
-        right = np.zeros(shape, dtype=np.int64)
-        size = np.zeros(shape)
-        depth = np.zeros(shape)
-        ti, ni = g["tree"].to_numpy(), g["node"].to_numpy()
-        feat[ti, ni] = g["feature"].to_numpy()
-        thr[ti, ni] = g["threshold"].to_numpy()
-        left[ti, ni] = g["left"].to_numpy()
-        right[ti, ni] = g["right"].to_numpy()
-        size[ti, ni] = g["size"].to_numpy()
-        depth[ti, ni] = g["depth"].to_numpy()
+        trees = [_levels(x) for _, x in sorted(g.groupby("tree"))]
         psi_used = g.groupby("tree")["psi"].max().reindex(range(n_trees)).fillna(1).to_numpy()
-        model[t] = (feat, thr, left, right, size, depth, psi_used)
+        model[t] = (trees, n_trees, float(np.mean(psi_used)))
     return model
 
 
+def _levels(g: pd.DataFrame):
+    at = np.full(int(g["node"].max()) + 1, -1)
+    at[g["node"].to_numpy()] = np.arange(len(g))
+    feat, left, right = (g[c].to_numpy(np.int64) for c in ("feature", "left", "right"))
+    thr = g["threshold"].to_numpy()
+    length = g["depth"].to_numpy() + c_factor(g["size"].to_numpy())
+    here, levels = at[[0]], []
+    while (feat[here] >= 0).any():
+        inner = feat[here] >= 0
+        levels.append((np.where(inner, feat[here], 0), np.where(inner, thr[here], -np.inf)))
+        low = np.where(inner, at[np.where(inner, left[here], 0)], here)
+        high = np.where(inner, at[np.where(inner, right[here], 0)], here)
+        here = np.stack([low, high], axis=1).ravel()
+    return levels, length[here]
+
+
+SCORED_ROWS = 4096       # rows that go down a tree together: their features stay in the processor's cache
+
+
 def _score_matrix(x: np.ndarray, m) -> np.ndarray:
-    feat, thr, left, right, size, depth, psi_used = m
-    n_trees = feat.shape[0]
-    n = x.shape[0]
+    """Scores of the rows of ``x`` (features, rows)."""
+    trees, n_trees, mean_psi = m
+    n = x.shape[1]
     total = np.zeros(n)
-    rows = np.arange(n)
-    for t in range(n_trees):
-        node = np.zeros(n, dtype=np.int64)
-        while True:
-            f = feat[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fi = np.where(inner, f, 0)
-            go_left = x[rows, fi] < thr[t, node]
-            nxt = np.where(go_left, left[t, node], right[t, node])
-            node = np.where(inner, nxt, node)
-        total += depth[t, node] + c_factor(size[t, node])
-    mean_psi = float(np.mean(psi_used))
+    for a in range(0, n, SCORED_ROWS):
+        part = np.ascontiguousarray(x[:, a:a + SCORED_ROWS])
+        k = part.shape[1]
+        flat, rows = part.ravel(), np.arange(k)
+        place, value, bound, less = np.empty(k, np.int64), np.empty(k), np.empty(k), np.empty(k, bool)
+        for levels, length in trees:
+            node = np.zeros(k, np.int64)
+            for i, (feat, thr) in enumerate(levels):
+                if i == 0:
+                    np.less(part[feat[0]], thr[0], out=less)
+                else:
+                    np.take(feat * k, node, out=place, mode="clip")
+                    np.add(place, rows, out=place)
+                    np.take(flat, place, out=value, mode="clip")
+                    np.take(thr, node, out=bound, mode="clip")
+                    np.less(value, bound, out=less)
+                node += node
+                node += 1
+                node -= less
+            total[a:a + k] += length[node]
     return np.power(2.0, -(total / n_trees) / max(float(c_factor([mean_psi])[0]), 1e-12))
 
 
@@ -220,29 +234,31 @@ def score(matrix: DataFrame, nodes: DataFrame, cols=None) -> DataFrame:
     keep = [c for c in matrix.columns if c not in cols]
     schema = T.StructType([matrix.schema[c] for c in keep] + [T.StructField("iso_score", T.DoubleType())])
     spark = matrix.sparkSession
-    known = [t for p in packs for t in p]
-    parts = [matrix.where(F.col("equipment_type").isNull() | ~F.col("equipment_type").isin(known))
-             .select(*keep, F.lit(None).cast("double").alias("iso_score"))]
-    for types in packs:
-        if not types:
-            continue
+    out = None
+    for i, types in enumerate(packs):
         model = spark.sparkContext.broadcast(_pack(nodes.where(F.col("equipment_type").isin(types)).toPandas()))
-        rows = matrix if len(packs) == 1 else matrix.where(F.col("equipment_type").isin(types))
-        rows = rows.where(F.col("equipment_type").isin(types))
-        parts.append(rows.select(*keep, *cols).mapInPandas(_scorer(model, cols, keep), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+        mine = F.col("equipment_type").isin(types)
+        # rows of other types go with the first pack; a single pack has all rows in one pass
+        others = [t for p in packs[1:] for t in p]
+        rows = matrix.where(mine) if i else matrix.where(F.coalesce(~F.col("equipment_type").isin(others), F.lit(True))) if others else matrix
+        rows = rows.select(*keep, *[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(_scorer(model, cols, keep), schema)
+        out = rows if out is None else out.unionAll(rows)
     return out
 
 
 def _scorer(model, cols, keep):
     def run(batches):
-        for pdf in batches:
-            out = np.full(len(pdf), np.nan)
-            for t, idx in pdf.groupby("equipment_type").indices.items():
-                out[idx] = _score_matrix(pdf[cols].to_numpy(dtype=float)[idx], model.value[t])
-            yield pdf[keep].assign(iso_score=out)
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            kinds = columns["equipment_type"].dictionary_encode()
+            code = kinds.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            x = np.stack([columns[c].to_numpy(zero_copy_only=False) for c in cols])
+            out, known = np.zeros(len(batch)), np.zeros(len(batch), bool)
+            for i, t in enumerate(kinds.dictionary.to_pylist()):
+                if t in model.value:
+                    of = np.flatnonzero(code == i)
+                    out[of], known[of] = _score_matrix(x[:, of], model.value[t]), True
+            yield pa.record_batch([*[columns[c] for c in keep], pa.array(out, mask=~known)], names=[*keep, "iso_score"])
     return run
 
 

@@ -296,9 +296,10 @@ def forest_roundtrip(spark, sf_dir):
     version and score every reading with both."""
     raw = _raw(spark, sf_dir)
     fitted, loaded = _fit_forest(spark, sf_dir, raw)
-    once = ISO.detect_with(raw, fitted).select("event_id", "equipment_id", "ts", F.col("iso_score").alias("s1"),
-                                               F.col("iso_anomaly").alias("a1"))
-    both = ISO.detect_with(raw, loaded).join(once, ["event_id", "equipment_id", "ts"])
+    # the same rows, scored again: no join; each keeps its features beside the first score
+    once = ISO.detect_with(raw.withColumn("_raw", F.struct(*ANOM_COLS)), fitted)
+    once = once.select("equipment_type", F.col("iso_score").alias("s1"), F.col("iso_anomaly").alias("a1"), "_raw.*")
+    both = ISO.detect_with(once, loaded)
     return both.where("s1 is not null").groupBy("equipment_type").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.max(F.abs(F.col("iso_score") - F.col("s1"))).alias("max_abs_diff"),
         F.count_if(F.col("a1") != F.col("iso_anomaly")).cast("long").alias("flags_changed"))

@@ -142,6 +142,46 @@ def test_a_loaded_forest_scores_the_same(spark):
     assert a == b and len(a) == 100            # the type without a model is left out
 
 
+def _walked(x, nodes):
+    """Score of one row by walking its trees node by node."""
+    total = 0.0
+    for tree in sorted({n["tree"] for n in nodes}):
+        of = {n["node"]: n for n in nodes if n["tree"] == tree}
+        n = of[0]
+        while n["feature"] >= 0:
+            n = of[n["left"] if x[n["feature"]] < n["threshold"] else n["right"]]
+        total += n["depth"] + float(ISO.c_factor([n["size"]])[0])
+    psi = np.mean([n["psi"] for n in nodes if n["node"] == 0])
+    trees = max(n["tree"] for n in nodes) + 1
+    return 2.0 ** (-(total / trees) / float(ISO.c_factor([psi])[0]))
+
+
+def test_scores_are_those_of_a_walk_down_each_tree(spark, monkeypatch):
+    monkeypatch.setattr(ISO, "PACKED_NODES", 1)          # a pack for each type
+    df = _iso_data(spark, n=300).withColumn("equipment_type", F.when(F.col("event_id") % 3 == 0, "Truck").when(
+        F.col("event_id") % 3 == 1, "Crane").when(F.col("event_id") % 2 == 0, "Unknown"))
+    nodes = ISO.train(df.where("equipment_type in ('Truck', 'Crane')"), trees=15, psi=32, seed=2, cols=COLS)
+    trees = {t: [n for n in nodes.collect() if n["equipment_type"] == t] for t in ("Truck", "Crane")}
+    values = {r["event_id"]: [r[c] for c in COLS] for r in df.collect()}
+    rows = ISO.score(df, nodes, COLS).collect()
+    assert sorted(r["event_id"] for r in rows) == list(range(300))
+    for r in rows:
+        want = _walked(values[r["event_id"]], trees[r["equipment_type"]]) if r["equipment_type"] in trees else None
+        assert r["iso_score"] is want or abs(r["iso_score"] - want) < 1e-12
+
+
+def test_both_forests_score_each_reading_once(spark, monkeypatch):
+    """Resent readings and readings without an id are rows of their own."""
+    monkeypatch.setattr(q_ml, "FOREST", {"trees": 3, "psi": 32, "seed": 1, "contamination": 0.05})
+    path = scratch_path(spark, "tables")
+    ev = table(spark, SF_SMALL, "events")
+    rows = ev.unionAll(ev.where("event_id < 200"))
+    rows.repartition(1).write.parquet(f"{path}/events.parquet")
+    out = q_ml.forest_roundtrip(spark, path).collect()
+    assert sum(r["n"] for r in out) == rows.count()
+    assert all(r["max_abs_diff"] == 0 and r["flags_changed"] == 0 for r in out)
+
+
 def test_a_changed_table_trains_anew(spark, monkeypatch):
     monkeypatch.setattr(q_ml, "TREES", 3)
     path = scratch_path(spark, "tables")
