@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
 from tankwise.operators.joins import join_checked
-from tankwise.operators.sequence import DEFAULT_ORDER, PAGE, chunk_window, halo_chunks, paged, positions
+from tankwise.operators.sequence import DEFAULT_ORDER, PAGE, chunk_window, paged, positions, series_chunks
 from tankwise.sources.store import last_before
 
 # Fixed metric list of the 3-sigma detector.
@@ -114,7 +114,7 @@ def rule_flags(prev_level="prev_level", expected="expected_consumption") -> dict
 
 
 def with_prev_level(df: DataFrame, key: str = "equipment_id", order=DEFAULT_ORDER) -> DataFrame:
-    c = halo_chunks(df, key, order, halo_rows=1)
+    c = series_chunks(df, key, order, halo_rows=1)
     w = chunk_window(key, order)
     out = c.withColumn("prev_level", F.lag("fuel_level", 1).over(w))
     return out.filter(~F.col("_halo")).drop("_halo", "_chunk", "_n_key")

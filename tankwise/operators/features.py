@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tankwise.functions import scalar as S
 from tankwise.operators import sequence as SQ
-from tankwise.operators.sequence import (DEFAULT_ORDER, _bounded, chunk_window, halo_chunks,
-                                         range_halo_chunks, same)
+from tankwise.operators.sequence import (DEFAULT_ORDER, _bounded, chunk_window, range_halo_chunks,
+                                         same, series_chunks)
 
 ROLL_FRAMES = (6, 12, 24)
 ROLL_MEASURES = {"consumption": "fuel_consumed", "load": "load_pct", "speed": "speed"}
@@ -71,14 +71,14 @@ def _finish(df: DataFrame) -> DataFrame:
 def with_lags(df: DataFrame, key: str = "equipment_id",
               order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     """WN3/WN4 + fill rules: previous level/load/RPM and level change."""
-    c = halo_chunks(df, key, order, halo_rows=1)
+    c = series_chunks(df, key, order, halo_rows=1)
     return _finish(c.withColumns(_lag_cols(chunk_window(key, order))))
 
 
 def with_rolling(df: DataFrame, key: str = "equipment_id",
                  order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     """WN5/WN6: 6/12/24-row trailing means of consumption, load and speed."""
-    c = halo_chunks(df, key, order, halo_rows=max(ROLL_FRAMES) - 1)
+    c = series_chunks(df, key, order, halo_rows=max(ROLL_FRAMES) - 1)
     return _finish(c.withColumns(_roll_cols(chunk_window(key, order))))
 
 
@@ -102,7 +102,7 @@ def onehot_name(col: str, level: str) -> str:
 def with_windows(df: DataFrame, key: str = "equipment_id", order: Sequence[str] = DEFAULT_ORDER) -> DataFrame:
     """WN3-WN6: lags and rolling means.  Both families use the same chunks and the
     same ordering, so Spark plans one Exchange and one Sort for all of them."""
-    c = halo_chunks(df, key, order, halo_rows=max(ROLL_FRAMES) - 1)
+    c = series_chunks(df, key, order, halo_rows=max(ROLL_FRAMES) - 1)
     w = chunk_window(key, order)
     return _finish(c.withColumns({**_lag_cols(w), **_roll_cols(w)}))
 

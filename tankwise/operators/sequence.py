@@ -198,6 +198,21 @@ def halo_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] =
     return same(rows, bc(sizes), [key, "_chunk"])
 
 
+def series_chunks(df: DataFrame, key: str = "equipment_id", order: Sequence[str] = DEFAULT_ORDER,
+                  halo_rows: int = 23) -> DataFrame:
+    """``halo_chunks`` of the entities with more than ``CHUNK_ROWS`` rows; the rows of
+    any other are one chunk, which is no larger than a bucket may be and needs no
+    halo (a halo of 23 rows for each day copies a sparse series many times)."""
+    count, small = _bounded(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n_key")).withColumn("_chunk", F.lit(0).cast("long")))
+    bc = F.broadcast if small else (lambda x: x)
+    rows = same(df, bc(count.where(F.col("_n_key") <= CHUNK_ROWS)), [key]).select(
+        *df.columns, "_chunk", F.lit(False).alias("_halo"), "_n_key")
+    hot = count.where(F.col("_n_key") > CHUNK_ROWS).select(key)
+    if hot.isEmpty():
+        return rows
+    return rows.unionByName(halo_chunks(same(df, bc(hot), [key], "left_semi"), key, order, halo_rows))
+
+
 def _bounded(df: DataFrame):
     """Materialise a small derived table; return it and whether it may be broadcast."""
     from tankwise.operators.joins import BROADCAST_MAX_ROWS, materialize_small

@@ -178,3 +178,19 @@ def test_split_keeps_rows_without_keys(spark, monkeypatch):
     got = {r["event_id"]: r["is_train"] for r in SQ.ordered_split(df).collect()}
     order = [r["event_id"] for r in df.orderBy("equipment_id", "ts", "event_id").collect()]
     assert got == {e: k < 800 for k, e in enumerate(order)}
+
+
+def test_only_large_units_have_halos_and_windows_stay_exact(spark, monkeypatch):
+    t0 = dt.datetime(2024, 5, 1)
+    rows = [(i, f"S{i % 4}" if i % 4 else None, t0 + dt.timedelta(days=i), float(i % 9), float(i % 7)) for i in range(400)]
+    rows += [(1000 + i, "L", t0 + dt.timedelta(hours=i), float(i % 11), float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, equipment_id string, ts timestamp_ntz, fuel_level double, load_pct double")
+    assert SQ.series_chunks(df).count() == len(rows)            # a reading a day: none is copied
+    monkeypatch.setattr(SQ, "CHUNK_ROWS", 200)
+    c = SQ.series_chunks(df, halo_rows=5)
+    assert {r[0] for r in c.where("_halo").select("equipment_id").distinct().collect()} == {"L"}
+    w, plain = SQ.chunk_window(), Window.partitionBy("equipment_id").orderBy("ts", "event_id")
+    cols = lambda w: [F.sum("load_pct").over(w.rowsBetween(-5, 0)).alias("m"), F.lag("fuel_level").over(w).alias("p")]
+    got = c.select("event_id", "_n_key", "_halo", *cols(w)).where("not _halo").drop("_halo")
+    want = df.select("event_id", F.count("*").over(Window.partitionBy("equipment_id")), *cols(plain))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
