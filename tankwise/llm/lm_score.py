@@ -40,6 +40,7 @@ CLASSES = 32
 HIDDEN = 16
 TAIL_INPUTS = 256        # input vectors shared by tail words
 DISCOUNT = 0.75
+GRID = 2.0 ** 34         # rare words' logarithms are multiples of 1 / GRID: sums without rounding, so equal texts score alike
 CHUNK = 1 << 23
 SEED = 5
 END = np.array([0x5851F42D4C957F2D], U)    # hash of the end of a text
@@ -280,14 +281,16 @@ def lm_score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str =
                                                     F.count("*").alias("copies")))
     # what rows of other counts add to their document's sums; shuffled as they are, summed behind the shuffle
     odd = F.col("k").bitwiseAND(F.lit(1))
+    on_grid = lambda x: F.rint(x * GRID) / GRID     # noqa: E731
+    once, once_less = (round(math.log10(x) * GRID) / GRID for x in (2, 1 - DISCOUNT))        # of a word met once
     by_doc = (other.where("k is not null").withColumn("n", F.col("n").cast("int")).repartition(parts, "k").groupBy("k").agg(
-        F.sum("n").alias("m"), F.sum(F.col("n") * (F.log10(F.col("c") + 1) - odd * math.log10(2))).alias("m_logs"),
-        F.sum(F.col("n") * (F.log10(F.col("c") - DISCOUNT) - odd * math.log10(1 - DISCOUNT))).alias("m_discounted")))
+        F.sum("n").alias("m"), F.sum(F.col("n") * (on_grid(F.log10(F.col("c") + 1)) - odd * once)).alias("m_logs"),
+        F.sum(F.col("n") * (on_grid(F.log10(F.col("c") - DISCOUNT)) - odd * once_less)).alias("m_discounted")))
     mine = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")       # noqa: E731  equal rows share a key
     both = scored.join(by_doc, "k", "left").withColumns({
         "r_known": F.when(F.col("train"), F.col("rare")).otherwise(F.round(mine("m")).cast("long")),
-        "r_logs": mine("m_logs") + F.when(F.col("train"), F.col("rare") * math.log10(2)).otherwise(0.0),
-        "r_discounted": mine("m_discounted") + F.when(F.col("train"), F.col("rare") * math.log10(1 - DISCOUNT)).otherwise(0.0),
+        "r_logs": mine("m_logs") + F.when(F.col("train"), F.col("rare") * once).otherwise(0.0),
+        "r_discounted": mine("m_discounted") + F.when(F.col("train"), F.col("rare") * once_less).otherwise(0.0),
     }).withColumn("r_unknown", F.col("rare") - F.col("r_known"))
     events = math.log10(total + distinct + 1.0)
     tail_tokens = max(model.tail_tokens, 1)

@@ -154,3 +154,48 @@ def test_few_calls_for_a_window():
     profile = cProfile.Profile()
     profile.runcall(gru.train, p, tables, given, goal, np.arange(0, 641, 32))
     assert pstats.Stats(profile).total_calls < 600
+
+
+def test_gradients_through_a_window_are_right():
+    p, tables = network()
+    rng = np.random.default_rng(8)
+    off = np.cumsum([0, 20, 7, 1, 13])
+    given, goal = rng.integers(0, 40, off[-1]), rng.integers(-1, 30, off[-1])
+    loss = lambda: -gru.score(p, tables, given, goal, off).sum() / off[-1]      # noqa: E731
+    after, far = {k: v.copy() for k, v in p.items()}, 1e12        # AdaGrad's memory: steps in proportion to the gradient
+    dense = sum(v.size for k, v in p.items() if k != "x")
+    gru.train(after, tables, given, goal, off, rate=1.0, memory={"x": np.full_like(p["x"], far), "dense": np.full(dense, far)})
+    for k, v in p.items():
+        grad = (v - after[k]) * math.sqrt(far)
+        for at in rng.choice(v.size, 5, replace=False):
+            at = np.unravel_index(at, v.shape)
+            v[at] += 1e-5
+            up = loss()
+            v[at] -= 2e-5
+            assert math.isclose((up - loss()) / 2e-5, grad[at], rel_tol=1e-3, abs_tol=1e-7)
+            v[at] += 1e-5
+
+
+def test_a_long_text_does_not_hold_up_lanes(monkeypatch):
+    """Few windows score one long text and many short ones, each as if alone."""
+    p, tables = network()
+    rng = np.random.default_rng(9)
+    off = np.cumsum([0, 3200] + [320] * 60 + [1, 33, 64])
+    given, goal = rng.integers(0, 40, off[-1]), rng.integers(-1, 30, off[-1])
+    made, forward = [], gru._forward
+    monkeypatch.setattr(gru, "_forward", lambda *a: made.append(1) or forward(*a))
+    scores = gru.score(p, tables, given, goal, off, width=8)
+    assert len(made) <= 110
+    for a, b, s in zip(off[:-1], off[1:], scores):
+        assert math.isclose(gru.score(p, tables, given[a:b], goal[a:b], np.array([0, b - a]))[0], s, rel_tol=1e-9)
+
+
+def test_windows_train_each_token_once_and_empty_rows_none():
+    lengths = np.array([90, 70, 64, 33, 32, 5, 1, 1, 0, 0])
+    for refill in (False, True):
+        seen = [np.zeros(n, int) for n in lengths]
+        for docs, at, steps, _ in gru.windows(lengths, 3, 16, refill=refill):
+            assert len(docs) <= 3
+            for d, a in zip(docs, at):
+                seen[d][a:a + steps] += 1
+        assert all((s == 1).all() for s in seen)
